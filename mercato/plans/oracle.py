@@ -93,5 +93,288 @@ GROUP BY 1
 """)
 
 
+# --- catalog, listing, lookups -----------------------------------------------
+
+DISCOUNT_AS_OF = "TIMESTAMP '2000-01-01 00:00:00'"
+SESSION_AS_OF = "TIMESTAMP '2024-01-20 00:00:00'"
+REPRICE_AS_OF = "TIMESTAMP '2001-06-01 00:00:00'"
+
+
+def ts(expr: str) -> str:
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+
+
+sql("list_orders", f"""
+SELECT id, merchant_id, branch_id, actor_id, payment_type, status, {ts('created_at')} AS created_at
+FROM v_orders
+""")
+
+sql("lookup_by_keys", """
+WITH k AS (SELECT DISTINCT c.merchant_id, i.product_id FROM v_cart_items i JOIN v_carts c ON c.id = i.cart_id)
+SELECT k.merchant_id, k.product_id, p.name, CAST(p.base_price AS DOUBLE) AS base_price, p.id IS NOT NULL AS found
+FROM k LEFT JOIN v_products p ON p.merchant_id = k.merchant_id AND p.id = k.product_id
+""")
+
+sql("product_detail", """
+SELECT p.id, p.merchant_id, p.category_id, p.name, CAST(p.base_price AS DOUBLE) AS base_price, p.track_inventory, p.is_active,
+       coalesce(pc.name, '') AS category_name
+FROM v_products p LEFT JOIN v_product_categories pc ON pc.merchant_id = p.merchant_id AND pc.id = p.category_id
+""")
+
+sql("product_addons", """
+SELECT a.id, a.product_id, p.merchant_id, a.name, CAST(a.price AS DOUBLE) AS price
+FROM v_product_addons a JOIN v_products p ON p.id = a.product_id
+""")
+
+_FULL = "trim(concat(coalesce(a.first_name, ''), ' ', coalesce(a.last_name, '')))"
+
+sql("employees", f"""
+SELECT DISTINCT a.merchant_id, a.id AS uid, a.email, {_FULL} AS full_name, a.is_active
+FROM v_actors a JOIN v_actor_roles ar ON ar.merchant_id = a.merchant_id AND ar.actor_id = a.id
+WHERE ar.role_type = 'employee'
+""")
+
+sql("actor_profiles", f"""
+SELECT a.merchant_id, a.id AS uid, a.email, {_FULL} AS full_name, a.is_active, ar.role_type
+FROM v_actors a LEFT JOIN v_actor_roles ar ON ar.merchant_id = a.merchant_id AND ar.actor_id = a.id
+""")
+
+_HAS_ROLE = """EXISTS (SELECT 1 FROM v_actors a JOIN v_actor_roles ar ON ar.actor_id = a.id AND ar.merchant_id = a.merchant_id
+                WHERE a.id = {actor} AND ar.role_type = '{role}'{extra})"""
+
+
+def has_role(actor: str, role: str, merchant: str | None = None) -> str:
+    extra = f" AND a.merchant_id = {merchant}" if merchant else ""
+    return _HAS_ROLE.format(actor=actor, role=role, extra=extra)
+
+
+sql("can_view_matrix", f"""
+SELECT s.id AS session_id, s.actor_id, s.merchant_id,
+       ({has_role('s.actor_id', 'admin')} OR {has_role('s.actor_id', 'merchant', 's.merchant_id')}) AS can_view,
+       ({has_role('s.actor_id', 'admin')} OR {has_role('s.actor_id', 'merchant', 's.merchant_id')}) AS can_manage
+FROM v_sessions s
+""")
+
+sql("default_roles", """
+SELECT m.id AS merchant_id, t.role_type, concat(t.role_type, ' role') AS description
+FROM v_merchants m, (VALUES ('merchant'), ('employee'), ('customer')) AS t(role_type)
+WHERE NOT EXISTS (SELECT 1 FROM v_actor_roles r WHERE r.merchant_id = m.id AND r.role_type = t.role_type)
+""")
+
+sql("bootstrap_candidates", """
+SELECT m.id, m.name, m.category FROM v_merchants m
+WHERE NOT EXISTS (SELECT 1 FROM v_actors a WHERE a.merchant_id = m.id)
+""")
+
+sql("split_full_name", """
+WITH n AS (SELECT id, concat('  ', first_name, '   ', last_name, ' ') AS full_name FROM v_actors),
+w AS (SELECT id, full_name, string_split(trim(regexp_replace(full_name, '\\s+', ' ', 'g')), ' ') AS parts FROM n)
+SELECT id, full_name, coalesce(parts[1], '') AS first_name,
+       CASE WHEN len(parts) > 1 THEN array_to_string(parts[2:], ' ') ELSE '' END AS last_name
+FROM w
+""")
+
+sql("session_states", f"""
+WITH att AS (
+  SELECT event_id AS attempt_id,
+         CASE WHEN event_id % 13 = 0 THEN event_id + 1000000000 ELSE event_id END AS session_id,
+         concat('user', CAST(CASE WHEN event_id % 11 = 0 THEN user_id + 1 ELSE user_id END AS VARCHAR), '@example.com') AS email,
+         concat('t', CAST(CASE WHEN event_id % 7 = 0 THEN event_id + 1 ELSE event_id END AS VARCHAR)) AS refresh_token
+  FROM events),
+s AS (
+  SELECT s.id, s.is_blocked, s.refresh_token AS session_token, s.expires_at, coalesce(a.email, '') AS actor_email
+  FROM v_sessions s LEFT JOIN v_actors a ON a.id = s.actor_id AND a.merchant_id = s.merchant_id)
+SELECT att.attempt_id, att.session_id,
+       CASE WHEN s.id IS NULL THEN 'not_found'
+            WHEN s.is_blocked THEN 'blocked'
+            WHEN s.actor_email <> att.email THEN 'actor_mismatch'
+            WHEN s.session_token <> att.refresh_token THEN 'token_mismatch'
+            WHEN {SESSION_AS_OF} > s.expires_at THEN 'expired'
+            ELSE 'ok' END AS state
+FROM att LEFT JOIN s ON s.id = att.session_id
+""")
+
+sql("visible_orders", f"""
+WITH req AS (
+  SELECT actor_id AS viewer_id, id AS order_id FROM v_orders WHERE actor_id IS NOT NULL
+  UNION ALL
+  SELECT actor_id + 10 AS viewer_id, id AS order_id FROM v_orders WHERE actor_id IS NOT NULL),
+x AS (
+  SELECT r.viewer_id, r.order_id, a.merchant_id AS viewer_merchant, o.merchant_id AS order_merchant, o.actor_id AS order_actor,
+         {has_role('r.viewer_id', 'admin')} AS is_admin,
+         {has_role('r.viewer_id', 'merchant', 'o.merchant_id')} AS is_merchant
+  FROM req r LEFT JOIN v_actors a ON a.id = r.viewer_id LEFT JOIN v_orders o ON o.id = r.order_id),
+y AS (
+  SELECT viewer_id, order_id,
+         CASE WHEN viewer_merchant IS NULL THEN 'viewer_not_found'
+              WHEN order_merchant IS NULL THEN 'not_found'
+              WHEN NOT is_admin AND order_merchant <> viewer_merchant THEN 'not_found'
+              WHEN NOT is_admin AND NOT is_merchant AND NOT coalesce(order_actor = viewer_id, false) THEN 'forbidden'
+         END AS reason
+  FROM x)
+SELECT viewer_id, order_id, reason IS NULL AS visible, reason FROM y
+""")
+
+# --- discounts and carts -----------------------------------------------------
+
+
+def active(as_of: str, alias: str = "d") -> str:
+    return (f"(({alias}.valid_from IS NULL OR year({alias}.valid_from) <= 1 OR {as_of} >= {alias}.valid_from) AND "
+            f"({alias}.valid_to IS NULL OR year({alias}.valid_to) <= 1 OR {as_of} <= {alias}.valid_to))")
+
+
+def active_cols(as_of: str, vf: str, vt: str) -> str:
+    return (f"(({vf} IS NULL OR year({vf}) <= 1 OR {as_of} >= {vf}) AND "
+            f"({vt} IS NULL OR year({vt}) <= 1 OR {as_of} <= {vt}))")
+
+
+def best_cte(as_of: str, targets: str) -> str:
+    """Brute force: every matching active discount per target, ranked (priority, newest, id)."""
+    return f"""
+cands AS (
+  SELECT t.tid, d.id AS did, d.type AS dtype, d.value AS dvalue, d.created_at AS dcreated,
+         CASE WHEN d.product_id IS NOT NULL THEN 1 WHEN d.category_id IS NOT NULL THEN 2 ELSE 3 END AS pr
+  FROM ({targets}) t JOIN v_discounts d ON d.merchant_id = t.merchant_id
+  WHERE {active(as_of)}
+    AND ((d.product_id IS NOT NULL AND d.product_id = t.product_id)
+      OR (d.product_id IS NULL AND d.category_id IS NOT NULL AND d.category_id = t.category_id)
+      OR (d.product_id IS NULL AND d.category_id IS NULL))),
+best AS (
+  SELECT tid, did, dtype, dvalue, pr FROM (
+    SELECT *, row_number() OVER (PARTITION BY tid ORDER BY pr, dcreated DESC, did) AS rn FROM cands) WHERE rn = 1)"""
+
+
+def amount(dtype: str, dvalue: str, sub: str) -> str:
+    return (f"CASE WHEN {dtype} = 'percentage' THEN {r2(f'{sub} * CAST({dvalue} AS DOUBLE) / 100')} "
+            f"ELSE CASE WHEN CAST({dvalue} AS DOUBLE) > {sub} THEN {r2(sub)} ELSE {r2(dvalue)} END END")
+
+
+sql("discount_candidates", f"""
+SELECT p.id AS product_id, d.id AS discount_id,
+       CASE WHEN d.product_id IS NOT NULL THEN 1 WHEN d.category_id IS NOT NULL THEN 2 ELSE 3 END AS priority,
+       {active(DISCOUNT_AS_OF)} AS active
+FROM v_products p JOIN v_discounts d ON d.merchant_id = p.merchant_id
+  AND ((d.product_id IS NOT NULL AND d.product_id = p.id)
+    OR (d.product_id IS NULL AND d.category_id IS NOT NULL AND d.category_id = p.category_id)
+    OR (d.product_id IS NULL AND d.category_id IS NULL))
+""")
+
+_PROD_TARGETS = "SELECT id AS tid, id AS product_id, merchant_id, category_id, CAST(base_price AS DOUBLE) AS subtotal FROM v_products"
+
+sql("best_discount", f"""
+WITH {best_cte(DISCOUNT_AS_OF, _PROD_TARGETS).strip()}
+SELECT p.id AS product_id, p.merchant_id, b.did AS best_discount_id, b.pr AS best_priority, b.dtype AS best_discount_type,
+       CAST(b.dvalue AS DOUBLE) AS best_discount_value
+FROM v_products p LEFT JOIN best b ON b.tid = p.id
+""")
+
+sql("discount_amounts", f"""
+WITH {best_cte(DISCOUNT_AS_OF, _PROD_TARGETS).strip()}
+SELECT p.id AS product_id, CAST(p.base_price AS DOUBLE) AS subtotal, b.did AS best_discount_id,
+       {amount('b.dtype', 'b.dvalue', 'CAST(p.base_price AS DOUBLE)')} AS discount_amount
+FROM v_products p JOIN best b ON b.tid = p.id
+""")
+
+sql("no_discount_rows", f"""
+SELECT m.id AS merchant_id, -(m.id + 1) AS id, 'flat' AS type, CAST(0 AS DOUBLE) AS value, 'NO_DISCOUNT' AS description,
+       {ts(f"{DISCOUNT_AS_OF} - INTERVAL 1 DAY")} AS valid_from, {ts(f"{DISCOUNT_AS_OF} + INTERVAL 100 YEAR")} AS valid_to
+FROM v_merchants m
+""")
+
+# cart lines: addon key (ids sorted as text) and addon stats per line
+_LINES = """
+akey AS (
+  SELECT cart_item_id AS id, string_agg(CAST(addon_id AS VARCHAR), ',' ORDER BY CAST(addon_id AS VARCHAR)) AS addon_key,
+         count(*) AS addon_count
+  FROM (SELECT DISTINCT cart_item_id, addon_id FROM v_cart_item_addons WHERE addon_id IS NOT NULL AND addon_id <> 0) GROUP BY 1),
+astat AS (
+  SELECT x.cart_item_id AS id, sum(CAST(a.price AS DOUBLE)) AS addon_unit_price,
+         arg_min(CASE WHEN a.id IS NULL THEN 'addon_not_found' WHEN a.product_id <> i.product_id THEN 'addon_wrong_product' END,
+                 CAST(x.addon_id AS VARCHAR))
+           FILTER (WHERE a.id IS NULL OR a.product_id <> i.product_id) AS addon_reason
+  FROM (SELECT DISTINCT cart_item_id, addon_id FROM v_cart_item_addons WHERE addon_id IS NOT NULL AND addon_id <> 0) x
+  JOIN v_cart_items i ON i.id = x.cart_item_id
+  LEFT JOIN v_product_addons a ON a.id = x.addon_id
+  GROUP BY 1),
+lines AS (
+  SELECT i.id, i.cart_id, i.product_id, i.quantity, i.applied_discount_amount, coalesce(k.addon_key, '') AS addon_key,
+         coalesce(k.addon_count, 0) AS addon_count, s.addon_unit_price, s.addon_reason
+  FROM v_cart_items i LEFT JOIN akey k ON k.id = i.id LEFT JOIN astat s ON s.id = i.id)"""
+
+sql("cart_item_signatures", f"""
+WITH {_LINES.strip()}
+SELECT cart_id, product_id, addon_key, CAST(count(*) AS BIGINT) AS n_items, CAST(sum(quantity) AS BIGINT) AS quantity
+FROM lines GROUP BY 1, 2, 3
+""")
+
+sql("cart_merge", f"""
+WITH {_LINES.strip()}
+SELECT cart_id, product_id, addon_key, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(count(*) AS BIGINT) AS n_requests,
+       CAST(NULL AS VARCHAR) AS reason
+FROM lines WHERE quantity > 0 GROUP BY 1, 2, 3
+UNION ALL
+SELECT cart_id, product_id, addon_key, CAST(quantity AS BIGINT), CAST(1 AS BIGINT), 'quantity_not_positive'
+FROM lines WHERE NOT (quantity > 0)
+""")
+
+sql("addon_ownership", f"""
+WITH {_LINES.strip()}
+SELECT id, cart_id, product_id, addon_key, CAST(addon_count AS BIGINT) AS addon_count, addon_reason FROM lines
+""")
+
+
+def priced_cte(as_of: str, explicit: str | None) -> str:
+    """Priced cart lines; ``explicit`` is an SQL expression over line columns naming the chosen discount id."""
+    targets = ("SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM lines l "
+               "JOIN v_carts c ON c.id = l.cart_id JOIN v_products p ON p.id = l.product_id")
+    ex = explicit or "CAST(NULL AS BIGINT)"
+    return f"""
+{best_cte(as_of, targets).strip()},
+pl AS (
+  SELECT l.*, c.merchant_id, p.id AS pid, p.merchant_id AS pm, p.category_id,
+         {r2('l.quantity * CAST(p.base_price AS DOUBLE) + coalesce(l.addon_unit_price, 0) * l.quantity')} AS subtotal,
+         {ex} AS explicit_id,
+         b.did AS best_id, b.dtype AS best_type, b.dvalue AS best_value
+  FROM lines l LEFT JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id
+  LEFT JOIN best b ON b.tid = l.id),
+pd AS (
+  SELECT pl.*, d.id AS xd_id, d.product_id AS xd_product, d.category_id AS xd_category, d.valid_from AS xd_from, d.valid_to AS xd_to,
+         CASE WHEN pl.explicit_id IS NOT NULL THEN pl.explicit_id ELSE pl.best_id END AS did,
+         CASE WHEN pl.explicit_id IS NOT NULL THEN d.type ELSE pl.best_type END AS dtype,
+         CASE WHEN pl.explicit_id IS NOT NULL THEN d.value ELSE pl.best_value END AS dvalue
+  FROM pl LEFT JOIN v_discounts d ON d.id = pl.explicit_id AND d.merchant_id = pl.merchant_id),
+pa AS (
+  SELECT pd.*, CASE WHEN did IS NULL THEN 0.0 ELSE {amount('dtype', 'dvalue', 'subtotal')} END AS amount FROM pd),
+pr AS (
+  SELECT pa.*,
+    CASE WHEN NOT (quantity > 0) THEN 'quantity_not_positive'
+         WHEN merchant_id IS NULL THEN 'cart_not_found'
+         WHEN pm IS NULL OR pm <> merchant_id THEN 'product_not_found'
+         WHEN addon_reason IS NOT NULL THEN addon_reason
+         WHEN explicit_id IS NOT NULL AND xd_id IS NULL THEN 'not_found'
+         WHEN explicit_id IS NOT NULL AND NOT {active_cols(as_of, 'xd_from', 'xd_to')} AND xd_to IS NOT NULL AND year(xd_to) > 1
+              AND xd_from IS NOT NULL AND year(xd_from) > 1 AND {as_of} < xd_from THEN 'not_active_yet'
+         WHEN explicit_id IS NOT NULL AND NOT {active_cols(as_of, 'xd_from', 'xd_to')} AND xd_to IS NOT NULL AND year(xd_to) > 1 THEN 'expired'
+         WHEN explicit_id IS NOT NULL AND NOT (CASE WHEN xd_product IS NOT NULL THEN coalesce(xd_product = product_id, false)
+                                                    WHEN xd_category IS NOT NULL THEN coalesce(xd_category = category_id, false)
+                                                    ELSE true END) THEN 'wrong_scope'
+         WHEN amount < 0 OR amount > subtotal THEN 'exceeds_subtotal'
+    END AS reason
+  FROM pa)"""
+
+
+_PRICED_SELECT = """
+SELECT cart_id, id AS item_id, product_id, quantity,
+       CASE WHEN reason IS NULL THEN subtotal END AS subtotal,
+       CASE WHEN reason IS NULL THEN coalesce(did, -(merchant_id + 1)) END AS discount_id,
+       CASE WHEN reason IS NULL THEN amount END AS discount_amount,
+       reason
+FROM pr"""
+
+sql("cart_pricing", f"WITH {_LINES.strip()},\n{priced_cte(DISCOUNT_AS_OF, None).strip()}\n{_PRICED_SELECT}")
+sql("explicit_discount_check",
+    f"WITH {_LINES.strip()},\n{priced_cte(DISCOUNT_AS_OF, 'l.product_id - l.product_id % 7').strip()}\n{_PRICED_SELECT}")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

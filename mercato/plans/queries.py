@@ -66,3 +66,238 @@ def q_top_selling_products(spark, sf_dir):
 def q_sales_per_merchant(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
     return reports.sales_per_merchant(fx.v_orders, fx.v_order_items)
+
+
+# --- catalog, listing, lookups -----------------------------------------------
+
+from mercato.functions.arrays import ids_text  # noqa: E402
+from mercato.functions.cols import ts_text  # noqa: E402
+from mercato.operators import access, carts, catalog, discounts  # noqa: E402
+from mercato.sources.fixtures import DISCOUNT_AS_OF, SESSION_AS_OF  # noqa: E402
+
+# Fixed value: later instant at which stored discounts are re-validated (C5 query).
+REPRICE_AS_OF = "2001-06-01 00:00:00"
+
+
+@register("list_orders")
+def q_list_orders(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    o = fx.v_orders.select("id", "merchant_id", "branch_id", "actor_id", "payment_type", "status",
+                           ts_text("created_at").alias("created_at"), F.col("created_at").alias("_ts"))
+    return catalog.list_scoped(o, "merchant_id", order_cols=("_ts", "id")).drop("_ts")
+
+
+@register("lookup_by_keys")
+def q_lookup_by_keys(spark, sf_dir):
+    # every product a cart asks for, looked up in the cart's tenant
+    fx = fixtures(spark, sf_dir)
+    keys = (fx.v_cart_items.join(fx.v_carts.select(F.col("id").alias("cart_id"), "merchant_id"), "cart_id")
+            .select("merchant_id", "product_id").distinct())
+    prods = fx.v_products.select("id", "merchant_id", "name", F.col("base_price").cast("double").alias("base_price"))
+    return catalog.lookup_by_keys(prods, keys, {"merchant_id": "merchant_id", "product_id": "id"})
+
+
+@register("product_detail")
+def q_product_detail(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return catalog.product_detail(fx.v_products, fx.v_product_categories)
+
+
+@register("product_addons")
+def q_product_addons(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return catalog.product_addons(fx.v_products, fx.v_product_addons)
+
+
+@register("employees")
+def q_employees(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return access.employees(fx.v_actors, fx.v_actor_roles)
+
+
+@register("actor_profiles")
+def q_actor_profiles(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    flat = access.actor_roles_flat(fx.v_actors, fx.v_actor_roles).select(F.col("actor_id").alias("uid"), "role_type")
+    return access.actor_profiles(fx.v_actors).join(flat, "uid", "left")
+
+
+@register("can_view_matrix")
+def q_can_view_matrix(spark, sf_dir):
+    # every session asks: may its actor view / manage the session's merchant?
+    fx = fixtures(spark, sf_dir)
+    flags = access.role_flags(fx.v_actors, fx.v_actor_roles)
+    req = fx.v_sessions.select(F.col("id").alias("session_id"), "actor_id", "merchant_id")
+    return access.can_view(req, flags)
+
+
+@register("default_roles")
+def q_default_roles(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return access.ensure_default_roles(fx.v_merchants, fx.v_actor_roles)
+
+
+@register("bootstrap_candidates")
+def q_bootstrap_candidates(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return access.bootstrap_candidates(fx.v_merchants, fx.v_actors).select("id", "name", "category")
+
+
+@register("split_full_name")
+def q_split_full_name(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    names = fx.v_actors.select("id", F.concat(F.lit("  "), "first_name", F.lit("   "), "last_name", F.lit(" ")).alias("full_name"))
+    return access.split_full_name(names)
+
+
+@register("session_states")
+def q_session_states(spark, sf_dir):
+    # every event is a refresh attempt; some carry a wrong token, e-mail or session id
+    fx = fixtures(spark, sf_dir)
+    ev = fx.events
+    attempts = ev.select(
+        F.col("event_id").alias("attempt_id"),
+        F.when(ev.event_id % 13 == 0, ev.event_id + 1000000000).otherwise(ev.event_id).alias("session_id"),
+        F.concat(F.lit("user"), F.when(ev.event_id % 11 == 0, ev.user_id + 1).otherwise(ev.user_id).cast("string"),
+                 F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("t"), F.when(ev.event_id % 7 == 0, ev.event_id + 1).otherwise(ev.event_id).cast("string")).alias("refresh_token"),
+    )
+    return access.classify_sessions(attempts, fx.v_sessions, fx.v_actors, SESSION_AS_OF)
+
+
+@register("visible_orders")
+def q_visible_orders(spark, sf_dir):
+    # each order is requested by its own actor and by the next actor id of the same tenant
+    fx = fixtures(spark, sf_dir)
+    o = fx.v_orders.filter(F.col("actor_id").isNotNull())
+    req = o.select(F.col("actor_id").alias("viewer_id"), F.col("id").alias("order_id")).unionByName(
+        o.select((F.col("actor_id") + 10).alias("viewer_id"), F.col("id").alias("order_id")))
+    flags = access.role_flags(fx.v_actors, fx.v_actor_roles)
+    return access.visible_orders(req, fx.v_orders, flags)
+
+
+# --- discounts and carts -----------------------------------------------------
+
+def _lines(fx):
+    return carts.cart_lines(fx.v_cart_items, fx.v_cart_item_addons)
+
+
+@register("discount_candidates")
+def q_discount_candidates(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return discounts.discount_candidates(fx.v_products, fx.v_discounts, DISCOUNT_AS_OF)
+
+
+@register("best_discount")
+def q_best_discount(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    t = fx.v_products.select(F.col("id").alias("product_id"), "merchant_id", "category_id")
+    r = discounts.resolve_best_discount(t, fx.v_discounts, DISCOUNT_AS_OF)
+    return r.select("product_id", "merchant_id", "best_discount_id", "best_priority", "best_discount_type",
+                    F.col("best_discount_value").cast("double").alias("best_discount_value"))
+
+
+@register("discount_amounts")
+def q_discount_amounts(spark, sf_dir):
+    # D4 on each product's base price with its best discount
+    fx = fixtures(spark, sf_dir)
+    t = fx.v_products.select(F.col("id").alias("product_id"), "merchant_id", "category_id",
+                             F.col("base_price").cast("double").alias("subtotal"))
+    r = discounts.resolve_best_discount(t, fx.v_discounts, DISCOUNT_AS_OF).filter(F.col("best_discount_id").isNotNull())
+    return r.select("product_id", "subtotal", "best_discount_id",
+                    discounts.discount_amount("best_discount_type", "best_discount_value", "subtotal").alias("discount_amount"))
+
+
+@register("no_discount_rows")
+def q_no_discount_rows(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    r = discounts.ensure_no_discount(fx.v_merchants, fx.v_discounts, DISCOUNT_AS_OF)
+    return r.select("merchant_id", "id", "type", F.col("value").cast("double").alias("value"), "description",
+                    ts_text("valid_from").alias("valid_from"), ts_text("valid_to").alias("valid_to"))
+
+
+@register("cart_item_signatures")
+def q_cart_item_signatures(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    lines = _lines(fx)
+    return lines.groupBy("cart_id", "product_id", ids_text("addon_ids").alias("addon_key")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_items"), F.sum("quantity").cast("bigint").alias("quantity"))
+
+
+@register("cart_merge")
+def q_cart_merge(spark, sf_dir):
+    # replay every cart line as an add request into an empty cart table
+    fx = fixtures(spark, sf_dir)
+    adds = _lines(fx).select("cart_id", "product_id", "quantity", "addon_ids")
+    return carts.merge_cart_adds(adds)
+
+
+@register("addon_ownership")
+def q_addon_ownership(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return carts.check_addon_ownership(_lines(fx), fx.v_product_addons)
+
+
+@register("cart_pricing")
+def q_cart_pricing(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return carts.price_cart_items(_lines(fx), fx.v_carts, fx.v_products, fx.v_product_addons, fx.v_discounts, DISCOUNT_AS_OF)
+
+
+@register("explicit_discount_check")
+def q_explicit_discount_check(spark, sf_dir):
+    # each line names the discount whose id is its product id rounded down to a multiple of 7
+    fx = fixtures(spark, sf_dir)
+    lines = _lines(fx).withColumn("explicit_id", F.col("product_id") - F.col("product_id") % 7)
+    return carts.price_cart_items(lines, fx.v_carts, fx.v_products, fx.v_product_addons, fx.v_discounts,
+                                  DISCOUNT_AS_OF, explicit_col="explicit_id")
+
+
+@register("cart_reprice")
+def q_cart_reprice(spark, sf_dir):
+    # new quantity = quantity - 10; the stored discount is the one resolved at the discount as-of,
+    # re-validated at a later instant
+    fx = fixtures(spark, sf_dir)
+    lines = _lines(fx)
+    priced = carts.price_cart_items(lines, fx.v_carts, fx.v_products, fx.v_product_addons, fx.v_discounts, DISCOUNT_AS_OF)
+    updates = priced.select(
+        "item_id", "cart_id", (F.col("quantity") - 10).alias("new_quantity"),
+        F.when(F.col("discount_id") > 0, F.col("discount_id")).alias("stored_discount_id"))
+    return carts.reprice_quantity_updates(updates, lines, fx.v_carts, fx.v_products, fx.v_product_addons,
+                                          fx.v_discounts, REPRICE_AS_OF)
+
+
+def _preview_lines(fx):
+    lines = _lines(fx)
+    c = fx.v_carts.select(F.col("id").alias("cart_id"), "merchant_id")
+    p = fx.v_products.select(F.col("id").alias("product_id"), F.col("merchant_id").alias("_pm"), "category_id",
+                             F.col("base_price").cast("double").alias("price"))
+    stats = carts.addon_stats(lines, fx.v_product_addons)
+    j = lines.join(c, "cart_id").join(p, "product_id", "left").join(stats, "id", "left")
+    j = discounts.resolve_best_discount(j, fx.v_discounts, DISCOUNT_AS_OF)
+    line_reason = F.when(F.col("_pm").isNull() | (F.col("_pm") != F.col("merchant_id")), F.lit("product_not_found")) \
+        .when(F.col("addon_reason") == "addon_not_found", F.lit("addon_not_found"))
+    has_best = F.col("best_discount_id").isNotNull()
+    return j.select(
+        "cart_id", F.col("id").alias("item_id"), "product_id", "quantity", "price", "addon_unit_price",
+        F.col("applied_discount_amount").cast("double").alias("line_discount"),
+        F.when(has_best, F.col("best_discount_id")).otherwise(discounts.sentinel_id("merchant_id")).alias("discount_id"),
+        F.when(has_best, F.col("best_discount_type")).otherwise(F.lit(discounts.NO_DISCOUNT_TYPE)).alias("discount_type"),
+        F.when(has_best, F.col("best_discount_value")).otherwise(F.lit(discounts.NO_DISCOUNT_VALUE)).alias("discount_value"),
+        line_reason.alias("line_reason"),
+    )
+
+
+@register("cart_preview")
+def q_cart_preview(spark, sf_dir):
+    # preview every cart with its order's payment method
+    fx = fixtures(spark, sf_dir)
+    methods = fx.v_orders.select(F.col("cart_id"), F.col("payment_type").alias("payment_method"))
+    return carts.cart_preview(_preview_lines(fx), methods)
+
+
+@register("cart_detail")
+def q_cart_detail(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    pl = _preview_lines(fx).select("item_id", "discount_id", "discount_type", F.col("discount_value").cast("double").alias("discount_value"))
+    return carts.cart_detail(_lines(fx), fx.v_carts, fx.v_products, fx.v_product_addons, pl)
