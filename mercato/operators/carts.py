@@ -58,6 +58,7 @@ def addon_stats(lines: DataFrame, addons: DataFrame, line_id: str = "id") -> Dat
         F.sum(F.col("_price").cast("double")).alias("addon_unit_price"),
         F.min(F.when(err.isNotNull(), F.struct(F.col("pos"), err.alias("reason")))).getField("reason").alias("addon_reason"),
         F.count(F.lit(1)).alias("addon_count"),
+        F.sum(F.col("_ap").isNull().cast("int")).alias("addon_missing"),
     ).withColumnRenamed("_line", line_id)
 
 
@@ -105,9 +106,13 @@ def _priced(lines: DataFrame, carts: DataFrame, products: DataFrame, addons: Dat
 
 
 def price_cart_items(lines: DataFrame, carts: DataFrame, products: DataFrame, addons: DataFrame,
-                     discounts: DataFrame, as_of, explicit_col: str | None = None) -> DataFrame:
+                     discounts: DataFrame, as_of, explicit_col: str | None = None,
+                     resolve_missing: bool = True) -> DataFrame:
     """C4 (and D5 when ``explicit_col`` names an explicit discount id column).
 
+    With ``resolve_missing=False`` (C5) a line without a chosen discount is not
+    resolved: it gets the sentinel and amount 0.
+
     subtotal = round2(q * base + addon_unit * q); the discount is the explicit
     one (checked by D5) or the resolved best one (D3), else the merchant's
     NO_DISCOUNT sentinel with amount 0.  First failing check wins.
@@ -116,7 +121,12 @@ def price_cart_items(lines: DataFrame, carts: DataFrame, products: DataFrame, ad
     q = F.col("quantity").cast("double")
     subtotal = round2(q * F.col("base_price") + F.coalesce("addon_unit_price", F.lit(0.0)) * q)
     j = j.withColumn("subtotal", subtotal)
-    j = disc.resolve_best_discount(j, discounts, as_of)
+    if resolve_missing:
+        j = disc.resolve_best_discount(j, discounts, as_of)
+    else:
+        j = (j.withColumn("best_discount_id", F.lit(None).cast("bigint"))
+             .withColumn("best_discount_type", F.lit(None).cast("string"))
+             .withColumn("best_discount_value", F.lit(None).cast("decimal(12,2)")))
 
     if explicit_col:
         d = discounts.select(F.col("id").alias("_did"), F.col("merchant_id").alias("_dm"),
@@ -178,7 +188,8 @@ def reprice_quantity_updates(updates: DataFrame, lines: DataFrame, carts: DataFr
     j = j.withColumn("cart_id", F.coalesce("cart_id", "_ucart")).withColumn("quantity", F.col("new_quantity"))
     j = j.withColumn("addon_ids", F.coalesce("addon_ids", F.array().cast("array<bigint>")))
     priced = price_cart_items(j.withColumnRenamed("stored_discount_id", "explicit_id"),
-                              carts, products, addons, discounts, as_of, explicit_col="explicit_id")
+                              carts, products, addons, discounts, as_of, explicit_col="explicit_id",
+                              resolve_missing=False)
     flags = j.select(F.col("id").alias("item_id"), "_item_ok")
     out = priced.join(flags, "item_id")
     return out.withColumn("reason", F.when(~F.col("_item_ok"), F.lit("item_not_found")).otherwise(F.col("reason"))).drop("_item_ok")

@@ -8,6 +8,8 @@ rule: ``round(x * 100) / 100`` on doubles, decimal sums reported as doubles.
 
 from __future__ import annotations
 
+import re
+
 from mercato.sources.fixtures import duckdb_ctes
 
 _RAW: dict[str, str] = {}
@@ -291,14 +293,16 @@ astat AS (
   SELECT x.cart_item_id AS id, sum(CAST(a.price AS DOUBLE)) AS addon_unit_price,
          arg_min(CASE WHEN a.id IS NULL THEN 'addon_not_found' WHEN a.product_id <> i.product_id THEN 'addon_wrong_product' END,
                  CAST(x.addon_id AS VARCHAR))
-           FILTER (WHERE a.id IS NULL OR a.product_id <> i.product_id) AS addon_reason
+           FILTER (WHERE a.id IS NULL OR a.product_id <> i.product_id) AS addon_reason,
+         sum(CASE WHEN a.id IS NULL THEN 1 ELSE 0 END) AS addon_missing
   FROM (SELECT DISTINCT cart_item_id, addon_id FROM v_cart_item_addons WHERE addon_id IS NOT NULL AND addon_id <> 0) x
   JOIN v_cart_items i ON i.id = x.cart_item_id
   LEFT JOIN v_product_addons a ON a.id = x.addon_id
   GROUP BY 1),
 lines AS (
   SELECT i.id, i.cart_id, i.product_id, i.quantity, i.applied_discount_amount, coalesce(k.addon_key, '') AS addon_key,
-         coalesce(k.addon_count, 0) AS addon_count, s.addon_unit_price, s.addon_reason
+         coalesce(k.addon_count, 0) AS addon_count, s.addon_unit_price, s.addon_reason,
+         coalesce(s.addon_missing, 0) AS addon_missing
   FROM v_cart_items i LEFT JOIN akey k ON k.id = i.id LEFT JOIN astat s ON s.id = i.id)"""
 
 sql("cart_item_signatures", f"""
@@ -323,20 +327,22 @@ SELECT id, cart_id, product_id, addon_key, CAST(addon_count AS BIGINT) AS addon_
 """)
 
 
-def priced_cte(as_of: str, explicit: str | None) -> str:
+def priced_cte(as_of: str, explicit: str | None, lines: str = "lines", sfx: str = "", resolve: bool = True) -> str:
     """Priced cart lines; ``explicit`` is an SQL expression over line columns naming the chosen discount id."""
-    targets = ("SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM lines l "
+    targets = (f"SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM {lines} l "
                "JOIN v_carts c ON c.id = l.cart_id JOIN v_products p ON p.id = l.product_id")
     ex = explicit or "CAST(NULL AS BIGINT)"
-    return f"""
-{best_cte(as_of, targets).strip()},
+    best = best_cte(as_of, targets).strip().replace("cands AS", f"cands{sfx} AS").replace("FROM cands", f"FROM cands{sfx}").replace("best AS", f"best{sfx} AS")
+    bsel = "b.did" if resolve else "CAST(NULL AS BIGINT)"
+    body = f"""
+{best},
 pl AS (
   SELECT l.*, c.merchant_id, p.id AS pid, p.merchant_id AS pm, p.category_id,
          {r2('l.quantity * CAST(p.base_price AS DOUBLE) + coalesce(l.addon_unit_price, 0) * l.quantity')} AS subtotal,
          {ex} AS explicit_id,
-         b.did AS best_id, b.dtype AS best_type, b.dvalue AS best_value
-  FROM lines l LEFT JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id
-  LEFT JOIN best b ON b.tid = l.id),
+         {bsel} AS best_id, b.dtype AS best_type, b.dvalue AS best_value
+  FROM {lines} l LEFT JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id
+  LEFT JOIN best{sfx} b ON b.tid = l.id),
 pd AS (
   SELECT pl.*, d.id AS xd_id, d.product_id AS xd_product, d.category_id AS xd_category, d.valid_from AS xd_from, d.valid_to AS xd_to,
          CASE WHEN pl.explicit_id IS NOT NULL THEN pl.explicit_id ELSE pl.best_id END AS did,
@@ -361,6 +367,9 @@ pr AS (
          WHEN amount < 0 OR amount > subtotal THEN 'exceeds_subtotal'
     END AS reason
   FROM pa)"""
+    for name in ("pl", "pd", "pa", "pr"):
+        body = re.sub(rf"\b{name}\b", name + sfx, body)
+    return body
 
 
 _PRICED_SELECT = """
@@ -376,5 +385,75 @@ sql("explicit_discount_check",
     f"WITH {_LINES.strip()},\n{priced_cte(DISCOUNT_AS_OF, 'l.product_id - l.product_id % 7').strip()}\n{_PRICED_SELECT}")
 
 
+sql("cart_reprice", f"""
+WITH {_LINES.strip()},
+{priced_cte(DISCOUNT_AS_OF, None).strip()},
+upd AS (
+  SELECT id AS item_id, quantity - 10 AS new_quantity,
+         CASE WHEN reason IS NULL AND coalesce(did, -(merchant_id + 1)) > 0 THEN did END AS stored_id
+  FROM pr),
+lines2 AS (
+  SELECT l.id, l.cart_id, l.product_id, u.new_quantity AS quantity, l.addon_unit_price, l.addon_reason, u.stored_id
+  FROM lines l JOIN upd u ON u.item_id = l.id),
+{priced_cte(REPRICE_AS_OF, 'l.stored_id', lines='lines2', sfx='2', resolve=False).strip()}
+SELECT cart_id, id AS item_id, product_id, quantity,
+       CASE WHEN reason IS NULL THEN subtotal END AS subtotal,
+       CASE WHEN reason IS NULL THEN coalesce(did, -(merchant_id + 1)) END AS discount_id,
+       CASE WHEN reason IS NULL THEN amount END AS discount_amount,
+       reason
+FROM pr2
+""")
+
+sql("cart_preview", f"""
+WITH {_LINES.strip()},
+{best_cte(DISCOUNT_AS_OF, "SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM lines l JOIN v_carts c ON c.id = l.cart_id JOIN v_products p ON p.id = l.product_id").strip()},
+pv AS (
+  SELECT l.cart_id, l.id AS item_id, l.product_id, l.quantity, CAST(p.base_price AS DOUBLE) AS price, l.addon_unit_price,
+         CAST(l.applied_discount_amount AS DOUBLE) AS line_discount,
+         coalesce(b.did, -(c.merchant_id + 1)) AS discount_id,
+         CASE WHEN b.did IS NOT NULL THEN b.dtype ELSE 'flat' END AS discount_type,
+         CASE WHEN b.did IS NOT NULL THEN CAST(b.dvalue AS DOUBLE) ELSE 0.0 END AS discount_value,
+         CASE WHEN p.id IS NULL OR p.merchant_id <> c.merchant_id THEN 'product_not_found'
+              WHEN l.addon_missing > 0 THEN 'addon_not_found' END AS line_reason
+  FROM lines l JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id LEFT JOIN best b ON b.tid = l.id),
+m AS (
+  SELECT cart_id, payment_type AS payment_method,
+         CASE lower(trim(payment_type)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS vat_rate
+  FROM v_orders),
+lv AS (
+  SELECT pv.*, m.payment_method, m.vat_rate,
+         {r2('price * quantity + coalesce(addon_unit_price, 0) * quantity - line_discount')} AS sub
+  FROM pv JOIN m USING (cart_id)),
+lv2 AS (SELECT *, {r2('sub * vat_rate / 100')} AS vat,
+               row_number() OVER (PARTITION BY cart_id ORDER BY CASE WHEN discount_id IS NULL THEN 1 ELSE 0 END, product_id, item_id) AS disc_rank,
+               row_number() OVER (PARTITION BY cart_id ORDER BY CASE WHEN line_reason IS NULL THEN 1 ELSE 0 END, product_id, item_id) AS err_rank
+        FROM lv),
+g AS (
+  SELECT cart_id, payment_method, vat_rate, CAST(count(*) AS BIGINT) AS item_count,
+         sum(CAST(sub AS DECIMAL(14,2))) AS s, sum(CAST(vat AS DECIMAL(14,2))) AS v,
+         sum(CAST(line_discount AS DECIMAL(14,2))) AS d_all,
+         sum(CASE WHEN discount_id IS NOT NULL THEN CAST(line_discount AS DECIMAL(14,2)) END) AS d_sum,
+         max(CASE WHEN disc_rank = 1 AND discount_id IS NOT NULL THEN discount_id END) AS f_id,
+         max(CASE WHEN disc_rank = 1 AND discount_id IS NOT NULL THEN discount_type END) AS f_type,
+         max(CASE WHEN disc_rank = 1 AND discount_id IS NOT NULL THEN discount_value END) AS f_value,
+         max(CASE WHEN err_rank = 1 THEN line_reason END) AS line_reason
+  FROM lv2 GROUP BY 1, 2, 3),
+r AS (
+  SELECT g.*, CASE WHEN vat_rate IS NULL THEN 'invalid_payment_method' ELSE line_reason END AS reason,
+         f_id IS NOT NULL AND d_all <> 0 AS show_disc
+  FROM g)
+SELECT cart_id, payment_method, CASE WHEN reason IS NULL THEN vat_rate END AS vat_rate, item_count,
+       CASE WHEN reason IS NULL THEN {r2('s')} END AS subtotal,
+       CASE WHEN reason IS NULL THEN {r2('v')} END AS total_vat,
+       CASE WHEN reason IS NULL THEN {r2('s + v')} END AS total_price,
+       CASE WHEN reason IS NULL AND show_disc THEN f_id END AS discount_id,
+       CASE WHEN reason IS NULL AND show_disc THEN f_type END AS discount_type,
+       CASE WHEN reason IS NULL AND show_disc THEN f_value END AS discount_value,
+       CASE WHEN reason IS NULL AND show_disc THEN {r2('d_sum')} END AS discount_amount,
+       reason
+FROM r
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

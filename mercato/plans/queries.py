@@ -276,7 +276,7 @@ def _preview_lines(fx):
     j = lines.join(c, "cart_id").join(p, "product_id", "left").join(stats, "id", "left")
     j = discounts.resolve_best_discount(j, fx.v_discounts, DISCOUNT_AS_OF)
     line_reason = F.when(F.col("_pm").isNull() | (F.col("_pm") != F.col("merchant_id")), F.lit("product_not_found")) \
-        .when(F.col("addon_reason") == "addon_not_found", F.lit("addon_not_found"))
+        .when(F.coalesce("addon_missing", F.lit(0)) > 0, F.lit("addon_not_found"))
     has_best = F.col("best_discount_id").isNotNull()
     return j.select(
         "cart_id", F.col("id").alias("item_id"), "product_id", "quantity", "price", "addon_unit_price",
