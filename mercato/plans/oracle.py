@@ -455,5 +455,154 @@ FROM r
 """)
 
 
+# --- orders ------------------------------------------------------------------
+
+_KARACHI_NOW = "(hour(TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 5 HOUR) * 60 + minute(TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 5 HOUR))"
+
+
+def is_open_sql(o: str, c: str) -> str:
+    return (f"(CASE WHEN {o} = {c} THEN true WHEN {o} < {c} THEN {_KARACHI_NOW} >= {o} AND {_KARACHI_NOW} < {c} "
+            f"ELSE {_KARACHI_NOW} >= {o} OR {_KARACHI_NOW} < {c} END)")
+
+
+_ORDERS = f"""
+req AS (
+  SELECT cart_id, CASE WHEN id % 97 = 0 THEN 'crypto' WHEN id % 5 = 0 THEN concat(' ', upper(payment_type), ' ')
+                       ELSE payment_type END AS payment_type,
+         actor_id AS viewer_id
+  FROM v_orders),
+rq AS (SELECT *, CASE lower(trim(payment_type)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS vat_rate FROM req),
+flags AS (
+  SELECT a.id AS actor_id, max(CASE WHEN ar.role_type = 'merchant' THEN ar.merchant_id END) AS merchant_role_of,
+         max(CASE WHEN ar.role_type = 'customer' THEN ar.merchant_id END) AS customer_role_of
+  FROM v_actors a JOIN v_actor_roles ar ON ar.actor_id = a.id AND ar.merchant_id = a.merchant_id GROUP BY 1),
+xa AS (SELECT DISTINCT cart_item_id, addon_id FROM v_cart_item_addons WHERE addon_id IS NOT NULL AND addon_id <> 0),
+merged AS (
+  SELECT cart_id, product_id, CAST(sum(quantity) AS INTEGER) AS quantity,
+         sum(CAST(round(CAST(coalesce(applied_discount_amount, 0) AS DOUBLE) * 100) / 100 AS DECIMAL(12,2))) AS discount_amount
+  FROM v_cart_items GROUP BY 1, 2),
+addon_q AS (
+  SELECT i.cart_id, i.product_id, x.addon_id, sum(i.quantity) AS addon_quantity
+  FROM v_cart_items i JOIN xa x ON x.cart_item_id = i.id GROUP BY 1, 2, 3),
+al AS (
+  SELECT q.*, a.name AS addon_name, a.price AS addon_price,
+         CASE WHEN a.id IS NULL THEN 'addon_not_found' WHEN a.product_id <> q.product_id THEN 'addon_wrong_product' END AS err,
+         {r2('CAST(a.price AS DOUBLE) * q.addon_quantity')} AS line_addon_total
+  FROM addon_q q LEFT JOIN v_product_addons a ON a.id = q.addon_id),
+aagg AS (
+  SELECT cart_id, product_id, {r2('sum(line_addon_total)')} AS addon_amount,
+         arg_min(err, CAST(addon_id AS VARCHAR)) FILTER (WHERE err IS NOT NULL) AS addon_reason
+  FROM al GROUP BY 1, 2),
+ml AS (
+  SELECT m.*, c.merchant_id, c.branch_id, p.merchant_id AS pm, p.name AS product_name, p.base_price AS price, p.track_inventory,
+         inv.quantity AS stock, coalesce(g.addon_amount, 0.0) AS addon_amount, g.addon_reason,
+         CASE WHEN p.id IS NULL OR p.merchant_id <> c.merchant_id THEN 'product_not_found'
+              WHEN coalesce(p.track_inventory, false) AND c.branch_id IS NOT NULL AND inv.quantity IS NULL THEN 'inventory_not_found'
+              WHEN coalesce(p.track_inventory, false) AND c.branch_id IS NOT NULL AND inv.quantity < m.quantity THEN 'insufficient_inventory'
+              WHEN g.addon_reason IS NOT NULL THEN g.addon_reason END AS stage1
+  FROM merged m JOIN v_carts c ON c.id = m.cart_id
+  LEFT JOIN v_products p ON p.id = m.product_id
+  LEFT JOIN v_product_inventory inv ON inv.product_id = m.product_id AND inv.branch_id = c.branch_id
+  LEFT JOIN aagg g ON g.cart_id = m.cart_id AND g.product_id = m.product_id),
+pcl AS (
+  SELECT cart_id, arg_min(stage1, product_id) FILTER (WHERE stage1 IS NOT NULL) AS line_err1, count(*) AS n_lines
+  FROM ml GROUP BY 1),
+rawq AS (SELECT cart_id, min(quantity) AS min_q FROM v_cart_items GROUP BY 1),
+r AS (
+  SELECT rq.*, c.merchant_id, c.branch_id, c.actor_id AS cart_actor_id,
+    CASE WHEN rq.vat_rate IS NULL THEN 'invalid_payment_type'
+         WHEN c.id IS NULL THEN 'cart_not_found'
+         WHEN c.actor_id IS NOT NULL AND NOT coalesce(f.merchant_role_of = c.merchant_id, false)
+              AND NOT coalesce(f.customer_role_of = c.merchant_id AND c.actor_id = rq.viewer_id, false) THEN 'forbidden'
+         WHEN b.id IS NULL OR b.merchant_id <> c.merchant_id THEN 'branch_not_found'
+         WHEN NOT {is_open_sql('b.opening_time_minutes', 'b.closing_time_minutes')} THEN 'branch_closed'
+         WHEN coalesce(q.min_q, 1) <= 0 THEN 'quantity_not_positive'
+         WHEN l.line_err1 IS NOT NULL THEN l.line_err1
+         WHEN coalesce(l.n_lines, 0) = 0 THEN 'cart_empty' END AS pre_reason
+  FROM rq LEFT JOIN v_carts c ON c.id = rq.cart_id
+  LEFT JOIN flags f ON f.actor_id = rq.viewer_id
+  LEFT JOIN v_branches b ON b.id = c.branch_id
+  LEFT JOIN rawq q ON q.cart_id = rq.cart_id
+  LEFT JOIN pcl l ON l.cart_id = rq.cart_id),
+bl0 AS (
+  SELECT ml.*, r.payment_type, r.vat_rate, {r2('ml.quantity * CAST(ml.price AS DOUBLE)')} AS base_amount
+  FROM ml JOIN r ON r.cart_id = ml.cart_id AND r.pre_reason IS NULL),
+bl1 AS (SELECT *, {r2('base_amount + addon_amount - CAST(discount_amount AS DOUBLE)')} AS line_subtotal FROM bl0),
+bl2 AS (SELECT *, {r2('line_subtotal * (vat_rate / 100.0)')} AS tax_amount FROM bl1),
+bl AS (SELECT *, {r2('line_subtotal + tax_amount')} AS line_total,
+              CASE WHEN discount_amount < 0 THEN 'negative_discount' WHEN line_subtotal < 0 THEN 'discount_exceeds_line' END AS stage2
+       FROM bl2),
+tot AS (
+  SELECT cart_id, arg_min(stage2, product_id) FILTER (WHERE stage2 IS NOT NULL) AS line_err2,
+         sum(CAST(line_subtotal AS DECIMAL(14,2))) AS s, sum(CAST(tax_amount AS DECIMAL(14,2))) AS t,
+         sum(CAST(line_total AS DECIMAL(14,2))) AS g
+  FROM bl GROUP BY 1),
+fin AS (SELECT r.*, tot.s, tot.t, tot.g, coalesce(r.pre_reason, tot.line_err2) AS reason FROM r LEFT JOIN tot USING (cart_id))"""
+
+sql("merged_cart_lines", f"""
+WITH {_ORDERS.strip()},
+asum AS (SELECT cart_id, product_id, count(*) AS n_addons, sum(addon_quantity) AS addon_units FROM addon_q GROUP BY 1, 2)
+SELECT m.cart_id, m.product_id, CAST(m.quantity AS BIGINT) AS quantity, CAST(m.discount_amount AS DOUBLE) AS discount_amount,
+       CAST(coalesce(a.n_addons, 0) AS BIGINT) AS n_addons, CAST(coalesce(a.addon_units, 0) AS BIGINT) AS addon_units
+FROM merged m LEFT JOIN asum a USING (cart_id, product_id)
+""")
+
+sql("order_bills", f"""
+WITH {_ORDERS.strip()}
+SELECT cart_id AS order_id, merchant_id, branch_id, cart_actor_id AS actor_id, lower(trim(payment_type)) AS payment_type, vat_rate,
+       {r2('s')} AS subtotal, {r2('t')} AS total_tax, {r2('g')} AS total, 'pending' AS status
+FROM fin WHERE reason IS NULL
+""")
+
+sql("order_lines", f"""
+WITH {_ORDERS.strip()}
+SELECT bl.cart_id AS order_id, bl.product_id, bl.product_name, bl.quantity, CAST(bl.price AS DOUBLE) AS price, bl.base_amount,
+       bl.addon_amount, CAST(bl.discount_amount AS DOUBLE) AS discount_amount, bl.line_subtotal, bl.tax_amount, bl.line_total
+FROM bl JOIN fin ON fin.cart_id = bl.cart_id AND fin.reason IS NULL
+""")
+
+sql("order_rejects", f"""
+WITH {_ORDERS.strip()}
+SELECT cart_id, payment_type, viewer_id, reason FROM fin WHERE reason IS NOT NULL
+""")
+
+sql("order_inventory", f"""
+WITH {_ORDERS.strip()},
+used AS (
+  SELECT ml.product_id, ml.branch_id, sum(ml.quantity) AS used
+  FROM ml JOIN fin ON fin.cart_id = ml.cart_id AND fin.reason IS NULL
+  WHERE coalesce(ml.track_inventory, false) GROUP BY 1, 2)
+SELECT i.product_id, i.branch_id, CAST(i.quantity - coalesce(u.used, 0) AS INTEGER) AS quantity
+FROM v_product_inventory i LEFT JOIN used u ON u.product_id = i.product_id AND u.branch_id = i.branch_id
+""")
+
+sql("status_transitions", """
+WITH t(to_status) AS (VALUES ('pending'), ('accepted'), ('out_for_delivery'), ('delivered'), ('cancelled'), ('refunded')),
+ok(f, t) AS (VALUES ('pending', 'accepted'), ('pending', 'cancelled'), ('accepted', 'out_for_delivery'), ('accepted', 'cancelled'),
+                    ('out_for_delivery', 'delivered'), ('out_for_delivery', 'cancelled'), ('delivered', 'refunded'))
+SELECT o.id AS order_id, o.status AS from_status, t.to_status,
+       EXISTS (SELECT 1 FROM ok WHERE ok.f = o.status AND ok.t = t.to_status) AS allowed
+FROM v_orders o, t
+""")
+
+sql("status_fold", """
+WITH RECURSIVE
+ok(f, t) AS (VALUES ('pending', 'accepted'), ('pending', 'cancelled'), ('accepted', 'out_for_delivery'), ('accepted', 'cancelled'),
+                    ('out_for_delivery', 'delivered'), ('out_for_delivery', 'cancelled'), ('delivered', 'refunded')),
+r AS (SELECT order_ref, requested_status AS t, row_number() OVER (PARTITION BY order_ref ORDER BY ts, event_id) AS rn
+      FROM v_status_requests),
+fold(order_ref, rn, state, applied) AS (
+  SELECT DISTINCT order_ref, CAST(0 AS BIGINT), 'pending', 0 FROM r
+  UNION ALL
+  SELECT f.order_ref, f.rn + 1,
+         CASE WHEN EXISTS (SELECT 1 FROM ok WHERE ok.f = f.state AND ok.t = r.t) THEN r.t ELSE f.state END,
+         f.applied + CASE WHEN EXISTS (SELECT 1 FROM ok WHERE ok.f = f.state AND ok.t = r.t) THEN 1 ELSE 0 END
+  FROM fold f JOIN r ON r.order_ref = f.order_ref AND r.rn = f.rn + 1)
+SELECT order_ref, arg_max(state, rn) AS final_status, CAST(max(rn) AS BIGINT) AS n_requests,
+       CAST(arg_max(applied, rn) AS BIGINT) AS n_applied, CAST(max(rn) - arg_max(applied, rn) AS BIGINT) AS n_rejected
+FROM fold GROUP BY 1
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

@@ -223,6 +223,9 @@ def duckdb_ctes(sql: str) -> str:
         body = _REF.sub(lambda m: m.group(1), VIEWS[n]).strip()
         parts.append(f"{n} AS (\n{body}\n)")
     body = sql.strip()
+    m = re.match(r"(?i)with\s+recursive\s", body)
+    if m:
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[m.end():]
     if re.match(r"(?i)with\s", body):
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
