@@ -18,32 +18,39 @@ from mercato.functions.cols import as_col
 _POLYGON = r"^\s*POLYGON\s*\(\s*\((.*)\)\s*\)\s*$"
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it many times inside ``fn`` (keeps the expression tree small)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def parse_polygon_wkt(wkt) -> Column:
     """WKT POLYGON -> array<array<struct<x,y>>> (outer ring first); NULL if not a valid polygon.
 
     A ring must have at least four points and be closed (first point = last point).
     """
     body = F.regexp_extract(F.upper(as_col(wkt)), _POLYGON, 1)
-    ring_texts = F.split(body, r"\)\s*,\s*\(")
-    rings = F.transform(
-        ring_texts,
-        lambda r: F.transform(
-            F.split(F.trim(r), r"\s*,\s*"),
-            lambda p: F.struct(
-                F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(1)).try_cast("double").alias("x"),
-                F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(2)).try_cast("double").alias("y"),
-                F.size(F.split(F.trim(p), r"\s+")).alias("n"),
-            ),
-        ),
-    )
-    ring_ok = lambda ring: (
-        (F.size(ring) >= 4)
-        & F.forall(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & (p["n"] == 2))
-        & (F.element_at(ring, 1)["x"] == F.element_at(ring, -1)["x"])
-        & (F.element_at(ring, 1)["y"] == F.element_at(ring, -1)["y"])
-    )
-    clean = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
-    return F.when((body != "") & F.forall(rings, ring_ok), clean)
+
+    def parse(b: Column) -> Column:
+        tokens = F.transform(
+            F.split(b, r"\)\s*,\s*\("),
+            lambda r: F.transform(F.split(F.trim(r), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+")),
+        )
+
+        def check_and_build(rt: Column) -> Column:
+            ring_ok = lambda ring: (
+                (F.size(ring) >= 4)
+                & F.forall(ring, lambda t: (F.size(t) == 2) & t[0].try_cast("double").isNotNull()
+                           & t[1].try_cast("double").isNotNull())
+                & (F.transform(F.element_at(ring, 1), lambda v: v.try_cast("double"))
+                   == F.transform(F.element_at(ring, -1), lambda v: v.try_cast("double")))
+            )
+            rings = F.transform(rt, lambda ring: F.transform(
+                ring, lambda t: F.struct(t[0].try_cast("double").alias("x"), t[1].try_cast("double").alias("y"))))
+            return F.when((b != "") & F.forall(rt, ring_ok), rings)
+
+        return let(tokens, check_and_build)
+
+    return let(body, parse)
 
 
 def ring_to_wkt(rings) -> Column:

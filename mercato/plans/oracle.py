@@ -604,5 +604,89 @@ FROM fold GROUP BY 1
 """)
 
 
+# --- branch hours and coverage -------------------------------------------------
+
+_CLOCK_RE = "'^([0-9]{1,2}):([0-9]{2})$'"
+
+sql("clock_parse", f"""
+WITH t AS (
+  SELECT event_id,
+         CASE WHEN event_id % 7 = 0 THEN 'not-a-time'
+              WHEN event_id % 5 = 0 THEN concat(CAST(user_id % 30 AS VARCHAR), ':', lpad(CAST(minute(ts) AS VARCHAR), 2, '0'))
+              ELSE concat(lpad(CAST(hour(ts) AS VARCHAR), 2, '0'), ':', lpad(CAST(minute(ts) AS VARCHAR), 2, '0')) END AS text
+  FROM events),
+p AS (
+  SELECT event_id, text,
+         CASE WHEN regexp_matches(text, {_CLOCK_RE})
+               AND CAST(regexp_extract(text, {_CLOCK_RE}, 1) AS INTEGER) <= 23
+               AND CAST(regexp_extract(text, {_CLOCK_RE}, 2) AS INTEGER) <= 59
+              THEN CAST(regexp_extract(text, {_CLOCK_RE}, 1) AS INTEGER) * 60 + CAST(regexp_extract(text, {_CLOCK_RE}, 2) AS INTEGER)
+         END AS minutes
+  FROM t)
+SELECT event_id, text, minutes, minutes IS NOT NULL AS valid FROM p
+""")
+
+
+def fmt_clock(m: str) -> str:
+    x = f"(greatest({m}, 0) % 1440)"
+    return f"concat(lpad(CAST(CAST(floor({x} / 60) AS BIGINT) AS VARCHAR), 2, '0'), ':', lpad(CAST({x} % 60 AS VARCHAR), 2, '0'))"
+
+
+sql("branch_availability", f"""
+SELECT id, merchant_id, name, {is_open_sql('opening_time_minutes', 'closing_time_minutes')} AS is_open,
+       {fmt_clock('opening_time_minutes')} AS opening_time, {fmt_clock('closing_time_minutes')} AS closing_time,
+       strftime(TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 5 HOUR, '%H:%M') AS current_time, 'Asia/Karachi' AS timezone_name
+FROM v_branches
+""")
+
+_SZ = """
+sz AS (
+  SELECT s.id, s.merchant_id, s.zone_id, s.branch_id, z.name AS zone_name, coalesce(b.name, '') AS branch_name,
+         a.id AS area_id, a.name AS area_name, a.city AS area_city, s.created_at, z.coordinates_wkt
+  FROM v_service_zones s JOIN v_zones z ON z.id = s.zone_id JOIN v_areas a ON a.id = z.area_id
+  LEFT JOIN v_branches b ON b.id = s.branch_id)"""
+
+sql("service_zones", f"""
+WITH {_SZ.strip()}
+SELECT id, merchant_id, zone_id, branch_id, zone_name, branch_name, area_id, area_name, area_city, {ts('created_at')} AS created_at
+FROM sz
+""")
+
+sql("areas_zones", """
+SELECT z.id AS zone_id, z.name AS zone_name, z.area_id, a.name AS area_name, a.city AS area_city, true AS is_valid,
+       z.coordinates_wkt
+FROM v_zones z JOIN v_areas a ON a.id = z.area_id
+""")
+
+sql("zone_coverage", f"""
+WITH {_SZ.strip()},
+rings AS (
+  SELECT id AS sz_id, unnest(regexp_split_to_array(regexp_extract(upper(coordinates_wkt), '^\\s*POLYGON\\s*\\(\\s*\\((.*)\\)\\s*\\)\\s*$', 1),
+                                                  '\\)\\s*,\\s*\\(')) AS ring_txt
+  FROM sz),
+pts AS (SELECT sz_id, regexp_split_to_array(trim(ring_txt), '\\s*,\\s*') AS plist FROM rings),
+e0 AS (SELECT sz_id, plist, unnest(range(1, len(plist))) AS i FROM pts),
+edges AS (
+  SELECT sz_id,
+         CAST(string_split(trim(plist[i]), ' ')[1] AS DOUBLE) AS x1, CAST(string_split(trim(plist[i]), ' ')[2] AS DOUBLE) AS y1,
+         CAST(string_split(trim(plist[i + 1]), ' ')[1] AS DOUBLE) AS x2, CAST(string_split(trim(plist[i + 1]), ' ')[2] AS DOUBLE) AS y2
+  FROM e0),
+pair AS (
+  SELECT p.id AS pid, s.id AS sz_id,
+         bool_or((x2 - x1) * (p.lat - y1) - (y2 - y1) * (p.lon - x1) = 0
+                 AND p.lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND p.lat BETWEEN least(y1, y2) AND greatest(y1, y2)) AS on_edge,
+         sum(CASE WHEN ((y1 > p.lat) <> (y2 > p.lat)) AND p.lon < (x2 - x1) * (p.lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) AS crossings
+  FROM v_points p JOIN sz s ON s.merchant_id = p.merchant_id JOIN edges e ON e.sz_id = s.id
+  GROUP BY 1, 2),
+hit AS (
+  SELECT pr.pid, s.*, row_number() OVER (PARTITION BY pr.pid ORDER BY s.created_at DESC, s.id) AS rn
+  FROM pair pr JOIN sz s ON s.id = pr.sz_id
+  WHERE pr.on_edge OR pr.crossings % 2 = 1)
+SELECT p.id, p.merchant_id, p.lon, p.lat, h.pid IS NOT NULL AS covered, h.zone_id, h.branch_id, h.zone_name, h.branch_name,
+       h.area_id, h.area_name, h.area_city
+FROM v_points p LEFT JOIN hit h ON h.pid = p.id AND h.rn = 1
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

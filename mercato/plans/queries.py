@@ -371,3 +371,46 @@ def q_status_transitions(spark, sf_dir):
 @register("status_fold")
 def q_status_fold(spark, sf_dir):
     return orders.apply_status_changes(fixtures(spark, sf_dir).v_status_requests)
+
+
+# --- branch hours and coverage -------------------------------------------------
+
+from mercato.operators import coverage, hours  # noqa: E402
+
+
+@register("clock_parse")
+def q_clock_parse(spark, sf_dir):
+    # clock text from every event: its own HH:MM, or an hour taken from the user id (some out of range,
+    # some with one digit), or words
+    ev = fixtures(spark, sf_dir).events
+    hh = F.lpad(F.hour("ts").cast("string"), 2, "0")
+    mm = F.lpad(F.minute("ts").cast("string"), 2, "0")
+    text = (F.when(ev.event_id % 7 == 0, F.lit("not-a-time"))
+            .when(ev.event_id % 5 == 0, F.concat((ev.user_id % 30).cast("string"), F.lit(":"), mm))
+            .otherwise(F.concat(hh, F.lit(":"), mm)))
+    return hours.clock_parse(ev.select("event_id", text.alias("text")), "text")
+
+
+@register("branch_availability")
+def q_branch_availability(spark, sf_dir):
+    return hours.branch_availability(fixtures(spark, sf_dir).v_branches, SESSION_AS_OF)
+
+
+@register("service_zones")
+def q_service_zones(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return coverage.list_service_zones(fx.v_service_zones, fx.v_zones, fx.v_areas, fx.v_branches).select(
+        "id", "merchant_id", "zone_id", "branch_id", "zone_name", "branch_name", "area_id", "area_name", "area_city",
+        ts_text("created_at").alias("created_at"))
+
+
+@register("areas_zones")
+def q_areas_zones(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return coverage.list_areas_zones(fx.v_zones, fx.v_areas)
+
+
+@register("zone_coverage")
+def q_zone_coverage(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    return coverage.zone_coverage(fx.v_points, fx.v_service_zones, fx.v_zones, fx.v_areas, fx.v_branches)
