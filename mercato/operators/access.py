@@ -151,3 +151,35 @@ __all__ = [
     "actor_roles_flat", "role_flags", "can_view", "actor_profiles", "employees", "split_full_name",
     "bootstrap_candidates", "ensure_default_roles", "classify_sessions", "visible_orders", "ts_text",
 ]
+
+
+# Roles an actor may be created with.
+ACTOR_ROLES = ("merchant", "employee", "customer")
+
+
+def validate_actor_batch(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(merchant_id, full_name, email, password, role) rows get a ``reason`` or NULL.
+
+    required name and e-mail, e-mail format, role in the set (trimmed, lower
+    case), password required unless the role is customer, (merchant, email)
+    unique within the batch and against ``existing`` actors.
+    """
+    from mercato.operators.quality import EMAIL_PATTERN
+
+    role = F.lower(F.trim(F.col("role")))
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    dup_in_batch = batch.groupBy("merchant_id", "email").agg(F.count(F.lit(1)).alias("_n"))
+    j = batch.join(dup_in_batch, ["merchant_id", "email"], "left")
+    if existing is not None:
+        ex = existing.select("merchant_id", "email").distinct().withColumn("_exists", F.lit(True))
+        j = j.join(ex, ["merchant_id", "email"], "left")
+    else:
+        j = j.withColumn("_exists", F.lit(None).cast("boolean"))
+    reason = first_reason(
+        (blank("full_name") | blank("email"), "required"),
+        (~F.col("email").rlike(EMAIL_PATTERN), "invalid_email"),
+        (~F.coalesce(role.isin(*ACTOR_ROLES), F.lit(False)), "invalid_role"),
+        ((role != "customer") & blank("password"), "password_required"),
+        (F.coalesce(F.col("_exists"), F.lit(False)) | (F.col("_n") > 1), "duplicate_email"),
+    )
+    return j.withColumn("reason", reason).drop("_n", "_exists")

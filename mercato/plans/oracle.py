@@ -688,5 +688,249 @@ FROM v_points p LEFT JOIN hit h ON h.pid = p.id AND h.rn = 1
 """)
 
 
+# --- data quality and batch validation -----------------------------------------
+
+
+def dup_check(table: str, keys: list[str], name: str, source: str | None = None) -> str:
+    src = source or table
+    kt = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
+    nn = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return (f"SELECT '{name}' AS constraint, {kt} AS key, CAST(count(*) AS BIGINT) AS n_rows FROM {src} "
+            f"WHERE {nn} GROUP BY {', '.join(keys)} HAVING count(*) > 1")
+
+
+sql("unique_violations", f"""
+WITH {_LINES.strip()}
+{dup_check('lines', ['cart_id', 'product_id', 'addon_key'], 'cart_items_cart_product_addons_key')}
+UNION ALL {dup_check('v_order_items', ['order_id', 'product_id'], 'order_items_pkey')}
+UNION ALL {dup_check('v_product_inventory', ['product_id', 'branch_id'], 'product_inventory_product_branch_key')}
+UNION ALL {dup_check('v_product_categories', ['merchant_id', 'name'], 'product_categories_merchant_name_key')}
+UNION ALL {dup_check('v_actors', ['merchant_id', 'email'], 'actors_merchant_email_key')}
+UNION ALL {dup_check('v_service_zones', ['merchant_id', 'zone_id', 'branch_id'], 'merchant_service_zones_key')}
+UNION ALL {dup_check('v_cart_items', ['id'], 'cart_items_pkey')}
+""")
+
+
+def fk_check(child: str, cols: list[str], parent: str, pcols: list[str], name: str) -> str:
+    kt = "concat_ws('|', " + ", ".join(f"CAST(c.{k} AS VARCHAR)" for k in cols) + ")"
+    nn = " AND ".join(f"c.{k} IS NOT NULL" for k in cols)
+    match = " AND ".join(f"p.{pc} = c.{cc}" for cc, pc in zip(cols, pcols))
+    return f"SELECT '{name}' AS constraint, {kt} AS key FROM {child} c WHERE {nn} AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE {match})"
+
+
+sql("fk_orphans", " UNION ALL ".join([
+    fk_check("v_cart_items", ["product_id"], "v_products", ["id"], "cart_items_product_id_fkey"),
+    fk_check("v_carts", ["branch_id"], "v_branches", ["id"], "carts_branch_id_fkey"),
+    fk_check("v_carts", ["merchant_id", "actor_id"], "v_actors", ["merchant_id", "id"], "carts_actor_fkey"),
+    fk_check("v_orders", ["merchant_id", "actor_id"], "v_actors", ["merchant_id", "id"], "orders_actor_fkey"),
+    fk_check("v_service_zones", ["branch_id"], "v_branches", ["id"], "merchant_service_zones_branch_id_fkey"),
+    fk_check("v_products", ["category_id"], "v_product_categories", ["id"], "products_category_id_fkey"),
+    fk_check("v_order_items", ["product_id"], "v_products", ["id"], "order_items_product_id_fkey"),
+    fk_check("v_branches", ["merchant_id"], "v_merchants", ["id"], "branches_merchant_id_fkey"),
+]))
+
+
+def rule_check(table: str, name: str, keys: list[str], rules: list[tuple[str, str]]) -> str:
+    kt = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
+    parts = ", ".join(f"CASE WHEN NOT coalesce({cond}, true) THEN '{rn}' END" for rn, cond in rules)
+    return (f"SELECT table_name, key, violations FROM (SELECT '{name}' AS table_name, {kt} AS key, "
+            f"concat_ws(',', {parts}) AS violations FROM {table}) WHERE violations <> ''")
+
+
+_EMAIL = r"'^[^@\s]+@[^@\s]+\.[^@\s]+$'"
+
+sql("rule_violations", " UNION ALL ".join([
+    rule_check("v_order_items", "order_items", ["order_id", "product_id"], [
+        ("price_nonneg", "price >= 0"), ("quantity_positive", "quantity > 0"), ("base_amount_nonneg", "base_amount >= 0"),
+        ("addon_amount_nonneg", "addon_amount >= 0"), ("discount_amount_nonneg", "discount_amount >= 0"),
+        ("tax_amount_nonneg", "tax_amount >= 0"), ("line_total_nonneg", "line_total >= 0")]),
+    rule_check("v_branches", "branches", ["id"], [
+        ("opening_time_range", "opening_time_minutes BETWEEN 0 AND 1439"),
+        ("closing_time_range", "closing_time_minutes BETWEEN 0 AND 1439"),
+        ("city_enum", "city IN ('Karachi', 'Lahore')")]),
+    rule_check("v_discounts", "merchant_discounts", ["id"], [
+        ("single_scope", "NOT (product_id IS NOT NULL AND category_id IS NOT NULL)"),
+        ("type_enum", "type IN ('flat', 'percentage')")]),
+    rule_check("v_orders", "orders", ["id"], [
+        ("payment_type_enum", "payment_type IN ('card', 'cash')"),
+        ("status_enum", "status IN ('pending', 'accepted', 'out_for_delivery', 'delivered', 'refunded', 'cancelled')")]),
+    rule_check("v_actors", "actors", ["id"], [
+        ("email_format", f"regexp_matches(email, {_EMAIL})"),
+        ("first_name_required", "coalesce(trim(CAST(first_name AS VARCHAR)), '') <> ''")]),
+    rule_check("v_cart_items", "cart_items", ["id"], [
+        ("quantity_positive", "quantity > 0"), ("discount_amount_nonneg", "applied_discount_amount >= 0")]),
+]))
+
+
+def _blank(c: str) -> str:
+    return f"coalesce(trim({c}), '') = ''"
+
+
+def _clock_ok(c: str) -> str:
+    return (f"coalesce(regexp_matches({c}, {_CLOCK_RE}) AND TRY_CAST(regexp_extract({c}, {_CLOCK_RE}, 1) AS INTEGER) <= 23 "
+            f"AND TRY_CAST(regexp_extract({c}, {_CLOCK_RE}, 2) AS INTEGER) <= 59, false)")
+
+
+sql("batch_validation", f"""
+WITH
+inv AS (
+  SELECT c.merchant_id, i.product_id, c.branch_id, i.quantity - 25 AS quantity
+  FROM v_cart_items i JOIN v_carts c ON c.id = i.cart_id),
+inv_r AS (
+  SELECT CASE WHEN p.merchant_id IS NULL OR p.merchant_id <> x.merchant_id THEN 'product_not_found'
+              WHEN NOT p.track_inventory THEN 'product_not_tracked'
+              WHEN b.id IS NULL OR b.merchant_id <> x.merchant_id THEN 'branch_not_found'
+              WHEN x.quantity < 0 THEN 'negative_quantity' END AS reason
+  FROM inv x LEFT JOIN v_products p ON p.id = x.product_id LEFT JOIN v_branches b ON b.id = x.branch_id),
+prod AS (
+  SELECT p_partkey % 10 AS merchant_id,
+         CASE WHEN p_partkey % 4 = 0 THEN concat(CAST((p_partkey + 1) % 10 AS VARCHAR), ':', p_type)
+              WHEN p_partkey % 4 = 1 THEN NULL ELSE concat(CAST(p_partkey % 10 AS VARCHAR), ':', p_type) END AS category_id,
+         CASE WHEN p_partkey % 50 = 0 THEN ' ' ELSE p_name END AS name, p_retailprice - 1000 AS base_price
+  FROM part),
+prod_r AS (
+  SELECT CASE WHEN {_blank('x.name')} THEN 'name_required'
+              WHEN x.category_id IS NOT NULL AND (c.id IS NULL OR c.merchant_id <> x.merchant_id) THEN 'category_not_found'
+              WHEN NOT (x.base_price > 0) THEN 'price_not_positive' END AS reason
+  FROM prod x LEFT JOIN v_product_categories c ON c.id = x.category_id),
+addon AS (
+  SELECT CASE WHEN id % 7 = 0 THEN (product_id + 1) % 10 ELSE product_id % 10 END AS merchant_id, product_id, name,
+         price - 5 AS price
+  FROM v_product_addons),
+addon_r AS (
+  SELECT CASE WHEN {_blank('x.name')} THEN 'name_required'
+              WHEN p.merchant_id IS NULL OR p.merchant_id <> x.merchant_id THEN 'product_not_found'
+              WHEN NOT (x.price > 0) THEN 'price_not_positive' END AS reason
+  FROM addon x LEFT JOIN v_products p ON p.id = x.product_id),
+disc AS (
+  SELECT merchant_id, CASE WHEN id % 5 = 0 THEN 'bogus' ELSE type END AS type, value - 10 AS value,
+         CASE WHEN id % 3 = 0 THEN product_id ELSE product_id + 1 END AS product_id,
+         CASE WHEN id % 11 = 0 THEN concat(CAST(merchant_id AS VARCHAR), ':X') ELSE category_id END AS category_id
+  FROM v_discounts),
+disc_r AS (
+  SELECT CASE WHEN NOT coalesce(x.type IN ('percentage', 'flat'), false) THEN 'invalid_type'
+              WHEN NOT (x.value > 0) THEN 'value_not_positive'
+              WHEN x.product_id IS NOT NULL AND x.category_id IS NOT NULL THEN 'both_scopes'
+              WHEN x.product_id IS NOT NULL AND (p.merchant_id IS NULL OR p.merchant_id <> x.merchant_id) THEN 'product_not_found'
+              WHEN x.category_id IS NOT NULL AND (c.id IS NULL OR c.merchant_id <> x.merchant_id) THEN 'category_not_found' END AS reason
+  FROM disc x LEFT JOIN v_products p ON p.id = x.product_id LEFT JOIN v_product_categories c ON c.id = x.category_id),
+br AS (
+  SELECT n_name AS name, concat('street ', CAST(n_nationkey AS VARCHAR)) AS address,
+         CASE WHEN n_nationkey % 6 = 0 THEN '' ELSE '0300' END AS contact_number,
+         CASE WHEN n_nationkey % 3 = 0 THEN 'Karachi' WHEN n_nationkey % 3 = 1 THEN 'Lahore' ELSE 'Quetta' END AS city,
+         concat(lpad(CAST((n_nationkey * 7) % 26 AS VARCHAR), 2, '0'), ':00') AS opening_time,
+         concat(lpad(CAST((n_nationkey * 7) % 26 AS VARCHAR), 2, '0'), ':3') AS closing_time
+  FROM nation),
+br_r AS (
+  SELECT CASE WHEN {_blank('name')} OR {_blank('address')} OR {_blank('contact_number')} OR {_blank('city')}
+                   OR {_blank('opening_time')} OR {_blank('closing_time')} THEN 'required'
+              WHEN city NOT IN ('Karachi', 'Lahore') THEN 'invalid_city'
+              WHEN NOT {_clock_ok('opening_time')} THEN 'invalid opening time'
+              WHEN NOT {_clock_ok('closing_time')} THEN 'invalid closing time' END AS reason
+  FROM br),
+zn AS (
+  SELECT area_id + CASE WHEN id % 8 = 0 THEN 10 ELSE 0 END AS area_id, name,
+         CASE WHEN id % 5 = 0 THEN replace(coordinates_wkt, 'POLYGON', 'LINESTRING') ELSE coordinates_wkt END AS coordinates_wkt
+  FROM v_zones),
+zn_r AS (
+  SELECT CASE WHEN {_blank('x.name')} OR {_blank('x.coordinates_wkt')} THEN 'required'
+              WHEN a.id IS NULL THEN 'area_not_found'
+              WHEN NOT regexp_matches(upper(x.coordinates_wkt), '^\s*POLYGON\s*\(\s*\((.*)\)\s*\)\s*$') THEN 'invalid_polygon' END AS reason
+  FROM zn x LEFT JOIN v_areas a ON a.id = x.area_id),
+pt_r AS (
+  SELECT CASE WHEN NOT (lat * 3 BETWEEN -90 AND 90) THEN 'invalid_latitude'
+              WHEN NOT (lon BETWEEN -180 AND 180) THEN 'invalid_longitude' END AS reason
+  FROM v_points),
+ac AS (
+  SELECT c_custkey % 10 AS merchant_id, c_name AS full_name,
+         CASE WHEN c_custkey % 9 = 0 THEN 'not-an-email' WHEN c_custkey % 7 = 0 THEN 'dup@example.com'
+              ELSE concat('new', CAST(c_custkey AS VARCHAR), '@example.com') END AS email,
+         CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'secret' END AS password,
+         CASE WHEN c_custkey % 5 = 0 THEN ' Customer ' WHEN c_custkey % 13 = 0 THEN 'admin' ELSE 'employee' END AS role
+  FROM customer),
+ac_n AS (SELECT merchant_id, email, count(*) AS n FROM ac GROUP BY 1, 2),
+ac_r AS (
+  SELECT CASE WHEN {_blank('x.full_name')} OR {_blank('x.email')} THEN 'required'
+              WHEN NOT regexp_matches(x.email, {_EMAIL}) THEN 'invalid_email'
+              WHEN NOT coalesce(lower(trim(x.role)) IN ('merchant', 'employee', 'customer'), false) THEN 'invalid_role'
+              WHEN lower(trim(x.role)) <> 'customer' AND {_blank('x.password')} THEN 'password_required'
+              WHEN EXISTS (SELECT 1 FROM v_actors a WHERE a.merchant_id = x.merchant_id AND a.email = x.email) OR n.n > 1
+                   THEN 'duplicate_email' END AS reason
+  FROM ac x JOIN ac_n n ON n.merchant_id = x.merchant_id AND n.email = x.email),
+allr AS (
+  SELECT 'inventory' AS validator, reason FROM inv_r UNION ALL SELECT 'product', reason FROM prod_r
+  UNION ALL SELECT 'addon', reason FROM addon_r UNION ALL SELECT 'discount', reason FROM disc_r
+  UNION ALL SELECT 'branch', reason FROM br_r UNION ALL SELECT 'zone', reason FROM zn_r
+  UNION ALL SELECT 'point', reason FROM pt_r UNION ALL SELECT 'actor', reason FROM ac_r)
+SELECT validator, coalesce(reason, 'ok') AS reason, CAST(count(*) AS BIGINT) AS n_rows FROM allr GROUP BY 1, 2
+""")
+
+# --- batch changes ----------------------------------------------------------------
+
+sql("upsert_inventory", """
+WITH b AS (
+  SELECT i.product_id, c.branch_id, arg_max(i.quantity, i.id) AS quantity
+  FROM v_cart_items i JOIN v_carts c ON c.id = i.cart_id GROUP BY 1, 2)
+SELECT coalesce(t.product_id, b.product_id) AS product_id, coalesce(t.branch_id, b.branch_id) AS branch_id,
+       CAST(CASE WHEN b.product_id IS NOT NULL THEN b.quantity ELSE t.quantity END AS INTEGER) AS quantity,
+       CASE WHEN b.product_id IS NOT NULL AND t.product_id IS NULL THEN 'inserted'
+            WHEN b.product_id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS action
+FROM v_product_inventory t FULL JOIN b ON t.product_id = b.product_id AND t.branch_id = b.branch_id
+""")
+
+sql("update_by_key", """
+WITH b AS (
+  SELECT id, 'accepted' AS status FROM v_orders WHERE status = 'pending'
+  UNION ALL SELECT id + 1000000000, 'accepted' FROM v_orders WHERE status = 'pending')
+SELECT o.id, o.merchant_id, CASE WHEN b.id IS NOT NULL THEN b.status ELSE o.status END AS status, o.payment_type,
+       b.id IS NOT NULL AS updated
+FROM v_orders o LEFT JOIN b ON b.id = o.id
+UNION ALL
+SELECT b.id, CAST(NULL AS BIGINT), b.status, CAST(NULL AS VARCHAR), false
+FROM b WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.id = b.id)
+""")
+
+sql("delete_by_key", """
+WITH k AS (
+  SELECT DISTINCT cart_id, id FROM (
+    SELECT cart_id, id FROM v_cart_items WHERE quantity > 45
+    UNION ALL SELECT cart_id, id + 500 FROM v_cart_items WHERE quantity < 3))
+SELECT i.cart_id, i.id, CASE WHEN k.id IS NOT NULL THEN 'deleted' ELSE 'kept' END AS outcome
+FROM v_cart_items i LEFT JOIN k ON k.cart_id = i.cart_id AND k.id = i.id
+UNION ALL
+SELECT k.cart_id, k.id, 'not_found' FROM k
+WHERE NOT EXISTS (SELECT 1 FROM v_cart_items i WHERE i.cart_id = k.cart_id AND i.id = k.id)
+""")
+
+sql("append_rows", f"""
+SELECT s.id + 1000000000 AS id, s.merchant_id, s.actor_id, concat('r', CAST(s.id AS VARCHAR)) AS refresh_token,
+       {ts(SESSION_AS_OF)} AS created_at, coalesce(a.email, '') AS actor_email, false AS is_blocked
+FROM v_sessions s LEFT JOIN v_actors a ON a.merchant_id = s.merchant_id AND a.id = s.actor_id
+""")
+
+sql("cascade_delete", """
+WITH root AS (SELECT id FROM v_merchants WHERE category = 'bakery'),
+dp AS (SELECT id FROM v_products WHERE merchant_id IN (SELECT id FROM root)),
+dc AS (SELECT id FROM v_carts WHERE merchant_id IN (SELECT id FROM root)),
+dord AS (SELECT id FROM v_orders WHERE merchant_id IN (SELECT id FROM root)),
+db AS (SELECT id FROM v_branches WHERE merchant_id IN (SELECT id FROM root)),
+da AS (SELECT merchant_id, id FROM v_actors WHERE merchant_id IN (SELECT id FROM root))
+SELECT 'branches' AS edge, 'cascade' AS rule, CAST(count(*) AS BIGINT) AS n_rows FROM db
+UNION ALL SELECT 'products', 'cascade', count(*) FROM dp
+UNION ALL SELECT 'product_addons', 'cascade', count(*) FROM v_product_addons WHERE product_id IN (SELECT id FROM dp)
+UNION ALL SELECT 'product_inventory', 'cascade', count(*) FROM v_product_inventory WHERE product_id IN (SELECT id FROM dp)
+UNION ALL SELECT 'carts', 'cascade', count(*) FROM dc
+UNION ALL SELECT 'cart_items', 'cascade', count(*) FROM v_cart_items WHERE cart_id IN (SELECT id FROM dc)
+UNION ALL SELECT 'orders', 'cascade', count(*) FROM dord
+UNION ALL SELECT 'order_items', 'cascade', count(*) FROM v_order_items WHERE order_id IN (SELECT id FROM dord)
+UNION ALL SELECT 'service_zones', 'cascade', count(*) FROM v_service_zones WHERE merchant_id IN (SELECT id FROM root)
+UNION ALL SELECT 'service_zone_branch_cleared', 'set_null', count(*) FROM v_service_zones WHERE branch_id IN (SELECT id FROM db)
+UNION ALL SELECT 'discounts', 'cascade', count(*) FROM v_discounts WHERE merchant_id IN (SELECT id FROM root)
+UNION ALL SELECT 'actors', 'cascade', count(*) FROM da
+UNION ALL SELECT 'carts_actor_restrict', 'restrict', count(*) FROM v_carts c
+  WHERE EXISTS (SELECT 1 FROM da WHERE da.merchant_id = c.merchant_id AND da.id = c.actor_id)
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

@@ -414,3 +414,227 @@ def q_areas_zones(spark, sf_dir):
 def q_zone_coverage(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
     return coverage.zone_coverage(fx.v_points, fx.v_service_zones, fx.v_zones, fx.v_areas, fx.v_branches)
+
+
+# --- data quality and batch validation -----------------------------------------
+
+from mercato.operators import changes, quality  # noqa: E402
+
+
+@register("unique_violations")
+def q_unique_violations(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    lines = _lines(fx).withColumn("addon_key", ids_text("addon_ids"))
+    checks = [
+        quality.check_unique(lines, ["cart_id", "product_id", "addon_key"], "cart_items_cart_product_addons_key"),
+        quality.check_unique(fx.v_order_items, ["order_id", "product_id"], "order_items_pkey"),
+        quality.check_unique(fx.v_product_inventory, ["product_id", "branch_id"], "product_inventory_product_branch_key"),
+        quality.check_unique(fx.v_product_categories, ["merchant_id", "name"], "product_categories_merchant_name_key"),
+        quality.check_unique(fx.v_actors, ["merchant_id", "email"], "actors_merchant_email_key"),
+        quality.check_unique(fx.v_service_zones, ["merchant_id", "zone_id", "branch_id"], "merchant_service_zones_key"),
+        quality.check_unique(fx.v_cart_items, ["id"], "cart_items_pkey"),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@register("fk_orphans")
+def q_fk_orphans(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    checks = [
+        quality.check_fk(fx.v_cart_items, fx.v_products, ["product_id"], ["id"], "cart_items_product_id_fkey"),
+        quality.check_fk(fx.v_carts, fx.v_branches, ["branch_id"], ["id"], "carts_branch_id_fkey"),
+        quality.check_fk(fx.v_carts, fx.v_actors, ["merchant_id", "actor_id"], ["merchant_id", "id"], "carts_actor_fkey"),
+        quality.check_fk(fx.v_orders, fx.v_actors, ["merchant_id", "actor_id"], ["merchant_id", "id"], "orders_actor_fkey"),
+        quality.check_fk(fx.v_service_zones, fx.v_branches, ["branch_id"], ["id"], "merchant_service_zones_branch_id_fkey"),
+        quality.check_fk(fx.v_products, fx.v_product_categories, ["category_id"], ["id"], "products_category_id_fkey"),
+        quality.check_fk(fx.v_order_items, fx.v_products, ["product_id"], ["id"], "order_items_product_id_fkey"),
+        quality.check_fk(fx.v_branches, fx.v_merchants, ["merchant_id"], ["id"], "branches_merchant_id_fkey"),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def _violations(df, table, key_cols, rules):
+    checked = quality.check_rules(df, rules)
+    return checked.filter(F.size("violations") > 0).select(
+        F.lit(table).alias("table_name"), quality.key_text(key_cols).alias("key"),
+        F.array_join("violations", ",").alias("violations"))
+
+
+@register("rule_violations")
+def q_rule_violations(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    oi = fx.v_order_items
+    parts = [
+        _violations(oi, "order_items", ["order_id", "product_id"], [
+            ("price_nonneg", F.col("price") >= 0), ("quantity_positive", F.col("quantity") > 0),
+            ("base_amount_nonneg", F.col("base_amount") >= 0), ("addon_amount_nonneg", F.col("addon_amount") >= 0),
+            ("discount_amount_nonneg", F.col("discount_amount") >= 0), ("tax_amount_nonneg", F.col("tax_amount") >= 0),
+            ("line_total_nonneg", F.col("line_total") >= 0)]),
+        _violations(fx.v_branches, "branches", ["id"], [
+            ("opening_time_range", F.col("opening_time_minutes").between(0, 1439)),
+            ("closing_time_range", F.col("closing_time_minutes").between(0, 1439)),
+            ("city_enum", quality.in_enum("city", "city_type"))]),
+        _violations(fx.v_discounts, "merchant_discounts", ["id"], [
+            ("single_scope", ~(F.col("product_id").isNotNull() & F.col("category_id").isNotNull())),
+            ("type_enum", quality.in_enum("type", "discount_type"))]),
+        _violations(fx.v_orders, "orders", ["id"], [
+            ("payment_type_enum", quality.in_enum("payment_type", "payment_type")),
+            ("status_enum", quality.in_enum("status", "order_status_type"))]),
+        _violations(fx.v_actors, "actors", ["id"], [
+            ("email_format", quality.is_email("email")), ("first_name_required", quality.required("first_name"))]),
+        _violations(fx.v_cart_items, "cart_items", ["id"], [
+            ("quantity_positive", F.col("quantity") > 0),
+            ("discount_amount_nonneg", F.col("applied_discount_amount") >= 0)]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _reason_counts(df, validator):
+    return df.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")) \
+        .select(F.lit(validator).alias("validator"), "reason", "n_rows")
+
+
+@register("batch_validation")
+def q_batch_validation(spark, sf_dir):
+    # batches derived from the given tables, checked by every validator; output = rows per (validator, reason)
+    fx = fixtures(spark, sf_dir)
+    part, nation = fx.part, fx.nation
+    carts_ = fx.v_carts.select(F.col("id").alias("cart_id"), "merchant_id", "branch_id")
+    inv_batch = fx.v_cart_items.join(carts_, "cart_id").select(
+        "merchant_id", "product_id", "branch_id", (F.col("quantity") - 25).alias("quantity"))
+    prod_batch = part.select(
+        (part.p_partkey % 10).alias("merchant_id"),
+        F.when(part.p_partkey % 4 == 0, F.concat(((part.p_partkey + 1) % 10).cast("string"), F.lit(":"), part.p_type))
+        .when(part.p_partkey % 4 == 1, F.lit(None).cast("string"))
+        .otherwise(F.concat((part.p_partkey % 10).cast("string"), F.lit(":"), part.p_type)).alias("category_id"),
+        F.when(part.p_partkey % 50 == 0, F.lit(" ")).otherwise(part.p_name).alias("name"),
+        (part.p_retailprice - 1000).alias("base_price"))
+    addon_batch = fx.v_product_addons.select(
+        F.when(F.col("id") % 7 == 0, (F.col("product_id") + 1) % 10).otherwise(F.col("product_id") % 10).alias("merchant_id"),
+        "product_id", "name", (F.col("price") - 5).alias("price"))
+    disc_batch = fx.v_discounts.select(
+        "merchant_id", F.when(F.col("id") % 5 == 0, F.lit("bogus")).otherwise(F.col("type")).alias("type"),
+        (F.col("value") - 10).alias("value"),
+        F.when(F.col("id") % 3 == 0, F.col("product_id")).otherwise(F.col("product_id") + 1).alias("product_id"),
+        F.when(F.col("id") % 11 == 0, F.concat(F.col("merchant_id").cast("string"), F.lit(":X"))).otherwise(F.col("category_id")).alias("category_id"))
+    hh = F.lpad(((nation.n_nationkey * 7) % 26).cast("string"), 2, "0")
+    branch_batch = nation.select(
+        F.col("n_name").alias("name"), F.concat(F.lit("street "), nation.n_nationkey.cast("string")).alias("address"),
+        F.when(nation.n_nationkey % 6 == 0, F.lit("")).otherwise(F.lit("0300")).alias("contact_number"),
+        F.when(nation.n_nationkey % 3 == 0, F.lit("Karachi")).when(nation.n_nationkey % 3 == 1, F.lit("Lahore")).otherwise(F.lit("Quetta")).alias("city"),
+        F.concat(hh, F.lit(":00")).alias("opening_time"), F.concat(hh, F.lit(":3")).alias("closing_time"))
+    zone_batch = fx.v_zones.select(
+        (F.col("area_id") + F.when(F.col("id") % 8 == 0, 10).otherwise(0)).alias("area_id"), "name",
+        F.when(F.col("id") % 5 == 0, F.regexp_replace("coordinates_wkt", "POLYGON", "LINESTRING")).otherwise(F.col("coordinates_wkt")).alias("coordinates_wkt"))
+    cust = fx.customer
+    actor_batch = cust.select(
+        (cust.c_custkey % 10).alias("merchant_id"), cust.c_name.alias("full_name"),
+        F.when(cust.c_custkey % 9 == 0, F.lit("not-an-email")).when(cust.c_custkey % 7 == 0, F.lit("dup@example.com"))
+        .otherwise(F.concat(F.lit("new"), cust.c_custkey.cast("string"), F.lit("@example.com"))).alias("email"),
+        F.when(cust.c_custkey % 4 == 0, F.lit("")).otherwise(F.lit("secret")).alias("password"),
+        F.when(cust.c_custkey % 5 == 0, F.lit(" Customer ")).when(cust.c_custkey % 13 == 0, F.lit("admin"))
+        .otherwise(F.lit("employee")).alias("role"))
+    parts = [
+        _reason_counts(catalog.validate_inventory_batch(inv_batch, fx.v_products, fx.v_branches), "inventory"),
+        _reason_counts(catalog.validate_product_batch(prod_batch, fx.v_product_categories), "product"),
+        _reason_counts(catalog.validate_addon_batch(addon_batch, fx.v_products), "addon"),
+        _reason_counts(discounts.validate_discount_batch(disc_batch, fx.v_products, fx.v_product_categories), "discount"),
+        _reason_counts(hours.validate_branch_batch(branch_batch), "branch"),
+        _reason_counts(coverage.validate_zone_batch(zone_batch, fx.v_areas), "zone"),
+        _reason_counts(coverage.validate_point_batch(fx.v_points.withColumn("lat", F.col("lat") * 3)), "point"),
+        _reason_counts(access.validate_actor_batch(actor_batch, fx.v_actors), "actor"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --- batch changes ----------------------------------------------------------------
+
+@register("upsert_inventory")
+def q_upsert_inventory(spark, sf_dir):
+    # every cart line sets the stock of its product at its cart's branch; the latest line id wins
+    fx = fixtures(spark, sf_dir)
+    carts_ = fx.v_carts.select(F.col("id").alias("cart_id"), "branch_id")
+    batch = fx.v_cart_items.join(carts_, "cart_id").select("product_id", "branch_id", "quantity", F.col("id").alias("seq"))
+    return changes.upsert(fx.v_product_inventory, batch, ["product_id", "branch_id"], ["quantity"], "seq")
+
+
+@register("update_by_key")
+def q_update_by_key(spark, sf_dir):
+    # pending orders move to accepted; the batch also names order ids that do not exist
+    fx = fixtures(spark, sf_dir)
+    o = fx.v_orders.select("id", "merchant_id", "status", "payment_type")
+    pend = o.filter(F.col("status") == "pending")
+    batch = pend.select("id", F.lit("accepted").alias("status")).unionByName(
+        pend.select((F.col("id") + 1000000000).alias("id"), F.lit("accepted").alias("status")))
+    updated, not_found = changes.update_by_key(o, batch, ["id"])
+    return updated.unionByName(not_found.select("id", F.lit(None).cast("bigint").alias("merchant_id"), "status",
+                                                F.lit(None).cast("string").alias("payment_type"),
+                                                F.lit(False).alias("updated")))
+
+
+@register("delete_by_key")
+def q_delete_by_key(spark, sf_dir):
+    # delete lines with quantity > 45, and ask for line ids that do not exist next to short lines
+    fx = fixtures(spark, sf_dir)
+    items = fx.v_cart_items.select("id", "cart_id", "quantity")
+    keys = items.filter(F.col("quantity") > 45).select("cart_id", "id").unionByName(
+        items.filter(F.col("quantity") < 3).select("cart_id", (F.col("id") + 500).alias("id")))
+    remaining, deleted, not_found = changes.delete_by_key(items, keys, ["cart_id", "id"])
+    return (deleted.select("cart_id", "id", F.lit("deleted").alias("outcome"))
+            .unionByName(not_found.select("cart_id", "id", F.lit("not_found").alias("outcome")))
+            .unionByName(remaining.select("cart_id", "id", F.lit("kept").alias("outcome"))))
+
+
+@register("append_rows")
+def q_append_rows(spark, sf_dir):
+    # S4 + S8: a new session per existing session (guest when the actor is unknown), enriched with the actor e-mail
+    fx = fixtures(spark, sf_dir)
+    batch = fx.v_sessions.select((F.col("id") + 1000000000).alias("id"), "merchant_id", "actor_id",
+                                 F.concat(F.lit("r"), F.col("id").cast("string")).alias("refresh_token"))
+    emails = fx.v_actors.select("merchant_id", F.col("id").alias("actor_id"), F.col("email").alias("actor_email"))
+    target = fx.v_sessions.drop("expires_at")
+    out = changes.insert_then_enrich(target, batch, SESSION_AS_OF, emails, ["merchant_id", "actor_id"], ["id"])
+    return out.select("id", "merchant_id", "actor_id", "refresh_token", ts_text("created_at").alias("created_at"),
+                      F.coalesce("actor_email", F.lit("")).alias("actor_email"),
+                      F.lit(False).alias("is_blocked"))
+
+
+@register("cascade_delete")
+def q_cascade_delete(spark, sf_dir):
+    # delete every bakery merchant and follow the ON DELETE rules
+    fx = fixtures(spark, sf_dir)
+    root = fx.v_merchants.filter(F.col("category") == "bakery").select("id")
+    edges = [
+        {"name": "branches", "child": fx.v_branches, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "products", "child": fx.v_products, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "product_addons", "child": fx.v_product_addons, "child_cols": ["product_id"], "parent": "products", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "product_inventory", "child": fx.v_product_inventory, "child_cols": ["product_id"], "parent": "products", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "carts", "child": fx.v_carts, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "cart_items", "child": fx.v_cart_items, "child_cols": ["cart_id"], "parent": "carts", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "orders", "child": fx.v_orders, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "order_items", "child": fx.v_order_items, "child_cols": ["order_id"], "parent": "orders", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "service_zones", "child": fx.v_service_zones, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "service_zone_branch_cleared", "child": fx.v_service_zones, "child_cols": ["branch_id"], "parent": "branches", "parent_cols": ["id"], "rule": "set_null"},
+        {"name": "discounts", "child": fx.v_discounts, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "actors", "child": fx.v_actors, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
+        {"name": "carts_actor_restrict", "child": fx.v_carts, "child_cols": ["merchant_id", "actor_id"], "parent": "actors", "parent_cols": ["merchant_id", "id"], "rule": "restrict"},
+    ]
+    affected = changes.cascade_delete(root, edges)
+    out = None
+    for e in edges:
+        part = affected[e["name"]].agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select(
+            F.lit(e["name"]).alias("edge"), F.lit(e["rule"]).alias("rule"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
