@@ -305,3 +305,75 @@ def apply_status_changes(requests: DataFrame, key: str = "order_ref", bucket: st
 
 __all__ = ["bill_vat_rate", "merge_cart_lines", "order_line_amounts", "place_orders", "order_detail",
            "check_status_transition", "status_transition_table", "apply_status_changes", "ids_text"]
+
+
+# --- B5: serial stock allocation -------------------------------------------------
+
+ALLOCATION_SCHEMA = "order_id long, branch_id long, accepted boolean, reason string"
+
+
+def _allocation_fold(batches):
+    """Walk rows sorted by (branch, ts, order, product); accept an order when every line fits the remaining stock.
+
+    State is the remaining stock per (branch, product) seen so far, so memory
+    grows with the products of the branches in this partition, not with the
+    number of orders.  An order whose rows straddle two Arrow batches is carried
+    over to the next batch.
+    """
+    import pandas as pd
+
+    remaining: dict[tuple, int] = {}
+    carry = None
+
+    def settle(group):
+        branch = int(group["branch_id"].iloc[0])
+        ok = True
+        for prod, qty, stock in zip(group["product_id"], group["quantity"], group["stock"]):
+            key = (branch, int(prod))
+            have = remaining.get(key, None if pd.isna(stock) else int(stock))
+            if have is None or have < int(qty):
+                ok = False
+                break
+        if ok:
+            for prod, qty, stock in zip(group["product_id"], group["quantity"], group["stock"]):
+                key = (branch, int(prod))
+                remaining[key] = remaining.get(key, int(stock)) - int(qty)
+        return (int(group["order_id"].iloc[0]), branch, ok, None if ok else "insufficient_inventory")
+
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+            carry = None
+        if pdf.empty:
+            continue
+        last = pdf["order_id"].iloc[-1]
+        tail = pdf["order_id"] == last
+        carry = pdf[tail]
+        body = pdf[~tail]
+        out = [settle(g) for _, g in body.groupby("order_id", sort=False)]
+        if out:
+            yield pd.DataFrame(out, columns=["order_id", "branch_id", "accepted", "reason"])
+    if carry is not None and not carry.empty:
+        yield pd.DataFrame([settle(carry)], columns=["order_id", "branch_id", "accepted", "reason"])
+
+
+def allocate_stock(candidates: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
+    """Serial stock use per branch in (ts, order_id) order; rejected orders do not consume stock.
+
+    ``candidates``: (order_id, branch_id, ts, product_id, quantity) for the
+    tracked lines of orders that pass every other check.  A cart has one
+    branch and stock is keyed by (product, branch), so branches are independent:
+    rows are hash-partitioned by branch and folded in order inside each task.
+    Returns ``decisions`` (order_id, branch_id, accepted, reason) and the new
+    ``inventory``.
+    """
+    rows = candidates.join(inventory.select("product_id", "branch_id", F.col("quantity").alias("stock")),
+                           ["product_id", "branch_id"], "left")
+    ordered = rows.repartition("branch_id").sortWithinPartitions("branch_id", "ts", "order_id", "product_id")
+    decisions = ordered.select("order_id", "branch_id", "product_id", "quantity", "stock").mapInPandas(
+        _allocation_fold, ALLOCATION_SCHEMA)
+    used = (candidates.join(decisions.filter("accepted").select("order_id"), "order_id", "left_semi")
+            .groupBy("product_id", "branch_id").agg(F.sum("quantity").alias("_used")))
+    new_inventory = inventory.join(used, ["product_id", "branch_id"], "left").select(
+        "product_id", "branch_id", (F.col("quantity") - F.coalesce("_used", F.lit(0))).cast("int").alias("quantity"))
+    return {"decisions": decisions, "inventory": new_inventory}

@@ -932,5 +932,52 @@ UNION ALL SELECT 'carts_actor_restrict', 'restrict', count(*) FROM v_carts c
 """)
 
 
+# --- JSON commands and streams -------------------------------------------------------
+
+sql("json_commands", """
+WITH b AS (
+  SELECT id,
+         CASE WHEN id % 50 = 0 THEN NULL ELSE CAST(cart_id AS VARCHAR) END AS cart_id,
+         CASE WHEN id % 50 = 0 THEN NULL WHEN id % 9 = 0 THEN 'bitcoin' ELSE payment_type END AS payment_type,
+         CASE WHEN id % 13 = 0 THEN '' ELSE concat('addr ', CAST(id AS VARCHAR)) END AS delivery_address,
+         'name' AS customer_name,
+         CASE WHEN id % 17 = 0 THEN NULL ELSE '0300' END AS customer_phone,
+         id % 50 = 0 AS bad_json
+  FROM v_orders),
+e AS (
+  SELECT *,
+    CASE WHEN coalesce(trim(cart_id), '') = '' THEN 'The field is required'
+         WHEN NOT coalesce(regexp_matches(cart_id, '^[0-9]+$'), false) THEN 'The field is invalid' END AS e_cart,
+    CASE WHEN coalesce(trim(payment_type), '') = '' THEN 'The field is required'
+         WHEN NOT coalesce(payment_type IN ('card', 'cash'), false) THEN 'The field is invalid' END AS e_pay,
+    CASE WHEN coalesce(trim(delivery_address), '') = '' THEN 'The field is required' END AS e_addr,
+    CASE WHEN coalesce(trim(customer_name), '') = '' THEN 'The field is required' END AS e_name,
+    CASE WHEN coalesce(trim(customer_phone), '') = '' THEN 'The field is required' END AS e_phone
+  FROM b)
+SELECT id, bad_json, payment_type,
+       CASE WHEN NOT bad_json THEN concat_ws(',', CASE WHEN e_cart IS NOT NULL THEN 'cart_id' END,
+            CASE WHEN e_pay IS NOT NULL THEN 'payment_type' END, CASE WHEN e_addr IS NOT NULL THEN 'delivery_address' END,
+            CASE WHEN e_name IS NOT NULL THEN 'customer_name' END, CASE WHEN e_phone IS NOT NULL THEN 'customer_phone' END) END
+         AS invalid_fields,
+       CASE WHEN NOT bad_json THEN concat('{', concat_ws(',',
+            CASE WHEN e_cart IS NOT NULL THEN concat('"cart_id":"', e_cart, '"') END,
+            CASE WHEN e_pay IS NOT NULL THEN concat('"payment_type":"', e_pay, '"') END,
+            CASE WHEN e_addr IS NOT NULL THEN concat('"delivery_address":"', e_addr, '"') END,
+            CASE WHEN e_name IS NOT NULL THEN concat('"customer_name":"', e_name, '"') END,
+            CASE WHEN e_phone IS NOT NULL THEN concat('"customer_phone":"', e_phone, '"') END), '}') END AS errors,
+       NOT bad_json AND e_cart IS NULL AND e_pay IS NULL AND e_addr IS NULL AND e_name IS NULL AND e_phone IS NULL AS accepted
+FROM e
+""")
+
+sql("sales_stream", f"""
+SELECT o.merchant_id, CAST(CAST(o.created_at AS DATE) AS VARCHAR) AS day,
+       {r2('sum(i.line_total)')} AS total_sales, {r2('sum(i.tax_amount)')} AS total_tax,
+       {r2('sum(i.discount_amount)')} AS total_discount, CAST(count(*) AS BIGINT) AS n_items
+FROM v_orders o JOIN v_order_items i ON i.order_id = o.id
+WHERE o.status IN {COUNTED}
+GROUP BY 1, 2
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

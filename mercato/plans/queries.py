@@ -638,3 +638,78 @@ def q_cascade_delete(spark, sf_dir):
             F.lit(e["name"]).alias("edge"), F.lit(e["rule"]).alias("rule"), "n_rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@register("stock_allocation")
+def q_stock_allocation(spark, sf_dir):
+    # orders accepted against the stock snapshot are replayed in creation order, consuming stock serially
+    fx = fixtures(spark, sf_dir)
+    placed = _placed(fx)
+    tracked = fx.v_products.filter("track_inventory").select(F.col("id").alias("product_id"))
+    ts = fx.v_orders.select(F.col("id").alias("order_id"), F.col("created_at").alias("ts"))
+    cand = (placed["lines"].join(tracked, "product_id", "left_semi")
+            .join(placed["bills"].select("order_id", "branch_id"), "order_id")
+            .join(ts, "order_id")
+            .select("order_id", "branch_id", "ts", "product_id", "quantity"))
+    alloc = orders.allocate_stock(cand, fx.v_product_inventory)
+    bills = placed["bills"].select("order_id", "branch_id")
+    return bills.join(alloc["decisions"].select("order_id", "accepted", "reason"), "order_id", "left").select(
+        "order_id", "branch_id", F.coalesce("accepted", F.lit(True)).alias("accepted"), "reason")
+
+
+# --- JSON sources / sinks and streams ----------------------------------------------
+
+from pyspark.sql import types as T  # noqa: E402
+
+from mercato.sources import documents  # noqa: E402
+from mercato.streaming import sales_stream, status_stream  # noqa: E402
+
+ORDER_COMMAND_SCHEMA = T.StructType([
+    T.StructField("cart_id", T.StringType()), T.StructField("payment_type", T.StringType()),
+    T.StructField("delivery_address", T.StringType()), T.StructField("customer_name", T.StringType()),
+    T.StructField("customer_phone", T.StringType()),
+])
+
+
+@register("json_commands")
+def q_json_commands(spark, sf_dir):
+    # one place-order request body per order; some are cut off, some carry bad or empty fields
+    o = fixtures(spark, sf_dir).v_orders
+    body = F.to_json(F.struct(
+        F.col("cart_id").cast("string").alias("cart_id"),
+        F.when(o.id % 9 == 0, F.lit("bitcoin")).otherwise(o.payment_type).alias("payment_type"),
+        F.when(o.id % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("addr "), o.id.cast("string"))).alias("delivery_address"),
+        F.lit("name").alias("customer_name"),
+        F.when(o.id % 17 == 0, F.lit(None).cast("string")).otherwise(F.lit("0300")).alias("customer_phone")))
+    text = F.when(o.id % 50 == 0, F.concat(F.lit('{"cart_id": "'), o.id.cast("string"))).otherwise(body)
+    parsed = documents.parse_commands(o.select(F.col("id"), text.alias("body")), "body", ORDER_COMMAND_SCHEMA)
+    errors = documents.field_errors([
+        ("cart_id", "required", documents.required("cart_id")),
+        ("cart_id", "uuid", F.col("cart_id").rlike(r"^[0-9]+$")),
+        ("payment_type", "required", documents.required("payment_type")),
+        ("payment_type", "oneof", documents.one_of("payment_type", ("card", "cash"))),
+        ("delivery_address", "required", documents.required("delivery_address")),
+        ("customer_name", "required", documents.required("customer_name")),
+        ("customer_phone", "required", documents.required("customer_phone")),
+    ])
+    return parsed.select(
+        "id", "bad_json", F.col("payment_type"),
+        F.when(~F.col("bad_json"), F.array_join(F.map_keys(errors), ",")).alias("invalid_fields"),
+        F.when(~F.col("bad_json"), F.to_json(errors)).alias("errors"),
+        (~F.col("bad_json") & (F.size(errors) == 0)).alias("accepted"))
+
+
+@register("json_documents")
+def q_json_documents(spark, sf_dir):
+    placed = _placed(fixtures(spark, sf_dir))
+    return documents.to_documents(orders.order_detail(placed["bills"], placed["lines"], placed["addons"]), "order_id")
+
+
+@register("status_stream")
+def q_status_stream(spark, sf_dir):
+    return status_stream.run_status_stream(spark, sf_dir)
+
+
+@register("sales_stream")
+def q_sales_stream(spark, sf_dir):
+    return sales_stream.run_sales_stream(spark, sf_dir)

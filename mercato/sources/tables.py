@@ -58,3 +58,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> dict[str, DataFrame]:
     return {name: load(spark, sf_dir, name) for name in names}
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """One given table as a streaming source (files of ``name`` in ``sf_dir``), declared schema, no casts."""
+    prepare(spark)
+    reader = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(sf_dir)
