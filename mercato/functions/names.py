@@ -20,7 +20,7 @@ def _words(name) -> Column:
 
 def first_name(name) -> Column:
     """First whitespace-separated word ('' when the name is blank)."""
-    return F.coalesce(F.element_at(_words(name), 1), F.lit(""))
+    return F.coalesce(F.try_element_at(_words(name), F.lit(1)), F.lit(""))
 
 
 def last_name(name) -> Column:

@@ -771,7 +771,7 @@ def _clock_ok(c: str) -> str:
             f"AND TRY_CAST(regexp_extract({c}, {_CLOCK_RE}, 2) AS INTEGER) <= 59, false)")
 
 
-sql("batch_validation", f"""
+sql("batch_validation", rf"""
 WITH
 inv AS (
   SELECT c.merchant_id, i.product_id, c.branch_id, i.quantity - 25 AS quantity
