@@ -33,3 +33,28 @@ def all_reasons(*checks: tuple[Column, str]) -> Column:
         F.array(*[F.when(cond, F.lit(reason)) for cond, reason in checks]),
         lambda r: r.isNotNull(),
     )
+
+
+def reason_code(reason: Column, names) -> Column:
+    """Reason text -> 1-based integer code (NULL stays NULL); keeps aggregation buffers fixed-width."""
+    expr = None
+    for i, n in enumerate(names, start=1):
+        expr = F.when(reason == n, F.lit(i)) if expr is None else expr.when(reason == n, F.lit(i))
+    return expr
+
+
+def reason_name(code: Column, names) -> Column:
+    """Inverse of ``reason_code`` (NULL stays NULL)."""
+    expr = None
+    for i, n in enumerate(names, start=1):
+        expr = F.when(code == i, F.lit(n)) if expr is None else expr.when(code == i, F.lit(n))
+    return expr
+
+
+def first_by(code: Column, order: Column) -> Column:
+    """Aggregate: the ``code`` of the row with the smallest ``order`` among rows where ``code`` is set.
+
+    ``min_by`` over two primitive columns keeps a hash aggregate (a min over a
+    struct with strings would force a sort aggregate).
+    """
+    return F.min_by(code, F.when(code.isNotNull(), order))

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from mercato.functions.arrays import ids_text
 from mercato.functions.clock import is_open
-from mercato.functions.cols import first_reason
+from mercato.functions.cols import first_by, first_reason, reason_code, reason_name
 from mercato.functions.money import round2
+from mercato.session import materialize
 
 # VAT percent by payment type used when billing.
 BILL_VAT = {"card": 8, "cash": 15}
@@ -38,6 +39,9 @@ ALLOWED_TRANSITIONS = {
 }
 INITIAL_STATUS = "pending"
 
+LINE_REASONS = ("product_not_found", "inventory_not_found", "insufficient_inventory", "addon_not_found",
+                "addon_wrong_product", "negative_discount", "discount_exceeds_line")
+
 
 def bill_vat_rate(payment_type) -> Column:
     """B1: trimmed, lower-cased payment type -> VAT percent (double); NULL when invalid."""
@@ -58,6 +62,7 @@ def merge_cart_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     merged = lines.groupBy("cart_id", "product_id").agg(
         F.sum("quantity").cast("int").alias("quantity"),
         F.sum(disc).alias("discount_amount"),
+        F.min("quantity").alias("_min_q"),
     )
     addon_q = (
         lines.select("cart_id", "product_id", "quantity", F.explode("addon_ids").alias("addon_id"))
@@ -78,7 +83,7 @@ def order_line_amounts(quantity, price, addon_amount, discount, rate) -> dict[st
 
 def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, products: DataFrame,
                  addons: DataFrame, inventory: DataFrame, branches: DataFrame, role_flags: DataFrame,
-                 as_of) -> dict[str, DataFrame]:
+                 as_of, materialize_steps: bool = True) -> dict[str, DataFrame]:
     """B2: bill every request ``(cart_id, payment_type, viewer_id)`` against a stock snapshot.
 
     Returns ``bills`` (accepted orders with totals), ``lines`` (B3 amounts of
@@ -99,8 +104,7 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
     is_owner = F.coalesce((F.col("customer_role_of") == F.col("merchant_id")) & (F.col("cart_actor_id") == F.col("viewer_id")), F.lit(False))
     branch_ok = F.col("_bm").isNotNull() & (F.col("_bm") == F.col("merchant_id"))
 
-    # merged lines and their checks
-    raw_q = lines.groupBy("cart_id").agg(F.min("quantity").alias("_min_q"), F.count(F.lit(1)).alias("_raw_lines"))
+    # merged lines and their checks (one row per cart and product)
     merged, addon_q = merge_cart_lines(lines)
     a = addons.select(F.col("id").alias("addon_id"), F.col("product_id").alias("_ap"), F.col("name").alias("addon_name"),
                       F.col("price").alias("addon_price"))
@@ -109,11 +113,12 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
                              (F.col("_ap") != F.col("product_id"), "addon_wrong_product"))
     al = al.withColumn("_err", addon_err).withColumn(
         "line_addon_total", round2(F.col("addon_price").cast("double") * F.col("addon_quantity")))
+    # addons of one product are few: the first failing one in id-text order comes from a bounded list
     addon_agg = al.groupBy("cart_id", "product_id").agg(
         round2(F.sum("line_addon_total")).alias("addon_amount"),
-        F.min(F.when(F.col("_err").isNotNull(), F.struct(F.col("addon_id").cast("string").alias("k"), F.col("_err").alias("r"))))
-        .getField("r").alias("addon_reason"),
-    )
+        F.collect_list(F.when(F.col("_err").isNotNull(), F.struct(F.col("addon_id").cast("string").alias("k"),
+                                                                   F.col("_err").alias("r")))).alias("_errs"),
+    ).select("cart_id", "product_id", "addon_amount", F.array_min("_errs")["r"].alias("addon_reason"))
     p = products.select(F.col("id").alias("product_id"), F.col("merchant_id").alias("_pm"), F.col("name").alias("product_name"),
                         F.col("base_price").alias("price"), "track_inventory")
     inv = inventory.select("product_id", "branch_id", F.col("quantity").alias("stock"))
@@ -129,13 +134,17 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
         (F.col("addon_reason").isNotNull(), "addon"),
     )
     stage1 = F.when(stage1 == "addon", F.col("addon_reason")).otherwise(stage1)
-    ml = ml.withColumn("addon_amount", F.coalesce("addon_amount", F.lit(0.0))).withColumn("_stage1", stage1)
+    ml = (ml.withColumn("addon_amount", F.coalesce("addon_amount", F.lit(0.0)))
+          .withColumn("_stage1", reason_code(stage1, LINE_REASONS)))
+    if materialize_steps:
+        ml = materialize(ml)
     per_cart_lines = ml.groupBy("cart_id").agg(
-        F.min(F.when(F.col("_stage1").isNotNull(), F.struct("product_id", F.col("_stage1").alias("r")))).getField("r").alias("_line_err1"),
+        reason_name(first_by(F.col("_stage1"), F.col("product_id")), LINE_REASONS).alias("_line_err1"),
+        F.min("_min_q").alias("_min_q"),
         F.count(F.lit(1)).alias("_n_lines"),
     )
 
-    r = r.join(raw_q, "cart_id", "left").join(per_cart_lines, "cart_id", "left")
+    r = r.join(per_cart_lines, "cart_id", "left")
     cart_reason = first_reason(
         (F.col("vat_rate").isNull(), "invalid_payment_type"),
         (F.col("merchant_id").isNull(), "cart_not_found"),
@@ -157,14 +166,16 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
         bl = bl.withColumn(name, expr)
     stage2 = first_reason((F.col("discount_amount") < 0, "negative_discount"),
                           (F.col("line_subtotal") < 0, "discount_exceeds_line"))
-    bl = bl.withColumn("_stage2", stage2)
+    bl = bl.withColumn("_stage2", reason_code(stage2, LINE_REASONS))
     totals = bl.groupBy("cart_id").agg(
-        F.min(F.when(F.col("_stage2").isNotNull(), F.struct("product_id", F.col("_stage2").alias("r")))).getField("r").alias("_line_err2"),
+        reason_name(first_by(F.col("_stage2"), F.col("product_id")), LINE_REASONS).alias("_line_err2"),
         F.sum(F.col("line_subtotal").cast("decimal(14,2)")).alias("_sub"),
         F.sum(F.col("tax_amount").cast("decimal(14,2)")).alias("_tax"),
         F.sum(F.col("line_total").cast("decimal(14,2)")).alias("_tot"),
     )
     r = r.join(totals, "cart_id", "left").withColumn("reason", F.coalesce("_pre_reason", "_line_err2"))
+    if materialize_steps:
+        r = materialize(r)
 
     accepted = r.filter(F.col("reason").isNull())
     bills = accepted.select(

@@ -63,3 +63,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
+
+
+def materialize(df):
+    """Cut lineage of an intermediate used by several outputs: reliable ``checkpoint()``.
+
+    The data goes to the shared ``spark.checkpoint.dir`` (never a local
+    checkpoint), so a lost executor does not force recomputing the whole DAG.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
