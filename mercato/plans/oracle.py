@@ -418,7 +418,7 @@ pv AS (
   FROM lines l JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id LEFT JOIN best b ON b.tid = l.id),
 m AS (
   SELECT cart_id, payment_type AS payment_method,
-         CASE lower(trim(payment_type)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS vat_rate
+         CAST(CASE lower(trim(payment_type)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS DOUBLE) AS vat_rate
   FROM v_orders),
 lv AS (
   SELECT pv.*, m.payment_method, m.vat_rate,
@@ -471,7 +471,7 @@ req AS (
                        ELSE payment_type END AS payment_type,
          actor_id AS viewer_id
   FROM v_orders),
-rq AS (SELECT *, CASE lower(trim(payment_type)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS vat_rate FROM req),
+rq AS (SELECT *, CAST(CASE lower(trim(payment_type)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS DOUBLE) AS vat_rate FROM req),
 flags AS (
   SELECT a.id AS actor_id, max(CASE WHEN ar.role_type = 'merchant' THEN ar.merchant_id END) AS merchant_role_of,
          max(CASE WHEN ar.role_type = 'customer' THEN ar.merchant_id END) AS customer_role_of
