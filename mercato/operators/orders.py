@@ -242,9 +242,9 @@ def status_transition_table(orders: DataFrame) -> DataFrame:
 # --- B10: ordered status fold --------------------------------------------------
 # A request for target t is the function s -> (t if allowed(s, t) else s) on the
 # six statuses, plus a count of applied requests per start state.  Functions
-# compose associatively, so the fold is done in two ordered levels: inside a
-# time bucket of one order (a bounded, sorted list) and then across the
-# order's buckets.  No single group holds all requests of a busy order.
+# compose associatively, so the fold is done bottom-up over time buckets of one
+# order (minute -> hour -> day -> order), each a short sorted list.  No single
+# group holds all requests of a busy order.
 
 _IDX = {s: i for i, s in enumerate(STATUSES)}
 
@@ -284,28 +284,37 @@ def _compose(acc: Column, g: Column) -> Column:
     )
 
 
-def apply_status_changes(requests: DataFrame, key: str = "order_ref", bucket: str = "1 hour") -> DataFrame:
+def apply_status_changes(requests: DataFrame, key: str = "order_ref",
+                         levels: tuple[str, ...] = ("minute", "hour", "day")) -> DataFrame:
     """Final status of each order after its requests in (ts, event_id) order.
 
     Starts at ``pending``; a request that is not an allowed transition from the
     current status is rejected and the status stays.  Output: key,
     final_status, n_requests, n_applied, n_rejected.
+
+    The fold is hierarchical: requests are composed inside (key, finest time
+    bucket), then bucket functions are composed into the next coarser bucket,
+    and so on up to the key.  Each list that is sorted and folded holds at most
+    one bucket's parts (<= 60 minutes, 24 hours, the days of one order), so a
+    busy order is spread over many groups and tasks.
     """
     req = requests.select(key, "ts", "event_id", _status_index(F.col("requested_status")).alias("t"))
-    req = req.withColumn("_bucket", F.date_trunc("hour", "ts") if bucket == "1 hour" else F.window("ts", bucket)["start"])
-    level1 = req.groupBy(key, "_bucket").agg(
+    finest = levels[0]
+    parts = req.withColumn("_b", F.date_trunc(finest, "ts")).groupBy(key, "_b").agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "t"))).alias("_reqs"),
         F.count(F.lit(1)).alias("_n"),
-    ).select(key, "_bucket", "_n",
-             F.aggregate("_reqs", _identity(), lambda acc, r: _apply_request(acc, r["t"])).alias("_fn"))
-    level2 = level1.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_bucket", "_fn"))).alias("_parts"),
-        F.sum("_n").alias("n_requests"),
-    ).select(key, "n_requests",
-             F.aggregate("_parts", _identity(), lambda acc, p: _compose(acc, p["_fn"])).alias("_fn"))
+    ).select(key, "_b", "_n", F.aggregate("_reqs", _identity(), lambda acc, r: _apply_request(acc, r["t"])).alias("_fn"))
+    for coarser in levels[1:]:
+        parts = parts.withColumn("_up", F.date_trunc(coarser, "_b")).groupBy(key, "_up").agg(
+            F.array_sort(F.collect_list(F.struct("_b", "_fn"))).alias("_parts"), F.sum("_n").alias("_n"),
+        ).select(key, F.col("_up").alias("_b"), "_n",
+                 F.aggregate("_parts", _identity(), lambda acc, p: _compose(acc, p["_fn"])).alias("_fn"))
+    top = parts.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("_b", "_fn"))).alias("_parts"), F.sum("_n").alias("n_requests"),
+    ).select(key, "n_requests", F.aggregate("_parts", _identity(), lambda acc, p: _compose(acc, p["_fn"])).alias("_fn"))
     names = F.array(*[F.lit(s) for s in STATUSES])
     start = _IDX[INITIAL_STATUS] + 1
-    return level2.select(
+    return top.select(
         key,
         F.element_at(names, F.element_at(F.col("_fn")["f"], start) + 1).alias("final_status"),
         F.col("n_requests").cast("bigint").alias("n_requests"),

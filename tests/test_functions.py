@@ -100,3 +100,29 @@ def test_status_fold_rejected_keeps_state(spark):
     df = spark.createDataFrame(rows, "order_ref string, ts timestamp, event_id long, requested_status string")
     got = {r.order_ref: (r.final_status, r.n_applied, r.n_rejected) for r in orders.apply_status_changes(df).collect()}
     assert got == {"o1": ("out_for_delivery", 2, 2), "o2": ("cancelled", 1, 1)}
+
+
+def test_status_fold_matches_sequential_replay(spark):
+    # random request sequences spread over seconds to days: the bucketed composition must equal a plain replay
+    import random
+
+    rng = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows, expected = [], {}
+    eid = 0
+    for o in range(150):
+        n = rng.randint(1, 25)
+        reqs = []
+        for _ in range(n):
+            eid += 1
+            offset = rng.choice([rng.randint(0, 59), rng.randint(0, 3600 * 5), rng.randint(0, 86400 * 3)])
+            reqs.append((base + dt.timedelta(seconds=offset), eid, rng.choice(orders.STATUSES)))
+        state, applied = orders.INITIAL_STATUS, 0
+        for ts, e, to in sorted(reqs):
+            if to in orders.ALLOWED_TRANSITIONS.get(state, ()):
+                state, applied = to, applied + 1
+        expected[f"o{o}"] = (state, n, applied)
+        rows += [(f"o{o}", ts, e, to) for ts, e, to in reqs]
+    df = spark.createDataFrame(rows, "order_ref string, ts timestamp, event_id long, requested_status string")
+    got = {r.order_ref: (r.final_status, r.n_requests, r.n_applied) for r in orders.apply_status_changes(df).collect()}
+    assert got == expected
