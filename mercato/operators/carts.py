@@ -246,16 +246,20 @@ def cart_preview(priced_lines: DataFrame, methods: DataFrame) -> DataFrame:
     total = round2(sum sub + sum vat).  The discount summary takes the identity
     of the first line (product_id, item_id) that has a discount and the sum of
     those lines' discounts; it is dropped when the cart's total discount is 0.
-    An invalid method or a failing line rejects the cart.
+    An invalid method or a failing line rejects the cart.  Without a payment
+    method the preview is off: no VAT, and subtotal / total_vat / vat_rate are
+    not reported (total_price still is).
     """
-    m = methods.select("cart_id", "payment_method", vat_rate(F.col("payment_method")).alias("vat_rate"))
+    enabled = F.col("payment_method").isNotNull()
+    m = methods.select("cart_id", "payment_method", enabled.alias("_preview"),
+                       F.when(enabled, vat_rate(F.col("payment_method"))).otherwise(F.lit(0.0)).alias("vat_rate"))
     j = priced_lines.join(m, "cart_id")
     q = F.col("quantity").cast("double")
     sub = round2(F.col("price") * q + F.coalesce("addon_unit_price", F.lit(0.0)) * q - F.col("line_discount"))
     vat = round2(sub * F.col("vat_rate") / 100)
     j = j.withColumn("_sub", sub.cast("decimal(14,2)")).withColumn("_vat", vat.cast("decimal(14,2)"))
     order_key = F.struct("product_id", "item_id")
-    g = j.groupBy("cart_id", "payment_method", "vat_rate").agg(
+    g = j.groupBy("cart_id", "payment_method", "_preview", "vat_rate").agg(
         F.sum("_sub").alias("_s"), F.sum("_vat").alias("_v"),
         F.sum(F.col("line_discount").cast("decimal(14,2)")).alias("_d_all"),
         F.sum(F.when(F.col("discount_id").isNotNull(), F.col("line_discount").cast("decimal(14,2)"))).alias("_d_sum"),
@@ -269,10 +273,11 @@ def cart_preview(priced_lines: DataFrame, methods: DataFrame) -> DataFrame:
     reason = F.when(reason == "line_error", F.col("_line_reason")).otherwise(reason)
     show_disc = F.col("_first").isNotNull() & (F.col("_d_all") != 0)
     ok = reason.isNull()
+    shown = ok & F.col("_preview")
     return g.select(
-        "cart_id", "payment_method", F.when(ok, F.col("vat_rate")).alias("vat_rate"), "item_count",
-        F.when(ok, round2(F.col("_s"))).alias("subtotal"),
-        F.when(ok, round2(F.col("_v"))).alias("total_vat"),
+        "cart_id", "payment_method", F.when(shown, F.col("vat_rate")).alias("vat_rate"), "item_count",
+        F.when(shown, round2(F.col("_s"))).alias("subtotal"),
+        F.when(shown, round2(F.col("_v"))).alias("total_vat"),
         F.when(ok, round2(F.col("_s") + F.col("_v"))).alias("total_price"),
         F.when(ok & show_disc, F.col("_first")["discount_id"]).alias("discount_id"),
         F.when(ok & show_disc, F.col("_first")["discount_type"]).alias("discount_type"),

@@ -416,12 +416,16 @@ pv AS (
          CASE WHEN p.id IS NULL OR p.merchant_id <> c.merchant_id THEN 'product_not_found'
               WHEN l.addon_missing > 0 THEN 'addon_not_found' END AS line_reason
   FROM lines l JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id LEFT JOIN best b ON b.tid = l.id),
-m AS (
-  SELECT cart_id, payment_type AS payment_method,
-         CAST(CASE lower(trim(payment_type)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS DOUBLE) AS vat_rate
+m0 AS (
+  SELECT cart_id, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 23 = 0 THEN 'bitcoin' ELSE payment_type END AS payment_method
   FROM v_orders),
+m AS (
+  SELECT cart_id, payment_method, payment_method IS NOT NULL AS preview,
+         CASE WHEN payment_method IS NULL THEN 0.0
+              ELSE CAST(CASE lower(trim(payment_method)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS DOUBLE) END AS vat_rate
+  FROM m0),
 lv AS (
-  SELECT pv.*, m.payment_method, m.vat_rate,
+  SELECT pv.*, m.payment_method, m.preview, m.vat_rate,
          {r2('price * quantity + coalesce(addon_unit_price, 0) * quantity - line_discount')} AS sub
   FROM pv JOIN m USING (cart_id)),
 lv2 AS (SELECT *, {r2('sub * vat_rate / 100')} AS vat,
@@ -429,7 +433,7 @@ lv2 AS (SELECT *, {r2('sub * vat_rate / 100')} AS vat,
                row_number() OVER (PARTITION BY cart_id ORDER BY CASE WHEN line_reason IS NULL THEN 1 ELSE 0 END, product_id, item_id) AS err_rank
         FROM lv),
 g AS (
-  SELECT cart_id, payment_method, vat_rate, CAST(count(*) AS BIGINT) AS item_count,
+  SELECT cart_id, payment_method, preview, vat_rate, CAST(count(*) AS BIGINT) AS item_count,
          sum(CAST(sub AS DECIMAL(14,2))) AS s, sum(CAST(vat AS DECIMAL(14,2))) AS v,
          sum(CAST(line_discount AS DECIMAL(14,2))) AS d_all,
          sum(CASE WHEN discount_id IS NOT NULL THEN CAST(line_discount AS DECIMAL(14,2)) END) AS d_sum,
@@ -437,14 +441,14 @@ g AS (
          max(CASE WHEN disc_rank = 1 AND discount_id IS NOT NULL THEN discount_type END) AS f_type,
          max(CASE WHEN disc_rank = 1 AND discount_id IS NOT NULL THEN discount_value END) AS f_value,
          max(CASE WHEN err_rank = 1 THEN line_reason END) AS line_reason
-  FROM lv2 GROUP BY 1, 2, 3),
+  FROM lv2 GROUP BY 1, 2, 3, 4),
 r AS (
   SELECT g.*, CASE WHEN vat_rate IS NULL THEN 'invalid_payment_method' ELSE line_reason END AS reason,
          f_id IS NOT NULL AND d_all <> 0 AS show_disc
   FROM g)
-SELECT cart_id, payment_method, CASE WHEN reason IS NULL THEN vat_rate END AS vat_rate, item_count,
-       CASE WHEN reason IS NULL THEN {r2('s')} END AS subtotal,
-       CASE WHEN reason IS NULL THEN {r2('v')} END AS total_vat,
+SELECT cart_id, payment_method, CASE WHEN reason IS NULL AND preview THEN vat_rate END AS vat_rate, item_count,
+       CASE WHEN reason IS NULL AND preview THEN {r2('s')} END AS subtotal,
+       CASE WHEN reason IS NULL AND preview THEN {r2('v')} END AS total_vat,
        CASE WHEN reason IS NULL THEN {r2('s + v')} END AS total_price,
        CASE WHEN reason IS NULL AND show_disc THEN f_id END AS discount_id,
        CASE WHEN reason IS NULL AND show_disc THEN f_type END AS discount_type,
