@@ -8,11 +8,12 @@ per task, not the line items.  Money columns are summed as ``decimal(12,2)``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.cols import first_reason
 from mercato.functions.money import money_out
+from mercato.operators.common import top_k_per_group
 
 # Order statuses counted as sales.
 COUNTED_STATUSES = ("accepted", "out_for_delivery", "delivered")
@@ -130,8 +131,7 @@ def top_selling_products(orders: DataFrame, order_items: DataFrame, k: int = 5)
     rows per task to the final window.
     """
     sales = _product_sales(orders, order_items)
-    w = Window.partitionBy("merchant_id").orderBy(F.desc("units_sold"), F.desc("revenue"), F.asc("product_id"))
-    ranked = sales.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = top_k_per_group(sales, ["merchant_id"], [F.desc("units_sold"), F.desc("revenue"), F.asc("product_id")], k)
     return ranked.select("merchant_id", "rank", "product_id", "units_sold", money_out("revenue").alias("revenue"))
 
 

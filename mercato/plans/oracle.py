@@ -252,15 +252,25 @@ def amount(dtype: str, dvalue: str, sub: str) -> str:
 
 
 sql("discount_candidates", f"""
-SELECT p.id AS product_id, d.id AS discount_id,
-       CASE WHEN d.product_id IS NOT NULL THEN 1 WHEN d.category_id IS NOT NULL THEN 2 ELSE 3 END AS priority,
-       {active(DISCOUNT_AS_OF)} AS active
-FROM v_products p JOIN v_discounts d ON d.merchant_id = p.merchant_id
-  AND ((d.product_id IS NOT NULL AND d.product_id = p.id)
-    OR (d.product_id IS NULL AND d.category_id IS NOT NULL AND d.category_id = p.category_id)
-    OR (d.product_id IS NULL AND d.category_id IS NULL))
+WITH pairs AS (
+  SELECT p.id AS product_id, p.merchant_id,
+         CASE WHEN d.product_id IS NOT NULL THEN 1 WHEN d.category_id IS NOT NULL THEN 2 ELSE 3 END AS priority,
+         {active(DISCOUNT_AS_OF)} AS is_act
+  FROM v_products p JOIN v_discounts d ON d.merchant_id = p.merchant_id
+    AND ((d.product_id IS NOT NULL AND d.product_id = p.id)
+      OR (d.product_id IS NULL AND d.category_id IS NOT NULL AND d.category_id = p.category_id)
+      OR (d.product_id IS NULL AND d.category_id IS NULL)))
+SELECT p.id AS product_id, p.merchant_id,
+       CAST(count(*) FILTER (WHERE x.priority = 1) AS BIGINT) AS n_product_scope,
+       CAST(count(*) FILTER (WHERE x.priority = 2) AS BIGINT) AS n_category_scope,
+       CAST(count(*) FILTER (WHERE x.priority = 3) AS BIGINT) AS n_merchant_scope,
+       CAST(count(*) FILTER (WHERE x.is_act) AS BIGINT) AS n_active,
+       CAST(min(CASE WHEN x.is_act THEN x.priority END) AS INTEGER) AS best_priority
+FROM v_products p LEFT JOIN pairs x ON x.product_id = p.id
+GROUP BY 1, 2
 """)
 
+
 _PROD_TARGETS = "SELECT id AS tid, id AS product_id, merchant_id, category_id, CAST(base_price AS DOUBLE) AS subtotal FROM v_products"
 
 sql("best_discount", f"""

@@ -185,7 +185,7 @@ def _lines(fx):
 @register("discount_candidates")
 def q_discount_candidates(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
-    return discounts.discount_candidates(fx.v_products, fx.v_discounts, DISCOUNT_AS_OF)
+    return discounts.discount_candidate_counts(fx.v_products, fx.v_discounts, DISCOUNT_AS_OF)
 
 
 @register("best_discount")

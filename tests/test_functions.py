@@ -126,3 +126,21 @@ def test_status_fold_matches_sequential_replay(spark):
     df = spark.createDataFrame(rows, "order_ref string, ts timestamp, event_id long, requested_status string")
     got = {r.order_ref: (r.final_status, r.n_requests, r.n_applied) for r in orders.apply_status_changes(df).collect()}
     assert got == expected
+
+
+def test_null_helpers(spark):
+    from mercato.functions import nulls
+
+    row = spark.range(1).select(
+        nulls.zero_id_to_null(F.lit(nulls.ZERO_UUID)).alias("a"), nulls.zero_id_to_null(F.lit(0), 0).alias("b"),
+        nulls.null_to_default(F.lit(None).cast("string"), "").alias("c"),
+        nulls.unset_time(F.lit("0001-01-01 00:00:00").cast("timestamp")).alias("d")).first()
+    assert (row.a, row.b, row.c, row.d) == (None, None, "", None)
+
+
+def test_best_per_group_picks_newest_then_lowest_id(spark):
+    from mercato.operators.common import best_per_group
+
+    df = spark.createDataFrame([(1, 10, 5), (1, 11, 7), (1, 9, 7), (2, 3, 1)], "k int, id int, created int")
+    got = {r.k: r.id for r in best_per_group(df, ["k"], [F.desc("created"), F.asc("id")]).collect()}
+    assert got == {1: 9, 2: 3}
