@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.arrays import ids_text, normalize_addon_ids
-from mercato.functions.cols import first_reason
+from mercato.functions.cols import first_by, first_reason, reason_code, reason_name
 from mercato.functions.money import round2
 from mercato.operators import discounts as disc
 
+ADDON_REASONS = ("addon_not_found", "addon_wrong_product")
+
 # Preview VAT rates by payment method (percent).
 PREVIEW_VAT = {"card": 8, "cash": 15}
 
@@ -56,7 +58,7 @@ def addon_stats(lines: DataFrame, addons: DataFrame, line_id: str = "id") -> Dat
     )
     return j.groupBy("_line").agg(
         F.sum(F.col("_price").cast("double")).alias("addon_unit_price"),
-        F.min(F.when(err.isNotNull(), F.struct(F.col("pos"), err.alias("reason")))).getField("reason").alias("addon_reason"),
+        reason_name(first_by(reason_code(err, ADDON_REASONS), F.col("pos")), ADDON_REASONS).alias("addon_reason"),
         F.count(F.lit(1)).alias("addon_count"),
         F.sum(F.col("_ap").isNull().cast("int")).alias("addon_missing"),
     ).withColumnRenamed("_line", line_id)
