@@ -22,6 +22,22 @@ REQUIRED_CONF = {
 }
 
 
+# Suggested settings for a large cluster (~100 TB inputs); applied by the deployment, never by library code.
+# Shuffle partitions start high and AQE coalesces them to ~256 MB; skewed partitions (a hot tenant, cart or
+# branch) are split by AQE's skew-join handling; scans read ~256 MB splits.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session settings the operators depend on (idempotent)."""
     for key, value in REQUIRED_CONF.items():
