@@ -191,6 +191,24 @@ class Fixtures:
                 self._frames[name] = self.spark.sql(VIEWS[name], **deps)
         return self._frames[name]
 
+    def persist_views(self, directory: str, names=None) -> dict[str, str]:
+        """Write the fixture views as parquet tables under ``directory`` and read them back.
+
+        This is the "load the commerce tables" step: later queries scan real
+        parquet tables (with column pruning and filter pushdown) instead of
+        re-deriving the views from the TPC-H-like inputs.  Views are written in
+        creation order, so each one is built from already written parents.
+        """
+        import os
+
+        paths = {}
+        for name in (names or VIEW_NAMES):
+            path = os.path.join(directory, name)
+            self[name].write.mode("overwrite").parquet(path)
+            self._frames[name] = self.spark.read.parquet(path)
+            paths[name] = path
+        return paths
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("v_") or name in BASE_TABLES:
             return self[name]
