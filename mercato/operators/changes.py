@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def derived_id(*cols) -> "F.Column":
@@ -44,11 +45,25 @@ def append_rows(target: DataFrame, batch: DataFrame, as_of, defaults: dict | Non
     return target.unionByName(b.select(*[c for c in target.columns if c in b.columns]), allowMissingColumns=True)
 
 
+_FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+
+
 def latest_per_key(batch: DataFrame, keys: Sequence[str], seq_col: str) -> DataFrame:
-    """Last batch row per key by ``seq_col`` (a partial aggregate, no window sort)."""
-    others = [c for c in batch.columns if c not in keys]
-    agg = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(seq_col)).alias("_row"))
-    return agg.select(*keys, *[F.col("_row")[c].alias(c) for c in others])
+    """Last batch row per key by ``seq_col`` (a partial aggregate, no window sort).
+
+    Fixed-width columns each take their own ``max_by`` so the aggregation buffer
+    stays fixed-width (hash aggregate); other columns travel together in one struct.
+    """
+    others = [f for f in batch.schema.fields if f.name not in keys]
+    fixed = [f.name for f in others if isinstance(f.dataType, _FIXED_WIDTH)]
+    rest = [f.name for f in others if f.name not in fixed]
+    aggs = [F.max_by(F.col(c), F.col(seq_col)).alias(c) for c in fixed if c != seq_col]
+    aggs.append(F.max(seq_col).alias(seq_col))
+    if rest:
+        aggs.append(F.max_by(F.struct(*rest), F.col(seq_col)).alias("_rest"))
+    agg = batch.groupBy(*keys).agg(*aggs)
+    return agg.select(*keys, *[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in (f.name for f in others)])
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], set_cols: Sequence[str], seq_col: str,
@@ -125,7 +140,7 @@ def cascade_delete(root_keys: DataFrame, edges: Sequence[dict]) -> dict[str, Dat
     deleted: dict[str, DataFrame] = {"root": root_keys}
     out: dict[str, DataFrame] = {}
     for e in edges:
-        parent = deleted[e["parent"]].select(*[F.col(p).alias(c) for c, p in zip(e["child_cols"], e["parent_cols"])]).distinct()
+        parent = deleted[e["parent"]].select(*[F.col(p).alias(c) for c, p in zip(e["child_cols"], e["parent_cols"])])
         hit = e["child"].join(parent, list(e["child_cols"]), "left_semi")
         out[e["name"]] = hit
         if e["rule"] == "cascade":

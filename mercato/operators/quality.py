@@ -47,7 +47,7 @@ def check_unique(df: DataFrame, keys: Sequence[str], constraint: str) -> DataFra
 
 def check_unique_against(batch: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Q1 (batch vs target): batch rows whose key already exists in the target."""
-    return batch.join(target.select(*keys).distinct(), list(keys), "left_semi")
+    return batch.join(target.select(*keys), list(keys), "left_semi")  # a semi join needs no distinct
 
 
 def check_fk(child: DataFrame, parent: DataFrame, child_cols: Sequence[str], parent_cols: Sequence[str],
@@ -56,7 +56,7 @@ def check_fk(child: DataFrame, parent: DataFrame, child_cols: Sequence[str], par
     not_null = F.lit(True)
     for c in child_cols:
         not_null = not_null & F.col(c).isNotNull()
-    p = parent.select(*[F.col(pc).alias(cc) for cc, pc in zip(child_cols, parent_cols)]).distinct()
+    p = parent.select(*[F.col(pc).alias(cc) for cc, pc in zip(child_cols, parent_cols)])  # anti join: no distinct
     orphans = child.filter(not_null).join(p, list(child_cols), "left_anti")
     return orphans.select(F.lit(constraint).alias("constraint"), key_text(child_cols).alias("key"))
 
