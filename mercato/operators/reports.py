@@ -95,13 +95,14 @@ def inventory_by_product(products: DataFrame, inventory: DataFrame) -> DataFrame
     """Total stock of each product over branches (0 when it has no rows).
 
     Inventory is aggregated *before* the join (no join fan-out), then products
-    are left-joined so untracked products still appear.
+    are left-joined so untracked products still appear.  Rows come sorted by
+    name within a merchant (range-partitioned sort, one row per product).
     """
     stock = inventory.groupBy("product_id").agg(F.sum("quantity").alias("stock"))
     p = products.select("merchant_id", F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     return p.join(stock, "product_id", "left").select(
         "merchant_id", "product_id", "product_name", F.coalesce("stock", F.lit(0)).cast("int").alias("quantity")
-    )
+    ).orderBy("merchant_id", "product_name", "product_id")  # listing order: by name within a merchant
 
 
 def actor_counts(merchants: DataFrame, actors: DataFrame) -> DataFrame:
