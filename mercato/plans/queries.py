@@ -178,10 +178,17 @@ def q_visible_orders(spark, sf_dir):
 
 # --- discounts and carts -----------------------------------------------------
 
-def _lines(fx):
+CART_ITEMS = "cart_items"  # reference-shaped cart items: one row per line with its normalised addon_ids array
+
+
+def build_cart_items(fx):
     return carts.cart_lines(fx.v_cart_items, fx.v_cart_item_addons)
 
 
+def _lines(fx):
+    return fx.derived(CART_ITEMS, build_cart_items)
+
+
 @register("discount_candidates")
 def q_discount_candidates(spark, sf_dir):
     fx = fixtures(spark, sf_dir)

@@ -191,6 +191,21 @@ class Fixtures:
                 self._frames[name] = self.spark.sql(VIEWS[name], **deps)
         return self._frames[name]
 
+    def derived(self, name: str, build) -> DataFrame:
+        """A table derived from the views by engine code (e.g. cart items with their addon array), memoised."""
+        if name not in self._frames:
+            self._frames[name] = build(self)
+        return self._frames[name]
+
+    def persist_derived(self, directory: str, name: str, build) -> str:
+        """Write a derived table once as parquet (like ``persist_views``) and use it from then on."""
+        import os
+
+        path = os.path.join(directory, name)
+        build(self).write.mode("overwrite").parquet(path)
+        self._frames[name] = self.spark.read.parquet(path)
+        return path
+
     def persist_views(self, directory: str, names=None) -> dict[str, str]:
         """Write the fixture views as parquet tables under ``directory`` and read them back.
 
