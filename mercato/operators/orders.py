@@ -285,20 +285,28 @@ def _compose(acc: Column, g: Column) -> Column:
 
 
 def apply_status_changes(requests: DataFrame, key: str = "order_ref",
-                         levels: tuple[str, ...] = ("minute", "hour", "day")) -> DataFrame:
+                         levels: tuple[str, ...] = ("minute", "hour", "day"),
+                         authorized_col: str | None = None) -> DataFrame:
     """Final status of each order after its requests in (ts, event_id) order.
 
     Starts at ``pending``; a request that is not an allowed transition from the
     current status is rejected and the status stays.  Output: key,
     final_status, n_requests, n_applied, n_rejected.
 
+    With ``authorized_col`` (e.g. "requester holds the merchant role in the
+    order's tenant", see ``access.role_flags``), unauthorized requests are
+    rejected and leave the status unchanged.
+
     The fold is hierarchical: requests are composed inside (key, finest time
     bucket), then bucket functions are composed into the next coarser bucket,
     and so on up to the key.  Each list that is sorted and folded holds at most
     one bucket's parts (<= 60 minutes, 24 hours, the days of one order), so a
     busy order is spread over many groups and tasks.
     """
-    req = requests.select(key, "ts", "event_id", _status_index(F.col("requested_status")).alias("t"))
+    target = _status_index(F.col("requested_status"))
+    if authorized_col:
+        target = F.when(F.coalesce(F.col(authorized_col), F.lit(False)), target).otherwise(F.lit(-1))  # -1: no-op
+    req = requests.select(key, "ts", "event_id", target.alias("t"))
     finest = levels[0]
     parts = req.withColumn("_b", F.date_trunc(finest, "ts")).groupBy(key, "_b").agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "t"))).alias("_reqs"),

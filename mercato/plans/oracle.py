@@ -993,5 +993,30 @@ GROUP BY 1, 2
 """)
 
 
+sql("status_changes_authorized", """
+WITH RECURSIVE
+ok(f, t) AS (VALUES ('pending', 'accepted'), ('pending', 'cancelled'), ('accepted', 'out_for_delivery'), ('accepted', 'cancelled'),
+                    ('out_for_delivery', 'delivered'), ('out_for_delivery', 'cancelled'), ('delivered', 'refunded')),
+auth AS (
+  SELECT e.event_id,
+         EXISTS (SELECT 1 FROM v_actors a JOIN v_actor_roles ar ON ar.actor_id = a.id AND ar.merchant_id = a.merchant_id
+                 WHERE a.id = e.user_id AND ar.role_type = 'merchant' AND a.merchant_id = e.user_id % 10) AS authorized
+  FROM events e),
+r AS (SELECT s.order_ref, s.requested_status AS t, a.authorized,
+             row_number() OVER (PARTITION BY s.order_ref ORDER BY s.ts, s.event_id) AS rn
+      FROM v_status_requests s JOIN auth a ON a.event_id = s.event_id),
+fold(order_ref, rn, state, applied) AS (
+  SELECT DISTINCT order_ref, CAST(0 AS BIGINT), 'pending', 0 FROM r
+  UNION ALL
+  SELECT f.order_ref, f.rn + 1,
+         CASE WHEN r.authorized AND EXISTS (SELECT 1 FROM ok WHERE ok.f = f.state AND ok.t = r.t) THEN r.t ELSE f.state END,
+         f.applied + CASE WHEN r.authorized AND EXISTS (SELECT 1 FROM ok WHERE ok.f = f.state AND ok.t = r.t) THEN 1 ELSE 0 END
+  FROM fold f JOIN r ON r.order_ref = f.order_ref AND r.rn = f.rn + 1)
+SELECT order_ref, arg_max(state, rn) AS final_status, CAST(max(rn) AS BIGINT) AS n_requests,
+       CAST(arg_max(applied, rn) AS BIGINT) AS n_applied, CAST(max(rn) - arg_max(applied, rn) AS BIGINT) AS n_rejected
+FROM fold GROUP BY 1
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

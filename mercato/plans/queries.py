@@ -384,6 +384,18 @@ def q_status_fold(spark, sf_dir):
     return orders.apply_status_changes(fixtures(spark, sf_dir).v_status_requests)
 
 
+@register("status_changes_authorized")
+def q_status_changes_authorized(spark, sf_dir):
+    # the requester is the event's user; the order belongs to that user's tenant; only a merchant-role holder
+    # of that tenant may change the status (others are rejected and leave it unchanged)
+    fx = fixtures(spark, sf_dir)
+    ev = fx.events.select("event_id", "user_id")
+    flags = access.role_flags(fx.v_actors, fx.v_actor_roles).select(F.col("actor_id").alias("user_id"), "merchant_role_of")
+    req = (fx.v_status_requests.join(ev, "event_id").join(flags, "user_id", "left")
+           .withColumn("authorized", F.coalesce(F.col("merchant_role_of") == F.col("user_id") % 10, F.lit(False))))
+    return orders.apply_status_changes(req, authorized_col="authorized")
+
+
 # --- branch hours and coverage -------------------------------------------------
 
 from mercato.operators import coverage, hours  # noqa: E402

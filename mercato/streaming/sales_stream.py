@@ -2,9 +2,10 @@
 
 Orders arrive as a stream and are joined to their (static) order items; daily
 tumbling windows per merchant are aggregated with a watermark so old windows
-leave the state store.  The sink is an upsert log: each micro-batch appends the
-windows it updated (``update`` mode through ``foreachBatch``) tagged with the
-batch id, and readers take the latest row per (merchant, day).
+leave the state store.  The sink is an upsert log: each micro-batch writes the
+windows it updated (``update`` mode through ``foreachBatch``) into its own
+batch-id directory (overwritten if the batch is retried, so the log is
+idempotent), and readers take the latest row per (merchant, day).
 """
 
 from __future__ import annotations
@@ -55,9 +56,10 @@ def run_sales_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("n_items").cast("bigint").alias("n_items"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/log")
+        # one directory per micro-batch, overwritten on retry: a re-run batch cannot duplicate rows
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/log/b={batch_id}")
 
     q = (out.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_windows(spark.read.parquet(f"{base}/log"))
+    return latest_windows(spark.read.parquet(f"{base}/log").drop("b"))
