@@ -58,3 +58,23 @@ def first_by(code: Column, order: Column) -> Column:
     struct with strings would force a sort aggregate).
     """
     return F.min_by(code, F.when(code.isNotNull(), order))
+
+
+# Offsets that keep both parts of the composite key non-negative and within decimal(38,0):
+# micros of years 1..9999 are within +-2.6e17; ids are 64-bit.
+_MICROS_SPAN = 260_000_000_000_000_000
+_ID_OFFSET = 2 ** 63
+
+
+def newest_then_lowest_id_key(ts, ident) -> Column:
+    """One orderable number for "created_at descending, then id ascending" (smaller = preferred).
+
+    Lets a ``min_by(field, key)`` per field replace a min over a struct, so the
+    aggregation buffer is fixed-width and Spark keeps a hash aggregate.
+    """
+    def big(n: int) -> Column:
+        return F.lit(str(n)).cast("decimal(38,0)")
+
+    age = big(_MICROS_SPAN) - F.unix_micros(as_col(ts)).cast("decimal(38,0)")
+    rank = as_col(ident).cast("decimal(38,0)") + big(_ID_OFFSET)
+    return (age * big(10 ** 20) + rank).cast("decimal(38,0)")
