@@ -871,11 +871,23 @@ ac_r AS (
               WHEN EXISTS (SELECT 1 FROM v_actors a WHERE a.merchant_id = x.merchant_id AND a.email = x.email) OR n.n > 1
                    THEN 'duplicate_email' END AS reason
   FROM ac x JOIN ac_n n ON n.merchant_id = x.merchant_id AND n.email = x.email),
+ar_r AS (
+  SELECT CASE WHEN coalesce(trim(CASE WHEN r_regionkey % 4 = 0 THEN ' ' ELSE r_name END), '') = '' THEN 'required'
+              WHEN (CASE WHEN r_regionkey % 2 = 0 THEN 'Karachi' ELSE 'Multan' END) NOT IN ('Karachi', 'Lahore') THEN 'invalid_city'
+         END AS reason
+  FROM region),
+szb AS (
+  SELECT merchant_id, zone_id, CASE WHEN zone_id % 7 = 0 THEN zone_id + 1 ELSE branch_id END AS branch_id FROM v_service_zones),
+sz_r AS (
+  SELECT CASE WHEN z.id IS NULL THEN 'zone_not_found'
+              WHEN x.branch_id IS NOT NULL AND (b.id IS NULL OR b.merchant_id <> x.merchant_id) THEN 'branch_not_found' END AS reason
+  FROM szb x LEFT JOIN v_zones z ON z.id = x.zone_id LEFT JOIN v_branches b ON b.id = x.branch_id),
 allr AS (
   SELECT 'inventory' AS validator, reason FROM inv_r UNION ALL SELECT 'product', reason FROM prod_r
   UNION ALL SELECT 'addon', reason FROM addon_r UNION ALL SELECT 'discount', reason FROM disc_r
   UNION ALL SELECT 'branch', reason FROM br_r UNION ALL SELECT 'zone', reason FROM zn_r
-  UNION ALL SELECT 'point', reason FROM pt_r UNION ALL SELECT 'actor', reason FROM ac_r)
+  UNION ALL SELECT 'point', reason FROM pt_r UNION ALL SELECT 'actor', reason FROM ac_r
+  UNION ALL SELECT 'area', reason FROM ar_r UNION ALL SELECT 'service_zone', reason FROM sz_r)
 SELECT validator, coalesce(reason, 'ok') AS reason, CAST(count(*) AS BIGINT) AS n_rows FROM allr GROUP BY 1, 2
 """)
 

@@ -575,6 +575,12 @@ def q_batch_validation(spark, sf_dir):
         _reason_counts(coverage.validate_zone_batch(zone_batch, fx.v_areas), "zone"),
         _reason_counts(coverage.validate_point_batch(fx.v_points.withColumn("lat", F.col("lat") * 3)), "point"),
         _reason_counts(access.validate_actor_batch(actor_batch, fx.v_actors), "actor"),
+        _reason_counts(coverage.validate_area_batch(fx.region.select(
+            F.when(fx.region.r_regionkey % 4 == 0, F.lit(" ")).otherwise(fx.region.r_name).alias("name"),
+            F.when(fx.region.r_regionkey % 2 == 0, F.lit("Karachi")).otherwise(F.lit("Multan")).alias("city"))), "area"),
+        _reason_counts(coverage.validate_service_zone_batch(fx.v_service_zones.select(
+            "merchant_id", "zone_id", F.when(F.col("zone_id") % 7 == 0, F.col("zone_id") + 1).otherwise(F.col("branch_id")).alias("branch_id")),
+            fx.v_zones, fx.v_branches), "service_zone"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -50,3 +50,51 @@ def test_wide_polygons_use_merchant_array(spark):
     p = spark.createDataFrame(pts, "id long, merchant_id long, lon double, lat double")
     got = {r.id: r.covered for r in coverage.zone_coverage(p, sz, zones, areas, branches, cell_deg=0.5, max_cells=4).collect()}
     assert got == {1: False, 2: True, 3: True}
+
+
+def _brute_covers(rings, x, y):
+    inside = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            if cross == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return True
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                inside = not inside
+    return inside
+
+
+def _wkt(rings):
+    return "POLYGON(" + ",".join("(" + ",".join(f"{x} {y}" for x, y in r) + ")" for r in rings) + ")"
+
+
+def test_random_points_match_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    zones, sz, polys = [], [], {}
+    for zid in range(12):
+        x0, y0 = rng.randint(0, 10), rng.randint(0, 10)
+        w, h = rng.randint(2, 6), rng.randint(2, 6)
+        outer = [(x0, y0), (x0 + w, y0), (x0 + w, y0 + h), (x0 + w // 2, y0 + h + 2), (x0, y0 + h), (x0, y0)]
+        rings = [outer]
+        if w >= 4 and h >= 4:
+            rings.append([(x0 + 1, y0 + 1), (x0 + 2, y0 + 1), (x0 + 2, y0 + 2), (x0 + 1, y0 + 2), (x0 + 1, y0 + 1)])
+        polys[zid] = rings
+        zones.append((zid, 1, f"z{zid}", _wkt(rings)))
+        for m in (0, 1):
+            if (zid + m) % 3:
+                sz.append((100 * m + zid, m, zid, None, dt.datetime(2024, 1, 1 + (zid * 7 + m) % 3)))
+    pts = [(i, i % 2, rng.randint(0, 40) / 2, rng.randint(0, 40) / 2) for i in range(400)]
+    expected = {}
+    for pid, m, x, y in pts:
+        cands = [(-(s[4].timestamp()), s[0], s[2]) for s in sz if s[1] == m and _brute_covers(polys[s[2]], x, y)]
+        expected[pid] = min(cands)[2] if cands else None
+    zdf = spark.createDataFrame(zones, "id long, area_id long, name string, coordinates_wkt string")
+    areas = spark.createDataFrame([(1, "a", "Karachi")], "id long, name string, city string")
+    branches = spark.createDataFrame([], "id long, merchant_id long, name string")
+    sdf = spark.createDataFrame(sz, "id long, merchant_id long, zone_id long, branch_id long, created_at timestamp")
+    pdf = spark.createDataFrame(pts, "id long, merchant_id long, lon double, lat double")
+    for cell, max_cells in ((1.0, 4096), (0.5, 6)):  # grid path, and most polygons on the wide path
+        got = {r.id: r.zone_id for r in coverage.zone_coverage(pdf, sdf, zdf, areas, branches, cell_deg=cell, max_cells=max_cells).collect()}
+        assert got == expected

@@ -31,3 +31,19 @@ def test_read_commands_keeps_bad_lines(spark):
     assert len(rows) == 2
     good = [r for r in rows if r[documents.CORRUPT_COL] is None]
     assert len(good) == 1 and good[0].cart_id == "12"
+
+
+def test_documents_round_trip(spark):
+    import os
+
+    placed = Q._placed(fixtures(spark, SF_SMALL))
+    from mercato.operators import orders
+
+    docs = documents.to_documents(orders.order_detail(placed["bills"], placed["lines"], placed["addons"]), "order_id")
+    out = os.path.join(tempfile.mkdtemp(prefix="mercato-docs-"), "docs")
+    documents.write_documents(docs, out)
+    back = spark.read.json(out)
+    assert back.count() == placed["bills"].count()
+    one = json.loads(back.first().document)
+    assert {"order_id", "subtotal", "total", "items"} <= set(one)
+    assert all("addons" in it for it in one["items"])
