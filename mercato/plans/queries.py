@@ -11,9 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mercato.operators import reports
-from mercato.sources.fixtures import fixtures
+from mercato.functions.arrays import ids_text
+from mercato.functions.cols import ts_text
+from mercato.operators import access, carts, catalog, changes, coverage, discounts, hours, orders, quality, reports
+from mercato.sources import documents
+from mercato.sources.fixtures import DISCOUNT_AS_OF, SESSION_AS_OF, fixtures
+from mercato.streaming import sales_stream, status_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -70,10 +75,6 @@ def q_sales_per_merchant(spark, sf_dir):
 
 # --- catalog, listing, lookups -----------------------------------------------
 
-from mercato.functions.arrays import ids_text  # noqa: E402
-from mercato.functions.cols import ts_text  # noqa: E402
-from mercato.operators import access, carts, catalog, discounts  # noqa: E402
-from mercato.sources.fixtures import DISCOUNT_AS_OF, SESSION_AS_OF  # noqa: E402
 
 # Fixed value: later instant at which stored discounts are re-validated (C5 query).
 REPRICE_AS_OF = "2001-06-01 00:00:00"
@@ -316,8 +317,6 @@ def q_cart_detail(spark, sf_dir):
 
 # --- orders ------------------------------------------------------------------
 
-from mercato.operators import orders  # noqa: E402
-
 
 def _order_requests(fx):
     # every order's cart is placed again by the cart's actor; payment text varies in case and spacing,
@@ -398,8 +397,6 @@ def q_status_changes_authorized(spark, sf_dir):
 
 # --- branch hours and coverage -------------------------------------------------
 
-from mercato.operators import coverage, hours  # noqa: E402
-
 
 @register("clock_parse")
 def q_clock_parse(spark, sf_dir):
@@ -441,8 +438,6 @@ def q_zone_coverage(spark, sf_dir):
 
 # --- data quality and batch validation -----------------------------------------
 
-from mercato.operators import changes, quality  # noqa: E402
-
 
 @register("unique_violations")
 def q_unique_violations(spark, sf_dir):
@@ -688,10 +683,6 @@ def q_stock_allocation(spark, sf_dir):
 
 # --- JSON sources / sinks and streams ----------------------------------------------
 
-from pyspark.sql import types as T  # noqa: E402
-
-from mercato.sources import documents  # noqa: E402
-from mercato.streaming import sales_stream, status_stream  # noqa: E402
 
 ORDER_COMMAND_SCHEMA = T.StructType([
     T.StructField("cart_id", T.StringType()), T.StructField("payment_type", T.StringType()),
