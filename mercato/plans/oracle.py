@@ -397,11 +397,10 @@ sql("explicit_discount_check",
 
 sql("cart_reprice", f"""
 WITH {_LINES.strip()},
-{priced_cte(DISCOUNT_AS_OF, None).strip()},
+{best_cte(DISCOUNT_AS_OF, "SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM lines l JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id").strip()},
 upd AS (
-  SELECT id AS item_id, quantity - 10 AS new_quantity,
-         CASE WHEN reason IS NULL AND coalesce(did, -(merchant_id + 1)) > 0 THEN did END AS stored_id
-  FROM pr),
+  SELECT l.id AS item_id, l.quantity - 10 AS new_quantity, b.did AS stored_id
+  FROM lines l LEFT JOIN best b ON b.tid = l.id),
 lines2 AS (
   SELECT l.id, l.cart_id, l.product_id, u.new_quantity AS quantity, l.addon_unit_price, l.addon_reason, u.stored_id
   FROM lines l JOIN upd u ON u.item_id = l.id),

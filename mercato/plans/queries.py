@@ -263,14 +263,16 @@ def q_explicit_discount_check(spark, sf_dir):
 
 @register("cart_reprice")
 def q_cart_reprice(spark, sf_dir):
-    # new quantity = quantity - 10; the stored discount is the one resolved at the discount as-of,
-    # re-validated at a later instant
+    # new quantity = quantity - 10; the stored discount is the best one resolved when the line was added
+    # (at the discount as-of), re-validated at a later instant
     fx = fixtures(spark, sf_dir)
     lines = _lines(fx)
-    priced = carts.price_cart_items(lines, fx.v_carts, fx.v_products, fx.v_product_addons, fx.v_discounts, DISCOUNT_AS_OF)
-    updates = priced.select(
-        "item_id", "cart_id", (F.col("quantity") - 10).alias("new_quantity"),
-        F.when(F.col("discount_id") > 0, F.col("discount_id")).alias("stored_discount_id"))
+    targets = (lines.select(F.col("id").alias("item_id"), "cart_id", "product_id", "quantity")
+               .join(fx.v_carts.select(F.col("id").alias("cart_id"), "merchant_id"), "cart_id")
+               .join(fx.v_products.select(F.col("id").alias("product_id"), "category_id"), "product_id", "left"))
+    stored = discounts.resolve_best_discount(targets, fx.v_discounts, DISCOUNT_AS_OF)
+    updates = stored.select("item_id", "cart_id", (F.col("quantity") - 10).alias("new_quantity"),
+                            F.col("best_discount_id").alias("stored_discount_id"))
     return carts.reprice_quantity_updates(updates, lines, fx.v_carts, fx.v_products, fx.v_product_addons,
                                           fx.v_discounts, REPRICE_AS_OF)
 
