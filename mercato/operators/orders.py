@@ -83,7 +83,7 @@ def order_line_amounts(quantity, price, addon_amount, discount, rate) -> dict[st
 
 def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, products: DataFrame,
                  addons: DataFrame, inventory: DataFrame, branches: DataFrame, role_flags: DataFrame,
-                 as_of, materialize_steps: bool = True) -> dict[str, DataFrame]:
+                 as_of, materialize_steps: bool = True, materialize_decisions: bool = True) -> dict[str, DataFrame]:
     """B2: bill every request ``(cart_id, payment_type, viewer_id)`` against a stock snapshot.
 
     Returns ``bills`` (accepted orders with totals), ``lines`` (B3 amounts of
@@ -174,7 +174,7 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
         F.sum(F.col("line_total").cast("decimal(14,2)")).alias("_tot"),
     )
     r = r.join(totals, "cart_id", "left").withColumn("reason", F.coalesce("_pre_reason", "_line_err2"))
-    if materialize_steps:
+    if materialize_steps and materialize_decisions:
         r = materialize(r)
 
     accepted = r.filter(F.col("reason").isNull())

@@ -330,10 +330,11 @@ def _order_requests(fx):
     return o.select(F.col("cart_id"), pt.alias("payment_type"), F.col("actor_id").alias("viewer_id"))
 
 
-def _placed(fx):
+def _placed(fx, several_outputs: bool = True):
     flags = access.role_flags(fx.v_actors, fx.v_actor_roles)
     return orders.place_orders(_order_requests(fx), fx.v_carts, _lines(fx), fx.v_products, fx.v_product_addons,
-                               fx.v_product_inventory, fx.v_branches, flags, SESSION_AS_OF)
+                               fx.v_product_inventory, fx.v_branches, flags, SESSION_AS_OF,
+                               materialize_decisions=several_outputs)
 
 
 @register("merged_cart_lines")
@@ -351,22 +352,22 @@ def q_merged_cart_lines(spark, sf_dir):
 
 @register("order_bills")
 def q_order_bills(spark, sf_dir):
-    return _placed(fixtures(spark, sf_dir))["bills"]
+    return _placed(fixtures(spark, sf_dir), several_outputs=False)["bills"]
 
 
 @register("order_lines")
 def q_order_lines(spark, sf_dir):
-    return _placed(fixtures(spark, sf_dir))["lines"]
+    return _placed(fixtures(spark, sf_dir), several_outputs=False)["lines"]
 
 
 @register("order_rejects")
 def q_order_rejects(spark, sf_dir):
-    return _placed(fixtures(spark, sf_dir))["rejects"]
+    return _placed(fixtures(spark, sf_dir), several_outputs=False)["rejects"]
 
 
 @register("order_inventory")
 def q_order_inventory(spark, sf_dir):
-    return _placed(fixtures(spark, sf_dir))["inventory"]
+    return _placed(fixtures(spark, sf_dir), several_outputs=False)["inventory"]
 
 
 @register("order_detail")
