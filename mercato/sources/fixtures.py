@@ -147,9 +147,10 @@ FROM {customer}""",
 
 VIEW_NAMES = tuple(VIEWS)
 
-# Spark text for two views whose FIXTURES.md form expands rows with a join against a 3-row VALUES list:
-# a generator (explode / inline) gives the same rows without a nested-loop join in the plan.  The oracle
-# keeps the original text, so every oracle comparison also checks these equivalents.
+# Spark text for three views whose FIXTURES.md form uses a non-equi join (against a 3-row VALUES list, or
+# merchants x nations under a modulo condition): generators and an equi join give the same rows without a
+# nested-loop join in the plan.  The oracle keeps the original text, so every oracle comparison also checks
+# these equivalents.
 SPARK_VIEWS: dict[str, str] = {
     "v_product_addons": """
 SELECT p_partkey * 10 + k AS id, p_partkey AS product_id, concat('addon ', CAST(k AS STRING)) AS name,
@@ -160,6 +161,13 @@ SELECT i.id AS cart_item_id, i.product_id * 10 + a.k AS addon_id
 FROM {v_cart_items} i LATERAL VIEW inline(array(struct(1 AS k, 1 AS bit), struct(2 AS k, 2 AS bit),
                                                  struct(3 AS k, 4 AS bit))) a AS k, bit
 WHERE floor(i.addon_bits / a.bit) % 2 = 1""",
+    # (m + n) % 4 <> 0 depends only on n % 4: each merchant lists its admissible residues, then an equi join
+    "v_service_zones": """
+SELECT m.id * 100 + n_nationkey AS id, m.id AS merchant_id, n_nationkey AS zone_id,
+       CASE WHEN n_nationkey % 10 = m.id THEN n_nationkey END AS branch_id,
+       CASE WHEN (m.id + n_nationkey) % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-02 00:00:00' END AS created_at
+FROM (SELECT id, r FROM {v_merchants} LATERAL VIEW explode(array(0, 1, 2, 3)) x AS r WHERE (id + r) % 4 <> 0) m
+JOIN {nation} ON n_nationkey % 4 = m.r""",
 }
 
 # The as-of instants used by the fixture queries (FIXTURES.md part 2).
