@@ -385,19 +385,66 @@ def _allocation_fold(batches):
         yield pd.DataFrame([settle(carry)], columns=["order_id", "branch_id", "accepted", "reason"])
 
 
-def allocate_stock(candidates: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
+def stock_components(candidates: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Connected components of co-ordered products inside each branch: (branch_id, product_id, component).
+
+    Two products are linked when one order asks for both.  Orders in different
+    components touch disjoint stock, so their serial folds are independent.
+    Min-label propagation: every round, an order takes the smallest label of
+    its products and every product the smallest label of its orders; rounds
+    stop when no label changes.  Each round's labels are written as a table
+    (lineage stays short, lost executors do not replay earlier rounds); the
+    only driver-side value per round is the count of changed labels.
+    """
+    lines = candidates.select("order_id", "branch_id", "product_id").distinct()
+    labels = lines.select("branch_id", "product_id", F.col("product_id").alias("label")).distinct()
+    labels = materialize(labels)
+    for _ in range(max_rounds):
+        per_order = (lines.join(labels, ["branch_id", "product_id"])
+                     .groupBy("order_id", "branch_id").agg(F.min("label").alias("order_label")))
+        nxt = (lines.join(per_order, ["order_id", "branch_id"])
+               .groupBy("branch_id", "product_id").agg(F.min("order_label").alias("label")))
+        nxt = materialize(nxt)
+        changed = nxt.join(labels.withColumnRenamed("label", "_old"), ["branch_id", "product_id"]) \
+            .filter(F.col("label") != F.col("_old")).count()
+        labels = nxt
+        if changed == 0:
+            break
+    return labels.withColumnRenamed("label", "component")
+
+
+def allocate_stock(candidates: DataFrame, inventory: DataFrame, hot_fraction: float = 0.2,
+                   hot_min_rows: int = 1_000_000) -> dict[str, DataFrame]:
     """Serial stock use per branch in (ts, order_id) order; rejected orders do not consume stock.
 
     ``candidates``: (order_id, branch_id, ts, product_id, quantity) for the
     tracked lines of orders that pass every other check.  A cart has one
-    branch and stock is keyed by (product, branch), so branches are independent:
-    rows are hash-partitioned by branch and folded in order inside each task.
+    branch and stock is keyed by (product, branch), so branches are independent
+    and each is folded in (ts, order) order inside one task.
+
+    A hot branch (more than ``hot_fraction`` of all rows and more than
+    ``hot_min_rows``) is split further: orders in different product components
+    (``stock_components``) touch disjoint stock, so each component is folded in
+    its own task.  Hot branches are at most ``1 / hot_fraction`` rows, so that
+    list is broadcast; cold branches skip the component search entirely.
     Returns ``decisions`` (order_id, branch_id, accepted, reason) and the new
     ``inventory``.
     """
+    candidates = materialize(candidates)  # read by the size check, the fold and the stock update
     rows = candidates.join(inventory.select("product_id", "branch_id", F.col("quantity").alias("stock")),
                            ["product_id", "branch_id"], "left")
-    ordered = rows.repartition("branch_id").sortWithinPartitions("branch_id", "ts", "order_id", "product_id")
+    total = candidates.count()
+    limit = max(hot_fraction * total, hot_min_rows)
+    hot = candidates.groupBy("branch_id").count().filter(F.col("count") > F.lit(limit)).select("branch_id")
+    if hot.limit(1).count() > 0:
+        hot_side = F.broadcast(hot) if hot_fraction > 0 else hot  # <= 1/hot_fraction rows
+        comp = stock_components(candidates.join(hot_side, "branch_id", "left_semi"))
+        rows = rows.join(comp, ["branch_id", "product_id"], "left").withColumn(
+            "component", F.coalesce(F.col("component"), F.lit(-1).cast("long")))
+    else:
+        rows = rows.withColumn("component", F.lit(-1).cast("long"))
+    ordered = rows.repartition("branch_id", "component").sortWithinPartitions(
+        "branch_id", "component", "ts", "order_id", "product_id")
     decisions = ordered.select("order_id", "branch_id", "product_id", "quantity", "stock").mapInPandas(
         _allocation_fold, ALLOCATION_SCHEMA)
     used = (candidates.join(decisions.filter("accepted").select("order_id"), "order_id", "left_semi")

@@ -60,3 +60,44 @@ def test_status_stream_matches_batch_fold(spark):
     a = sorted((r.order_ref, r.final_status, r.n_applied) for r in last.collect())
     b = sorted((r.order_ref, r.final_status, r.n_applied) for r in fold.collect())
     assert a == b
+
+
+def test_component_split_fold_equals_replay(spark):
+    import datetime as dt
+    import random
+
+    from mercato.operators import orders
+
+    rng = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    cand, stock = [], {}
+    for branch in range(3):
+        for product in range(30):
+            stock[(product, branch)] = rng.randint(0, 12)
+    oid = 0
+    for branch in range(3):
+        for _ in range(120):
+            oid += 1
+            ts = base + dt.timedelta(minutes=rng.randint(0, 5000))
+            group = rng.choice([range(0, 10), range(10, 20), range(20, 30)])  # three independent product groups
+            for p in rng.sample(list(group), rng.randint(1, 3)):
+                cand.append((oid, branch, ts, p, rng.randint(1, 4)))
+    cdf = spark.createDataFrame(cand, "order_id long, branch_id long, ts timestamp, product_id long, quantity int")
+    inv = spark.createDataFrame([(p, b, q) for (p, b), q in stock.items()], "product_id long, branch_id long, quantity int")
+    lines, first_ts = {}, {}
+    for o, b, ts, p, q in cand:
+        lines.setdefault((o, b), []).append((p, q))
+        first_ts[o] = ts
+    left, expected = dict(stock), {}
+    for (o, b) in sorted(lines, key=lambda k: (first_ts[k[0]], k[0])):
+        ok = all(left[(p, b)] >= q for p, q in lines[(o, b)])
+        if ok:
+            for p, q in lines[(o, b)]:
+                left[(p, b)] -= q
+        expected[o] = ok
+    for fraction, min_rows in ((0.0, 0), (0.3, 0), (0.2, 10**9)):  # all branches split / some / none
+        out = orders.allocate_stock(cdf, inv, hot_fraction=fraction, hot_min_rows=min_rows)
+        assert {r.order_id: r.accepted for r in out["decisions"].collect()} == expected
+        assert {(r.product_id, r.branch_id): r.quantity for r in out["inventory"].collect()} == left
+    comps = orders.stock_components(cdf).select("branch_id", "component").distinct().count()
+    assert comps == 9  # three product groups in each of three branches
