@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.arrays import ids_text
 from mercato.functions.clock import is_open
 from mercato.functions.cols import first_by, first_reason, reason_code, reason_name
 from mercato.functions.money import round2
@@ -331,10 +330,6 @@ def apply_status_changes(requests: DataFrame, key: str = "order_ref",
     )
 
 
-__all__ = ["bill_vat_rate", "merge_cart_lines", "order_line_amounts", "place_orders", "order_detail",
-           "check_status_transition", "status_transition_table", "apply_status_changes", "ids_text"]
-
-
 # --- B5: serial stock allocation -------------------------------------------------
 
 ALLOCATION_SCHEMA = "order_id long, branch_id long, accepted boolean, reason string"

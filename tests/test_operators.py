@@ -3,8 +3,6 @@
 import datetime as dt
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
-
 from mercato.operators import carts, discounts, orders, reports
 
 AS_OF = "2000-01-01 00:00:00"
