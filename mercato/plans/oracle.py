@@ -1029,5 +1029,27 @@ FROM fold GROUP BY 1
 """)
 
 
+sql("status_stream", """
+WITH RECURSIVE
+ok(f, t) AS (VALUES ('pending', 'accepted'), ('pending', 'cancelled'), ('accepted', 'out_for_delivery'), ('accepted', 'cancelled'),
+                    ('out_for_delivery', 'delivered'), ('out_for_delivery', 'cancelled'), ('delivered', 'refunded')),
+r AS (SELECT order_ref, event_id, ts, requested_status AS t,
+             row_number() OVER (PARTITION BY order_ref ORDER BY ts, event_id) AS rn
+      FROM v_status_requests),
+fold(order_ref, rn, event_id, ts, from_status, to_status, applied, state) AS (
+  SELECT order_ref, rn, event_id, ts, 'pending', t,
+         EXISTS (SELECT 1 FROM ok WHERE ok.f = 'pending' AND ok.t = r.t),
+         CASE WHEN EXISTS (SELECT 1 FROM ok WHERE ok.f = 'pending' AND ok.t = r.t) THEN t ELSE 'pending' END
+  FROM r WHERE rn = 1
+  UNION ALL
+  SELECT f.order_ref, r.rn, r.event_id, r.ts, f.state, r.t,
+         EXISTS (SELECT 1 FROM ok WHERE ok.f = f.state AND ok.t = r.t),
+         CASE WHEN EXISTS (SELECT 1 FROM ok WHERE ok.f = f.state AND ok.t = r.t) THEN r.t ELSE f.state END
+  FROM fold f JOIN r ON r.order_ref = f.order_ref AND r.rn = f.rn + 1)
+SELECT order_ref, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, from_status, to_status, applied, state AS status_after
+FROM fold
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

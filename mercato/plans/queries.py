@@ -730,7 +730,9 @@ def q_json_documents(spark, sf_dir):
 
 @register("status_stream")
 def q_status_stream(spark, sf_dir):
-    return status_stream.run_status_stream(spark, sf_dir)
+    feed = status_stream.run_status_stream(spark, sf_dir)
+    return feed.select("order_ref", "event_id", ts_text("ts").alias("ts"), "from_status", "to_status", "applied",
+                       "status_after")
 
 
 @register("sales_stream")

@@ -53,7 +53,9 @@ def test_serial_allocation_matches_python_replay(spark):
 
 
 def test_status_stream_matches_batch_fold(spark):
-    feed = Q.QUERIES["status_stream"](spark, SF_SMALL)
+    from mercato.streaming import status_stream
+
+    feed = status_stream.run_status_stream(spark, SF_SMALL)
     last = feed.groupBy("order_ref").agg(F.max_by("status_after", F.struct("ts", "event_id")).alias("final_status"),
                                          F.sum(F.col("applied").cast("int")).alias("n_applied"))
     fold = Q.QUERIES["status_fold"](spark, SF_SMALL).select("order_ref", "final_status", "n_applied")
