@@ -1051,5 +1051,33 @@ FROM fold
 """)
 
 
+sql("stock_allocation", f"""
+WITH RECURSIVE {_ORDERS.strip()},
+acc AS (SELECT cart_id AS order_id, branch_id FROM fin WHERE reason IS NULL),
+cand AS (
+  SELECT bl.cart_id AS order_id, bl.branch_id, bl.product_id, bl.quantity
+  FROM bl JOIN acc ON acc.order_id = bl.cart_id WHERE coalesce(bl.track_inventory, false)),
+ord AS (
+  SELECT c.branch_id, c.order_id,
+         row_number() OVER (PARTITION BY c.branch_id ORDER BY o.created_at, c.order_id) AS rn
+  FROM (SELECT DISTINCT branch_id, order_id FROM cand) c JOIN v_orders o ON o.id = c.order_id),
+fold(branch_id, rn, product_id, remaining, order_id, ok) AS (
+  SELECT i.branch_id, CAST(0 AS BIGINT), i.product_id, i.quantity, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN)
+  FROM v_product_inventory i WHERE i.branch_id IN (SELECT branch_id FROM ord)
+  UNION ALL
+  SELECT branch_id, rn + 1, product_id,
+         remaining - CASE WHEN step_ok THEN coalesce(quantity, 0) ELSE 0 END, next_order, step_ok
+  FROM (
+    SELECT s.branch_id, s.rn, s.product_id, s.remaining, o.order_id AS next_order, l.quantity,
+           bool_and(l.quantity IS NULL OR s.remaining >= l.quantity) OVER (PARTITION BY s.branch_id) AS step_ok
+    FROM fold s JOIN ord o ON o.branch_id = s.branch_id AND o.rn = s.rn + 1
+    LEFT JOIN cand l ON l.order_id = o.order_id AND l.product_id = s.product_id) x),
+dec AS (SELECT DISTINCT order_id, ok FROM fold WHERE order_id IS NOT NULL)
+SELECT a.order_id, a.branch_id, coalesce(d.ok, true) AS accepted,
+       CASE WHEN d.ok = false THEN 'insufficient_inventory' END AS reason
+FROM acc a LEFT JOIN dec d ON d.order_id = a.order_id
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}
