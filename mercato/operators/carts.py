@@ -18,6 +18,7 @@ from mercato.functions.money import round2
 from mercato.operators import discounts as disc
 
 ADDON_REASONS = ("addon_not_found", "addon_wrong_product")
+DETAIL_REASONS = ("product_not_found", "addon_not_found")
 
 # Preview VAT rates by payment method (percent).
 PREVIEW_VAT = {"card": 8, "cash": 15}
@@ -228,9 +229,11 @@ def cart_detail(lines: DataFrame, carts: DataFrame, products: DataFrame, addons:
         (F.col("_pm").isNull() | (F.col("_pm") != F.col("merchant_id")), "product_not_found"),
         (F.coalesce(F.col("_addon_missing"), F.lit(0)) == 1, "addon_not_found"),
     )
+    # a missing product fails every line of that product and otherwise only a missing addon can fail, so the
+    # first failing line by (product_id, id) has the same reason as the first by product_id alone
     g = j.groupBy("cart_id").agg(
         F.array_sort(F.collect_list(item)).alias("items"),
-        F.min(F.when(line_err.isNotNull(), F.struct("product_id", "id", line_err.alias("r")))).getField("r").alias("reason"),
+        reason_name(first_by(reason_code(line_err, DETAIL_REASONS), F.col("product_id")), DETAIL_REASONS).alias("reason"),
     )
     return g
 
