@@ -74,6 +74,20 @@ def check_addon_ownership(lines: DataFrame, addons: DataFrame) -> DataFrame:
     )
 
 
+def lookup_by_signature(cart_items: DataFrame, requests: DataFrame) -> DataFrame:
+    """Find the stored line with the same (cart_id, product_id, addon set) as each request.
+
+    Both sides are normalised (C1) and the addon set is compared as its id text,
+    so the equi join never depends on the order or duplicates of the given ids.
+    Adds ``item_id`` (NULL when no line matches) to every request row.
+    """
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_sig", ids_text(normalize_addon_ids("addon_ids")))
+
+    stored = keyed(cart_items).select("cart_id", "product_id", "_sig", F.col("id").alias("item_id"))
+    return keyed(requests).join(stored, ["cart_id", "product_id", "_sig"], "left").drop("_sig")
+
+
 def merge_cart_adds(adds: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Add requests with the same (cart, product, addon set) signature add up.
 

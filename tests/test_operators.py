@@ -82,3 +82,12 @@ def test_report_period_without_sales_is_zeros(spark):
     assert (r.total_sales, r.total_tax, r.total_discount, r.profit_estimate) == (0.0, 0.0, 0.0, 0.0)
     r = reports.monthly_sales_report_for(o, i, 0, 3, 2000).first()
     assert (r.total_sales, r.total_tax, r.total_discount, r.profit_estimate) == (9.8, 0.8, 1.0, 9.0)
+
+
+def test_lookup_by_signature_normalises_both_sides(spark):
+    items = spark.createDataFrame([(1, 100, 7, [30, 20]), (2, 100, 7, []), (3, 100, 8, [20])],
+                                  "id long, cart_id long, product_id long, addon_ids array<bigint>")
+    req = spark.createDataFrame([(100, 7, [20, 30, 20, 0]), (100, 7, None), (100, 8, [30]), (101, 7, [])],
+                                "cart_id long, product_id long, addon_ids array<bigint>")
+    got = sorted((r.product_id, r.item_id) for r in carts.lookup_by_signature(items, req).collect())
+    assert got == [(7, 1), (7, 2), (7, None), (8, None)]
