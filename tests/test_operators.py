@@ -89,5 +89,6 @@ def test_lookup_by_signature_normalises_both_sides(spark):
                                   "id long, cart_id long, product_id long, addon_ids array<bigint>")
     req = spark.createDataFrame([(100, 7, [20, 30, 20, 0]), (100, 7, None), (100, 8, [30]), (101, 7, [])],
                                 "cart_id long, product_id long, addon_ids array<bigint>")
-    got = sorted((r.product_id, r.item_id) for r in carts.lookup_by_signature(items, req).collect())
-    assert got == [(7, 1), (7, 2), (7, None), (8, None)]
+    got = sorted(((r.cart_id, r.product_id, r.item_id) for r in carts.lookup_by_signature(items, req).collect()),
+                 key=lambda t: (t[0], t[1], t[2] is None, t[2] or 0))
+    assert got == [(100, 7, 1), (100, 7, 2), (100, 8, None), (101, 7, None)]
