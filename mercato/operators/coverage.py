@@ -2,8 +2,8 @@
 
 Coverage (G2) replaces a PostGIS GIST lookup with a grid index built by Spark:
 
-1. every service zone's polygon is parsed once (WKT -> rings -> edge array,
-   bounding box);
+1. every zone's polygon is parsed once (WKT -> rings -> edge array, bounding
+   box); the cell size defaults to a quarter of the median polygon extent;
 2. polygons are exploded into the grid cells their bounding box touches and
    grouped per (merchant, cell) into a candidate array - its size is the
    number of polygons overlapping one cell, independent of the point count;
@@ -30,6 +30,19 @@ from mercato.operators.hours import CITIES
 
 DEFAULT_CELL_DEG = 1.0
 DEFAULT_MAX_CELLS = 4096
+CELLS_PER_MEDIAN_EXTENT = 4  # a median polygon spans about 4 x 4 cells
+
+
+def adaptive_cell_size(polys: DataFrame, fallback: float = DEFAULT_CELL_DEG) -> float:
+    """Grid cell size from the data: the median polygon extent divided by CELLS_PER_MEDIAN_EXTENT.
+
+    One approximate-percentile aggregate over the polygon table; only a single
+    number reaches the driver.
+    """
+    extent = F.greatest(F.col("bbox.maxx") - F.col("bbox.minx"), F.col("bbox.maxy") - F.col("bbox.miny"))
+    row = polys.filter(extent > 0).agg(F.percentile_approx(extent, 0.5).alias("m")).first()
+    median = row["m"] if row is not None else None
+    return float(median) / CELLS_PER_MEDIAN_EXTENT if median else fallback
 
 
 def list_service_zones(service_zones: DataFrame, zones: DataFrame, areas: DataFrame, branches: DataFrame) -> DataFrame:
@@ -72,12 +85,18 @@ def _candidate(c) -> "F.Column":
 
 
 def zone_coverage(points: DataFrame, service_zones: DataFrame, zones: DataFrame, areas: DataFrame, branches: DataFrame,
-                  cell_deg: float = DEFAULT_CELL_DEG, max_cells: int = DEFAULT_MAX_CELLS) -> DataFrame:
-    """For each point (id, merchant_id, lon, lat) the covering service zone, or covered = false."""
+                  cell_deg: float | None = None, max_cells: int = DEFAULT_MAX_CELLS) -> DataFrame:
+    """For each point (id, merchant_id, lon, lat) the covering service zone, or covered = false.
+
+    ``cell_deg=None`` sizes the grid from the data (``adaptive_cell_size``); the
+    result does not depend on the cell size, only the work per point does.
+    """
     # parse each zone polygon once, on the (small) zones table, before any join
     parsed = parsed_zones(zones)
     sz = list_service_zones(service_zones, parsed, areas, branches)
     polys = sz.filter(F.col("is_valid"))
+    if cell_deg is None:
+        cell_deg = adaptive_cell_size(parsed.filter(F.col("is_valid")))
     cs = F.lit(float(cell_deg))
     polys = (polys.withColumn("_x0", F.floor(F.col("bbox.minx") / cs)).withColumn("_x1", F.floor(F.col("bbox.maxx") / cs))
              .withColumn("_y0", F.floor(F.col("bbox.miny") / cs)).withColumn("_y1", F.floor(F.col("bbox.maxy") / cs))

@@ -95,6 +95,6 @@ def test_random_points_match_brute_force(spark):
     branches = spark.createDataFrame([], "id long, merchant_id long, name string")
     sdf = spark.createDataFrame(sz, "id long, merchant_id long, zone_id long, branch_id long, created_at timestamp")
     pdf = spark.createDataFrame(pts, "id long, merchant_id long, lon double, lat double")
-    for cell, max_cells in ((1.0, 4096), (0.5, 6)):  # grid path, and most polygons on the wide path
+    for cell, max_cells in ((None, 4096), (1.0, 4096), (0.5, 6)):  # adaptive grid, fixed grid, mostly wide path
         got = {r.id: r.zone_id for r in coverage.zone_coverage(pdf, sdf, zdf, areas, branches, cell_deg=cell, max_cells=max_cells).collect()}
         assert got == expected
