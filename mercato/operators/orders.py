@@ -404,8 +404,9 @@ def stock_components(candidates: DataFrame, max_rounds: int = 50) -> DataFrame:
             .filter(F.col("label") != F.col("_old")).count()
         labels = nxt
         if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component")
+    # not converged: one component per branch (folding the whole branch in one task is always exact)
+    return labels.select("branch_id", "product_id", F.lit(-1).cast("long").alias("component"))
 
 
 def allocate_stock(candidates: DataFrame, inventory: DataFrame, hot_fraction: float = 0.2,

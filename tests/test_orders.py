@@ -103,3 +103,19 @@ def test_component_split_fold_equals_replay(spark):
         assert {(r.product_id, r.branch_id): r.quantity for r in out["inventory"].collect()} == left
     comps = orders.stock_components(cdf).select("branch_id", "component").distinct().count()
     assert comps == 9  # three product groups in each of three branches
+
+
+def test_components_fall_back_when_not_converged(spark):
+    import datetime as dt
+
+    from mercato.operators import orders
+
+    t = dt.datetime(2024, 1, 1)
+    # a chain 1-2-3-4 needs several rounds; with one round the split must give up, not cut the chain
+    cand = spark.createDataFrame([(1, 0, t, 1, 1), (1, 0, t, 2, 1), (2, 0, t, 2, 1), (2, 0, t, 3, 1),
+                                  (3, 0, t, 3, 1), (3, 0, t, 4, 1)],
+                                 "order_id long, branch_id long, ts timestamp, product_id long, quantity int")
+    full = {r.product_id: r.component for r in orders.stock_components(cand).collect()}
+    assert len(set(full.values())) == 1
+    capped = {r.product_id: r.component for r in orders.stock_components(cand, max_rounds=1).collect()}
+    assert set(capped.values()) == {-1}
