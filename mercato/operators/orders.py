@@ -385,9 +385,9 @@ def stock_components(candidates: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Two products are linked when one order asks for both.  Orders in different
     components touch disjoint stock, so their serial folds are independent.
-    Min-label propagation: every round, an order takes the smallest label of
-    its products and every product the smallest label of its orders; rounds
-    stop when no label changes.  Each round's labels are written as a table
+    Min-label propagation with pointer jumping: every round, an order takes the
+    smallest label of its products, every product the smallest label of its
+    orders and then its label's label; rounds stop when no label changes.  Each round's labels are written as a table
     (lineage stays short, lost executors do not replay earlier rounds); the
     only driver-side value per round is the count of changed labels.
     """
@@ -399,6 +399,10 @@ def stock_components(candidates: DataFrame, max_rounds: int = 50) -> DataFrame:
                      .groupBy("order_id", "branch_id").agg(F.min("label").alias("order_label")))
         nxt = (lines.join(per_order, ["order_id", "branch_id"])
                .groupBy("branch_id", "product_id").agg(F.min("order_label").alias("label")))
+        # pointer jumping: a product also takes its label's label (labels are product ids of the same branch)
+        hop = nxt.select("branch_id", F.col("product_id").alias("label"), F.col("label").alias("_hop"))
+        nxt = nxt.join(hop, ["branch_id", "label"], "left").select(
+            "branch_id", "product_id", F.least(F.col("label"), F.coalesce("_hop", "label")).alias("label"))
         nxt = materialize(nxt)
         changed = nxt.join(labels.withColumnRenamed("label", "_old"), ["branch_id", "product_id"]) \
             .filter(F.col("label") != F.col("_old")).count()
