@@ -47,3 +47,28 @@ def test_documents_round_trip(spark):
     one = json.loads(back.first().document)
     assert {"order_id", "subtotal", "total", "items"} <= set(one)
     assert all("addons" in it for it in one["items"])
+
+
+def test_status_stream_drops_duplicate_events(spark):
+    import datetime as dt
+    import os
+
+    from mercato.sources.tables import SCHEMAS
+    from mercato.streaming import status_stream
+
+    src = tempfile.mkdtemp(prefix="mercato-events-")
+    t = dt.datetime(2024, 1, 1, 10, 0, 0)
+    rows = [(1, t, 7, "signup", 1.0, "{}"), (1, t, 7, "signup", 1.0, "{}"),          # duplicate delivery
+            (2, t + dt.timedelta(minutes=1), 7, "view", 1.0, "{}"),
+            (3, t + dt.timedelta(minutes=2), 7, "purchase", 1.0, "{}"),
+            (3, t + dt.timedelta(minutes=2), 7, "purchase", 1.0, "{}")]         # duplicate delivery
+    spark.createDataFrame(rows, SCHEMAS["events"]).coalesce(1).write.parquet(os.path.join(src, "batch1"))
+    stream = spark.readStream.schema(SCHEMAS["events"]).parquet(os.path.join(src, "batch1"))
+    out = os.path.join(tempfile.mkdtemp(prefix="mercato-feed-"), "out")
+    q = (status_stream.status_feed(status_stream.requests_from_events(stream)).writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", out + "-chk").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    feed = sorted((r.event_id, r.from_status, r.to_status, r.applied) for r in spark.read.parquet(out).collect())
+    assert feed == [(1, "pending", "accepted", True), (2, "accepted", "out_for_delivery", True),
+                    (3, "out_for_delivery", "delivered", True)]
