@@ -62,3 +62,38 @@ def test_clock_parse_matches_reference_rule(spark, texts):
     got = {r.i: r.v for r in df.select("i", clock.parse_clock(F.col("t")).cast("int").alias("v")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == go_clock(t), (t, got[i])
+
+
+def go_is_open(o: int, c: int, now: int) -> bool:
+    if o == c:
+        return True
+    if o < c:
+        return o <= now < c
+    return now >= o or now < c
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1439), st.integers(0, 1439), st.integers(0, 1439)), min_size=60, max_size=60))
+def test_is_open_matches_reference_rule(spark, cases):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 20) - dt.timedelta(hours=5)  # local Karachi midnight in UTC
+    rows = [(i, o, c, base + dt.timedelta(minutes=m)) for i, (o, c, m) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, o int, c int, ts timestamp")
+    got = {r.i: r.v for r in df.select("i", clock.is_open("o", "c", "ts").alias("v")).collect()}
+    for i, (o, c, m) in enumerate(cases):
+        assert got[i] == go_is_open(o, c, m), (o, c, m)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["percentage", "flat"]), st.integers(0, 20000), st.integers(0, 10**7)),
+                min_size=60, max_size=60))
+def test_discount_amount_matches_reference_rule(spark, cases):
+    from mercato.operators import discounts
+
+    rows = [(i, t, v / 100, s / 100) for i, (t, v, s) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, t string, v double, s double")
+    got = {r.i: r.a for r in df.select("i", discounts.discount_amount("t", "v", "s").alias("a")).collect()}
+    for i, t, v, s in rows:
+        want = go_round2(s * v / 100) if t == "percentage" else go_round2(s if v > s else v)
+        assert got[i] == want, (t, v, s, got[i], want)
