@@ -97,3 +97,25 @@ def test_discount_amount_matches_reference_rule(spark, cases):
     for i, t, v, s in rows:
         want = go_round2(s * v / 100) if t == "percentage" else go_round2(s if v > s else v)
         assert got[i] == want, (t, v, s, got[i], want)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet=" \tabcXY", max_size=12), min_size=40, max_size=40))
+def test_split_full_name_matches_reference_rule(spark, names_):
+    from mercato.functions import names
+
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names_)], "i int, n string")
+    got = {r.i: (r.f, r.l) for r in df.select("i", names.first_name("n").alias("f"), names.last_name("n").alias("l")).collect()}
+    for i, n in enumerate(names_):
+        parts = n.split()
+        assert got[i] == ((parts[0] if parts else ""), " ".join(parts[1:])), repr(n)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(-3000, 5000), min_size=40, max_size=40))
+def test_format_clock_matches_reference_rule(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, m int")
+    got = {r.i: r.t for r in df.select("i", clock.format_clock("m").alias("t")).collect()}
+    for i, v in enumerate(values):
+        m = max(v, 0) % 1440
+        assert got[i] == f"{m // 60:02d}:{m % 60:02d}"
