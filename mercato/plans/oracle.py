@@ -415,7 +415,7 @@ FROM pr2
 
 sql("cart_preview", f"""
 WITH {_LINES.strip()},
-{best_cte(DISCOUNT_AS_OF, "SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM lines l JOIN v_carts c ON c.id = l.cart_id JOIN v_products p ON p.id = l.product_id").strip()},
+{best_cte(DISCOUNT_AS_OF, "SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM lines l JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id").strip()},
 pv AS (
   SELECT l.cart_id, l.id AS item_id, l.product_id, l.quantity, CAST(p.base_price AS DOUBLE) AS price, l.addon_unit_price,
          CAST(l.applied_discount_amount AS DOUBLE) AS line_discount,
@@ -1079,5 +1079,36 @@ FROM acc a LEFT JOIN dec d ON d.order_id = a.order_id
 """)
 
 
+sql("order_detail_items", f"""
+WITH {_ORDERS.strip()},
+acc AS (SELECT cart_id, g FROM fin WHERE reason IS NULL),
+asum AS (
+  SELECT al.cart_id, al.product_id, count(*) AS n, sum(al.addon_quantity) AS u, min(al.addon_id) AS first_id
+  FROM al JOIN acc ON acc.cart_id = al.cart_id GROUP BY 1, 2)
+SELECT bl.cart_id AS order_id, {r2('acc.g')} AS total, bl.product_id, bl.quantity, bl.line_total,
+       CAST(coalesce(a.n, 0) AS BIGINT) AS n_addons, CAST(coalesce(a.u, 0) AS BIGINT) AS addon_units,
+       a.first_id AS first_addon_id
+FROM bl JOIN acc ON acc.cart_id = bl.cart_id
+LEFT JOIN asum a ON a.cart_id = bl.cart_id AND a.product_id = bl.product_id
+""")
+
+sql("cart_detail_items", f"""
+WITH {_LINES.strip()},
+{best_cte(DISCOUNT_AS_OF, "SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM lines l JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id").strip()},
+li AS (
+  SELECT l.cart_id, l.id AS item_id, l.product_id, l.quantity, CAST(p.base_price AS DOUBLE) AS price,
+         CAST(l.addon_count AS BIGINT) AS n_addons, coalesce(b.did, -(c.merchant_id + 1)) AS discount_id,
+         CASE WHEN p.id IS NULL OR p.merchant_id <> c.merchant_id THEN 'product_not_found'
+              WHEN l.addon_missing > 0 THEN 'addon_not_found' END AS line_reason
+  FROM lines l JOIN v_carts c ON c.id = l.cart_id LEFT JOIN v_products p ON p.id = l.product_id
+  LEFT JOIN best b ON b.tid = l.id),
+cr AS (
+  SELECT cart_id, arg_min(line_reason, product_id) FILTER (WHERE line_reason IS NOT NULL) AS reason
+  FROM li GROUP BY 1)
+SELECT li.cart_id, cr.reason, li.product_id, li.item_id, li.quantity, li.price, li.n_addons, li.discount_id
+FROM li JOIN cr USING (cart_id)
+""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

@@ -317,6 +317,16 @@ def q_cart_detail(spark, sf_dir):
     return carts.cart_detail(_lines(fx), fx.v_carts, fx.v_products, fx.v_product_addons, pl)
 
 
+@register("cart_detail_items")
+def q_cart_detail_items(spark, sf_dir):
+    # the cart documents read back item by item, so the document builder can be compared with SQL
+    it = F.col("it")
+    return q_cart_detail(spark, sf_dir).select("cart_id", "reason", F.explode("items").alias("it")).select(
+        "cart_id", "reason", it["product_id"].alias("product_id"), it["item_id"].alias("item_id"),
+        it["quantity"].alias("quantity"), it["price"].alias("price"),
+        F.size(it["addons"]).cast("bigint").alias("n_addons"), it["discount"]["discount_id"].alias("discount_id"))
+
+
 # --- orders ------------------------------------------------------------------
 
 
@@ -376,6 +386,18 @@ def q_order_detail(spark, sf_dir):
     return orders.order_detail(placed["bills"], placed["lines"], placed["addons"])
 
 
+@register("order_detail_items")
+def q_order_detail_items(spark, sf_dir):
+    # the order documents read back item by item (addons summarised), comparable with SQL
+    it = F.col("it")
+    doc = q_order_detail(spark, sf_dir)
+    return doc.select("order_id", "total", F.explode("items").alias("it")).select(
+        "order_id", "total", it["product_id"].alias("product_id"), it["quantity"].alias("quantity"),
+        it["line_total"].alias("line_total"), F.size(it["addons"]).cast("bigint").alias("n_addons"),
+        F.aggregate(it["addons"], F.lit(0).cast("bigint"), lambda acc, a: acc + a["quantity"]).alias("addon_units"),
+        F.try_element_at(it["addons"], F.lit(1))["id"].alias("first_addon_id"))
+
+
 @register("status_transitions")
 def q_status_transitions(spark, sf_dir):
     return orders.status_transition_table(fixtures(spark, sf_dir).v_orders)
