@@ -1110,5 +1110,8 @@ FROM li JOIN cr USING (cart_id)
 """)
 
 
+sql("json_documents_items", _RAW["order_detail_items"])
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

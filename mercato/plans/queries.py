@@ -750,6 +750,30 @@ def q_json_documents(spark, sf_dir):
     return documents.to_documents(orders.order_detail(placed["bills"], placed["lines"], placed["addons"]), "order_id")
 
 
+ORDER_DOCUMENT_SCHEMA = T.StructType([
+    T.StructField("order_id", T.LongType()), T.StructField("total", T.DoubleType()),
+    T.StructField("items", T.ArrayType(T.StructType([
+        T.StructField("product_id", T.LongType()), T.StructField("quantity", T.IntegerType()),
+        T.StructField("line_total", T.DoubleType()),
+        T.StructField("addons", T.ArrayType(T.StructType([
+            T.StructField("id", T.LongType()), T.StructField("quantity", T.IntegerType())]))),
+    ]))),
+])
+
+
+@register("json_documents_items")
+def q_json_documents_items(spark, sf_dir):
+    # the JSON documents parsed back with an explicit schema and flattened like order_detail_items
+    docs = q_json_documents(spark, sf_dir)
+    d = docs.select(F.from_json("document", ORDER_DOCUMENT_SCHEMA).alias("d")).select("d.*")
+    it = F.col("it")
+    return d.select("order_id", "total", F.explode("items").alias("it")).select(
+        "order_id", "total", it["product_id"].alias("product_id"), it["quantity"].alias("quantity"),
+        it["line_total"].alias("line_total"), F.size(it["addons"]).cast("bigint").alias("n_addons"),
+        F.aggregate(it["addons"], F.lit(0).cast("bigint"), lambda acc, a: acc + a["quantity"]).alias("addon_units"),
+        F.try_element_at(it["addons"], F.lit(1))["id"].alias("first_addon_id"))
+
+
 @register("status_stream")
 def q_status_stream(spark, sf_dir):
     feed = status_stream.run_status_stream(spark, sf_dir)
