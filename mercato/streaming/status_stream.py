@@ -6,6 +6,13 @@ streaming state and every request is either applied (an allowed transition,
 B9) or rejected without changing the state.  The job writes one row per
 request, so the feed is consistent and free of duplicates.
 
+Ordering: inside a micro-batch an order's requests are applied in (ts,
+event_id) order; a request that arrives in a later micro-batch is applied when
+it arrives, even if its timestamp is earlier.  (Holding requests until the
+watermark passes them would give strict event-time order, but a run that ends
+- e.g. ``availableNow`` - would leave the last watermark window unapplied.)
+With one micro-batch, as below, the feed equals the batch fold ``status_fold``.
+
 ``run_*`` helpers drive the query with an ``availableNow`` trigger so it ends by
 itself; sink and checkpoint live under the session's ``spark.checkpoint.dir``.
 """
