@@ -119,3 +119,38 @@ def test_components_fall_back_when_not_converged(spark):
     assert len(set(full.values())) == 1
     capped = {r.product_id: r.component for r in orders.stock_components(cand, max_rounds=1).collect()}
     assert set(capped.values()) == {-1}
+
+
+def test_mixed_hot_and_cold_branches(spark):
+    import datetime as dt
+    import random
+
+    from mercato.operators import orders
+
+    rng = random.Random(9)
+    base = dt.datetime(2024, 1, 1)
+    stock = {(p, b): rng.randint(0, 15) for b in range(3) for p in range(20)}
+    cand, oid = [], 0
+    for b, n_orders in ((0, 300), (1, 25), (2, 25)):  # branch 0 holds most rows: hot; 1 and 2 stay whole
+        for _ in range(n_orders):
+            oid += 1
+            ts = base + dt.timedelta(seconds=rng.randint(0, 10**5))
+            group = rng.choice([range(0, 10), range(10, 20)])
+            for p in rng.sample(list(group), rng.randint(1, 2)):
+                cand.append((oid, b, ts, p, rng.randint(1, 3)))
+    cdf = spark.createDataFrame(cand, "order_id long, branch_id long, ts timestamp, product_id long, quantity int")
+    inv = spark.createDataFrame([(p, b, q) for (p, b), q in stock.items()], "product_id long, branch_id long, quantity int")
+    lines, first_ts = {}, {}
+    for o, b, ts, p, q in cand:
+        lines.setdefault((o, b), []).append((p, q))
+        first_ts[o] = ts
+    left, expected = dict(stock), {}
+    for (o, b) in sorted(lines, key=lambda k: (first_ts[k[0]], k[0])):
+        ok = all(left[(p, b)] >= q for p, q in lines[(o, b)])
+        if ok:
+            for p, q in lines[(o, b)]:
+                left[(p, b)] -= q
+        expected[o] = ok
+    out = orders.allocate_stock(cdf, inv, hot_fraction=0.5, hot_min_rows=0)
+    assert {r.order_id: r.accepted for r in out["decisions"].collect()} == expected
+    assert any(not v for v in expected.values())
