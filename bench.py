@@ -31,6 +31,7 @@ HEADLINE = [
     "cart_preview", "merged_cart_lines", "order_bills", "order_rejects", "order_lines", "stock_allocation",
     "zone_coverage", "status_fold", "session_states", "visible_orders", "unique_violations",
     "batch_validation", "upsert_inventory", "delete_by_key", "json_commands",
+    "status_changes_authorized", "status_stream", "sales_stream",
 ]
 
 

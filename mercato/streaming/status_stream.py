@@ -65,16 +65,22 @@ def requests_from_events(events: DataFrame) -> DataFrame:
 
 def _fold_status(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     current = state.get[0] if state.exists else INITIAL_STATUS
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-    out = []
-    for event_id, ts, to in zip(pdf["event_id"], pdf["ts"], pdf["requested_status"]):
+    frames = list(batches)
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    if len(pdf) > 1:
+        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
+    events, stamps, targets = pdf["event_id"].tolist(), pdf["ts"].tolist(), pdf["requested_status"].tolist()
+    before, applied, after = [], [], []
+    for to in targets:
         ok = to in ALLOWED_TRANSITIONS.get(current, ())
-        before = current
+        before.append(current)
         if ok:
             current = to
-        out.append((key[0], int(event_id), ts, before, to, ok, current))
+        applied.append(ok)
+        after.append(current)
     state.update((current,))
-    yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+    yield pd.DataFrame({"order_ref": [key[0]] * len(events), "event_id": events, "ts": stamps, "from_status": before,
+                        "to_status": targets, "applied": applied, "status_after": after})
 
 
 def status_feed(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
