@@ -72,3 +72,33 @@ def test_status_stream_drops_duplicate_events(spark):
     feed = sorted((r.event_id, r.from_status, r.to_status, r.applied) for r in spark.read.parquet(out).collect())
     assert feed == [(1, "pending", "accepted", True), (2, "accepted", "out_for_delivery", True),
                     (3, "out_for_delivery", "delivered", True)]
+
+
+def test_status_stream_state_carries_across_micro_batches(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from mercato.operators import orders
+    from mercato.sources.tables import SCHEMAS
+    from mercato.streaming import status_stream
+
+    events = spark.read.schema(SCHEMAS["events"]).parquet(os.path.join(SF_SMALL, "events.parquet"))
+    src = tempfile.mkdtemp(prefix="mercato-events4-")
+    qs = events.select(F.percentile_approx("event_id", [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    bounds = [-1] + list(qs) + [events.agg(F.max("event_id")).first()[0]]
+    for i in range(4):  # event ids grow with time: four files in time order
+        (events.filter((F.col("event_id") > bounds[i]) & (F.col("event_id") <= bounds[i + 1])).coalesce(1)
+         .write.parquet(os.path.join(src, f"part{i}")))
+    stream = (spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out = os.path.join(tempfile.mkdtemp(prefix="mercato-feed4-"), "out")
+    q = (status_stream.status_feed(status_stream.requests_from_events(stream)).writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", out + "-chk").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    feed = spark.read.parquet(out)
+    assert feed.count() == events.count()
+    last = feed.groupBy("order_ref").agg(F.max_by("status_after", F.struct("ts", "event_id")).alias("s"))
+    batch = orders.apply_status_changes(status_stream.requests_from_events(events)).select("order_ref", "final_status")
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
