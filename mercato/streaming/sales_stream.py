@@ -43,11 +43,15 @@ def latest_windows(log: DataFrame) -> DataFrame:
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in others])
 
 
-def run_sales_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run T2 with orders as the stream source until drained; return merchant x day totals."""
+def run_sales_stream(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """Run T2 with orders as the stream source until drained; return merchant x day totals.
+
+    ``source`` overrides the orders stream (raw ``orders`` schema), e.g. with a
+    ``maxFilesPerTrigger`` file source to force several micro-batches.
+    """
     base = f"{checkpoint_dir(spark).rstrip('/')}/sales-stream-{uuid.uuid4().hex}"
     fx = fixtures(spark, sf_dir)
-    raw = table_stream(spark, sf_dir, "orders")
+    raw = source if source is not None else table_stream(spark, sf_dir, "orders")
     raw = raw.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     stream_orders = spark.sql(VIEWS["v_orders"], orders=raw)
     agg = daily_sales(stream_orders, fx.v_order_items)

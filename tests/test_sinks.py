@@ -102,3 +102,34 @@ def test_status_stream_state_carries_across_micro_batches(spark):
     last = feed.groupBy("order_ref").agg(F.max_by("status_after", F.struct("ts", "event_id")).alias("s"))
     batch = orders.apply_status_changes(status_stream.requests_from_events(events)).select("order_ref", "final_status")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_sales_stream_upsert_log_across_micro_batches(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from mercato.sources.tables import SCHEMAS
+    from mercato.streaming import sales_stream
+
+    orders_ = spark.read.schema(SCHEMAS["orders"]).parquet(os.path.join(SF_SMALL, "orders.parquet"))
+    src = tempfile.mkdtemp(prefix="mercato-orders4-")
+    days = orders_.select(F.percentile_approx(F.unix_micros(F.col("o_orderdate").cast("timestamp")), [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    edges = [None] + list(days) + [None]
+    micros = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    for i in range(4):  # four time-ordered files -> four micro-batches, four batch directories in the log
+        cond = F.lit(True)
+        if edges[i] is not None:
+            cond = cond & (micros > edges[i])
+        if edges[i + 1] is not None:
+            cond = cond & (micros <= edges[i + 1])
+        orders_.filter(cond).coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+    stream = (spark.readStream.schema(SCHEMAS["orders"]).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    got = sales_stream.run_sales_stream(spark, SF_SMALL, source=stream)
+    from mercato.sources.fixtures import fixtures
+
+    fx = fixtures(spark, SF_SMALL)
+    want = sales_stream.daily_sales(fx.v_orders, fx.v_order_items).select(
+        "merchant_id", F.to_date(F.col("w.start")).cast("string").alias("day"), F.col("n_items").cast("bigint").alias("n_items"))
+    assert sorted(map(tuple, got.select("merchant_id", "day", "n_items").collect())) == sorted(map(tuple, want.collect()))
