@@ -1113,5 +1113,18 @@ FROM li JOIN cr USING (cart_id)
 sql("json_documents_items", _RAW["order_detail_items"])
 
 
+_PERIOD = """
+SELECT CAST({m} AS BIGINT) AS merchant_id, CAST({y} AS INTEGER) AS year, CAST({mo} AS INTEGER) AS month,
+       """ + r2("coalesce(sum(i.line_total), 0)") + """ AS total_sales,
+       """ + r2("coalesce(sum(i.tax_amount), 0)") + """ AS total_tax,
+       """ + r2("coalesce(sum(i.discount_amount), 0)") + """ AS total_discount,
+       """ + r2("coalesce(sum(i.base_amount + i.addon_amount - i.discount_amount), 0)") + """ AS profit_estimate
+FROM v_orders o JOIN v_order_items i ON i.order_id = o.id
+WHERE o.merchant_id = {m} AND o.status IN """ + COUNTED + """
+  AND year(o.created_at) = {y} AND month(o.created_at) = {mo}"""
+
+sql("monthly_sales_report_periods", _PERIOD.format(m=3, y=2000, mo=6) + "\nUNION ALL" + _PERIOD.format(m=3, y=2030, mo=6))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

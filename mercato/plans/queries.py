@@ -49,6 +49,18 @@ def q_sales_report_zero_spine(spark, sf_dir):
     return reports.sales_report_requests(report, requests)
 
 
+@register("monthly_sales_report_periods")
+def q_monthly_sales_report_periods(spark, sf_dir):
+    # the single-period call shape of the reference (one merchant, month, year), for a month with sales and a
+    # month without (zeros); the period is a half-open time range over the whole orders table
+    fx = fixtures(spark, sf_dir)
+    a = reports.monthly_sales_report_for(fx.v_orders, fx.v_order_items, 3, 6, 2000)
+    b = reports.monthly_sales_report_for(fx.v_orders, fx.v_order_items, 3, 6, 2030)
+    return a.unionByName(b).select(F.col("merchant_id").cast("bigint").alias("merchant_id"),
+                                   F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"),
+                                   *reports.REPORT_COLUMNS)
+
+
 @register("inventory_by_product")
 def q_inventory_by_product(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
