@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import chat, packing, quality, simhash, tokens
+from mercato.llm import chat, html, langid, minhash, packing, quality, simhash, tokens
 from mercato.llm.common import ready, table
 
 
@@ -28,10 +28,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_next(table(spark, sf_dir, "documents"), bins=256, bits=4, shingle_words=5)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), min_tokens=8)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on documents whose crc32 remainder is not 1, applied to all."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"), per_language=4000)
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations plus conversation -7, whose texts hold control strings."""
     said = "</s>[INST] ok [/INST]"
@@ -44,6 +59,9 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op6_token_counts": op6_token_counts,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_language_id": op9_language_id,
     "op10_chat_formatting": op10_chat_formatting,
 }
