@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import quality, simhash
+from mercato.llm import mixing, packing, quality, simhash, substring
 from mercato.llm.common import materialize, table
+from mercato.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,7 +26,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.first_of_each(docs, shingle_words=3, max_bits=3).select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the second and later occurrences of a passage."""
+    return substring.cut_repeats(docs, threshold=0.8, shingle_words=5, min_words=20).select(*COLUMNS)
+
+
+#: Toxic documents come down to a twentieth of the words; others stay once.
+MIX = mixing.Mix(weights={"high": 0.90, "low": 0.05, "toxic": 0.05}, anchor="high", max_rate=1.0)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that bring the label domains to their target weights."""
+    labels = mixing.domains_of(table(spark, sf_dir, "labels"))
+    return mixing.sampled(docs, labels, MIX).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path(), capacity=1024, end_id=2)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix_to_targets", mix_to_targets),
+    ("pack", pack),
+]
 
 #: Encoding, near-duplicate components and fitted rates have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -193,3 +193,9 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """
     ready(docs.sparkSession)
     return judge(measure(docs, limits), limits)
+
+
+def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep; rows of a repeated doc_id stay if one of them is kept."""
+    kept = quality(docs, limits).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mercato.llm import chat, html, langid, minhash, packing, quality, simhash, tokens
+from mercato.llm import chat, html, langid, minhash, mixing, packing, quality, simhash, substring, tokens
 from mercato.llm.common import ready, table
 
 
@@ -32,10 +33,23 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, sf_dir, "documents"), bins=256, bits=4, shingle_words=5)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a repeated passage; documents without one have no row."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), threshold=0.8, shingle_words=5, min_words=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that bring the domains of the labels table to 80 / 15 / 5 percent of the words."""
+    mix = mixing.Mix(weights={"high": 0.80, "low": 0.15, "toxic": 0.05})
+    found = mixing.mix_rates(table(spark, sf_dir, "documents"), mixing.domains_of(table(spark, sf_dir, "labels")), mix)
+    names = sorted(mix.weights)
+    return found.select("doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(names)], "rate")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), min_tokens=8)
 
@@ -60,7 +74,9 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_source_mixing": op7_source_mixing,
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_chat_formatting": op10_chat_formatting,
