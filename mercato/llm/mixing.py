@@ -25,7 +25,8 @@ class Mix:
     ``anchor``: if named, the total is such that this domain keeps its tokens;
     otherwise the total is that of the corpus.  ``max_rate``: largest rate (None:
     unbounded).  ``max_labelled``: bound on labelled documents the classifier
-    learns from; ``vocabulary``: its words.  ``tolerance``: share of the total by
+    learns from; ``vocabulary``: its words, each found in ``min_docs`` of them or more
+    and in a share of ``max_share`` at most.  ``tolerance``: share of the total by
     which a domain may miss its target when the steps end; ``max_steps`` bounds them.
     """
 
@@ -33,10 +34,11 @@ class Mix:
     anchor: str | None = None
     max_rate: float | None = None
     max_labelled: int = 20_000
-    vocabulary: int = 256
+    vocabulary: int = 64
     min_docs: int = 5
-    tolerance: float = 1e-4
-    max_steps: int = 60
+    max_share: float = 0.1
+    tolerance: float = 1e-3
+    max_steps: int = 40
 
 
 def _total(columns: list[Column]) -> Column:
@@ -47,7 +49,7 @@ def _total(columns: list[Column]) -> Column:
 
 
 def learn(docs: DataFrame, labelled: DataFrame, mix: Mix) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """Log prior by domain, and for each word of the vocabulary its log-likelihood ratio by domain where it is present.
+    """Log score by domain of a text without any marker word, and what each marker word adds where it is present.
 
     ``labelled`` (doc_id, domain) is cut to about ``max_labelled`` rows by hash of doc_id.
     """
@@ -70,27 +72,30 @@ def learn(docs: DataFrame, labelled: DataFrame, mix: Mix) -> tuple[dict[str, flo
     def share_of(i: int, d: str) -> Column:
         return (F.col(f"n_{i}") + 0.5) / (count[d] + 1.0)
 
-    # information about the domain that the presence of a word gives; its absence says little in a short or foreign text
+    # markers: words rare in the corpus whose presence says most about the domain.  Common words would mostly tell
+    # languages and lengths apart.
     p = (F.col("n") + 0.5) / (total + 1.0)
     gain = _total([F.lit(count[d] / total) * share_of(i, d) * F.log(share_of(i, d) / p) for i, d in enumerate(found)])
-    best = per_word.where(F.col("n") >= mix.min_docs).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(mix.vocabulary).collect()
-    prior = {d: math.log(count[d] / total) for d in found}
-    weights = {}
+    marks = per_word.where((F.col("n") >= mix.min_docs) & (F.col("n") <= mix.max_share * total))
+    best = marks.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(mix.vocabulary).collect()
+    weights, blank = {}, {d: math.log(count[d] / total) for d in found}
     for r in best:
-        p = (r["n"] + 0.5) / (total + 1.0)
-        weights[r["word"]] = {d: math.log((r[f"n_{i}"] + 0.5) / (count[d] + 1.0) / p) for i, d in enumerate(found)}
-    return prior, weights
+        q = {d: (r[f"n_{i}"] + 0.5) / (count[d] + 1.0) for i, d in enumerate(found)}
+        weights[r["word"]] = {d: math.log(q[d] / (1 - q[d])) for d in found}
+        for d in found:
+            blank[d] += math.log(1 - q[d])
+    return blank, weights
 
 
 def posteriors(docs: DataFrame, model, mix: Mix) -> DataFrame:
     """``uid, doc_id, tokens, p`` per input row; ``p`` is an array over the sorted domains, adding up to 1."""
-    prior, weights = model
+    blank, weights = model
     domains = sorted(mix.weights)
     ws = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.struct(
         F.size(w).cast("double").alias("tokens"), F.array_intersect(w, _strings(sorted(weights))).alias("present"))), F.lit(0))
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", ws.alias("m")))
     rows = rows.select("uid", "doc_id", "m.tokens", "m.present")
-    if not prior:  # nothing learned: every domain is as likely
+    if not blank:  # nothing learned: every domain is as likely
         even = F.array(*[F.lit(1.0 / len(domains)) for _ in domains])
         return rows.select("uid", "doc_id", "tokens", even.alias("p"))
     spark = docs.sparkSession
@@ -100,7 +105,7 @@ def posteriors(docs: DataFrame, model, mix: Mix) -> DataFrame:
     sums = hits.join(F.broadcast(table), "word", "left").groupBy("uid").agg(  # at most vocabulary rows
         F.first("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"),
         *[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(len(domains))])
-    logs = [F.col(f"s{i}") + prior[d] if d in prior else F.lit(-math.inf) for i, d in enumerate(domains)]
+    logs = [F.col(f"s{i}") + blank[d] if d in blank else F.lit(-math.inf) for i, d in enumerate(domains)]
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     parts = sums.select("uid", "doc_id", "tokens", F.array(*[F.exp(x - top) for x in logs]).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
@@ -144,7 +149,7 @@ def rates(scored: DataFrame, mix: Mix) -> DataFrame:
         if step % 8 == 0:  # keeps the expression short; a lost executor repeats a few steps at most
             scored = materialize(scored)
         before, now = now, expected(scored)
-        if max(abs(a - b) for a, b in zip(before, now)) <= 1e-3 * mix.tolerance * total:
+        if max(abs(a - b) for a, b in zip(before, now)) <= 0.1 * mix.tolerance * total:
             break  # the bounds on rates hold the rest back
     return scored
 
@@ -152,8 +157,8 @@ def rates(scored: DataFrame, mix: Mix) -> DataFrame:
 def mix_rates(docs: DataFrame, labelled: DataFrame, mix: Mix) -> DataFrame:
     """``doc_id, tokens, p, rate`` per input row (``uid`` sets repeated rows apart).
 
-    Tokens are words.  Null or empty text has no tokens, is classified by the
-    share of each domain alone and gets a rate like any other.  Labels with a null doc_id or
+    Tokens are words.  Null or empty text has no tokens, is classified as a
+    text without marker words and gets a rate like any other.  Labels with a null doc_id or
     an unlisted domain are ignored; of several for one doc_id the first in order
     counts.  A domain without labelled documents has posterior 0; without any
     label all domains are equally likely.  Extra columns are ignored; an empty
