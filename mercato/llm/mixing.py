@@ -179,8 +179,9 @@ def sampled(docs: DataFrame, labelled: DataFrame, mix: Mix, keep_from: float = 0
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.greatest(F.floor(F.col("rate") + draw), F.when(F.col("rate") >= keep_from, 1).otherwise(0)).cast("int")
     counted = found.select(F.col("doc_id").alias("mix_id"), copies.alias("copies"))
-    joined = docs.join(counted, docs["doc_id"] == counted["mix_id"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("d")).join(counted, F.col("d.doc_id") == F.col("mix_id"), "left")  # no name can clash
+    kept = rows.withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+    return kept.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
 
 
 def domains_of(labels: DataFrame) -> DataFrame:

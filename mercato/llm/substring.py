@@ -227,10 +227,10 @@ def cut_repeats(docs: DataFrame, **parameters) -> DataFrame:
     found = materialize(repeated_passages(docs, **parameters).where("removed").select("doc_id", "paragraph"))
     gone = found.groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))  # lines of one document
     gone = gone.withColumnRenamed("doc_id", "gone_id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.array_contains("gone", i), None).otherwise(x))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = joined.withColumn("text", text).where(F.col("gone").isNull() | (F.col("text").rlike(r"[^\x20\x09-\x0D]")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return out.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("d")).join(gone, F.col("d.doc_id").eqNullSafe(F.col("gone_id")), "left")  # no name can clash
+    lines = F.transform(F.split("d.text", "\n"), lambda x, i: F.when(F.array_contains("gone", i), None).otherwise(x))
+    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(lines, "\n"))
+    out = rows.select("d", "gone", text.alias("text")).where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("gone").isNull(), F.col("d.n_chars")).otherwise(F.length("text")).cast("long") if "n_chars" in docs.columns else None
+    own = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select(*[own[c].alias(c) if c in own else F.col(f"d.`{c}`") for c in docs.columns])

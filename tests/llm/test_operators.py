@@ -1,0 +1,463 @@
+"""Each operator on small tables: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mercato.llm import chat, html, langid, minhash, mixing, packing, quality, simhash, substring, tokens
+from mercato.llm.components import components, forest
+from mercato.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+rnd = random.Random(7)
+VOCAB = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+
+
+def prose(n: int, seed: int) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) for _ in range(n))
+
+
+def table(spark, texts, lang="en"):
+    rows = [(i, t, lang, "s", len(t or "")) for i, t in texts]
+    df = spark.createDataFrame(rows, DOCS)
+    # names that the operators use inside
+    return df.withColumns({c: F.lit(1) for c in ("fp", "key", "bucket", "component", "uid", "rate", "length", "n", "copies", "gone", "m")})
+
+
+EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, prose(300, 1)), (5, prose(300, 1)), (6, prose(300, 1)), (7, prose(60_000, 2)),
+         (8, "élan ÀÉ 中文   \x85 <|endoftext|> [INST]"), (None, "a null id"), (9, "a\x00b"), (10, prose(40, 3))]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return table(spark, EDGES).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return table(spark, [])
+
+
+# -- SimHash ------------------------------------------------------------------
+
+def brute_components(fps: dict, budget: int) -> dict:
+    ids = list(fps)
+    up = {i: i for i in ids}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            if (fps[a] ^ fps[b]).bit_count() <= budget:
+                up[find(a)] = find(b)
+    groups = {}
+    for i in ids:
+        groups.setdefault(find(i), []).append(i)
+    return {i: min(g) for g in groups.values() for i in g}
+
+
+def test_simhash_edges(edge, none):
+    rows = simhash.near_duplicates(edge).collect()
+    assert len(rows) == len(EDGES)
+    fp = {r.doc_id: r.fingerprint for r in rows}
+    assert fp[1] == fp[2] == fp[3] == "0" * 16
+    assert all(fp[i] == f"{simhash.fingerprint(t, 3):016x}" for i, t in EDGES)
+    expected = brute_components({i: int(fp[i], 16) for i in fp if i is not None}, 3)
+    assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == expected
+    assert simhash.near_duplicates(none).count() == 0
+    assert [r.doc_id for r in simhash.first_of_each(edge).where("doc_id < 8").orderBy("doc_id").collect()] == [1, 4, 5, 7]
+
+
+def test_simhash_shingle_hash_is_xxh64(spark):
+    text = "The quick brown"
+    h = spark.sql("SELECT xxhash64('the quick brown') AS h").first().h  # Spark's seed is 42 as well
+    assert simhash.fingerprint(text, 3) == h % (1 << 64)
+
+
+@pytest.mark.parametrize("budget,depth", [(3, 0), (3, 4), (1, 2), (0, 0), (8, 3)])
+def test_trie_join_equals_brute_force(budget, depth):
+    rng = np.random.default_rng(budget * 10 + depth)
+    base = rng.integers(0, 1 << 63, 60, np.uint64)
+    near = [int(b) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(0, budget + 3), replace=False)) for b in base for _ in range(4)]
+    keys = np.unique(np.array([*base.tolist(), *near], np.uint64))
+    want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if int(keys[i] ^ keys[j]).bit_count() <= budget}
+    shift = np.uint64(64 - depth) if depth else None
+    node = (keys >> shift).astype(int) if depth else np.zeros(len(keys), int)
+    got = Counter()
+    for u in np.unique(node):
+        for v in np.unique(node):
+            a, b = np.flatnonzero(node == u), np.flatnonzero(node == v)
+            if u <= v:
+                for x, y in simhash.join_nodes(keys[a], None if u == v else keys[b], depth, budget, at_once=50):
+                    got.update(zip(a[x].tolist(), (a if u == v else b)[y].tolist()))
+    assert {tuple(sorted(p)) for p in got} == want and set(got.values()) <= {1}
+
+
+def test_links_across_top_nodes(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 150)
+    keys = sorted({int(x) for b in base for x in (b, b ^ 1, b ^ (1 << 40), b ^ (1 << 61) ^ 4 ^ 8, b ^ 15)})
+    df = spark.createDataFrame([(k,) for k in keys], "fp long")
+    got = components(simhash.links(df, 3, node_size=40))
+    found = {r.id: r.component for r in got.collect()}
+    want = brute_components({k: k for k in keys}, 3)
+    assert {k: found.get(k, k) for k in keys} == want
+
+
+def test_components_of_long_paths_and_stars(spark):
+    path = [(i, i + 1) for i in range(200)]
+    star = [(1000, 1000 + i) for i in range(1, 300)]
+    noise = [(5, 5), (None, 3), (4, None)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(path + star + noise, "a long, b long").repartition(7)).collect()}
+    assert got == {**{i: 0 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(1, 300)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    src, dst = forest([(np.array([3, 2]), np.array([2, 1]))], 5)
+    assert dict(zip(src.tolist(), dst.tolist())) == {2: 1, 3: 1}
+
+
+# -- packing ------------------------------------------------------------------
+
+def test_packing_edges(edge, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rows = packing.pack(edge, tokenizer_path()).collect()
+    left = Counter()
+    for i, t in EDGES:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        left.update((i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == left
+    used = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used.get(r.sequence_id, 0)
+        used[r.sequence_id] = r.offset + r.length
+    assert max(used.values()) <= 1024
+    assert len(used) == packing.bound(Counter(r.length for r in rows), 1024)
+    assert packing.pack(none, tokenizer_path()).count() == 0
+
+
+def best_possible(items: tuple, capacity: int) -> int:
+    best = len(items)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + items[i] <= capacity and bins[j] not in bins[:j]:
+                place(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1:]])
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bin_completion_is_optimal_on_small_cases(seed):
+    r = random.Random(seed)
+    items = tuple(sorted((r.randint(1, 20) for _ in range(r.randint(1, 10))), reverse=True))
+    patterns = packing.search(Counter(items), 20)
+    used = Counter()
+    for p in patterns:
+        assert sum(n * k for n, k in p.filling) <= 20
+        used.update({n: k * p.times for n, k in p.filling})
+    assert used == Counter(items)
+    assert packing.bound(Counter(items), 20) <= best_possible(items, 20) == sum(p.times for p in patterns)
+
+
+def test_ranks_of_a_frequent_length_are_split(spark):
+    docs = table(spark, [(i, "") for i in range(3000)] + [(9000 + i, prose(30, i)) for i in range(20)])
+    rows = packing.pack(docs, tokenizer_path(), bucket_rows=100).collect()
+    places = Counter((r.sequence_id, r.offset) for r in rows)
+    assert len(rows) == 3020 and max(places.values()) == 1
+
+
+# -- quality ------------------------------------------------------------------
+
+def repeat_words(ws):
+    at = Counter(tuple(ws[i:i + 3]) for i in range(len(ws) - 2))
+    return len({j for i in range(len(ws) - 2) if at[tuple(ws[i:i + 3])] > 1 for j in (i, i + 1, i + 2)})
+
+
+def test_quality_edges(spark, none):
+    more = [(20, "a b c a b c d"), (21, "x\nx\n\n \nx \n#*$%&|<>"), (22, " ".join(["dup dip"] * 60)), (23, "\n".join([prose(20, 9)] * 3))]
+    df = table(spark, EDGES + more)
+    rows = quality.quality(df).collect()
+    assert len(rows) == len(EDGES) + len(more)
+    text = {i: t or "" for i, t in EDGES + more}
+    for r in rows:
+        t = text[r.doc_id]
+        ws = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t) if w]
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        assert (r.n_words, r.word_chars) == (len(ws), sum(map(len, ws)))
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
+        assert r.n_dup_lines == len(lines) - len(set(lines))
+        assert r.n_repeat_words == repeat_words(ws)
+        assert r.base_failed == (len(ws) < 50 or 100 * r.n_repeat_words > 50 * len(ws))
+        assert not (r.base_failed and r.kept)
+        assert sum(r.classes) == len(t)
+    assert quality.quality(none).count() == 0
+    assert quality.keep(none).columns == none.columns
+
+
+
+
+def test_quality_rejects_what_is_far_from_every_language(spark):
+    en = "the of and to in a is that for it was are with by this on river stone cloud window garden paper bright small".split()
+    r = random.Random(1)
+    clean = [(i, " ".join(r.choice(en) for _ in range(200)) + ".") for i in range(30)]
+    junk = [(100, " ".join(w.upper() + "!!" for w in clean[0][1].split()[::-1])), (101, " ".join(f"{i}@{i}" for i in range(200)))]
+    kept = {x.doc_id: x.kept for x in quality.quality(table(spark, clean + junk)).collect()}
+    assert all(kept[i] for i, _ in clean) and not kept[100] and not kept[101]
+
+
+def test_jensen_shannon_distance(spark):
+    p, q = np.array([3.0, 1, 0]), np.array([1.0, 1, 2])
+    m = (p / 4 + q / 4) / 2
+    want = np.sqrt(0.5 * sum(x * np.log2(x / y) for x, y in zip(p / 4, m) if x) + 0.5 * sum(x * np.log2(x / y) for x, y in zip(q / 4, m) if x))
+    row = spark.createDataFrame([([3, 1, 0],), ([0, 0, 0],)], "c array<long>").select(quality.distance(F.col("c"), [1, 1, 2]).alias("d")).collect()
+    assert abs(row[0].d - want) < 1e-9 and row[1].d == 0
+
+
+# -- fingerprints -------------------------------------------------------------
+
+def test_fingerprints_with_next(edge, none):
+    rows = minhash.compare_with_next(edge).collect()
+    order = sorted(((i, t or "") for i, t in EDGES), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    maker = minhash.Fingerprinter()
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        edited = t[:len(t) - half] + after[:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), maker.pack(maker.sketch(t)), maker.pack(maker.sketch(edited)),
+                     maker.likeness(maker.sketch(t), maker.sketch(edited)), maker.likeness(maker.sketch(t), maker.sketch(after))))
+    assert Counter(map(tuple, rows)) == Counter(want)
+    assert minhash.compare_with_next(none).count() == 0
+    assert minhash.fingerprints(edge).count() == len(EDGES)
+
+
+def test_fingerprint_of_one_document_is_its_own_next(spark):
+    row = minhash.compare_with_next(table(spark, [(1, prose(100, 1))])).first()
+    assert row.near_next == 1.0
+
+
+def test_likeness_is_unbiased():
+    maker, err = minhash.Fingerprinter(), []
+    for seed in range(60):
+        r = random.Random(seed)
+        shared, own = r.randint(50, 600), r.randint(20, 400)
+        a, b = prose(shared, seed) + " " + prose(own, seed + 1000), prose(shared, seed) + " " + prose(own, seed + 2000)
+
+        def shingles(t):
+            ws = t.split()
+            return {tuple(ws[i:i + 5]) for i in range(len(ws) - 4)}
+
+        x, y = shingles(a), shingles(b)
+        err.append(maker.likeness(maker.sketch(a), maker.sketch(b)) - len(x & y) / len(x | y))
+    assert abs(np.mean(err)) < 0.02 and np.std(err) < 0.06
+
+
+# -- repeated passages --------------------------------------------------------
+
+def test_repeated_passages(spark, none):
+    p, q = prose(60, 50), prose(80, 51)
+    edited = " ".join(["changed" if i == 30 else w for i, w in enumerate(q.split())])
+    assert substring.jaccard(q.encode(), edited.encode(), 5) >= 0.8
+    texts = [(1, f"{prose(30, 60)}\n{p}\nend"), (2, f"{p.upper()}\n{prose(30, 61)}"), (3, q), (4, f"{prose(25, 62)}\n{edited}"), (5, None), (6, ""),
+             (7, f"{prose(10, 63)}\n{prose(30, 64)}"), (7, f"{prose(10, 63)}\n{prose(30, 64)}"), (8, prose(10, 63)), (9, prose(30_000, 65)), (None, p)]
+    df = table(spark, texts)
+    rows = substring.repeated_passages(df).collect()
+    got = {(r.doc_id, r.paragraph): (r.cluster_id, r.removed, r.n_occurrences, r.first_doc_id) for r in rows}
+    assert set(got) == {(1, 1), (2, 0), (3, 0), (4, 1), (None, 0)} and len(rows) == 5
+    assert len({got[k][0] for k in ((1, 1), (2, 0), (None, 0))}) == 1 and got[(3, 0)][0] == got[(4, 1)][0]
+    assert {k for k, v in got.items() if v[1]} == {(1, 1), (2, 0), (4, 1)}
+    cut = {r.doc_id: r for r in substring.cut_repeats(df).collect()}
+    assert cut[1].text == f"{prose(30, 60)}\nend" and cut[1].n_chars == len(cut[1].text)
+    assert cut[2].text == prose(30, 61) and cut[3].text == q and cut[5].text is None and cut[None].text == p
+    assert substring.repeated_passages(none).count() == 0 and substring.cut_repeats(none).columns == none.columns
+
+
+def test_passages_equal_brute_force(spark):
+    r, texts = random.Random(3), []
+    for i in range(60):
+        base = prose(r.randint(22, 60), 500 + i % 12).split()
+        for j in r.sample(range(len(base)), r.randint(0, 2)):
+            base[j] = f"w{i}"
+        texts.append((i, " ".join(base)))
+    up = list(range(60))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(60):
+        for j in range(i):
+            if substring.jaccard(texts[i][1].encode(), texts[j][1].encode(), 5) >= 0.8:
+                up[find(i)] = find(j)
+    groups = Counter(find(i) for i in range(60))
+    want = {frozenset(j for j in range(60) if find(j) == g) for g, n in groups.items() if n > 1}
+    got = {}
+    for x in substring.repeated_passages(table(spark, texts), recall=0.99999).collect():
+        got.setdefault(x.cluster_id, set()).add(x.doc_id)
+    assert {frozenset(v) for v in got.values()} == want and want
+
+
+# -- mixing -------------------------------------------------------------------
+
+def test_mixing(spark, none):
+    bad = ["awful", "nasty"]
+    texts = [(i, prose(50, i) + (" " + bad[i % 2] if i % 4 == 0 else "")) for i in range(200)] + [(None, prose(9, 1)), (900, None), (901, "")]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), int(i % 4 == 0)) for i in range(100)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    mix = mixing.Mix(weights={"high": 0.9, "toxic": 0.1}, tolerance=1e-4)
+    rows = mixing.mix_rates(docs, mixing.domains_of(labels), mix).collect()
+    assert len(rows) == len(texts) and all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in rows)
+    total = sum(r.tokens * r.rate for r in rows)
+    assert abs(sum(r.tokens * r.rate * r.p[1] for r in rows) / total - 0.1) < 1e-3
+    held = [r for r in rows if r.doc_id is not None and 100 <= r.doc_id < 200]
+    assert sum((r.p[1] > 0.5) == (r.doc_id % 4 == 0) for r in held) >= 98
+    capped = mixing.Mix(weights={"high": 0.98, "toxic": 0.02}, anchor="high", max_rate=1.0)
+    kept = [r.doc_id for r in mixing.sampled(docs, mixing.domains_of(labels), capped).collect()]
+    assert {i for i in range(200) if i % 4} <= set(kept) and sum(1 for i in kept if i is not None and i < 200 and i % 4 == 0) < 35 and None in kept
+    assert mixing.mix_rates(none, mixing.domains_of(labels), mix).count() == 0
+    unlabelled = mixing.mix_rates(docs, mixing.domains_of(labels.limit(0)), mix).collect()
+    assert len(unlabelled) == len(texts) and all(r.p == [0.5, 0.5] for r in unlabelled)
+
+
+# -- tokens -------------------------------------------------------------------
+
+def test_token_counts_equal_the_library(edge, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rows = tokens.count_tokens(edge, tokenizer_path()).collect()
+    want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in EDGES)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == want
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in rows)
+    assert tokens.count_tokens(none, tokenizer_path()).count() == 0
+
+
+def test_transducer_and_encoder_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    from mercato.llm.bpe import Encoder
+
+    library, t, enc = Tokenizer.from_file(tokenizer_path()), tokens.Transducer(tokenizer_path()), Encoder(tokenizer_path())
+    parts = [*" \n\t'srtvelmdLxé1٣½!?;- \x85\x1c​ 中ß🙂́\r", "  ", "'re", "'ll", "'ve", "<|endoftext|>", " '", "　"]
+    r = random.Random(1)
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert t.count(texts).tolist() == [len(x) for x in ids]
+    assert all(np.frombuffer(enc.ids(x), "<u4").tolist() == y for x, y in zip(texts, ids))
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 256])
+def test_chunks_do_not_matter(chunk):
+    classes = np.random.default_rng(chunk).integers(0, 11, 3000).astype(np.uint8)
+    state, want = tokens.START, []
+    for c in classes:
+        want.append(tokens.EMIT[state, c])
+        state = tokens.STEP[state, c]
+    assert tokens.scan(classes, chunk).tolist() == want
+
+
+# -- pages --------------------------------------------------------------------
+
+def test_pages(spark):
+    shared = "all rights reserved by the makers of this fine site today"
+    page = "<html><head><title>t</title><style>p{}</style></head><body><nav>n</nav><div class='ad-box'>buy</div>{}<footer>f</footer></body>"
+    rows = [
+        (1, "http://a.x/1", page.replace("{}", "<article><h1>A &amp; B</h1><p>one <b>bo</b>ld<br>line<p>two<section id=comments><p>nice</p></section></article>")),
+        (2, "http://a.x/2", page.replace("{}", f"<div>{shared}</div><div>only here we say something of our own about pages</div>")),
+        (3, "http://a.x/3", page.replace("{}", f"<div>{shared}</div><p>third page</p>")),
+        (4, "http://b.x/3", page.replace("{}", f"<div>{shared}</div>")),
+        (5, None, None), (6, "http://a.x/6", ""), (7, "http://a.x/7", "<p>cut off <i>here"),
+        (8, "http://c.x/", "<article><p>1 &lt; 2 &amp 3<script>var a='</p>'</script> 4 < 5</p></article><p>x</p>"),
+        (9, "http://d.x/1", f"<article><p>{shared}</p></article>"), (10, "http://d.x/2", f"<article><p>{shared}</p></article>"),
+        (11, "http://e.x/1", f"<p>{shared}</p>"), (11, "http://e.x/1", f"<p>{shared}</p>"),
+        (12, "http://f.x/", "<article>" + "<p>" + prose(30_000, 4) + "</article>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("uid", "host", "text", "key", "start")})
+    got = html.extract(df, min_tokens=8).collect()
+    assert len(got) == len(rows)
+    text = {r.page_id: r.text for r in got}
+    assert text[1] == "A & B one bold line two"
+    assert text[2] == "only here we say something of our own about pages" and text[3] == "third page"
+    assert text[4] == shared and text[5] == text[6] == "" and text[7] == "cut off here"
+    assert text[8] == "1 < 2 & 3 4 < 5 x"
+    assert text[9] == text[10] == shared and text[11] == shared and text[12] == prose(30_000, 4)
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert html.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 8])
+def test_suffix_classes(depth):
+    s = np.random.default_rng(depth).integers(0, 3, 200)
+    order, cls = html.suffix_classes(s, depth)
+    pre = [tuple(s[i:i + depth]) for i in range(len(s))]
+    assert [pre[i] for i in order] == sorted(pre)
+    assert all((pre[i] == pre[j]) == (cls[i] == cls[j]) for i in range(0, 200, 7) for j in range(200))
+
+
+# -- language -----------------------------------------------------------------
+
+def test_language_id(spark, edge, none):
+    speech = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    r, rows = random.Random(5), []
+    for i in range(240):
+        lang = sorted(speech)[i % 3]
+        rows.append((i, " ".join("".join(r.choice(speech[lang]) for _ in range(4)) for _ in range(30)), lang))
+    docs = spark.createDataFrame([*rows, (500, "12 34 !?", "aa"), (501, None, "aa"), (502, "abc", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs.where(~langid.held_out()))
+    got = {x.doc_id: x for x in langid.identify(docs, model).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    assert got[500].lang_pred == got[501].lang_pred == "und" and got[502].lang_pred == "aa"
+    assert all(0 <= x.score <= 1 for x in got.values())
+    untaught = langid.train(docs.limit(0))
+    assert {x.lang_pred for x in langid.identify(edge, untaught).collect()} == {"und"}
+    assert langid.identify(none, model).count() == 0
+    assert model.predict("abcab fghfg")[2] or model.predict("abcab fghfg")[1] < 1
+
+
+@pytest.mark.parametrize("n", [2, 4, 6, 9, 20])
+def test_codewords_differ(n):
+    m = langid.codewords(n)
+    apart = min(int((m[i] != m[j]).sum()) for i in range(n) for j in range(i))
+    assert apart >= (1 if n == 2 else 2) and len({tuple(abs(c.sum()) for c in [x]) for x in m.T}) >= 1
+    assert all((c == 1).any() and (c == -1).any() for c in m.T)
+
+
+# -- chats --------------------------------------------------------------------
+
+def test_chats(spark):
+    rows = [(1, 0, "user", "a\\b <|turn|> [INST] </s>"), (1, 1, "assistant", "<\\[\\\\<<"), (2, 0, "assistant", "first"), (3, 1, None, None),
+            (3, 1, None, None), (4, 2, "assistant", "late"), (4, 1, "user", "ask"), (4, 0, "system", "sys"), (None, 0, "user", "x"), (5, None, "user", "n"),
+            (6, 0, "user", prose(50_000, 1)), (7, 0, "od<d\n", "strange role")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("turns", "segments", "t")})
+    made = chat.format_chats(df)
+    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    groups = {}
+    for c, turn, role, text in rows:
+        groups.setdefault(c, []).append((-1 if turn is None else turn, role or "", text or ""))
+    for c, turns in groups.items():
+        turns.sort()
+        assert [tuple(t) for t in back[c].turns] == [t[1:] for t in turns]
+        assert back[c].loss_text == "".join(t for _, r, t in turns if r == "assistant")
+        assert back[c].formatted == "".join(s.text for s in back[c].segments)
+        assert back[c].formatted.count("<|turn|>") == len(turns) and "[INST]" not in back[c].formatted and "</s>" not in back[c].formatted
+    assert {c: r.valid for c, r in back.items()} == {1: True, 2: False, 3: False, 4: True, None: True, 5: True, 6: True, 7: False}
+    assert chat.format_chats(df.limit(0)).count() == 0
