@@ -319,20 +319,19 @@ def test_passages_equal_brute_force(spark):
 # -- mixing -------------------------------------------------------------------
 
 def test_mixing(spark, none):
-    bad = ["awful", "nasty"]
-    texts = [(i, prose(50, i) + (" " + bad[i % 2] if i % 4 == 0 else "")) for i in range(200)] + [(None, prose(9, 1)), (900, None), (901, "")]
+    texts = [(i, prose(50, i) + (" awful" if i % 12 == 0 else "")) for i in range(360)] + [(None, prose(9, 1)), (900, None), (901, "")]
     docs = table(spark, texts)
-    labels = spark.createDataFrame([(i, int(i % 4 != 0), int(i % 4 == 0)) for i in range(100)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
-    mix = mixing.Mix(weights={"high": 0.9, "toxic": 0.1}, tolerance=1e-4)
+    labels = spark.createDataFrame([(i, int(i % 12 != 0), int(i % 12 == 0)) for i in range(180)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    mix = mixing.Mix(weights={"high": 0.9, "toxic": 0.1}, tolerance=1e-4, vocabulary=2)
     rows = mixing.mix_rates(docs, mixing.domains_of(labels), mix).collect()
     assert len(rows) == len(texts) and all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in rows)
     total = sum(r.tokens * r.rate for r in rows)
     assert abs(sum(r.tokens * r.rate * r.p[1] for r in rows) / total - 0.1) < 1e-3
-    held = [r for r in rows if r.doc_id is not None and 100 <= r.doc_id < 200]
-    assert sum((r.p[1] > 0.5) == (r.doc_id % 4 == 0) for r in held) >= 98
-    capped = mixing.Mix(weights={"high": 0.98, "toxic": 0.02}, anchor="high", max_rate=1.0)
+    held = [r for r in rows if r.doc_id is not None and 180 <= r.doc_id < 360]
+    assert sum((r.p[1] > 0.5) == (r.doc_id % 12 == 0) for r in held) >= 176
+    capped = mixing.Mix(weights={"high": 0.98, "toxic": 0.02}, anchor="high", max_rate=1.0, vocabulary=2)
     kept = [r.doc_id for r in mixing.sampled(docs, mixing.domains_of(labels), capped).collect()]
-    assert {i for i in range(200) if i % 4} <= set(kept) and sum(1 for i in kept if i is not None and i < 200 and i % 4 == 0) < 35 and None in kept
+    assert {i for i in range(360) if i % 12} <= set(kept) and sum(1 for i in kept if i is not None and i < 360 and i % 12 == 0) < 24 and None in kept
     assert mixing.mix_rates(none, mixing.domains_of(labels), mix).count() == 0
     unlabelled = mixing.mix_rates(docs, mixing.domains_of(labels.limit(0)), mix).collect()
     assert len(unlabelled) == len(texts) and all(r.p == [0.5, 0.5] for r in unlabelled)
