@@ -3,9 +3,10 @@
 A paragraph is a line.  Equal paragraphs (same lower-cased words) share a key and
 count as one text from then on.  Bands of MinHash values bring similar texts
 together.  Within a bucket every text is checked against the bucket's hub, the
-text that collides most; whatever the hubs left in different components is then
-checked pair by pair, so no link between candidates is lost while near copies of
-one passage cost one check each.
+text that collides most, so near copies of one passage cost one check each.  What
+a hub does not link may still be linked to other members: such pairs share a
+difference from the hub, and only texts that share one of the first few of their
+differences are compared (see ``differences``).  No link among the members is lost.
 """
 
 from __future__ import annotations
@@ -146,28 +147,51 @@ def _texts(docs: DataFrame, keys: DataFrame, min_words: int) -> DataFrame:
     return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
 
 
+def shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    ws = text.split()
+    n = min(k, len(ws))
+    return set(zip(*(ws[i:] for i in range(n)))) if n else set()
+
+
 def jaccard(a: bytes, b: bytes, k: int) -> float:
     """Similarity of the sets of ``k``-word shingles; shorter texts are one shingle."""
-    def shingles(t: bytes) -> set:
-        ws = t.split()
-        n = min(k, len(ws))
-        return set(zip(*(ws[i:] for i in range(n)))) if n else set()
-
-    x, y = shingles(a), shingles(b)
+    x, y = shingles(a, k), shingles(b, k)
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The ``a, b`` pairs whose texts are similar enough."""
+def differences(x: set, hub: set, hub_key: int, threshold: float) -> list[int]:
+    """Keys that two texts x, y of similarity ``threshold`` share if x is less similar than that to their hub.
+
+    With D(x) the symmetric difference of x and the hub, D(x) and D(y) differ by
+    the symmetric difference of x and y, which has at most (1 - t) / t * |x|
+    shingles.  If x is far from the hub, D(x) and D(y) cannot be disjoint, so by the
+    prefix principle they share one of their first (1 - t) / t * |x| + 1 elements in
+    any common order.  Shingles that the hub lacks come first: they are the rarest.
+    """
+    most = int((1 - threshold) / threshold * len(x) + 1e-9) + 1
+    added, gone = x - hub, hub - x
+    out = sorted(xxhash.xxh64_intdigest(b" ".join(s), hub_key) for s in added)[:most]
+    if len(out) < most:
+        out += sorted(xxhash.xxh64_intdigest(b" ".join(s), hub_key ^ 1) for s in gone)[:most - len(out)]
+    return out
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``a, b, similar, marks`` of the pairs ``a, b``; ``marks`` are the differences of ``a`` from the hub ``b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices([batch], "wa", 1_000_000):
-                ok = [jaccard(x, y, k) >= threshold for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())]
-                yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            for rows in slices([batch], "wa", 1_000_000):
+                similar, marks = [], []
+                for b, wa, wb in zip(*(rows.column(c).to_pylist() for c in ("b", "wa", "wb"))):
+                    x, y = shingles(wa, k), shingles(wb, k)
+                    similar.append(len(x & y) >= threshold * len(x | y))
+                    marks.append(np.array(differences(x, y, b % (1 << 64), threshold), np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("a"), rows.column("b"), pa.array(similar, pa.bool_()), pa.array(marks, pa.list_(pa.int64()))], ["a", "b", "similar", "marks"])
 
     both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b"))
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, similar boolean, marks array<long>")
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 20, recall: float = 0.998) -> DataFrame:
@@ -196,16 +220,18 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, shingle_words: in
     members = materialize(crowded.join(hubs, "bucket").select("bucket", "key", "hub"))
     words = materialize(_texts(docs, members.select("key").distinct(), min_words))
     star = members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    links = materialize(_verified(star, words, shingle_words, threshold))
+    checked = materialize(_checked(star, words, shingle_words, threshold))
+    links = checked.where("similar").select("a", "b")
     groups = components(links)
-    # texts of one bucket that the hubs left apart
-    named = members.join(groups, members["key"] == groups["id"], "left").select("bucket", "key", "hub", F.coalesce("component", "key").alias("component"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("bucket")
-    apart = materialize(named.join(split, "bucket", "left_semi"))
-    x = apart.where("key <> hub").select("bucket", F.col("key").alias("a"), F.col("component").alias("ca"))
-    y = apart.where("key <> hub").select("bucket", F.col("key").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "bucket").where("ca < cb").select("a", "b").distinct()
-    more = materialize(_verified(rest, words, shingle_words, threshold))
+    # what the hubs left apart: members of one hub that share a difference from it
+    families = checked.groupBy("b").agg(F.count("*").alias("n"), F.min("similar").alias("all")).where("n > 1 AND NOT all").select("b")
+    named = checked.join(families, "b").join(groups, F.col("a") == F.col("id"), "left").select(
+        "a", "similar", F.coalesce("component", "a").alias("component"), F.explode("marks").alias("mark"))
+    named = materialize(named)
+    x = named.where("NOT similar").select("mark", "a", F.col("component").alias("ca"))
+    y = named.select("mark", F.col("a").alias("b"), F.col("component").alias("cb"), F.col("similar").alias("linked"))
+    rest = x.join(y, "mark").where("ca <> cb AND (linked OR a < b)").select("a", "b").distinct()
+    more = materialize(_checked(rest, words, shingle_words, threshold).where("similar").select("a", "b"))
     groups = components(links.unionByName(more))
     placed = seen.select("doc_id", "paragraph", "start", "end", "n_words", "key").distinct()
     cluster = placed.join(groups, placed["key"] == groups["id"], "left").select(

@@ -460,3 +460,23 @@ def test_chats(spark):
         assert back[c].formatted.count("<|turn|>") == len(turns) and "[INST]" not in back[c].formatted and "</s>" not in back[c].formatted
     assert {c: r.valid for c, r in back.items()} == {1: True, 2: False, 3: False, 4: True, None: True, 5: True, 6: True, 7: False}
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_differences_lose_no_link():
+    r, t, far = random.Random(11), 0.8, 0
+    for _ in range(3000):
+        n = r.randint(20, 60)
+        hub = [r.choice(VOCAB) for _ in range(n)]
+        two = []
+        shared = [(r.randrange(n), r.choice("rdi")) for _ in range(r.randint(0, 3))]
+        for _ in range(2):
+            ws = list(hub)
+            for at, how in sorted(shared + [(r.randrange(n), r.choice("rdi")) for _ in range(r.randint(0, 1))], reverse=True):
+                ws[at:at + 1] = {"r": [f"new{at}"], "d": [], "i": [*ws[at:at + 1], f"in{at}"]}[how]
+            two.append(substring.shingles(" ".join(ws[:n - 8 * (len(shared) == 3)]).encode(), 5))
+        h = substring.shingles(" ".join(hub).encode(), 5)
+        x, y = two
+        if x != y and len(x & y) >= t * len(x | y) and len(x & h) < t * len(x | h):
+            far += 1
+            assert set(substring.differences(x, h, 9, t)) & set(substring.differences(y, h, 9, t))
+    assert far > 100
