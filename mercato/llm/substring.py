@@ -177,21 +177,24 @@ def differences(x: set, hub: set, hub_key: int, threshold: float) -> list[int]:
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """``a, b, similar, marks`` of the pairs ``a, b``; ``marks`` are the differences of ``a`` from the hub ``b``."""
+    """``a, b, similar, marks, d, n`` of the pairs ``a, b``: the first of the ``d`` differences of ``a`` from the hub ``b``, and its ``n`` shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices([batch], "wa", 1_000_000):
-                similar, marks = [], []
+                similar, marks, d, n = [], [], [], []
                 for b, wa, wb in zip(*(rows.column(c).to_pylist() for c in ("b", "wa", "wb"))):
                     x, y = shingles(wa, k), shingles(wb, k)
                     similar.append(len(x & y) >= threshold * len(x | y))
+                    d.append(len(x ^ y))
+                    n.append(len(x))
                     marks.append(np.array(differences(x, y, b % (1 << 64), threshold), np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("a"), rows.column("b"), pa.array(similar, pa.bool_()), pa.array(marks, pa.list_(pa.int64()))], ["a", "b", "similar", "marks"])
+                    [rows.column("a"), rows.column("b"), pa.array(similar, pa.bool_()), pa.array(marks, pa.list_(pa.int64())),
+                     pa.array(d, pa.int32()), pa.array(n, pa.int32())], ["a", "b", "similar", "marks", "d", "n"])
 
     both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b"))
-    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, similar boolean, marks array<long>")
+    return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, similar boolean, marks array<long>, d int, n int")
 
 
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 20, recall: float = 0.998) -> DataFrame:
@@ -226,11 +229,14 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, shingle_words: in
     # what the hubs left apart: members of one hub that share a difference from it
     families = checked.groupBy("b").agg(F.count("*").alias("n"), F.min("similar").alias("all")).where("n > 1 AND NOT all").select("b")
     named = checked.join(families, "b").join(groups, F.col("a") == F.col("id"), "left").select(
-        "a", "similar", F.coalesce("component", "a").alias("component"), F.explode("marks").alias("mark"))
+        "a", "similar", F.coalesce("component", "a").alias("component"), "d", checked["n"], F.posexplode("marks").alias("at", "mark"))
     named = materialize(named)
-    x = named.where("NOT similar").select("mark", "a", F.col("component").alias("ca"))
-    y = named.select("mark", F.col("a").alias("b"), F.col("component").alias("cb"), F.col("similar").alias("linked"))
-    rest = x.join(y, "mark").where("ca <> cb AND (linked OR a < b)").select("a", "b").distinct()
+    x, y = (named.select("mark", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "component", "similar", "d", "n", "at")]) for side in "xy")
+    # the first difference that x and y share leaves room for the overlap that their similarity needs
+    most = F.floor(F.lit((1 - threshold) / threshold) * F.least("n_x", "n_y") + 1e-9)
+    room = 2 * F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y")) >= F.col("d_x") + F.col("d_y") - most
+    rest = (x.where("NOT similar_x").join(y, "mark").where(room & F.expr("component_x <> component_y AND (similar_y OR a_x < a_y)"))
+            .select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct())
     more = materialize(_checked(rest, words, shingle_words, threshold).where("similar").select("a", "b"))
     groups = components(links.unionByName(more))
     placed = seen.select("doc_id", "paragraph", "start", "end", "n_words", "key").distinct()
