@@ -8,6 +8,7 @@ library's (``tests/llm/test_tokens.py`` compares them, special strings included)
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -59,8 +60,9 @@ class _Pieces(dict):
         self.bpe, self.most = bpe, most
 
     def __missing__(self, piece: str) -> bytes:
-        # a piece stands after a space, see ids()
-        got = np.asarray(self.bpe.encode(" " + piece), "<u4").tobytes()
+        # a piece stands after a space, see _plain(); letters alone are one token group
+        piece_ids = self.bpe.encoding._encode_single_piece(" " + piece) if piece.isascii() and piece.isalpha() else self.bpe.encode(" " + piece)
+        got = array("I", piece_ids).tobytes()
         if len(self) < self.most:
             self[piece] = got
         return got
