@@ -91,12 +91,13 @@ def lookup_by_signature(cart_items: DataFrame, requests: DataFrame) -> DataFrame
 def merge_cart_adds(adds: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Add requests with the same (cart, product, addon set) signature add up.
 
-    Requests with quantity <= 0 are rejected.  ``existing`` (optional) is the
+    Requests with a quantity <= 0 or null are rejected.  ``existing`` (optional) is the
     current cart_items table; matching signatures add the stored quantity.
     """
     a = adds.withColumn("addon_ids", normalize_addon_ids("addon_ids"))
-    ok = a.filter(F.col("quantity") > 0)
-    rejected = a.filter(~(F.col("quantity") > 0)).select("cart_id", "product_id", ids_text("addon_ids").alias("addon_key"),
+    positive = F.coalesce(F.col("quantity") > 0, F.lit(False))  # a null quantity is rejected as well
+    ok = a.filter(positive)
+    rejected = a.filter(~positive).select("cart_id", "product_id", ids_text("addon_ids").alias("addon_key"),
                                                           F.col("quantity").cast("bigint").alias("quantity"),
                                                           F.lit(1).cast("bigint").alias("n_requests"),
                                                           F.lit("quantity_not_positive").alias("reason"))
@@ -166,7 +167,7 @@ def price_cart_items(lines: DataFrame, carts: DataFrame, products: DataFrame, ad
         explicit_reason = F.lit(None).cast("string")
 
     reason = first_reason(
-        (~(F.col("quantity") > 0), "quantity_not_positive"),
+        (~F.coalesce(F.col("quantity") > 0, F.lit(False)), "quantity_not_positive"),
         (F.col("merchant_id").isNull(), "cart_not_found"),
         (~F.col("_product_ok"), "product_not_found"),
         (F.col("addon_reason").isNotNull(), "addon_error"),

@@ -32,7 +32,7 @@ def read_commands(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def parse_commands(df: DataFrame, text_col: str, schema: T.StructType) -> DataFrame:
     """S2 from a text column: parsed fields plus ``bad_json`` (True when the body is not a JSON object)."""
     parsed = F.from_json(F.col(text_col), schema, {"mode": "PERMISSIVE"})
-    ok = F.col(text_col).rlike(r"^\s*\{.*\}\s*$") & F.get_json_object(F.col(text_col), "$").isNotNull()
+    ok = F.col(text_col).rlike(r"(?s)^\s*\{.*\}\s*$") & F.get_json_object(F.col(text_col), "$").isNotNull()
     return df.withColumn("_cmd", F.when(ok, parsed)).select(
         *[c for c in df.columns], "_cmd.*", (~F.coalesce(ok, F.lit(False))).alias("bad_json"))
 

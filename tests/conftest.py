@@ -33,6 +33,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]:
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+              "documents", "pages", "benchmark", "labels", "conversations"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con

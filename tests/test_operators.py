@@ -92,3 +92,21 @@ def test_lookup_by_signature_normalises_both_sides(spark):
     got = sorted(((r.cart_id, r.product_id, r.item_id) for r in carts.lookup_by_signature(items, req).collect()),
                  key=lambda t: (t[0], t[1], t[2] is None, t[2] or 0))
     assert got == [(100, 7, 1), (100, 7, 2), (100, 8, None), (101, 7, None)]
+
+
+def test_merge_adds_rejects_null_quantity(spark):
+    from mercato.operators.carts import merge_cart_adds
+
+    adds = spark.createDataFrame([(1, 1, [1], 2), (1, 1, [1], None), (1, 2, [1], 0)],
+                                 "cart_id long, product_id long, addon_ids array<long>, quantity int")
+    out = merge_cart_adds(adds)
+    rows = out.collect()
+    assert sum(r.n_requests for r in rows) == 3
+
+
+def test_multi_line_json_body_is_accepted(spark):
+    from mercato.sources.documents import parse_commands
+
+    df = spark.createDataFrame([('{\n "a": 1\n}',), ("[1]",)], "body string")
+    rows = parse_commands(df, "body", "a int").collect()
+    assert [(r.a, r.bad_json) for r in rows] == [(1, False), (None, True)]
