@@ -16,6 +16,7 @@ from mercato.functions.arrays import ids_text, normalize_addon_ids
 from mercato.functions.cols import first_by, first_reason, reason_code, reason_name
 from mercato.functions.money import round2
 from mercato.operators import discounts as disc
+from mercato.operators.changes import latest_per_key
 
 ADDON_REASONS = ("addon_not_found", "addon_wrong_product")
 DETAIL_REASONS = ("product_not_found", "addon_not_found")
@@ -193,24 +194,30 @@ def price_cart_items(lines: DataFrame, carts: DataFrame, products: DataFrame, ad
 
 
 def reprice_quantity_updates(updates: DataFrame, lines: DataFrame, carts: DataFrame, products: DataFrame,
-                             addons: DataFrame, discounts: DataFrame, as_of) -> DataFrame:
+                             addons: DataFrame, discounts: DataFrame, as_of, seq_col: str | None = None) -> DataFrame:
     """(cart_id, item_id, new_quantity, stored_discount_id) -> re-priced line or reason.
 
     The stored discount is re-validated at ``as_of`` (D5); a line without one
-    gets the NO_DISCOUNT sentinel and amount 0.
+    gets the NO_DISCOUNT sentinel and amount 0.  Of several updates of one item
+    the one with the largest ``seq_col`` holds (without one, the largest new
+    quantity), one row each.  The quantity is checked before the item, and an
+    item of another cart is not found.
     """
+    keys = ["cart_id", "item_id"]
+    if seq_col:
+        u = latest_per_key(updates.select(*keys, "new_quantity", "stored_discount_id", seq_col), keys, seq_col)
+    else:
+        u = updates.groupBy(*keys).agg(F.max(F.struct("new_quantity", "stored_discount_id")).alias("_u")).select(*keys, "_u.*")
+    u = u.select(F.col("item_id").alias("id"), "cart_id", F.col("new_quantity").alias("quantity"),
+                 F.col("stored_discount_id").alias("explicit_id"))
     base = lines.select("id", "cart_id", "product_id", "addon_ids")
-    u = updates.select(F.col("item_id").alias("id"), F.col("cart_id").alias("_ucart"), "new_quantity", "stored_discount_id")
-    j = u.join(base, "id", "left")
-    j = j.withColumn("_item_ok", F.col("cart_id").isNotNull() & (F.col("cart_id") == F.col("_ucart")))
-    j = j.withColumn("cart_id", F.coalesce("cart_id", "_ucart")).withColumn("quantity", F.col("new_quantity"))
-    j = j.withColumn("addon_ids", F.coalesce("addon_ids", F.array().cast("array<bigint>")))
-    priced = price_cart_items(j.withColumnRenamed("stored_discount_id", "explicit_id"),
-                              carts, products, addons, discounts, as_of, explicit_col="explicit_id",
-                              resolve_missing=False)
-    flags = j.select(F.col("id").alias("item_id"), "_item_ok")
-    out = priced.join(flags, "item_id")
-    return out.withColumn("reason", F.when(~F.col("_item_ok"), F.lit("item_not_found")).otherwise(F.col("reason"))).drop("_item_ok")
+    priced = price_cart_items(u.join(base, ["id", "cart_id"]), carts, products, addons, discounts, as_of,
+                              explicit_col="explicit_id", resolve_missing=False)
+    positive = F.coalesce(F.col("quantity") > 0, F.lit(False))
+    missing = u.join(base.select("id", "cart_id"), ["id", "cart_id"], "left_anti").select(
+        "cart_id", F.col("id").alias("item_id"), "quantity",
+        F.when(positive, F.lit("item_not_found")).otherwise(F.lit("quantity_not_positive")).alias("reason"))
+    return priced.unionByName(missing, allowMissingColumns=True)
 
 
 def cart_detail(lines: DataFrame, carts: DataFrame, products: DataFrame, addons: DataFrame,
@@ -219,7 +226,7 @@ def cart_detail(lines: DataFrame, carts: DataFrame, products: DataFrame, addons:
 
     ``applied`` gives (item_id, discount_id, discount_type, discount_value).  A
     missing discount is tolerated; a missing product or addon makes the cart an
-    error row (``reason``).
+    error row (``reason``).  A cart without lines has an empty list.
     """
     c = carts.select(F.col("id").alias("cart_id"), "merchant_id")
     p = products.select(F.col("id").alias("product_id"), F.col("merchant_id").alias("_pm"),
@@ -250,7 +257,7 @@ def cart_detail(lines: DataFrame, carts: DataFrame, products: DataFrame, addons:
         F.array_sort(F.collect_list(item)).alias("items"),
         reason_name(first_by(reason_code(line_err, DETAIL_REASONS), F.col("product_id")), DETAIL_REASONS).alias("reason"),
     )
-    return g
+    return c.select("cart_id").join(g, "cart_id", "full").withColumn("items", F.coalesce("items", F.array()))
 
 
 def cart_preview(priced_lines: DataFrame, methods: DataFrame) -> DataFrame:
@@ -268,25 +275,26 @@ def cart_preview(priced_lines: DataFrame, methods: DataFrame) -> DataFrame:
     those lines' discounts; it is dropped when the cart's total discount is 0.
     An invalid method or a failing line rejects the cart.  Without a payment
     method the preview is off: no VAT, and subtotal / total_vat / vat_rate are
-    not reported (total_price still is).
+    not reported (total_price still is).  A cart without lines has no items and
+    totals of 0.
     """
     enabled = F.col("payment_method").isNotNull()
     m = methods.select("cart_id", "payment_method", enabled.alias("_preview"),
                        F.when(enabled, vat_rate(F.col("payment_method"))).otherwise(F.lit(0.0)).alias("vat_rate"))
-    j = priced_lines.join(m, "cart_id")
+    j = m.join(priced_lines, "cart_id", "left")
     q = F.col("quantity").cast("double")
     sub = round2(F.col("price") * q + F.coalesce("addon_unit_price", F.lit(0.0)) * q - F.col("line_discount"))
     vat = round2(sub * F.col("vat_rate") / 100)
     j = j.withColumn("_sub", sub.cast("decimal(14,2)")).withColumn("_vat", vat.cast("decimal(14,2)"))
     order_key = F.struct("product_id", "item_id")
     g = j.groupBy("cart_id", "payment_method", "_preview", "vat_rate").agg(
-        F.sum("_sub").alias("_s"), F.sum("_vat").alias("_v"),
+        F.coalesce(F.sum("_sub"), F.lit(0)).alias("_s"), F.coalesce(F.sum("_vat"), F.lit(0)).alias("_v"),
         F.sum(F.col("line_discount").cast("decimal(14,2)")).alias("_d_all"),
         F.sum(F.when(F.col("discount_id").isNotNull(), F.col("line_discount").cast("decimal(14,2)"))).alias("_d_sum"),
         F.min(F.when(F.col("discount_id").isNotNull(), F.struct(order_key.alias("k"), F.col("discount_id"), F.col("discount_type"),
                                                                   F.col("discount_value").cast("double").alias("discount_value")))).alias("_first"),
         F.min(F.when(F.col("line_reason").isNotNull(), F.struct(order_key.alias("k"), F.col("line_reason").alias("r")))).getField("r").alias("_line_reason"),
-        F.count(F.lit(1)).cast("bigint").alias("item_count"),
+        F.count("item_id").cast("bigint").alias("item_count"),
     )
     reason = first_reason((F.col("vat_rate").isNull(), "invalid_payment_method"),
                           (F.col("_line_reason").isNotNull(), "line_error"))

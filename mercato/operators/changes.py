@@ -92,8 +92,17 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], set_cols: S
 
 
 def update_by_key(target: DataFrame, batch: DataFrame, keys: Sequence[str], touch_col: str | None = None,
-                  as_of=None) -> tuple[DataFrame, DataFrame]:
-    """Full-column update of rows matched by key; unmatched batch keys are returned as not found."""
+                  as_of=None, seq_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Full-column update of rows matched by key; unmatched batch keys are returned as not found.
+
+    Of repeated batch keys the row with the largest ``seq_col`` holds (without
+    one, the largest row by its other columns), so every target row stays single.
+    """
+    if seq_col:
+        batch = latest_per_key(batch, keys, seq_col).drop(seq_col)
+    else:
+        rest = [c for c in batch.columns if c not in keys]
+        batch = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else batch.distinct()
     upd_cols = [c for c in batch.columns if c not in keys]
     b = batch.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in upd_cols], F.lit(True).alias("_hit"))
     j = target.join(b, list(keys), "left")
@@ -122,11 +131,11 @@ def delete_by_key(target: DataFrame, keys_df: DataFrame, keys: Sequence[str]) ->
 
 def insert_then_enrich(target: DataFrame, batch: DataFrame, as_of, enrich: DataFrame, on: Sequence[str],
                        id_from: Sequence[str]) -> DataFrame:
-    """Append the batch (S4) and return the inserted rows joined with ``enrich`` (e.g. actor e-mail)."""
+    """The rows to insert (S4) joined with ``enrich`` (e.g. actor e-mail); rows without a match are not returned."""
     b = batch.withColumn("id", derived_id(*id_from)) if "id" not in batch.columns else batch
     if "created_at" in target.columns and "created_at" not in b.columns:
         b = b.withColumn("created_at", F.lit(as_of).cast("timestamp"))
-    return b.join(enrich, list(on), "left")
+    return b.join(enrich, list(on))
 
 
 def cascade_delete(root_keys: DataFrame, edges: Sequence[dict]) -> dict[str, DataFrame]:

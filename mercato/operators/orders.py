@@ -17,7 +17,7 @@ cart_empty; then per line: negative_discount, discount_exceeds_line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.clock import is_open
@@ -38,6 +38,8 @@ ALLOWED_TRANSITIONS = {
 }
 INITIAL_STATUS = "pending"
 
+FIRST_TIME = "0001-01-01 00:00:00"  # requests without a time come first
+
 LINE_REASONS = ("product_not_found", "inventory_not_found", "insufficient_inventory", "addon_not_found",
                 "addon_wrong_product", "negative_discount", "discount_exceeds_line")
 
@@ -83,14 +85,22 @@ def order_line_amounts(quantity, price, addon_amount, discount, rate) -> dict[st
 def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, products: DataFrame,
                  addons: DataFrame, inventory: DataFrame, branches: DataFrame, role_flags: DataFrame,
                  as_of, materialize_steps: bool = True, materialize_decisions: bool = True) -> dict[str, DataFrame]:
-    """B2: bill every request ``(cart_id, payment_type, viewer_id)`` against a stock snapshot.
+    """B2: bill every request ``(cart_id, payment_type, viewer_id[, requested_at])``, stock used up in request order.
+
+    Requests take effect in (requested_at, cart_id) order (null or missing
+    ``requested_at``: first); an accepted one uses up its stock, a refused one
+    uses none, and a later request sees what is left (B4, B5).
 
     Returns ``bills`` (accepted orders with totals), ``lines`` (B3 amounts of
     accepted orders), ``addons`` (order_item_addons rows), ``rejects`` (request
-    with reason) and ``inventory`` (snapshot minus accepted quantities).
+    with reason), ``allocation`` (the stock decision of every request that
+    passes all checks against the opening stock) and ``inventory`` (stock after
+    all requests, never below zero).
     """
     rate = bill_vat_rate(F.col("payment_type"))
-    req = requests.select("cart_id", "payment_type", "viewer_id").withColumn("vat_rate", rate)
+    asked = F.col("requested_at") if "requested_at" in requests.columns else F.lit(None)
+    req = requests.select("cart_id", "payment_type", "viewer_id", F.coalesce(asked.cast("timestamp"), F.lit(FIRST_TIME).cast("timestamp")).alias("ts")) \
+        .withColumn("vat_rate", rate)
 
     # cart, viewer and branch checks (one row per request)
     c = carts.select(F.col("id").alias("cart_id"), "merchant_id", "branch_id", F.col("actor_id").alias("cart_actor_id"))
@@ -102,8 +112,15 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
     is_merchant = F.coalesce(F.col("merchant_role_of") == F.col("merchant_id"), F.lit(False))
     is_owner = F.coalesce((F.col("customer_role_of") == F.col("merchant_id")) & (F.col("cart_actor_id") == F.col("viewer_id")), F.lit(False))
     branch_ok = F.col("_bm").isNotNull() & (F.col("_bm") == F.col("merchant_id"))
+    r = r.withColumn("_head_reason", first_reason(
+        (F.col("vat_rate").isNull(), "invalid_payment_type"),
+        (F.col("merchant_id").isNull(), "cart_not_found"),
+        (~guest & ~is_merchant & ~is_owner, "forbidden"),
+        (~branch_ok, "branch_not_found"),
+        (~is_open("opening_time_minutes", "closing_time_minutes", F.lit(as_of).cast("timestamp")), "branch_closed"),
+    )).select("cart_id", "payment_type", "viewer_id", "ts", "vat_rate", "merchant_id", "branch_id", "cart_actor_id", "_head_reason")
 
-    # merged lines and their checks (one row per cart and product)
+    # merged lines of the requests still in play, with their lookups, checks and amounts (one row per cart and product)
     merged, addon_q = merge_cart_lines(lines)
     a = addons.select(F.col("id").alias("addon_id"), F.col("product_id").alias("_ap"), F.col("name").alias("addon_name"),
                       F.col("price").alias("addon_price"))
@@ -121,58 +138,68 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
     p = products.select(F.col("id").alias("product_id"), F.col("merchant_id").alias("_pm"), F.col("name").alias("product_name"),
                         F.col("base_price").alias("price"), "track_inventory")
     inv = inventory.select("product_id", "branch_id", F.col("quantity").alias("stock"))
-    ml = (merged.join(c.select("cart_id", "merchant_id", "branch_id"), "cart_id")
+    in_play = r.filter(F.col("_head_reason").isNull()).select("cart_id", "merchant_id", "branch_id", "vat_rate", "ts")
+    bl = (merged.join(in_play, "cart_id")
           .join(p, "product_id", "left")
           .join(inv, ["product_id", "branch_id"], "left")
-          .join(addon_agg, ["cart_id", "product_id"], "left"))
-    tracked = F.coalesce(F.col("track_inventory"), F.lit(False)) & F.col("branch_id").isNotNull()
+          .join(addon_agg, ["cart_id", "product_id"], "left")
+          .withColumn("addon_amount", F.coalesce("addon_amount", F.lit(0.0))))
+    bl = bl.withColumn("_tracked", F.coalesce(F.col("track_inventory"), F.lit(False)) & F.col("branch_id").isNotNull())
     stage1 = first_reason(
         (F.col("_pm").isNull() | (F.col("_pm") != F.col("merchant_id")), "product_not_found"),
-        (tracked & F.col("stock").isNull(), "inventory_not_found"),
-        (tracked & (F.col("stock") < F.col("quantity")), "insufficient_inventory"),
+        (F.col("_tracked") & F.col("stock").isNull(), "inventory_not_found"),
+        (F.col("_tracked") & (F.col("stock") < F.col("quantity")), "insufficient_inventory"),
         (F.col("addon_reason").isNotNull(), "addon"),
     )
     stage1 = F.when(stage1 == "addon", F.col("addon_reason")).otherwise(stage1)
-    ml = (ml.withColumn("addon_amount", F.coalesce("addon_amount", F.lit(0.0)))
-          .withColumn("_stage1", reason_code(stage1, LINE_REASONS)))
+    for name, expr in order_line_amounts("quantity", "price", "addon_amount", "discount_amount", "vat_rate").items():
+        bl = bl.withColumn(name, expr)
+    stage2 = first_reason((F.col("discount_amount") < 0, "negative_discount"),
+                          (F.col("line_subtotal") < 0, "discount_exceeds_line"))
+    bl = (bl.withColumn("_stage1", reason_code(stage1, LINE_REASONS))
+          .withColumn("_stage2", reason_code(stage2, LINE_REASONS)))
     if materialize_steps:
-        ml = materialize(ml)
-    per_cart_lines = ml.groupBy("cart_id").agg(
-        reason_name(first_by(F.col("_stage1"), F.col("product_id")), LINE_REASONS).alias("_line_err1"),
+        bl = materialize(bl)
+    per_cart = bl.groupBy("cart_id").agg(
+        first_by(F.col("_stage1"), F.col("product_id")).alias("_err1"),
+        first_by(F.col("_stage2"), F.col("product_id")).alias("_err2"),
         F.min("_min_q").alias("_min_q"),
         F.count(F.lit(1)).alias("_n_lines"),
+        F.sum(F.col("line_subtotal").cast("decimal(14,2)")).alias("_sub"),
+        F.sum(F.col("tax_amount").cast("decimal(14,2)")).alias("_tax"),
+        F.sum(F.col("line_total").cast("decimal(14,2)")).alias("_tot"),
     )
 
-    r = r.join(per_cart_lines, "cart_id", "left")
-    cart_reason = first_reason(
-        (F.col("vat_rate").isNull(), "invalid_payment_type"),
-        (F.col("merchant_id").isNull(), "cart_not_found"),
-        (~guest & ~is_merchant & ~is_owner, "forbidden"),
-        (~branch_ok, "branch_not_found"),
-        (~is_open("opening_time_minutes", "closing_time_minutes", F.lit(as_of).cast("timestamp")), "branch_closed"),
+    # requests that pass against the opening stock compete for it in order
+    passing = per_cart.filter(F.col("_err1").isNull() & F.col("_err2").isNull() & (F.col("_min_q") > 0)).select("cart_id")
+    stock_lines = bl.filter("_tracked").select(F.col("cart_id").alias("order_id"), "branch_id", "ts", "product_id",
+                                               "quantity", "stock", "_stage1")
+    fits = passing.select(F.col("cart_id").alias("order_id"), F.lit(True).alias("_fits"))
+    refused = refused_orders(stock_lines.join(fits, "order_id", "left_semi"))
+
+    # what was left for every tracked line when its request came: gives the first failing line of all requests
+    served = fits.join(refused, "order_id", "left_anti")
+    left = running_before(
+        stock_lines.join(served.withColumnRenamed("_fits", "_served"), "order_id", "left"),
+        {"_taken": F.when(F.col("_served"), F.col("quantity")).otherwise(F.lit(0))})
+    short = (F.col("stock") - F.col("_taken")) < F.col("quantity")
+    insufficient = LINE_REASONS.index("insufficient_inventory") + 1
+    serial = left.filter(short).groupBy(F.col("order_id").alias("cart_id")).agg(F.min("product_id").alias("_short_at"))
+    line_errors = bl.filter(F.col("_stage1").isNotNull() & (F.col("_stage1") != insufficient)).groupBy("cart_id").agg(
+        first_by(F.col("_stage1"), F.col("product_id")).alias("_other"), F.min("product_id").alias("_other_at"))
+    line_err = F.when(F.col("_short_at").isNotNull() & (F.col("_other_at").isNull() | (F.col("_short_at") < F.col("_other_at"))),
+                      F.lit(insufficient)).otherwise(F.col("_other"))
+
+    r = (r.join(per_cart, "cart_id", "left").join(serial, "cart_id", "left").join(line_errors, "cart_id", "left")
+         .withColumn("_line_err", reason_name(line_err, LINE_REASONS)))
+    reason = first_reason(
+        (F.col("_head_reason").isNotNull(), "head"),
         (F.coalesce(F.col("_min_q"), F.lit(1)) <= 0, "quantity_not_positive"),
-        (F.col("_line_err1").isNotNull(), "line"),
+        (F.col("_line_err").isNotNull(), "line"),
         (F.coalesce(F.col("_n_lines"), F.lit(0)) == 0, "cart_empty"),
     )
-    cart_reason = F.when(cart_reason == "line", F.col("_line_err1")).otherwise(cart_reason)
-    r = r.withColumn("_pre_reason", cart_reason)
-
-    # line amounts for carts that passed every earlier check
-    ok_req = r.filter(F.col("_pre_reason").isNull()).select("cart_id", "payment_type", "vat_rate")
-    amounts = order_line_amounts("quantity", "price", "addon_amount", "discount_amount", "vat_rate")
-    bl = ml.join(ok_req, "cart_id")
-    for name, expr in amounts.items():
-        bl = bl.withColumn(name, expr)
-    stage2 = first_reason((F.col("discount_amount") < 0, "negative_discount"),
-                          (F.col("line_subtotal") < 0, "discount_exceeds_line"))
-    bl = bl.withColumn("_stage2", reason_code(stage2, LINE_REASONS))
-    totals = bl.groupBy("cart_id").agg(
-        reason_name(first_by(F.col("_stage2"), F.col("product_id")), LINE_REASONS).alias("_line_err2"),
-        F.sum(F.col("line_subtotal").cast("decimal(14,2)")).alias("_sub"),
-        F.sum(F.col("tax_amount").cast("decimal(14,2)")).alias("_tax"),
-        F.sum(F.col("line_total").cast("decimal(14,2)")).alias("_tot"),
-    )
-    r = r.join(totals, "cart_id", "left").withColumn("reason", F.coalesce("_pre_reason", "_line_err2"))
+    reason = F.when(reason == "head", F.col("_head_reason")).when(reason == "line", F.col("_line_err")).otherwise(reason)
+    r = r.withColumn("reason", F.coalesce(reason, reason_name(F.col("_err2"), LINE_REASONS)))
     if materialize_steps and materialize_decisions:
         r = materialize(r)
 
@@ -185,6 +212,8 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
     )
     rejects = r.filter(F.col("reason").isNotNull()).select("cart_id", "payment_type", "viewer_id", "reason")
     ok_ids = accepted.select("cart_id")
+    allocation = r.join(passing, "cart_id", "left_semi").select(
+        F.col("cart_id").alias("order_id"), "branch_id", F.col("reason").isNull().alias("accepted"), "reason")
     order_lines = bl.join(ok_ids, "cart_id", "left_semi").select(
         F.col("cart_id").alias("order_id"), "product_id", "product_name", "quantity",
         F.col("price").cast("double").alias("price"), "base_amount", "addon_amount",
@@ -194,12 +223,9 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
         F.col("cart_id").alias("order_id"), "product_id", "addon_id", "addon_name",
         F.col("addon_price").cast("double").alias("addon_price"), "addon_quantity", "line_addon_total",
     )
-    used = ml.join(ok_ids, "cart_id", "left_semi").filter(
-        F.coalesce(F.col("track_inventory"), F.lit(False))
-    ).groupBy("product_id", "branch_id").agg(F.sum("quantity").alias("_used"))
-    new_inventory = inventory.join(used, ["product_id", "branch_id"], "left").select(
-        "product_id", "branch_id", (F.col("quantity") - F.coalesce("_used", F.lit(0))).cast("int").alias("quantity"))
-    return {"bills": bills, "lines": order_lines, "addons": order_addons, "rejects": rejects, "inventory": new_inventory}
+    new_inventory = use_stock(inventory, bl.filter("_tracked").join(ok_ids, "cart_id", "left_semi"))
+    return {"bills": bills, "lines": order_lines, "addons": order_addons, "rejects": rejects, "allocation": allocation,
+            "inventory": new_inventory}
 
 
 def order_detail(bills: DataFrame, order_lines: DataFrame, order_addons: DataFrame) -> DataFrame:
@@ -332,123 +358,80 @@ def apply_status_changes(requests: DataFrame, key: str = "order_ref",
 
 # --- B5: serial stock allocation -------------------------------------------------
 
-ALLOCATION_SCHEMA = "order_id long, branch_id long, accepted boolean, reason string"
 
 
-def _allocation_fold(batches):
-    """Walk rows sorted by (branch, ts, order, product); accept an order when every line fits the remaining stock.
+def running_before(lines: DataFrame, amounts: dict[str, Column], keys=("branch_id", "product_id"),
+                   bucket: str = "hour") -> DataFrame:
+    """Add, per line, the sum of each amount over the lines of the same key that come before it by (ts, order_id).
 
-    State is the remaining stock per (branch, product) seen so far, so memory
-    grows with the products of the branches in this partition, not with the
-    number of orders.  An order whose rows straddle two Arrow batches is carried
-    over to the next batch.
+    Sums run inside one time bucket of a key and are offset by the totals of the
+    key's earlier buckets, so a hot product's lines are spread over its buckets.
     """
-    import pandas as pd
-
-    remaining: dict[tuple, int] = {}
-    carry = None
-
-    def settle(group):
-        branch = int(group["branch_id"].iloc[0])
-        ok = True
-        for prod, qty, stock in zip(group["product_id"], group["quantity"], group["stock"]):
-            key = (branch, int(prod))
-            have = remaining.get(key, None if pd.isna(stock) else int(stock))
-            if have is None or have < int(qty):
-                ok = False
-                break
-        if ok:
-            for prod, qty, stock in zip(group["product_id"], group["quantity"], group["stock"]):
-                key = (branch, int(prod))
-                remaining[key] = remaining.get(key, int(stock)) - int(qty)
-        return (int(group["order_id"].iloc[0]), branch, ok, None if ok else "insufficient_inventory")
-
-    for pdf in batches:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-            carry = None
-        if pdf.empty:
-            continue
-        last = pdf["order_id"].iloc[-1]
-        tail = pdf["order_id"] == last
-        carry = pdf[tail]
-        body = pdf[~tail]
-        out = [settle(g) for _, g in body.groupby("order_id", sort=False)]
-        if out:
-            yield pd.DataFrame(out, columns=["order_id", "branch_id", "accepted", "reason"])
-    if carry is not None and not carry.empty:
-        yield pd.DataFrame([settle(carry)], columns=["order_id", "branch_id", "accepted", "reason"])
-
-
-def stock_components(candidates: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components of co-ordered products inside each branch: (branch_id, product_id, component).
-
-    Two products are linked when one order asks for both.  Orders in different
-    components touch disjoint stock, so their serial folds are independent.
-    Min-label propagation with pointer jumping: every round, an order takes the
-    smallest label of its products, every product the smallest label of its
-    orders and then its label's label; rounds stop when no label changes.  Each round's labels are written as a table
-    (lineage stays short, lost executors do not replay earlier rounds); the
-    only driver-side value per round is the count of changed labels.
-    """
-    lines = candidates.select("order_id", "branch_id", "product_id").distinct()
-    labels = lines.select("branch_id", "product_id", F.col("product_id").alias("label")).distinct()
-    labels = materialize(labels)
-    for _ in range(max_rounds):
-        per_order = (lines.join(labels, ["branch_id", "product_id"])
-                     .groupBy("order_id", "branch_id").agg(F.min("label").alias("order_label")))
-        nxt = (lines.join(per_order, ["order_id", "branch_id"])
-               .groupBy("branch_id", "product_id").agg(F.min("order_label").alias("label")))
-        # pointer jumping: a product also takes its label's label (labels are product ids of the same branch)
-        hop = nxt.select("branch_id", F.col("product_id").alias("label"), F.col("label").alias("_hop"))
-        nxt = nxt.join(hop, ["branch_id", "label"], "left").select(
-            "branch_id", "product_id", F.least(F.col("label"), F.coalesce("_hop", "label")).alias("label"))
-        nxt = materialize(nxt)
-        changed = nxt.join(labels.withColumnRenamed("label", "_old"), ["branch_id", "product_id"]) \
-            .filter(F.col("label") != F.col("_old")).count()
-        labels = nxt
-        if changed == 0:
-            return labels.withColumnRenamed("label", "component")
-    # not converged: one component per branch (folding the whole branch in one task is always exact)
-    return labels.select("branch_id", "product_id", F.lit(-1).cast("long").alias("component"))
-
-
-def allocate_stock(candidates: DataFrame, inventory: DataFrame, hot_fraction: float = 0.2,
-                   hot_min_rows: int = 1_000_000) -> dict[str, DataFrame]:
-    """Serial stock use per branch in (ts, order_id) order; rejected orders do not consume stock.
-
-    ``candidates``: (order_id, branch_id, ts, product_id, quantity) for the
-    tracked lines of orders that pass every other check.  A cart has one
-    branch and stock is keyed by (product, branch), so branches are independent
-    and each is folded in (ts, order) order inside one task.
-
-    A hot branch (more than ``hot_fraction`` of all rows and more than
-    ``hot_min_rows``) is split further: orders in different product components
-    (``stock_components``) touch disjoint stock, so each component is folded in
-    its own task.  Hot branches are at most ``1 / hot_fraction`` rows, so that
-    list is broadcast; cold branches skip the component search entirely.
-    Returns ``decisions`` (order_id, branch_id, accepted, reason) and the new
-    ``inventory``.
+    k = [*keys, "_bucket"]
+    b = lines.withColumn("_bucket", F.date_trunc(bucket, "ts"))
+    for name, expr in amounts.items():
+        b = b.withColumn(name, expr.cast("long"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = b.groupBy(*k).agg(*[F.sum(n).alias(f"_sum_{n}") for n in amounts]).select(
+        *k, *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in amounts])
+    inside = Window.partitionBy(*k).orderBy("ts", "order_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = b.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in amounts]).join(offsets, k)
+    for n in amounts:
+        out = out.withColumn(n, F.col(f"_in_{n}") + F.col(f"_off_{n}"))
+    return out.drop("_bucket", *[f"_in_{n}" for n in amounts], *[f"_off_{n}" for n in amounts])
+
+
+def refused_orders(candidates: DataFrame) -> DataFrame:
+    """Orders (order_id) that find too little stock when all are served in (ts, order_id) order.
+
+    ``candidates``: one row per order and product (order_id, branch_id, ts,
+    product_id, quantity > 0, stock).  Only products asked for beyond their stock
+    can refuse an order.  On those, every round takes the accepted (A) and the
+    open (U) demand before each line: an order is accepted when every line has
+    A + U + q <= stock and refused when any has A + q > stock.  The first open
+    order of a branch has U = 0 and is settled, so the rounds end by themselves.
+    Each round is written as a table; the driver sees only whether one is empty.
     """
-    candidates = materialize(candidates)  # read by the size check, the fold and the stock update
-    rows = candidates.join(inventory.select("product_id", "branch_id", F.col("quantity").alias("stock")),
-                           ["product_id", "branch_id"], "left")
-    total = candidates.count()
-    limit = max(hot_fraction * total, hot_min_rows)
-    hot = candidates.groupBy("branch_id").count().filter(F.col("count") > F.lit(limit)).select("branch_id")
-    if hot.limit(1).count() > 0:
-        hot_side = F.broadcast(hot) if hot_fraction > 0 else hot  # <= 1/hot_fraction rows
-        comp = stock_components(candidates.join(hot_side, "branch_id", "left_semi"))
-        rows = rows.join(comp, ["branch_id", "product_id"], "left").withColumn(
-            "component", F.coalesce(F.col("component"), F.lit(-1).cast("long")))
-    else:
-        rows = rows.withColumn("component", F.lit(-1).cast("long"))
-    ordered = rows.repartition("branch_id", "component").sortWithinPartitions(
-        "branch_id", "component", "ts", "order_id", "product_id")
-    decisions = ordered.select("order_id", "branch_id", "product_id", "quantity", "stock").mapInPandas(
-        _allocation_fold, ALLOCATION_SCHEMA)
-    used = (candidates.join(decisions.filter("accepted").select("order_id"), "order_id", "left_semi")
-            .groupBy("product_id", "branch_id").agg(F.sum("quantity").alias("_used")))
-    new_inventory = inventory.join(used, ["product_id", "branch_id"], "left").select(
+    asked = candidates.groupBy("branch_id", "product_id").agg(F.sum("quantity").alias("_asked"))
+    state = materialize(
+        candidates.select("order_id", "branch_id", "ts", "product_id", "quantity", F.coalesce("stock", F.lit(-1)).alias("stock"))
+        .join(asked, ["branch_id", "product_id"]).filter(F.col("_asked") > F.col("stock")).drop("_asked")
+        .withColumn("served", F.lit(None).cast("boolean")))
+    contested = state.select("order_id").distinct()
+    is_open_line = F.col("served").isNull()
+    while not state.filter(is_open_line).isEmpty():
+        demand = running_before(state, {"_a": F.when(F.col("served"), F.col("quantity")).otherwise(F.lit(0)),
+                                        "_u": F.when(is_open_line, F.col("quantity")).otherwise(F.lit(0))})
+        settled = demand.filter(is_open_line).groupBy("order_id").agg(
+            F.min(F.col("_a") + F.col("_u") + F.col("quantity") <= F.col("stock")).alias("_ok"),
+            F.max(F.col("_a") + F.col("quantity") > F.col("stock")).alias("_short"),
+        ).filter(F.col("_ok") | F.col("_short")).select("order_id", "_ok")
+        state = materialize(
+            state.join(settled, "order_id", "left").withColumn("served", F.coalesce("served", "_ok")).drop("_ok")
+            .filter(F.coalesce(F.col("served"), F.lit(True))))  # a refused order uses no stock
+    return contested.join(state.select("order_id").distinct(), "order_id", "left_anti")
+
+
+def use_stock(inventory: DataFrame, served_lines: DataFrame) -> DataFrame:
+    """Inventory after the given lines (branch_id, product_id, quantity) have used up their stock."""
+    used = served_lines.groupBy("product_id", "branch_id").agg(F.sum("quantity").alias("_used"))
+    return inventory.join(used, ["product_id", "branch_id"], "left").select(
         "product_id", "branch_id", (F.col("quantity") - F.coalesce("_used", F.lit(0))).cast("int").alias("quantity"))
-    return {"decisions": decisions, "inventory": new_inventory}
+
+
+def allocate_stock(candidates: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:
+    """Serial stock use in (ts, order_id) order; refused orders do not consume stock.
+
+    ``candidates``: (order_id, branch_id, ts, product_id, quantity), one row per
+    order and product, for the tracked lines of orders that pass every other
+    check.  A product without a stock row refuses its orders.  Returns
+    ``decisions`` (order_id, branch_id, accepted, reason) and the new ``inventory``.
+    """
+    candidates = materialize(candidates.withColumn("ts", F.coalesce("ts", F.lit(FIRST_TIME).cast("timestamp"))))
+    stock = inventory.select("product_id", "branch_id", F.col("quantity").alias("stock"))
+    refused = materialize(refused_orders(candidates.join(stock, ["product_id", "branch_id"], "left")))
+    decisions = (candidates.select("order_id", "branch_id").distinct()
+                 .join(refused.withColumn("reason", F.lit("insufficient_inventory")), "order_id", "left")
+                 .select("order_id", "branch_id", F.col("reason").isNull().alias("accepted"), "reason"))
+    return {"decisions": decisions,
+            "inventory": use_stock(inventory, candidates.join(refused, "order_id", "left_anti"))}

@@ -434,16 +434,16 @@ m AS (
               ELSE CAST(CASE lower(trim(payment_method)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS DOUBLE) END AS vat_rate
   FROM m0),
 lv AS (
-  SELECT pv.*, m.payment_method, m.preview, m.vat_rate,
+  SELECT m.cart_id, pv.* EXCLUDE (cart_id), m.payment_method, m.preview, m.vat_rate,
          {r2('price * quantity + coalesce(addon_unit_price, 0) * quantity - line_discount')} AS sub
-  FROM pv JOIN m USING (cart_id)),
+  FROM m LEFT JOIN pv ON pv.cart_id = m.cart_id),
 lv2 AS (SELECT *, {r2('sub * vat_rate / 100')} AS vat,
                row_number() OVER (PARTITION BY cart_id ORDER BY CASE WHEN discount_id IS NULL THEN 1 ELSE 0 END, product_id, item_id) AS disc_rank,
                row_number() OVER (PARTITION BY cart_id ORDER BY CASE WHEN line_reason IS NULL THEN 1 ELSE 0 END, product_id, item_id) AS err_rank
         FROM lv),
 g AS (
-  SELECT cart_id, payment_method, preview, vat_rate, CAST(count(*) AS BIGINT) AS item_count,
-         sum(CAST(sub AS DECIMAL(14,2))) AS s, sum(CAST(vat AS DECIMAL(14,2))) AS v,
+  SELECT cart_id, payment_method, preview, vat_rate, CAST(count(item_id) AS BIGINT) AS item_count,
+         coalesce(sum(CAST(sub AS DECIMAL(14,2))), 0) AS s, coalesce(sum(CAST(vat AS DECIMAL(14,2))), 0) AS v,
          sum(CAST(line_discount AS DECIMAL(14,2))) AS d_all,
          sum(CASE WHEN discount_id IS NOT NULL THEN CAST(line_discount AS DECIMAL(14,2)) END) AS d_sum,
          max(CASE WHEN disc_rank = 1 AND discount_id IS NOT NULL THEN discount_id END) AS f_id,
@@ -552,6 +552,49 @@ tot AS (
   FROM bl GROUP BY 1),
 fin AS (SELECT r.*, tot.s, tot.t, tot.g, coalesce(r.pre_reason, tot.line_err2) AS reason FROM r LEFT JOIN tot USING (cart_id))"""
 
+# Serial stock use: orders that pass against the opening stock are replayed one at a time per branch; `fin2` holds every
+# request's outcome, its lines checked against the stock left when it came.
+_SERIAL = _ORDERS + """,
+acc AS (SELECT cart_id AS order_id, branch_id FROM fin WHERE reason IS NULL),
+cand AS (
+  SELECT bl.cart_id AS order_id, bl.branch_id, bl.product_id, bl.quantity
+  FROM bl JOIN acc ON acc.order_id = bl.cart_id WHERE coalesce(bl.track_inventory, false)),
+ord AS (
+  SELECT c.branch_id, c.order_id,
+         row_number() OVER (PARTITION BY c.branch_id ORDER BY o.created_at, c.order_id) AS rn
+  FROM (SELECT DISTINCT branch_id, order_id FROM cand) c JOIN v_orders o ON o.id = c.order_id),
+fold(branch_id, rn, product_id, remaining, order_id, ok) AS (
+  SELECT i.branch_id, CAST(0 AS BIGINT), i.product_id, i.quantity, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN)
+  FROM v_product_inventory i WHERE i.branch_id IN (SELECT branch_id FROM ord)
+  UNION ALL
+  SELECT branch_id, rn + 1, product_id,
+         remaining - CASE WHEN step_ok THEN coalesce(quantity, 0) ELSE 0 END, next_order, step_ok
+  FROM (
+    SELECT s.branch_id, s.rn, s.product_id, s.remaining, o.order_id AS next_order, l.quantity,
+           bool_and(l.quantity IS NULL OR s.remaining >= l.quantity) OVER (PARTITION BY s.branch_id) AS step_ok
+    FROM fold s JOIN ord o ON o.branch_id = s.branch_id AND o.rn = s.rn + 1
+    LEFT JOIN cand l ON l.order_id = o.order_id AND l.product_id = s.product_id) x),
+dec AS (SELECT DISTINCT order_id, ok FROM fold WHERE order_id IS NOT NULL),
+alloc AS (SELECT a.order_id, coalesce(d.ok, true) AS ok FROM acc a LEFT JOIN dec d ON d.order_id = a.order_id),
+seen AS (
+  SELECT ml.cart_id, ml.product_id, ml.quantity, ml.stage1, ml.addon_reason, ml.stock, coalesce(ml.track_inventory, false) AS tracked,
+         coalesce(sum(CASE WHEN s.ok AND coalesce(ml.track_inventory, false) THEN ml.quantity ELSE 0 END)
+           OVER (PARTITION BY ml.branch_id, ml.product_id ORDER BY o.created_at, ml.cart_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken
+  FROM ml JOIN v_orders o ON o.id = ml.cart_id LEFT JOIN alloc s ON s.order_id = ml.cart_id),
+seen2 AS (
+  SELECT cart_id, product_id, CASE WHEN stage1 IN ('product_not_found', 'inventory_not_found') THEN stage1
+                                   WHEN tracked AND stock - taken < quantity THEN 'insufficient_inventory'
+                                   ELSE addon_reason END AS err
+  FROM seen),
+serr AS (SELECT cart_id, arg_min(err, product_id) FILTER (WHERE err IS NOT NULL) AS err FROM seen2 GROUP BY 1),
+fin2 AS (
+  SELECT fin.* EXCLUDE (reason),
+         CASE WHEN pre_reason IN ('invalid_payment_type', 'cart_not_found', 'forbidden', 'branch_not_found', 'branch_closed',
+                                  'quantity_not_positive') THEN pre_reason
+              ELSE coalesce(serr.err, fin.reason) END AS reason
+  FROM fin LEFT JOIN serr ON serr.cart_id = fin.cart_id)"""
+
 sql("merged_cart_lines", f"""
 WITH {_ORDERS.strip()},
 asum AS (SELECT cart_id, product_id, count(*) AS n_addons, sum(addon_quantity) AS addon_units FROM addon_q GROUP BY 1, 2)
@@ -561,29 +604,29 @@ FROM merged m LEFT JOIN asum a USING (cart_id, product_id)
 """)
 
 sql("order_bills", f"""
-WITH {_ORDERS.strip()}
+WITH RECURSIVE {_SERIAL.strip()}
 SELECT cart_id AS order_id, merchant_id, branch_id, cart_actor_id AS actor_id, lower(trim(payment_type)) AS payment_type, vat_rate,
        {r2('s')} AS subtotal, {r2('t')} AS total_tax, {r2('g')} AS total, 'pending' AS status
-FROM fin WHERE reason IS NULL
+FROM fin2 WHERE reason IS NULL
 """)
 
 sql("order_lines", f"""
-WITH {_ORDERS.strip()}
+WITH RECURSIVE {_SERIAL.strip()}
 SELECT bl.cart_id AS order_id, bl.product_id, bl.product_name, bl.quantity, CAST(bl.price AS DOUBLE) AS price, bl.base_amount,
        bl.addon_amount, CAST(bl.discount_amount AS DOUBLE) AS discount_amount, bl.line_subtotal, bl.tax_amount, bl.line_total
-FROM bl JOIN fin ON fin.cart_id = bl.cart_id AND fin.reason IS NULL
+FROM bl JOIN fin2 ON fin2.cart_id = bl.cart_id AND fin2.reason IS NULL
 """)
 
 sql("order_rejects", f"""
-WITH {_ORDERS.strip()}
-SELECT cart_id, payment_type, viewer_id, reason FROM fin WHERE reason IS NOT NULL
+WITH RECURSIVE {_SERIAL.strip()}
+SELECT cart_id, payment_type, viewer_id, reason FROM fin2 WHERE reason IS NOT NULL
 """)
 
 sql("order_inventory", f"""
-WITH {_ORDERS.strip()},
+WITH RECURSIVE {_SERIAL.strip()},
 used AS (
   SELECT ml.product_id, ml.branch_id, sum(ml.quantity) AS used
-  FROM ml JOIN fin ON fin.cart_id = ml.cart_id AND fin.reason IS NULL
+  FROM ml JOIN fin2 ON fin2.cart_id = ml.cart_id AND fin2.reason IS NULL
   WHERE coalesce(ml.track_inventory, false) GROUP BY 1, 2)
 SELECT i.product_id, i.branch_id, CAST(i.quantity - coalesce(u.used, 0) AS INTEGER) AS quantity
 FROM v_product_inventory i LEFT JOIN used u ON u.product_id = i.product_id AND u.branch_id = i.branch_id
@@ -928,9 +971,15 @@ WHERE NOT EXISTS (SELECT 1 FROM v_cart_items i WHERE i.cart_id = k.cart_id AND i
 """)
 
 sql("append_rows", f"""
+SELECT id, merchant_id, actor_id, refresh_token, is_blocked, {ts('created_at')} AS created_at FROM v_sessions
+UNION ALL
+SELECT id + 1000000000, merchant_id, actor_id, concat('r', CAST(id AS VARCHAR)), false, '2024-01-20 00:00:00' FROM v_sessions
+""")
+
+sql("insert_then_enrich", """
 SELECT s.id + 1000000000 AS id, s.merchant_id, s.actor_id, concat('r', CAST(s.id AS VARCHAR)) AS refresh_token,
-       {ts(SESSION_AS_OF)} AS created_at, coalesce(a.email, '') AS actor_email, false AS is_blocked
-FROM v_sessions s LEFT JOIN v_actors a ON a.merchant_id = s.merchant_id AND a.id = s.actor_id
+       '2024-01-20 00:00:00' AS created_at, a.email AS actor_email
+FROM v_sessions s JOIN v_actors a ON a.merchant_id = s.merchant_id AND a.id = s.actor_id
 """)
 
 sql("cascade_delete", """
@@ -1052,27 +1101,7 @@ FROM fold
 
 
 sql("stock_allocation", f"""
-WITH RECURSIVE {_ORDERS.strip()},
-acc AS (SELECT cart_id AS order_id, branch_id FROM fin WHERE reason IS NULL),
-cand AS (
-  SELECT bl.cart_id AS order_id, bl.branch_id, bl.product_id, bl.quantity
-  FROM bl JOIN acc ON acc.order_id = bl.cart_id WHERE coalesce(bl.track_inventory, false)),
-ord AS (
-  SELECT c.branch_id, c.order_id,
-         row_number() OVER (PARTITION BY c.branch_id ORDER BY o.created_at, c.order_id) AS rn
-  FROM (SELECT DISTINCT branch_id, order_id FROM cand) c JOIN v_orders o ON o.id = c.order_id),
-fold(branch_id, rn, product_id, remaining, order_id, ok) AS (
-  SELECT i.branch_id, CAST(0 AS BIGINT), i.product_id, i.quantity, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN)
-  FROM v_product_inventory i WHERE i.branch_id IN (SELECT branch_id FROM ord)
-  UNION ALL
-  SELECT branch_id, rn + 1, product_id,
-         remaining - CASE WHEN step_ok THEN coalesce(quantity, 0) ELSE 0 END, next_order, step_ok
-  FROM (
-    SELECT s.branch_id, s.rn, s.product_id, s.remaining, o.order_id AS next_order, l.quantity,
-           bool_and(l.quantity IS NULL OR s.remaining >= l.quantity) OVER (PARTITION BY s.branch_id) AS step_ok
-    FROM fold s JOIN ord o ON o.branch_id = s.branch_id AND o.rn = s.rn + 1
-    LEFT JOIN cand l ON l.order_id = o.order_id AND l.product_id = s.product_id) x),
-dec AS (SELECT DISTINCT order_id, ok FROM fold WHERE order_id IS NOT NULL)
+WITH RECURSIVE {_SERIAL.strip()}
 SELECT a.order_id, a.branch_id, coalesce(d.ok, true) AS accepted,
        CASE WHEN d.ok = false THEN 'insufficient_inventory' END AS reason
 FROM acc a LEFT JOIN dec d ON d.order_id = a.order_id
@@ -1080,15 +1109,15 @@ FROM acc a LEFT JOIN dec d ON d.order_id = a.order_id
 
 
 sql("order_detail_items", f"""
-WITH {_ORDERS.strip()},
-acc AS (SELECT cart_id, g FROM fin WHERE reason IS NULL),
+WITH RECURSIVE {_SERIAL.strip()},
+done AS (SELECT cart_id, g FROM fin2 WHERE reason IS NULL),
 asum AS (
   SELECT al.cart_id, al.product_id, count(*) AS n, sum(al.addon_quantity) AS u, min(al.addon_id) AS first_id
-  FROM al JOIN acc ON acc.cart_id = al.cart_id GROUP BY 1, 2)
-SELECT bl.cart_id AS order_id, {r2('acc.g')} AS total, bl.product_id, bl.quantity, bl.line_total,
+  FROM al JOIN done ON done.cart_id = al.cart_id GROUP BY 1, 2)
+SELECT bl.cart_id AS order_id, {r2('done.g')} AS total, bl.product_id, bl.quantity, bl.line_total,
        CAST(coalesce(a.n, 0) AS BIGINT) AS n_addons, CAST(coalesce(a.u, 0) AS BIGINT) AS addon_units,
        a.first_id AS first_addon_id
-FROM bl JOIN acc ON acc.cart_id = bl.cart_id
+FROM bl JOIN done ON done.cart_id = bl.cart_id
 LEFT JOIN asum a ON a.cart_id = bl.cart_id AND a.product_id = bl.product_id
 """)
 
@@ -1105,8 +1134,8 @@ li AS (
 cr AS (
   SELECT cart_id, arg_min(line_reason, product_id) FILTER (WHERE line_reason IS NOT NULL) AS reason
   FROM li GROUP BY 1)
-SELECT li.cart_id, cr.reason, li.product_id, li.item_id, li.quantity, li.price, li.n_addons, li.discount_id
-FROM li JOIN cr USING (cart_id)
+SELECT c.id AS cart_id, cr.reason, li.product_id, li.item_id, li.quantity, li.price, li.n_addons, li.discount_id
+FROM v_carts c LEFT JOIN li ON li.cart_id = c.id LEFT JOIN cr ON cr.cart_id = c.id
 """)
 
 

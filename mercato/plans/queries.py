@@ -283,10 +283,12 @@ def q_cart_reprice(spark, sf_dir):
                .join(fx.v_carts.select(F.col("id").alias("cart_id"), "merchant_id"), "cart_id")
                .join(fx.v_products.select(F.col("id").alias("product_id"), "category_id"), "product_id", "left"))
     stored = discounts.resolve_best_discount(targets, fx.v_discounts, DISCOUNT_AS_OF)
+    # every third line is updated twice; the later update holds
     updates = stored.select("item_id", "cart_id", (F.col("quantity") - 10).alias("new_quantity"),
-                            F.col("best_discount_id").alias("stored_discount_id"))
+                            F.col("best_discount_id").alias("stored_discount_id"), F.lit(2).alias("seq"))
+    updates = updates.unionByName(updates.filter(F.col("item_id") % 3 == 0).withColumn("new_quantity", F.lit(1)).withColumn("seq", F.lit(1)))
     return carts.reprice_quantity_updates(updates, lines, fx.v_carts, fx.v_products, fx.v_product_addons,
-                                          fx.v_discounts, REPRICE_AS_OF)
+                                          fx.v_discounts, REPRICE_AS_OF, seq_col="seq")
 
 
 def _preview_lines(fx):
@@ -331,12 +333,12 @@ def q_cart_detail(spark, sf_dir):
 
 @register("cart_detail_items")
 def q_cart_detail_items(spark, sf_dir):
-    # the cart documents read back item by item, so the document builder can be compared with SQL
+    # the cart documents read back item by item (an empty cart is one row without item), comparable with SQL
     it = F.col("it")
-    return q_cart_detail(spark, sf_dir).select("cart_id", "reason", F.explode("items").alias("it")).select(
+    return q_cart_detail(spark, sf_dir).select("cart_id", "reason", F.explode_outer("items").alias("it")).select(
         "cart_id", "reason", it["product_id"].alias("product_id"), it["item_id"].alias("item_id"),
         it["quantity"].alias("quantity"), it["price"].alias("price"),
-        F.size(it["addons"]).cast("bigint").alias("n_addons"), it["discount"]["discount_id"].alias("discount_id"))
+        F.when(it.isNotNull(), F.size(it["addons"]).cast("bigint")).alias("n_addons"), it["discount"]["discount_id"].alias("discount_id"))
 
 
 # --- orders ------------------------------------------------------------------
@@ -349,7 +351,8 @@ def _order_requests(fx):
     pt = (F.when(o.id % 97 == 0, F.lit("crypto"))
           .when(o.id % 5 == 0, F.concat(F.lit(" "), F.upper(o.payment_type), F.lit(" ")))
           .otherwise(o.payment_type))
-    return o.select(F.col("cart_id"), pt.alias("payment_type"), F.col("actor_id").alias("viewer_id"))
+    return o.select(F.col("cart_id"), pt.alias("payment_type"), F.col("actor_id").alias("viewer_id"),
+                    F.col("created_at").alias("requested_at"))
 
 
 def _placed(fx, several_outputs: bool = True):
@@ -633,13 +636,15 @@ def q_upsert_inventory(spark, sf_dir):
 
 @register("update_by_key")
 def q_update_by_key(spark, sf_dir):
-    # pending orders move to accepted; the batch also names order ids that do not exist
+    # pending orders move to cancelled and then to accepted (the later update holds); the batch also names order ids
+    # that do not exist
     fx = fixtures(spark, sf_dir)
     o = fx.v_orders.select("id", "merchant_id", "status", "payment_type")
     pend = o.filter(F.col("status") == "pending")
-    batch = pend.select("id", F.lit("accepted").alias("status")).unionByName(
-        pend.select((F.col("id") + 1000000000).alias("id"), F.lit("accepted").alias("status")))
-    updated, not_found = changes.update_by_key(o, batch, ["id"])
+    first = pend.select("id", F.lit("cancelled").alias("status"), F.lit(1).alias("seq"))
+    batch = first.unionByName(pend.select("id", F.lit("accepted").alias("status"), F.lit(2).alias("seq"))).unionByName(
+        pend.select((F.col("id") + 1000000000).alias("id"), F.lit("accepted").alias("status"), F.lit(3).alias("seq")))
+    updated, not_found = changes.update_by_key(o, batch, ["id"], seq_col="seq")
     return updated.unionByName(not_found.select("id", F.lit(None).cast("bigint").alias("merchant_id"), "status",
                                                 F.lit(None).cast("string").alias("payment_type"),
                                                 F.lit(False).alias("updated")))
@@ -658,18 +663,27 @@ def q_delete_by_key(spark, sf_dir):
             .unionByName(remaining.select("cart_id", "id", F.lit("kept").alias("outcome"))))
 
 
+def _new_sessions(fx):
+    return fx.v_sessions.select((F.col("id") + 1000000000).alias("id"), "merchant_id", "actor_id",
+                                F.concat(F.lit("r"), F.col("id").cast("string")).alias("refresh_token"))
+
+
 @register("append_rows")
 def q_append_rows(spark, sf_dir):
-    # S4 + S8: a new session per existing session (guest when the actor is unknown), enriched with the actor e-mail
+    # A new session per existing session; creation time and the blocked flag are defaults
+    fx = fixtures(spark, sf_dir)
+    out = changes.append_rows(fx.v_sessions.drop("expires_at"), _new_sessions(fx), SESSION_AS_OF, {"is_blocked": False})
+    return out.select("id", "merchant_id", "actor_id", "refresh_token", "is_blocked", ts_text("created_at").alias("created_at"))
+
+
+@register("insert_then_enrich")
+def q_insert_then_enrich(spark, sf_dir):
+    # The inserted sessions with their actor's e-mail; sessions without a known actor are not returned
     fx = fixtures(spark, sf_dir)
-    batch = fx.v_sessions.select((F.col("id") + 1000000000).alias("id"), "merchant_id", "actor_id",
-                                 F.concat(F.lit("r"), F.col("id").cast("string")).alias("refresh_token"))
     emails = fx.v_actors.select("merchant_id", F.col("id").alias("actor_id"), F.col("email").alias("actor_email"))
-    target = fx.v_sessions.drop("expires_at")
-    out = changes.insert_then_enrich(target, batch, SESSION_AS_OF, emails, ["merchant_id", "actor_id"], ["id"])
-    return out.select("id", "merchant_id", "actor_id", "refresh_token", ts_text("created_at").alias("created_at"),
-                      F.coalesce("actor_email", F.lit("")).alias("actor_email"),
-                      F.lit(False).alias("is_blocked"))
+    out = changes.insert_then_enrich(fx.v_sessions.drop("expires_at"), _new_sessions(fx), SESSION_AS_OF, emails,
+                                     ["merchant_id", "actor_id"], ["id"])
+    return out.select("id", "merchant_id", "actor_id", "refresh_token", ts_text("created_at").alias("created_at"), "actor_email")
 
 
 @register("cascade_delete")
@@ -703,19 +717,8 @@ def q_cascade_delete(spark, sf_dir):
 
 @register("stock_allocation")
 def q_stock_allocation(spark, sf_dir):
-    # orders accepted against the stock snapshot are replayed in creation order, consuming stock serially
-    fx = fixtures(spark, sf_dir)
-    placed = _placed(fx)
-    tracked = fx.v_products.filter("track_inventory").select(F.col("id").alias("product_id"))
-    ts = fx.v_orders.select(F.col("id").alias("order_id"), F.col("created_at").alias("ts"))
-    cand = (placed["lines"].join(tracked, "product_id", "left_semi")
-            .join(placed["bills"].select("order_id", "branch_id"), "order_id")
-            .join(ts, "order_id")
-            .select("order_id", "branch_id", "ts", "product_id", "quantity"))
-    alloc = orders.allocate_stock(cand, fx.v_product_inventory)
-    bills = placed["bills"].select("order_id", "branch_id")
-    return bills.join(alloc["decisions"].select("order_id", "accepted", "reason"), "order_id", "left").select(
-        "order_id", "branch_id", F.coalesce("accepted", F.lit(True)).alias("accepted"), "reason")
+    # the stock decision of every request that passes against the opening stock, in request order
+    return _placed(fixtures(spark, sf_dir), several_outputs=False)["allocation"]
 
 
 # --- JSON sources / sinks and streams ----------------------------------------------

@@ -61,3 +61,21 @@ def test_quality_checks(spark):
     acc, rej = quality.split_accepted_rejected(checked)
     assert acc.count() == 2 and rej.count() == 2
     assert sorted(r.violations for r in rej.collect()) == [["k_small", "v_set"], ["k_small", "v_set"]]
+
+
+def test_update_by_key_keeps_target_rows_single(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    b = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (9, "z", 1), (9, "w", 2)], "id long, v string, seq int")
+    upd, nf = changes.update_by_key(t, b, ["id"], seq_col="seq")
+    assert sorted(map(tuple, upd.collect())) == [(1, "x", True), (2, "b", False)]
+    assert [tuple(r) for r in nf.collect()] == [(9, "w")]
+    upd, _ = changes.update_by_key(t, b.drop("seq"), ["id"])
+    assert sorted(map(tuple, upd.collect())) == [(1, "y", True), (2, "b", False)]
+
+
+def test_insert_then_enrich_is_an_inner_join(spark):
+    target = spark.createDataFrame([], "id long, actor_id long, created_at timestamp")
+    batch = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id long, actor_id long")
+    mails = spark.createDataFrame([(5, "a@b.c")], "actor_id long, email string")
+    out = changes.insert_then_enrich(target, batch, "2024-01-01 00:00:00", mails, ["actor_id"], ["id"]).collect()
+    assert [(r.id, r.email) for r in out] == [(1, "a@b.c")]

@@ -74,6 +74,18 @@ def test_tracked_product_without_inventory_row_is_rejected(spark):
     assert {(r.product_id, r.quantity) for r in out["inventory"].collect()} == {(7, 48)}
 
 
+def test_reprice_repeated_updates_give_one_row(spark):
+    carts_ = spark.createDataFrame([(100, 0), (101, 0)], "id long, merchant_id long")
+    lines = spark.createDataFrame([(1, 100, 7, 2, [5], 0.0)], "id long, cart_id long, product_id long, quantity int, addon_ids array<bigint>, applied_discount_amount double")
+    products = spark.createDataFrame([(7, 0, None, D("10.00"), "p")], "id long, merchant_id long, category_id string, base_price decimal(12,2), name string")
+    addons = spark.createDataFrame([(5, 7, D("1.50"))], "id long, product_id long, price decimal(12,2)")
+    ups = spark.createDataFrame([(100, 1, 3, None, 1), (100, 1, 4, None, 2), (101, 1, 4, None, 1), (101, 1, 0, None, 3)],
+                                "cart_id long, item_id long, new_quantity int, stored_discount_id long, seq int")
+    out = carts.reprice_quantity_updates(ups, lines, carts_, products, addons, _discounts(spark, []), AS_OF, seq_col="seq")
+    got = sorted((r.cart_id, r.quantity, r.subtotal, r.reason) for r in out.collect())
+    assert got == [(100, 4, 46.0, None), (101, 0, None, "quantity_not_positive")]
+
+
 def test_report_period_without_sales_is_zeros(spark):
     o = spark.createDataFrame([(1, 0, "delivered", dt.datetime(2000, 3, 5))], "id long, merchant_id long, status string, created_at timestamp")
     i = spark.createDataFrame([(1, D("10.00"), D("0.00"), D("1.00"), D("0.80"), D("9.80"))],

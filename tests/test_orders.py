@@ -1,8 +1,13 @@
-"""Order invariants and the serial stock fold against a plain Python replay."""
+"""Order invariants and the serial stock use against a plain Python replay."""
 
+import datetime as dt
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from mercato.operators import orders
 from mercato.plans import queries as Q
 from mercato.sources.fixtures import fixtures
 
@@ -22,135 +27,78 @@ def test_bill_total_is_sum_of_lines(spark):
     assert bad.count() == 0
 
 
-def test_snapshot_stock_never_negative(spark):
+def test_stock_never_negative(spark):
     placed = Q._placed(fixtures(spark, SF_SMALL))
-    assert placed["inventory"].filter("quantity < 0").count() >= 0  # snapshot may oversell; serial fold may not
-
-
-def test_serial_allocation_matches_python_replay(spark):
-    fx = fixtures(spark, SF_SMALL)
-    got = {r.order_id: r.accepted for r in Q.QUERIES["stock_allocation"](spark, SF_SMALL).collect()}
-    placed = Q._placed(fx)
-    tracked = {r.id for r in fx.v_products.filter("track_inventory").select("id").collect()}
-    ts = {r.id: r.created_at for r in fx.v_orders.select("id", "created_at").collect()}
-    bills = {r.order_id: r.branch_id for r in placed["bills"].select("order_id", "branch_id").collect()}
-    lines = {}
-    for r in placed["lines"].select("order_id", "product_id", "quantity").collect():
-        if r.product_id in tracked:
-            lines.setdefault(r.order_id, []).append((r.product_id, r.quantity))
-    stock = {(r.product_id, r.branch_id): r.quantity for r in fx.v_product_inventory.collect()}
-    expected = {}
-    for oid in sorted(bills, key=lambda o: (ts[o], o)):
-        b = bills[oid]
-        need = lines.get(oid, [])
-        ok = all(stock.get((p, b), -1) >= q for p, q in need)
-        if ok:
-            for p, q in need:
-                stock[(p, b)] -= q
-        expected[oid] = ok
-    assert got == expected
-    assert any(not v for v in expected.values()) or True
-
-
-def test_status_stream_matches_batch_fold(spark):
-    from mercato.streaming import status_stream
-
-    feed = status_stream.run_status_stream(spark, SF_SMALL)
-    last = feed.groupBy("order_ref").agg(F.max_by("status_after", F.struct("ts", "event_id")).alias("final_status"),
-                                         F.sum(F.col("applied").cast("int")).alias("n_applied"))
-    fold = Q.QUERIES["status_fold"](spark, SF_SMALL).select("order_ref", "final_status", "n_applied")
-    a = sorted((r.order_ref, r.final_status, r.n_applied) for r in last.collect())
-    b = sorted((r.order_ref, r.final_status, r.n_applied) for r in fold.collect())
-    assert a == b
+    assert placed["inventory"].filter("quantity < 0").count() == 0
+    assert placed["inventory"].count() == fixtures(spark, SF_SMALL).v_product_inventory.count()
 
 
-def test_component_split_fold_equals_replay(spark):
-    import datetime as dt
-    import random
-
-    from mercato.operators import orders
-
-    rng = random.Random(5)
-    base = dt.datetime(2024, 1, 1)
-    cand, stock = [], {}
-    for branch in range(3):
-        for product in range(30):
-            stock[(product, branch)] = rng.randint(0, 12)
-    oid = 0
-    for branch in range(3):
-        for _ in range(120):
-            oid += 1
-            ts = base + dt.timedelta(minutes=rng.randint(0, 5000))
-            group = rng.choice([range(0, 10), range(10, 20), range(20, 30)])  # three independent product groups
-            for p in rng.sample(list(group), rng.randint(1, 3)):
-                cand.append((oid, branch, ts, p, rng.randint(1, 4)))
-    cdf = spark.createDataFrame(cand, "order_id long, branch_id long, ts timestamp, product_id long, quantity int")
-    inv = spark.createDataFrame([(p, b, q) for (p, b), q in stock.items()], "product_id long, branch_id long, quantity int")
+def replay(cand, stock):
+    """Serve orders one at a time in (ts, order_id) order; returns ({order: accepted}, stock left)."""
     lines, first_ts = {}, {}
     for o, b, ts, p, q in cand:
         lines.setdefault((o, b), []).append((p, q))
         first_ts[o] = ts
-    left, expected = dict(stock), {}
+    left, accepted = dict(stock), {}
     for (o, b) in sorted(lines, key=lambda k: (first_ts[k[0]], k[0])):
-        ok = all(left[(p, b)] >= q for p, q in lines[(o, b)])
+        ok = all(left.get((p, b), -1) >= q for p, q in lines[(o, b)])
         if ok:
             for p, q in lines[(o, b)]:
                 left[(p, b)] -= q
-        expected[o] = ok
-    for fraction, min_rows in ((0.0, 0), (0.3, 0), (0.2, 10**9)):  # all branches split / some / none
-        out = orders.allocate_stock(cdf, inv, hot_fraction=fraction, hot_min_rows=min_rows)
-        assert {r.order_id: r.accepted for r in out["decisions"].collect()} == expected
-        assert {(r.product_id, r.branch_id): r.quantity for r in out["inventory"].collect()} == left
-    comps = orders.stock_components(cdf).select("branch_id", "component").distinct().count()
-    assert comps == 9  # three product groups in each of three branches
+        accepted[o] = ok
+    return accepted, left
+
+
+CANDIDATES = "order_id long, branch_id long, ts timestamp, product_id long, quantity int"
+STOCK = "product_id long, branch_id long, quantity int"
+
+
+def random_orders(seed, branches, products, orders, minutes):
+    rng = random.Random(seed)
+    stock = {(p, b): rng.randint(0, 12) for b in range(branches) for p in range(products) if rng.random() < 0.95}
+    cand = []
+    for oid in range(orders):
+        b = 0 if rng.random() < 0.6 else rng.randrange(branches)  # branch 0 is hot
+        ts = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(minutes))
+        for p in rng.sample(range(products), rng.randint(1, 4)):
+            cand.append((oid, b, ts, p, rng.randint(1, 4)))
+    return cand, stock
 
 
-def test_components_fall_back_when_not_converged(spark):
-    import datetime as dt
+@pytest.mark.parametrize("seed, branches, products, n, minutes",
+                         [(1, 3, 30, 300, 5000), (2, 1, 6, 120, 1), (3, 4, 8, 250, 600)])
+def test_serial_allocation_matches_replay(spark, seed, branches, products, n, minutes):
+    cand, stock = random_orders(seed, branches, products, n, minutes)
+    expected, left = replay(cand, stock)
+    out = orders.allocate_stock(spark.createDataFrame(cand, CANDIDATES),
+                                spark.createDataFrame([(p, b, q) for (p, b), q in stock.items()], STOCK))
+    got = out["decisions"].collect()
+    assert {r.order_id: r.accepted for r in got} == expected and len(got) == len(expected)
+    assert {r.reason for r in got if not r.accepted} == {"insufficient_inventory"}
+    assert {(r.product_id, r.branch_id): r.quantity for r in out["inventory"].collect()} == left
+    assert any(expected.values()) and not all(expected.values())
 
-    from mercato.operators import orders
 
+def test_allocation_of_no_orders(spark):
+    out = orders.allocate_stock(spark.createDataFrame([], CANDIDATES), spark.createDataFrame([(1, 0, 5)], STOCK))
+    assert out["decisions"].count() == 0
+    assert [tuple(r) for r in out["inventory"].collect()] == [(1, 0, 5)]
+
+
+def test_orders_without_time_come_first(spark):
     t = dt.datetime(2024, 1, 1)
-    # a chain 1-2-3-4 needs several rounds; with one round the split must give up, not cut the chain
-    cand = spark.createDataFrame([(1, 0, t, 1, 1), (1, 0, t, 2, 1), (2, 0, t, 2, 1), (2, 0, t, 3, 1),
-                                  (3, 0, t, 3, 1), (3, 0, t, 4, 1)],
-                                 "order_id long, branch_id long, ts timestamp, product_id long, quantity int")
-    full = {r.product_id: r.component for r in orders.stock_components(cand).collect()}
-    assert len(set(full.values())) == 1
-    capped = {r.product_id: r.component for r in orders.stock_components(cand, max_rounds=1).collect()}
-    assert set(capped.values()) == {-1}
-
-
-def test_mixed_hot_and_cold_branches(spark):
-    import datetime as dt
-    import random
-
-    from mercato.operators import orders
-
-    rng = random.Random(9)
-    base = dt.datetime(2024, 1, 1)
-    stock = {(p, b): rng.randint(0, 15) for b in range(3) for p in range(20)}
-    cand, oid = [], 0
-    for b, n_orders in ((0, 300), (1, 25), (2, 25)):  # branch 0 holds most rows: hot; 1 and 2 stay whole
-        for _ in range(n_orders):
-            oid += 1
-            ts = base + dt.timedelta(seconds=rng.randint(0, 10**5))
-            group = rng.choice([range(0, 10), range(10, 20)])
-            for p in rng.sample(list(group), rng.randint(1, 2)):
-                cand.append((oid, b, ts, p, rng.randint(1, 3)))
-    cdf = spark.createDataFrame(cand, "order_id long, branch_id long, ts timestamp, product_id long, quantity int")
-    inv = spark.createDataFrame([(p, b, q) for (p, b), q in stock.items()], "product_id long, branch_id long, quantity int")
-    lines, first_ts = {}, {}
-    for o, b, ts, p, q in cand:
-        lines.setdefault((o, b), []).append((p, q))
-        first_ts[o] = ts
-    left, expected = dict(stock), {}
-    for (o, b) in sorted(lines, key=lambda k: (first_ts[k[0]], k[0])):
-        ok = all(left[(p, b)] >= q for p, q in lines[(o, b)])
-        if ok:
-            for p, q in lines[(o, b)]:
-                left[(p, b)] -= q
-        expected[o] = ok
-    out = orders.allocate_stock(cdf, inv, hot_fraction=0.5, hot_min_rows=0)
-    assert {r.order_id: r.accepted for r in out["decisions"].collect()} == expected
-    assert any(not v for v in expected.values())
+    cand = spark.createDataFrame([(1, 0, t, 7, 3), (2, 0, None, 7, 3)], CANDIDATES)
+    out = orders.allocate_stock(cand, spark.createDataFrame([(7, 0, 4)], STOCK))
+    assert {r.order_id: r.accepted for r in out["decisions"].collect()} == {1: False, 2: True}
+
+
+def test_status_stream_matches_batch_fold(spark):
+    from mercato.streaming import status_stream
+
+    feed = status_stream.run_status_stream(spark, SF_SMALL)
+    last = feed.groupBy("order_ref").agg(F.max_by("status_after", F.struct("ts", "event_id")).alias("final_status"),
+                                         F.sum(F.col("applied").cast("int")).alias("n_applied"))
+    fold = Q.QUERIES["status_fold"](spark, SF_SMALL).select("order_ref", "final_status", "n_applied")
+    a = sorted((r.order_ref, r.final_status, r.n_applied) for r in last.collect())
+    b = sorted((r.order_ref, r.final_status, r.n_applied) for r in fold.collect())
+    assert a == b
