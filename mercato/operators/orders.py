@@ -170,6 +170,9 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
         F.sum(F.col("line_total").cast("decimal(14,2)")).alias("_tot"),
     )
 
+    if materialize_steps:
+        per_cart = materialize(per_cart)
+
     # requests that pass against the opening stock compete for it in order
     passing = per_cart.filter(F.col("_err1").isNull() & F.col("_err2").isNull() & (F.col("_min_q") > 0)).select("cart_id")
     stock_lines = bl.filter("_tracked").select(F.col("cart_id").alias("order_id"), "branch_id", "ts", "product_id",

@@ -783,6 +783,10 @@ sql("fk_orphans", " UNION ALL ".join([
     fk_check("v_products", ["category_id"], "v_product_categories", ["id"], "products_category_id_fkey"),
     fk_check("v_order_items", ["product_id"], "v_products", ["id"], "order_items_product_id_fkey"),
     fk_check("v_branches", ["merchant_id"], "v_merchants", ["id"], "branches_merchant_id_fkey"),
+    fk_check("(SELECT CASE WHEN id % 50 = 0 THEN product_id + 1000000000 ELSE product_id END AS product_id FROM v_cart_items)",
+             ["product_id"], "v_products", ["id"], "incoming_cart_items_product_id_fkey"),
+    fk_check("(SELECT merchant_id, CASE WHEN id % 7 = 0 THEN actor_id + 1 ELSE actor_id END AS actor_id FROM v_carts)",
+             ["merchant_id", "actor_id"], "v_actors", ["merchant_id", "id"], "incoming_carts_actor_fkey"),
 ]))
 
 
@@ -815,6 +819,10 @@ sql("rule_violations", " UNION ALL ".join([
         ("first_name_required", "coalesce(trim(CAST(first_name AS VARCHAR)), '') <> ''")]),
     rule_check("v_cart_items", "cart_items", ["id"], [
         ("quantity_positive", "quantity > 0"), ("discount_amount_nonneg", "applied_discount_amount >= 0")]),
+    rule_check("(SELECT order_id, product_id, quantity - 10 AS quantity, price - 1000 AS price FROM v_order_items)", "incoming_order_items",
+               ["order_id", "product_id"], [("price_nonneg", "price >= 0"), ("quantity_positive", "quantity > 0")]),
+    rule_check("(SELECT id, CASE WHEN id % 9 = 0 THEN 'lost' ELSE status END AS status FROM v_orders)", "incoming_orders", ["id"], [
+        ("status_enum", "status IN ('pending', 'accepted', 'out_for_delivery', 'delivered', 'cancelled', 'refunded')")]),
 ]))
 
 

@@ -510,6 +510,12 @@ def q_fk_orphans(spark, sf_dir):
         quality.check_fk(fx.v_products, fx.v_product_categories, ["category_id"], ["id"], "products_category_id_fkey"),
         quality.check_fk(fx.v_order_items, fx.v_products, ["product_id"], ["id"], "order_items_product_id_fkey"),
         quality.check_fk(fx.v_branches, fx.v_merchants, ["merchant_id"], ["id"], "branches_merchant_id_fkey"),
+        # incoming batches derived from the tables, some rows naming parents that do not exist
+        quality.check_fk(fx.v_cart_items.withColumn("product_id", F.when(F.col("id") % 50 == 0, F.col("product_id") + 1000000000)
+                                                    .otherwise(F.col("product_id"))),
+                         fx.v_products, ["product_id"], ["id"], "incoming_cart_items_product_id_fkey"),
+        quality.check_fk(fx.v_carts.withColumn("actor_id", F.when(F.col("id") % 7 == 0, F.col("actor_id") + 1).otherwise(F.col("actor_id"))),
+                         fx.v_actors, ["merchant_id", "actor_id"], ["merchant_id", "id"], "incoming_carts_actor_fkey"),
     ]
     out = checks[0]
     for c in checks[1:]:
@@ -549,6 +555,12 @@ def q_rule_violations(spark, sf_dir):
         _violations(fx.v_cart_items, "cart_items", ["id"], [
             ("quantity_positive", F.col("quantity") > 0),
             ("discount_amount_nonneg", F.col("applied_discount_amount") >= 0)]),
+        # incoming batches derived from the tables, some rows breaking one or more rules
+        _violations(oi.select("order_id", "product_id", (F.col("quantity") - 10).alias("quantity"), (F.col("price") - 1000).alias("price")),
+                    "incoming_order_items", ["order_id", "product_id"], [
+            ("price_nonneg", F.col("price") >= 0), ("quantity_positive", F.col("quantity") > 0)]),
+        _violations(fx.v_orders.withColumn("status", F.when(F.col("id") % 9 == 0, F.lit("lost")).otherwise(F.col("status"))),
+                    "incoming_orders", ["id"], [("status_enum", quality.in_enum("status", "order_status_type"))]),
     ]
     out = parts[0]
     for p in parts[1:]:
