@@ -27,6 +27,11 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
     return expr if expr is not None else F.lit(None).cast("string")
 
 
+def unmet(cond: Column) -> Column:
+    """True unless ``cond`` holds: a NULL operand fails a required rule."""
+    return ~F.coalesce(cond, F.lit(False))
+
+
 def all_reasons(*checks: tuple[Column, str]) -> Column:
     """Every failing check, in order, as array<string> (empty when the row passes)."""
     return F.filter(

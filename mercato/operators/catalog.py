@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.cols import first_reason
+from mercato.functions.cols import first_reason, unmet
 
 
 def list_scoped(df: DataFrame, scope_cols, order_cols=("created_at", "id"), desc_first: bool = True) -> DataFrame:
@@ -53,7 +53,7 @@ def validate_inventory_batch(batch: DataFrame, products: DataFrame, branches: Da
     """K3: (merchant_id, product_id, branch_id, quantity) rows get a ``reason`` or NULL.
 
     Product must exist in the tenant and track inventory; the branch must exist
-    in the tenant; quantity must be >= 0 (table CHECK).
+    in the tenant; quantity must be given and >= 0.
     """
     p = products.select(F.col("id").alias("product_id"), F.col("merchant_id").alias("_pm"), "track_inventory")
     b = branches.select(F.col("id").alias("branch_id"), F.col("merchant_id").alias("_bm"), F.lit(True).alias("_branch"))
@@ -62,7 +62,7 @@ def validate_inventory_batch(batch: DataFrame, products: DataFrame, branches: Da
         (F.col("_pm").isNull() | (F.col("_pm") != F.col("merchant_id")), "product_not_found"),
         (~F.col("track_inventory"), "product_not_tracked"),
         (F.col("_branch").isNull() | (F.col("_bm") != F.col("merchant_id")), "branch_not_found"),
-        (F.col("quantity") < 0, "negative_quantity"),
+        (unmet(F.col("quantity") >= 0), "negative_quantity"),
     )
     return j.withColumn("reason", reason).drop("_pm", "_bm", "_branch", "track_inventory")
 
@@ -74,7 +74,7 @@ def validate_product_batch(batch: DataFrame, categories: DataFrame) -> DataFrame
     reason = first_reason(
         (F.coalesce(F.trim(F.col("name")), F.lit("")) == "", "name_required"),
         (F.col("category_id").isNotNull() & (F.col("_cat").isNull() | (F.col("_cm") != F.col("merchant_id"))), "category_not_found"),
-        (~(F.col("base_price") > 0), "price_not_positive"),
+        (unmet(F.col("base_price") > 0), "price_not_positive"),
     )
     return j.withColumn("reason", reason).drop("_cm", "_cat")
 
@@ -86,6 +86,6 @@ def validate_addon_batch(batch: DataFrame, products: DataFrame) -> DataFrame:
     reason = first_reason(
         (F.coalesce(F.trim(F.col("name")), F.lit("")) == "", "name_required"),
         (F.col("_pm").isNull() | (F.col("_pm") != F.col("merchant_id")), "product_not_found"),
-        (~(F.col("price") > 0), "price_not_positive"),
+        (unmet(F.col("price") > 0), "price_not_positive"),
     )
     return j.withColumn("reason", reason).drop("_pm")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.functions.cols import first_reason
+from mercato.functions.cols import first_reason, unmet
 from mercato.functions.geo import bbox, covers, let, parse_polygon_wkt, polygon_edges, ring_to_wkt
 from mercato.operators.hours import CITIES
 
@@ -152,10 +152,10 @@ def validate_service_zone_batch(batch: DataFrame, zones: DataFrame, branches: Da
 
 
 def validate_point_batch(points: DataFrame) -> DataFrame:
-    """Latitude in [-90, 90] and longitude in [-180, 180]."""
+    """Latitude in [-90, 90] and longitude in [-180, 180], both given."""
     reason = first_reason(
-        (~F.col("lat").between(-90, 90), "invalid_latitude"),
-        (~F.col("lon").between(-180, 180), "invalid_longitude"),
+        (unmet(F.col("lat").between(-90, 90)), "invalid_latitude"),
+        (unmet(F.col("lon").between(-180, 180)), "invalid_longitude"),
     )
     return points.withColumn("reason", reason)
 

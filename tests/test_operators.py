@@ -3,7 +3,7 @@
 import datetime as dt
 from decimal import Decimal as D
 
-from mercato.operators import carts, discounts, orders, reports
+from mercato.operators import carts, catalog, coverage, discounts, orders, reports
 
 AS_OF = "2000-01-01 00:00:00"
 T0 = dt.datetime(1999, 1, 1)
@@ -122,3 +122,19 @@ def test_multi_line_json_body_is_accepted(spark):
     df = spark.createDataFrame([('{\n "a": 1\n}',), ("[1]",)], "body string")
     rows = parse_commands(df, "body", "a int").collect()
     assert [(r.a, r.bad_json) for r in rows] == [(1, False), (None, True)]
+
+
+def test_validators_reject_nulls(spark):
+    products = spark.createDataFrame([(7, 0, True)], "id long, merchant_id long, track_inventory boolean")
+    branches = spark.createDataFrame([(3, 0)], "id long, merchant_id long")
+    categories = spark.createDataFrame([("c", 0)], "id string, merchant_id long")
+    inv = spark.createDataFrame([(0, 7, 3, None), (0, 7, 3, 0)], "merchant_id long, product_id long, branch_id long, quantity int")
+    assert sorted(str(r.reason) for r in catalog.validate_inventory_batch(inv, products, branches).collect()) == ["None", "negative_quantity"]
+    prod = spark.createDataFrame([(0, "c", "n", None)], "merchant_id long, category_id string, name string, base_price double")
+    assert catalog.validate_product_batch(prod, categories).first().reason == "price_not_positive"
+    add = spark.createDataFrame([(0, 7, "n", None)], "merchant_id long, product_id long, name string, price double")
+    assert catalog.validate_addon_batch(add, products).first().reason == "price_not_positive"
+    d = spark.createDataFrame([(0, "flat", None, None, None)], "merchant_id long, type string, value double, product_id long, category_id string")
+    assert discounts.validate_discount_batch(d, products, categories).first().reason == "value_not_positive"
+    pts = spark.createDataFrame([(None, 1.0), (1.0, None), (1.0, 1.0)], "lat double, lon double")
+    assert sorted(str(r.reason) for r in coverage.validate_point_batch(pts).collect()) == ["None", "invalid_latitude", "invalid_longitude"]
