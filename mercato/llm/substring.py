@@ -1,4 +1,4 @@
-"""Repeated passages: paragraph MinHash banding, exact Jaccard checks, removal clusters by components.
+"""Repeated passages: paragraph MinHash banding, exact Jaccard checks, removal clusters by components; exact runs at any position.
 
 A paragraph is a line.  Equal paragraphs (same lower-cased words) share a key and
 count as one text from then on.  Bands of MinHash values bring similar texts
@@ -7,6 +7,9 @@ text that collides most, so near copies of one passage cost one check each.  Wha
 a hub does not link may still be linked to other members: such pairs share a
 difference from the hub, and only texts that share one of the first few of their
 differences are compared (see ``differences``).  No link among the members is lost.
+
+Besides, runs of words that occur twice or more are found across lines and from any
+word on (see ``runs``).  A document is a (doc_id, text) pair.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import materialize, ready, slices
+from mercato.llm.common import SPACE, materialize, ready, slices
 from mercato.llm.components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -75,40 +78,40 @@ def signatures(paragraphs: list[list[bytes]], k: int, bands: int, rows: int) ->
     return out.view(np.int64)
 
 
-def _paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(number, start, end, words) of each line with enough words; offsets in code points."""
-    at = 0
+def _paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, int, list[bytes]]]:
+    """(number, start, end, words before, words) of each line with enough words; offsets in code points."""
+    at, before = 0, 0
     for i, line in enumerate((text or "").split("\n")):
-        if len(line) >= 2 * min_words - 1:
-            ws = paragraph_words(line)
-            if len(ws) >= min_words:
-                yield i, at, at + len(line), ws
+        ws = paragraph_words(line)
+        if len(ws) >= min_words:
+            yield i, at, at + len(line), before, ws
         at += len(line) + 1
+        before += len(ws)
 
 
 def occurrences(docs: DataFrame, min_words: int, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, paragraph, start, end, n_words, key, bands`` of every paragraph of at least ``min_words`` words."""
-    names = ["doc_id", "paragraph", "start", "end", "n_words", "key", "bands"]
+    """``doc_id, doc_key, paragraph, start, end, word, n_words, key, bands`` of every paragraph of at least ``min_words`` words."""
+    names = ["doc_id", "doc_key", "paragraph", "start", "end", "word", "n_words", "key", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             found, held, n = [], [], 0
             for row, text in enumerate(b.column("text").to_pylist()):
-                for i, start, end, ws in _paragraphs(text, min_words):
-                    found.append((row, i, start, end, len(ws), key_of(ws)))
+                for i, start, end, word, ws in _paragraphs(text, min_words):
+                    found.append((row, i, start, end, word, len(ws), key_of(ws)))
                     held.append(ws)
             if not found:
                 continue
-            at, para, start, end, n, key = zip(*found)
+            at, para, start, end, word, n, key = zip(*found)
             sig = signatures(held, k, bands, rows)
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").take(pa.array(at)), pa.array(para, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
-                pa.array(n, pa.int32()), pa.array(key, pa.int64()),
+                b.column("doc_id").take(pa.array(at)), b.column("doc_key").take(pa.array(at)), pa.array(para, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+                pa.array(word, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.int64()),
                 pa.ListArray.from_arrays(np.arange(0, sig.size + 1, bands, dtype=np.int32), sig.ravel())], names)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, paragraph int, start int, end int, n_words int, key long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text").mapInArrow(
+        run, f"doc_id {id_type}, doc_key long, paragraph int, start int, end int, word int, n_words int, key long, bands array<long>")
 
 
 def _sieve(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
@@ -121,25 +124,25 @@ def _sieve(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _held(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the sieve lets each signed key pass."""
+    n, u = np.uint64(len(sieve) * 8), key.view(np.uint64)
+    # pmod of a signed key equals the low bits, as the size is a power of two
+    a, b = u & (n - np.uint64(1)), (u >> np.uint64(32)) & (n - np.uint64(1))
+    return ((sieve[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (sieve[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def _texts(docs: DataFrame, keys: DataFrame, min_words: int) -> DataFrame:
     """``key, words`` of the paragraphs with one of ``keys``, read in a second scan that leaves out the rest before any shuffle."""
     sieve = _sieve(keys)  # a fixed megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.uint64(len(sieve) * 8)
-
-        def held(key: np.ndarray) -> np.ndarray:
-            u = key.view(np.uint64)
-            # pmod of a signed key equals the low bits, as the size is a power of two
-            a, b = u & (n - np.uint64(1)), (u >> np.uint64(32)) & (n - np.uint64(1))
-            return ((sieve[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (sieve[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
         for b in slices(batches, "text"):
             ws = [w for t in b.column("text").to_pylist() for *_, w in _paragraphs(t, min_words)]
             if not ws:
                 continue
             key = np.array([key_of(w) for w in ws], np.int64)
-            at = np.flatnonzero(held(key))
+            at = np.flatnonzero(_held(sieve, key))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array([b" ".join(ws[i]) for i in at], pa.binary())], ["key", "words"])
 
@@ -197,19 +200,151 @@ def _checked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, similar boolean, marks array<long>, d int, n int")
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 20, recall: float = 0.998) -> DataFrame:
-    """Every occurrence of a passage that occurs twice or more, exactly or nearly.
+def window_keys(h: np.ndarray, n: int) -> np.ndarray:
+    """Keys of all windows of ``n`` words from the words' hashes, built from windows of doubling length."""
+    out, done, power, size = None, 0, h, 1
+    while True:
+        if n & size:
+            out = power if out is None else _joined(out, power, done)
+            done += size
+        if done == n:
+            return out
+        power, size = _joined(power, power, size), 2 * size
 
-    ``doc_id, paragraph`` (line number from 0) ``, start, end`` (code points)
-    ``, n_words, cluster_id, n_occurrences, first_doc_id, removed``: the first
-    occurrence by (doc_id, start) stays, the others are removed.
 
-    Paragraphs under ``min_words`` words are never passages (``min_words`` is at
-    least ``shingle_words``).  Null and empty texts have no paragraphs.  A repeated
-    row of one doc_id is the same document: it adds no occurrence.  A null doc_id
-    comes first in order.  Extra columns are ignored; an empty table gives no row.
+def _joined(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
+    """Keys of windows ``a`` continued by the window of ``b`` that starts ``gap`` words later."""
+    n = max(min(len(a), len(b) - gap), 0)
+    x = (a[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[:n] >> np.uint64(32))
+    x = (x + b[gap:gap + n]) * _MIXED
+    return x ^ (x >> np.uint64(29))
+
+
+def _anchors(h: np.ndarray, n: int, k: int) -> np.ndarray:
+    """For every window of ``n`` words the least key of its ``k``-word windows: equal windows have equal anchors."""
+    x, width, size = window_keys(h, k), n - k + 1, 1
+    least = x
+    while 2 * size <= width:  # least over the next ``size`` keys
+        least, size = np.minimum(least[:max(len(least) - size, 0)], least[size:]), 2 * size
+    rest = width - size
+    return np.minimum(least[:len(least) - rest], least[rest:]) if rest and len(least) > rest else least[:max(len(least) - rest, 0)]
+
+
+def word_offsets(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words and places of the line ends, in code points."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.concatenate([[False], ~((c == 32) | ((c >= 9) & (c <= 13))), [False]])
+    return np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1, np.flatnonzero(c == 10)
+
+
+def _word_hashes(text: str | None) -> np.ndarray:
+    ws = paragraph_words(text or "")
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+
+
+def _repeated_anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
+    """``key`` of the anchors found at two places or more.
+
+    One place spans ``n - k + 1`` windows in a row at most; neighbouring windows
+    mostly share their anchor, so about one row per ``(n - k) / 2`` words is counted.
     """
-    ready(docs.sparkSession)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            found = [np.zeros(0, np.uint64)]
+            for text in b.column("text").to_pylist():
+                x = _anchors(_word_hashes(text), n, k)
+                at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+                long = np.diff(np.append(at, len(x))) > n - k + 1  # a text that repeats itself at once
+                found += [x[at], x[at[long]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+    return docs.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+
+
+def _windows(docs: DataFrame, anchors: DataFrame, n: int, k: int, in_row: int = 512) -> DataFrame:
+    """``doc_id, doc_key, at, key, start, end, paragraph`` (arrays of up to ``in_row`` windows a row) of the windows with one of ``anchors``, and now and then others."""
+    size = anchors.count()
+    sieve = _sieve(anchors, 1 << min(27, max(20, (16 * size).bit_length())))  # 16 MB at most
+    names = ["doc_id", "doc_key", "at", "key", "start", "end", "paragraph"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            rows, parts = [], []
+            for row, text in enumerate(b.column("text").to_pylist()):
+                h = _word_hashes(text)
+                x = _anchors(h, n, k)
+                at = np.flatnonzero(_held(sieve, x.view(np.int64))) if len(x) else x
+                if not len(at):
+                    continue
+                key = window_keys(h, n).view(np.int64)
+                begin, stop, breaks = word_offsets(text)
+                start, end = begin[at], stop[at + n - 1]
+                found = (at, key[at], start, end, np.searchsorted(breaks, start))
+                for i in range(0, len(at), in_row):
+                    rows.append(row)
+                    parts.append([v[i:i + in_row] for v in found])
+            if not rows:
+                continue
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p[i] for p in parts]), pa.int64() if i == 1 else pa.int32())) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(rows)) for c in ("doc_id", "doc_key")] + lists, names)
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text").mapInArrow(
+        run, f"doc_id {id_type}, doc_key long, at array<int>, key array<long>, start array<int>, end array<int>, paragraph array<int>")
+
+
+def runs(docs: DataFrame, gone: DataFrame, run_words: int = 50, anchor_words: int = 20) -> DataFrame:
+    """Every occurrence of an exact run of ``run_words`` words or more that is found twice or more.
+
+    Columns as in ``repeated_passages``, with ``doc_key``.  A window of
+    ``run_words`` words stays where it occurs first by (doc_id, doc_key, word);
+    its later occurrences are removed, save those that overlap the first one.
+    Firsts in a row are one cluster, and so are the windows equal to them.  Only
+    windows whose anchor (least key of a shorter window) occurs twice are shuffled.
+    Windows of nothing but words of the lines ``gone`` (removed before) do not count.
+    """
+    doc = ["doc_id", "doc_key"]
+    anchors = materialize(_repeated_anchors(docs, run_words, anchor_words))
+    in_row = Window.partitionBy(*doc).orderBy("word")  # lines of one document
+    new = F.when(F.col("word") == F.lag(F.col("word") + F.col("n_words")).over(in_row), None).otherwise(F.col("word"))
+    blocks = gone.select(*doc, "word", "n_words", new.alias("new")).withColumn("from", F.last("new", True).over(in_row))
+    blocks = blocks.groupBy(*doc, "from").agg(F.max(F.col("word") + F.col("n_words")).alias("to"))
+    spans = blocks.groupBy(*doc).agg(F.collect_list(F.struct("from", "to")).alias("gone"))
+    spans = spans.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"), "gone")
+    found = _windows(docs, anchors, run_words, anchor_words)
+    found = found.join(spans, (found["doc_key"] == spans["gone_key"]) & found["doc_id"].eqNullSafe(spans["gone_id"]), "left")
+    found = found.select(*doc, "gone", F.inline(F.arrays_zip("at", "key", "start", "end", "paragraph")))
+    left = F.col("gone").isNull() | ~F.exists("gone", lambda g: (g["from"] <= F.col("at")) & (g["to"] >= F.col("at") + run_words))
+    found = materialize(found.where(left).drop("gone"))
+    # a row repeated under its doc_id is one document
+    place = F.struct(*doc, "at")
+    firsts = (found.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("NOT f <=> l")
+              .select("key", *[F.col(f"f.{c}").alias(f"first_{c}") for c in (*doc, "at")]))
+    by_first = Window.partitionBy("first_doc_id", "first_doc_key").orderBy("first_at")
+    new = F.when(F.col("first_at") - F.lag("first_at").over(by_first) == 1, None).otherwise(F.col("key"))
+    firsts = firsts.withColumn("new", new).withColumn("cluster_id", F.last("new", True).over(by_first)).drop("new")
+    own = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("doc_key") == F.col("first_doc_key"))
+    overlap = own & (F.col("at") > F.col("first_at")) & (F.col("at") < F.col("first_at") + run_words)
+    hits = found.join(firsts, "key").where(~overlap).withColumn("removed", ~(own & (F.col("at") == F.col("first_at"))))
+    hits = hits.select(*doc, "at", "start", "end", "paragraph", "cluster_id", "first_doc_id", "first_at", "removed").distinct()
+    in_doc = Window.partitionBy(*doc, "cluster_id").orderBy("at")
+    step = (F.col("at") - F.lag("at").over(in_doc) == 1) & (F.col("first_at") - F.lag("first_at").over(in_doc) == 1)
+    hits = hits.withColumn("new", F.when(step, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_doc))
+    out = hits.groupBy(*doc, "cluster_id", "island").agg(
+        F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.max("at") - F.min("at") + run_words).cast("int").alias("n_words"), F.first("first_doc_id").alias("first_doc_id"), F.first("removed").alias("removed"))
+    out = materialize(out)
+    counts = out.groupBy("cluster_id").agg(F.count("*").alias("n_occurrences")).where("n_occurrences > 1")
+    # a cluster may hold a large share of all rows: sixteen keys each
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("salt", F.col("salt").cast("long"))
+    salted = out.withColumn("salt", F.pmod(F.xxhash64("doc_key", "start"), F.lit(16)))
+    return salted.join(counts, ["cluster_id", "salt"]).select(
+        *doc, "paragraph", "start", "end", "n_words", "cluster_id", "n_occurrences", "first_doc_id", "removed")
+
+
+def repeated_lines(docs: DataFrame, threshold: float, shingle_words: int, min_words: int, recall: float) -> DataFrame:
+    """The occurrences of ``repeated_passages`` that are whole lines, with ``doc_key`` and ``word`` (words before the line)."""
     min_words = max(min_words, shingle_words)
     bands, rows = tune(threshold, recall)
     seen = materialize(occurrences(docs, min_words, shingle_words, bands, rows))
@@ -239,29 +374,79 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, shingle_words: in
             .select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct())
     more = materialize(_checked(rest, words, shingle_words, threshold).where("similar").select("a", "b"))
     groups = components(links.unionByName(more))
-    placed = seen.select("doc_id", "paragraph", "start", "end", "n_words", "key").distinct()
+    placed = seen.select("doc_id", "doc_key", "paragraph", "start", "end", "word", "n_words", "key").distinct()
     cluster = placed.join(groups, placed["key"] == groups["id"], "left").select(
-        "doc_id", "paragraph", "start", "end", "n_words", F.coalesce("component", "key").alias("cluster_id"))
+        "doc_id", "doc_key", "paragraph", "start", "end", "word", "n_words", F.coalesce("component", "key").alias("cluster_id"))
     cluster = materialize(cluster)
-    firsts = (cluster.groupBy("cluster_id").agg(F.count("*").alias("n_occurrences"), F.min(F.struct("doc_id", "start")).alias("f"))
+    firsts = (cluster.groupBy("cluster_id").agg(F.count("*").alias("n_occurrences"), F.min(F.struct("doc_id", "doc_key", "start")).alias("f"))
               .where("n_occurrences > 1"))
+    stays = (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("doc_key") == F.col("f.doc_key")) & (F.col("start") == F.col("f.start")))
     return cluster.join(firsts, "cluster_id").select(
-        "doc_id", "paragraph", "start", "end", "n_words", "cluster_id", "n_occurrences", F.col("f.doc_id").alias("first_doc_id"),
-        (~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("start") == F.col("f.start")))).alias("removed"))
+        "doc_id", "doc_key", "paragraph", "start", "end", "word", "n_words", "cluster_id", "n_occurrences", F.col("f.doc_id").alias("first_doc_id"),
+        (~stays).alias("removed"))
+
+
+def passages(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 20, recall: float = 0.998, run_words: int = 50) -> DataFrame:
+    """``repeated_passages`` with ``doc_key``, the hash of the text that sets apart different texts of one doc_id or without one."""
+    ready(docs.sparkSession)
+    lines = materialize(repeated_lines(docs, threshold, shingle_words, min_words, recall))
+    return lines.drop("word").unionByName(runs(docs, lines.where("removed"), run_words))
+
+
+def repeated_passages(docs: DataFrame, **parameters) -> DataFrame:
+    """Every occurrence of a passage that occurs twice or more: lines, exactly or nearly, and exact runs of words anywhere.
+
+    ``doc_id, paragraph`` (number of the first line, from 0) ``, start, end`` (code
+    points) ``, n_words, cluster_id, n_occurrences, first_doc_id, removed``: the first
+    occurrence by (doc_id, start) stays, the others are removed.
+
+    Lines count from ``min_words`` words on (at least ``shingle_words``), as similar
+    from ``threshold`` on.  Runs count from ``run_words`` words on, wherever they begin
+    and however many lines they cross; those within
+    removed lines are not listed again.  Spans of different clusters may overlap.  Null and empty texts have no passages.  A
+    repeated row of one doc_id and text is the same document: it adds no occurrence.
+    A null doc_id comes first in order; different texts under one doc_id, or without
+    one, are different documents.  Extra columns are ignored; an empty table gives no row.
+    """
+    return passages(docs, **parameters).drop("doc_key")
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the spans (code points); lines of which only white space is left go, other lines stay as they are."""
+    out, at, spans, first = [], 0, sorted(spans), 0
+    for line in text.split("\n"):
+        end, left, pos, touched = at + len(line), [], at, False
+        while first < len(spans) and spans[first][1] <= at:
+            first += 1
+        for s, e in spans[first:]:
+            if s >= end:
+                break
+            if e > pos:
+                left.append(text[pos:max(s, pos)])
+                pos, touched = min(e, end), True
+        left.append(text[pos:end])
+        if touched:
+            line = " ".join(x for x in (x.strip(SPACE) for x in left) if x)
+        if line or not touched:
+            out.append(line)
+        at = end + 1
+    return "\n".join(out)
 
 
 def cut_repeats(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without removed passages; lines that stay keep their order.
+    """``docs`` without removed passages; what stays keeps its order.
 
     ``n_chars`` (if present) follows the text.  Documents of which nothing but
     white space is left go; documents that had no passage removed are untouched.
     """
-    found = materialize(repeated_passages(docs, **parameters).where("removed").select("doc_id", "paragraph"))
-    gone = found.groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))  # lines of one document
-    gone = gone.withColumnRenamed("doc_id", "gone_id")
-    rows = docs.select(F.struct("*").alias("d")).join(gone, F.col("d.doc_id").eqNullSafe(F.col("gone_id")), "left")  # no name can clash
-    lines = F.transform(F.split("d.text", "\n"), lambda x, i: F.when(F.array_contains("gone", i), None).otherwise(x))
-    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(lines, "\n"))
+    found = materialize(passages(docs, **parameters).where("removed").select("doc_id", "doc_key", "start", "end"))
+    gone = found.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "end")).alias("gone"))  # spans of one document
+    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "doc_key": "gone_key"})
+    same = F.col("d.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("d.text") == F.col("gone_key"))
+    rows = docs.select(F.struct("*").alias("d")).join(gone, same, "left")  # no name can clash
+    cut = F.udf(lambda t, g: None if t is None else without(t, [(x["start"], x["end"]) for x in g]), "string")
+    rows = rows.select("d", "gone", cut(F.when(F.col("gone").isNotNull(), F.col("d.text")), "gone").alias("cut"))
+    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.col("cut"))
     out = rows.select("d", "gone", text.alias("text")).where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(F.col("gone").isNull(), F.col("d.n_chars")).otherwise(F.length("text")).cast("long") if "n_chars" in docs.columns else None
     own = {"text": F.col("text"), "n_chars": n_chars}
