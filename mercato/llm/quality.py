@@ -196,6 +196,8 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep; rows of a repeated doc_id stay if one of them is kept."""
-    kept = quality(docs, limits).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of ``docs`` that the rules keep, each by its own text: different texts under one doc_id, or without one, are told apart."""
+    own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("doc_id"), "text", "lang")
+    kept = quality(own, limits).where("kept").select(F.col("doc_id.doc_id").alias("kept_id"), F.col("doc_id.text_key").alias("kept_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_key"])
+    return docs.join(kept, same, "left_semi")

@@ -166,7 +166,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3)
 
 
 def first_of_each(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3) -> DataFrame:
-    """The documents whose doc_id names their component; of repeated rows of that doc_id one stays."""
-    found = near_duplicates(docs, shingle_words, max_bits).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each component: smallest doc_id, and of different texts under it the smallest hash; of repeated rows one stays.
+
+    A document is a (doc_id, text) pair, so rows without a doc_id are told apart
+    by their texts; they stand for a component only if all of it is without one.
+    """
+    key = F.xxhash64("text")
+    own = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), key.alias("text_key")).alias("doc_id"), "text")
+    found = near_duplicates(own, shingle_words, max_bits).where("doc_id <=> component_id").select(
+        F.col("doc_id.id").alias("kept_id"), F.col("doc_id.text_key").alias("kept_key")).distinct()
+    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]) & (F.xxhash64(docs["text"]) == found["kept_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from mercato.llm import substring
+from mercato.llm import quality, simhash, substring
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VOCAB = ["".join(random.Random(i).choice("abcdefghij") for _ in range(2 + i % 7)) + str(i) for i in range(400)]
@@ -100,3 +100,24 @@ def test_runs_reach_beyond_a_removed_line(spark):
     texts = [(i, f"{prose(60, 30 + i)} {' '.join(a)}\n{line}\n{' '.join(b)} {prose(60, 40 + i)}") for i in (1, 2)]
     cut = {x.doc_id: x.text for x in substring.cut_repeats(table(spark, texts)).collect()}
     assert cut[1] == texts[0][1] and cut[2] == f"{prose(60, 32)}\n{prose(60, 42)}"
+
+
+# -- rows without an id of their own ------------------------------------------
+
+def test_rows_without_an_id_of_their_own(spark):
+    p, one = prose(60, 90), [prose(70, 100 + i) for i in range(4)]
+    texts = [(None, f"{one[0]}\n{p}"), (None, f"{p}\n{one[1]}\n{one[2]}"), (None, one[3]), (None, one[3]), (None, "junk"),
+             (5, prose(80, 110)), (5, prose(80, 111)), (5, "junk"), (6, prose(80, 110)), (None, prose(80, 111))]
+    df = table(spark, texts)
+    kept = sorted((str(x.doc_id), x.text) for x in quality.keep(df).collect())
+    assert kept == sorted((str(i), t) for i, t in texts if t != "junk")
+    left = sorted((str(x.doc_id), x.text) for x in simhash.first_of_each(df).collect())
+    assert left == sorted([("None", texts[0][1]), ("None", texts[1][1]), ("None", one[3]), ("5", prose(80, 110)), ("5", prose(80, 111)), ("5", "junk")])
+    cut = sorted(x.text for x in substring.cut_repeats(df.where("doc_id IS NULL")).collect())
+    first = min(0, 1, key=lambda i: _key(spark, texts[i][1]))
+    assert cut == sorted([texts[0][1] if first == 0 else one[0], texts[1][1] if first == 1 else f"{one[1]}\n{one[2]}",
+                          one[3], one[3], "junk", prose(80, 111)])
+
+
+def _key(spark, text):
+    return spark.createDataFrame([(text,)], "t string").selectExpr("xxhash64(t) AS k").first().k
