@@ -171,15 +171,24 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, mix: Mix) -> DataFrame:
 def sampled(docs: DataFrame, labelled: DataFrame, mix: Mix, keep_from: float = 0.9) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more with the fractional part as probability.
 
-    The draw is a hash of doc_id, so it repeats.  Rows with a rate of ``keep_from``
-    or more appear at least once.  Rows are matched by doc_id (the largest rate of
-    a repeated doc_id holds); rows with a null doc_id pass once.
+    The draw is a hash of doc_id (of the text without one), so it repeats.  Rows
+    with a rate of ``keep_from`` or more appear at least once.  Rows are matched by
+    doc_id and text.  Rows labelled with a domain of weight 0 go, whatever their rate.
     """
-    found = mix_rates(docs, labelled, mix).groupBy("doc_id").agg(F.max("rate").alias("rate")).where("doc_id IS NOT NULL")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    spark = ready(docs.sparkSession)
+    own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("doc_id"), "text")
+    scored = rates(posteriors(own, learn(docs, labelled, mix), mix), mix)
+    found = scored.groupBy("doc_id").agg(F.max("rate").alias("rate")).select("doc_id.*", "rate")
+    none = [d for d, w in mix.weights.items() if w == 0]
+    unwanted = labelled.where(F.col("domain").isin(*none)) if none else spark.createDataFrame([], labelled.schema)
+    found = found.join(unwanted.select("doc_id").distinct().withColumn("unwanted", F.lit(True)), "doc_id", "left")
+    seed = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(11))).otherwise(F.xxhash64("text_key", F.lit(11)))
+    draw = F.pmod(seed, F.lit(1 << 30)) / float(1 << 30)
     copies = F.greatest(F.floor(F.col("rate") + draw), F.when(F.col("rate") >= keep_from, 1).otherwise(0)).cast("int")
-    counted = found.select(F.col("doc_id").alias("mix_id"), copies.alias("copies"))
-    rows = docs.select(F.struct("*").alias("d")).join(counted, F.col("d.doc_id") == F.col("mix_id"), "left")  # no name can clash
+    copies = F.when(F.col("unwanted"), 0).otherwise(copies)
+    counted = found.select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), copies.alias("copies"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64("d.text") == F.col("mix_key"))
+    rows = docs.select(F.struct("*").alias("d")).join(counted, same, "left")  # no name can clash
     kept = rows.withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
     return kept.select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from mercato.llm import quality, simhash, substring
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,3 +122,17 @@ def test_rows_without_an_id_of_their_own(spark):
 
 def _key(spark, text):
     return spark.createDataFrame([(text,)], "t string").selectExpr("xxhash64(t) AS k").first().k
+
+
+# -- the pipeline's mix -------------------------------------------------------
+
+def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
+    r = random.Random(5)
+    clean = [(i, prose(r.randint(40, 90), 2000 + i)) for i in range(400)]
+    toxic = [(i, f"{prose(60, 3000 + i)} awful {prose(9, i)}") for i in range(1000, 1050)]  # every second is labelled
+    toxic += [(2000, prose(60, 4000)), (None, f"{prose(60, 4001)} awful")]  # a label without a marker word, a marker word without an id
+    rows = [(i, int(i % 5 != 0), 0) for i, _ in clean[:300]] + [(i, 0, 1) for i, _ in toxic[:50:2]] + [(2000, 1, 1)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table(spark, clean + toxic + [(None, prose(60, 4002))])
+    kept = sorted(x.text for x in corpus_pipeline.mix_to_targets(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted([t for _, t in clean] + [prose(60, 4002)])
