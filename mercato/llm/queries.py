@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import chat, html, langid, minhash, mixing, packing, quality, simhash, substring, tokens
+from mercato.llm import chat, html, langid, minhash, mixing, packing, quality, simhash, substring, tokens, transducer
 from mercato.llm.common import ready, table
 
 
@@ -69,6 +69,15 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_chats(chats.unionByName(extra))))
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, and the text decoded from the ids alone."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = transducer.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return transducer.digests(transducer.decode(encoded, path))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -80,4 +89,5 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_byte_level_bpe": op11_byte_level_bpe,
 }
