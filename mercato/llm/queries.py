@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import chat, html, langid, minhash, mixing, packing, quality, simhash, substring, tokens, transducer
+from mercato.llm import chat, html, langid, minhash, mixing, packing, phrases, quality, search, simhash, substring, tokens, transducer
 from mercato.llm.common import ready, table
 
 
@@ -78,6 +78,16 @@ def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.digests(transducer.decode(encoded, path))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, most=2000)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -90,4 +100,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_byte_level_bpe": op11_byte_level_bpe,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
