@@ -17,12 +17,15 @@ cart_empty; then per line: negative_discount, discount_exceeds_line.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.clock import is_open
 from mercato.functions.cols import first_by, first_reason, reason_code, reason_name
 from mercato.functions.money import round2
+from mercato.operators.conflicts import conflict_groups, replay_earliest
 from mercato.session import materialize
 
 # VAT percent by payment type used when billing.
@@ -89,7 +92,8 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
 
     Requests take effect in (requested_at, cart_id) order (null or missing
     ``requested_at``: first); an accepted one uses up its stock, a refused one
-    uses none, and a later request sees what is left (B4, B5).
+    uses none, and a later request sees what is left (B4, B5).  Branch hours are
+    checked at the request's own time, ``as_of`` where it has none.
 
     Returns ``bills`` (accepted orders with totals), ``lines`` (B3 amounts of
     accepted orders), ``addons`` (order_item_addons rows), ``rejects`` (request
@@ -99,8 +103,8 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
     """
     rate = bill_vat_rate(F.col("payment_type"))
     asked = F.col("requested_at") if "requested_at" in requests.columns else F.lit(None)
-    req = requests.select("cart_id", "payment_type", "viewer_id", F.coalesce(asked.cast("timestamp"), F.lit(FIRST_TIME).cast("timestamp")).alias("ts")) \
-        .withColumn("vat_rate", rate)
+    req = requests.select("cart_id", "payment_type", "viewer_id", F.coalesce(asked.cast("timestamp"), F.lit(FIRST_TIME).cast("timestamp")).alias("ts"),
+                          F.coalesce(asked.cast("timestamp"), F.lit(as_of).cast("timestamp")).alias("_at")).withColumn("vat_rate", rate)
 
     # cart, viewer and branch checks (one row per request)
     c = carts.select(F.col("id").alias("cart_id"), "merchant_id", "branch_id", F.col("actor_id").alias("cart_actor_id"))
@@ -117,7 +121,7 @@ def place_orders(requests: DataFrame, carts: DataFrame, lines: DataFrame, produc
         (F.col("merchant_id").isNull(), "cart_not_found"),
         (~guest & ~is_merchant & ~is_owner, "forbidden"),
         (~branch_ok, "branch_not_found"),
-        (~is_open("opening_time_minutes", "closing_time_minutes", F.lit(as_of).cast("timestamp")), "branch_closed"),
+        (~is_open("opening_time_minutes", "closing_time_minutes", F.col("_at")), "branch_closed"),
     )).select("cart_id", "payment_type", "viewer_id", "ts", "vat_rate", "merchant_id", "branch_id", "cart_actor_id", "_head_reason")
 
     # merged lines of the requests still in play, with their lookups, checks and amounts (one row per cart and product)
@@ -384,35 +388,44 @@ def running_before(lines: DataFrame, amounts: dict[str, Column], keys=("branch_i
     return out.drop("_bucket", *[f"_in_{n}" for n in amounts], *[f"_off_{n}" for n in amounts])
 
 
-def refused_orders(candidates: DataFrame) -> DataFrame:
+def refused_orders(candidates: DataFrame, at_once: int = 20_000) -> DataFrame:
     """Orders (order_id) that find too little stock when all are served in (ts, order_id) order.
 
     ``candidates``: one row per order and product (order_id, branch_id, ts,
     product_id, quantity > 0, stock).  Only products asked for beyond their stock
-    can refuse an order.  On those, every round takes the accepted (A) and the
-    open (U) demand before each line: an order is accepted when every line has
-    A + U + q <= stock and refused when any has A + q > stock.  The first open
-    order of a branch has U = 0 and is settled, so the rounds end by themselves.
-    Each round is written as a table; the driver sees only whether one is empty.
+    can refuse an order.  On those, a round serves the earliest ``at_once`` open
+    orders of every component of conflicting orders one by one
+    (``conflicts.replay_earliest``).  If some are left, those whose outcome follows
+    from running sums are settled too: with the open demand U before a line, an order
+    is accepted when every line has U + q <= left and refused when any has q > left.
+    Rounds are written as tables; the driver sees only whether one is empty.
     """
     asked = candidates.groupBy("branch_id", "product_id").agg(F.sum("quantity").alias("_asked"))
-    state = materialize(
-        candidates.select("order_id", "branch_id", "ts", "product_id", "quantity", F.coalesce("stock", F.lit(-1)).alias("stock"))
-        .join(asked, ["branch_id", "product_id"]).filter(F.col("_asked") > F.col("stock")).drop("_asked")
-        .withColumn("served", F.lit(None).cast("boolean")))
-    contested = state.select("order_id").distinct()
-    is_open_line = F.col("served").isNull()
-    while not state.filter(is_open_line).isEmpty():
-        demand = running_before(state, {"_a": F.when(F.col("served"), F.col("quantity")).otherwise(F.lit(0)),
-                                        "_u": F.when(is_open_line, F.col("quantity")).otherwise(F.lit(0))})
-        settled = demand.filter(is_open_line).groupBy("order_id").agg(
-            F.min(F.col("_a") + F.col("_u") + F.col("quantity") <= F.col("stock")).alias("_ok"),
-            F.max(F.col("_a") + F.col("quantity") > F.col("stock")).alias("_short"),
-        ).filter(F.col("_ok") | F.col("_short")).select("order_id", "_ok")
-        state = materialize(
-            state.join(settled, "order_id", "left").withColumn("served", F.coalesce("served", "_ok")).drop("_ok")
-            .filter(F.coalesce(F.col("served"), F.lit(True))))  # a refused order uses no stock
-    return contested.join(state.select("order_id").distinct(), "order_id", "left_anti")
+    lines = materialize(
+        candidates.select("order_id", "branch_id", "ts", "product_id", "quantity", F.coalesce("stock", F.lit(-1)).alias("left"))
+        .join(asked, ["branch_id", "product_id"]).filter(F.col("_asked") > F.col("left")).drop("_asked"))
+    state = lines.join(conflict_groups(lines, at_once), "order_id")
+    decided = []
+    while True:
+        decided.append(materialize(replay_earliest(state, at_once)))
+        state = _open_after(state, decided[-1])
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, decided).filter(~F.col("served")).select("order_id")
+        state = materialize(state)
+        before = running_before(state, {"_u": F.col("quantity")})
+        decided.append(materialize(before.groupBy("order_id").agg(
+            F.min(F.col("_u") + F.col("quantity") <= F.col("left")).alias("served"),
+            F.max(F.col("quantity") > F.col("left")).alias("_short"),
+        ).filter(F.col("served") | F.col("_short")).select("order_id", "served")))
+        state = materialize(_open_after(state, decided[-1]))
+
+
+def _open_after(state: DataFrame, decided: DataFrame) -> DataFrame:
+    """Lines of the orders still open, with the stock left after the accepted ones."""
+    marked = state.join(decided, "order_id", "left")
+    used = marked.filter("served").groupBy("branch_id", "product_id").agg(F.sum("quantity").alias("_used"))
+    return (marked.filter(F.col("served").isNull()).join(used, ["branch_id", "product_id"], "left")
+            .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0))).select(*state.columns))
 
 
 def use_stock(inventory: DataFrame, served_lines: DataFrame) -> DataFrame:

@@ -473,16 +473,20 @@ FROM r
 _KARACHI_NOW = "(hour(TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 5 HOUR) * 60 + minute(TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 5 HOUR))"
 
 
-def is_open_sql(o: str, c: str) -> str:
-    return (f"(CASE WHEN {o} = {c} THEN true WHEN {o} < {c} THEN {_KARACHI_NOW} >= {o} AND {_KARACHI_NOW} < {c} "
-            f"ELSE {_KARACHI_NOW} >= {o} OR {_KARACHI_NOW} < {c} END)")
+def is_open_sql(o: str, c: str, now: str = _KARACHI_NOW) -> str:
+    return (f"(CASE WHEN {o} = {c} THEN true WHEN {o} < {c} THEN {now} >= {o} AND {now} < {c} "
+            f"ELSE {now} >= {o} OR {now} < {c} END)")
+
+
+# branch minutes at a request's own time
+_KARACHI_ASKED = "(hour(rq.asked_at + INTERVAL 5 HOUR) * 60 + minute(rq.asked_at + INTERVAL 5 HOUR))"
 
 
 _ORDERS = f"""
 req AS (
   SELECT cart_id, CASE WHEN id % 97 = 0 THEN 'crypto' WHEN id % 5 = 0 THEN concat(' ', upper(payment_type), ' ')
                        ELSE payment_type END AS payment_type,
-         actor_id AS viewer_id
+         actor_id AS viewer_id, coalesce(created_at, TIMESTAMP '2024-01-20 00:00:00') AS asked_at
   FROM v_orders),
 rq AS (SELECT *, CAST(CASE lower(trim(payment_type)) WHEN 'card' THEN 8.0 WHEN 'cash' THEN 15.0 END AS DOUBLE) AS vat_rate FROM req),
 flags AS (
@@ -528,7 +532,7 @@ r AS (
          WHEN c.actor_id IS NOT NULL AND NOT coalesce(f.merchant_role_of = c.merchant_id, false)
               AND NOT coalesce(f.customer_role_of = c.merchant_id AND c.actor_id = rq.viewer_id, false) THEN 'forbidden'
          WHEN b.id IS NULL OR b.merchant_id <> c.merchant_id THEN 'branch_not_found'
-         WHEN NOT {is_open_sql('b.opening_time_minutes', 'b.closing_time_minutes')} THEN 'branch_closed'
+         WHEN NOT {is_open_sql('b.opening_time_minutes', 'b.closing_time_minutes', _KARACHI_ASKED)} THEN 'branch_closed'
          WHEN coalesce(q.min_q, 1) <= 0 THEN 'quantity_not_positive'
          WHEN l.line_err1 IS NOT NULL THEN l.line_err1
          WHEN coalesce(l.n_lines, 0) = 0 THEN 'cart_empty' END AS pre_reason

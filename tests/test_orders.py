@@ -79,6 +79,73 @@ def test_serial_allocation_matches_replay(spark, seed, branches, products, n, mi
     assert any(expected.values()) and not all(expected.values())
 
 
+def chain(n, stock):
+    """Order i asks for one piece of products i and i + 1: each hinges on the one before."""
+    t = dt.datetime(2024, 1, 1)
+    cand = [(i, 0, t + dt.timedelta(seconds=i), p, 1) for i in range(n) for p in (i, i + 1)]
+    return cand, {(p, 0): stock for p in range(n + 1)}
+
+
+@pytest.mark.parametrize("at_once", [1_000, 100])
+def test_long_chain_needs_few_rounds(spark, monkeypatch, at_once):
+    """A chain of 400 orders, replayed in the prefixes given: n / at_once rounds at most."""
+    rounds, replay_round = [], orders.replay_earliest
+    monkeypatch.setattr(orders, "replay_earliest", lambda *a: rounds.append(1) or replay_round(*a))
+    cand, stock = chain(400, 1)
+    expected, _ = replay(cand, stock)
+    with_stock = spark.createDataFrame(cand, CANDIDATES).withColumn("stock", F.lit(1))
+    refused = {r.order_id for r in orders.refused_orders(with_stock, at_once).collect()}
+    assert refused == {o for o, ok in expected.items() if not ok} and len(refused) == 200
+    assert len(rounds) <= max(1, 400 // at_once)
+
+
+@pytest.mark.parametrize("at_once", [1, 7])
+def test_short_prefixes_give_the_replay(spark, at_once):
+    """Components larger than the prefix: several rounds, running sums between them."""
+    cand, stock = random_orders(5, 2, 9, 40, 300)
+    expected, _ = replay(cand, stock)
+    rows = [(*c, stock.get((c[3], c[1]))) for c in cand]
+    got = orders.refused_orders(spark.createDataFrame(rows, CANDIDATES + ", stock int"), at_once)
+    assert {r.order_id for r in got.collect()} == {o for o, ok in expected.items() if not ok}
+
+
+def test_conflict_components(spark):
+    from mercato.operators import conflicts
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
+    up = {n: n for e in edges for n in e}
+
+    def find(n):
+        return n if up[n] == n else find(up[n])
+
+    for u, v in edges:
+        up[max(find(u), find(v))] = min(find(u), find(v))
+    got = conflicts.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r.node, r.label) for r in got) == sorted((n, find(n)) for n in up if any(n in e and e[0] != e[1] for e in edges))
+    lines = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (2, 0, 2), (3, 0, 9), (4, 1, 2)], "order_id long, branch_id long, product_id long")
+    group = {r.order_id: r.component for r in conflicts.conflict_groups(lines, 1).collect()}
+    assert group[1] == group[2] and len(set(group.values())) == 3
+    assert len(set(r.component for r in conflicts.conflict_groups(lines, 10).collect())) == 2
+
+
+def test_branch_hours_at_the_time_of_the_request(spark):
+    """A branch open from 10:00 to 12:00 local time: requests at 10:30 and at 12:30 on one day, another without a time."""
+    req = spark.createDataFrame([(1, "cash", 9, dt.datetime(2024, 1, 1, 5, 30)), (2, "cash", 9, dt.datetime(2024, 1, 1, 7, 30)), (3, "cash", 9, None)],
+                                "cart_id long, payment_type string, viewer_id long, requested_at timestamp")
+    carts = spark.createDataFrame([(i, 1, 7, None) for i in (1, 2, 3)], "id long, merchant_id long, branch_id long, actor_id long")
+    lines = spark.createDataFrame([(i, 5, 1, 0.0, []) for i in (1, 2, 3)],
+                                  "cart_id long, product_id long, quantity int, applied_discount_amount double, addon_ids array<long>")
+    products = spark.createDataFrame([(5, 1, "p", 10.0, False)], "id long, merchant_id long, name string, base_price double, track_inventory boolean")
+    addons = spark.createDataFrame([], "id long, product_id long, name string, price double")
+    stock = spark.createDataFrame([], "product_id long, branch_id long, quantity int")
+    branches = spark.createDataFrame([(7, 1, 600, 720)], "id long, merchant_id long, opening_time_minutes int, closing_time_minutes int")
+    flags = spark.createDataFrame([], "actor_id long, merchant_role_of long, customer_role_of long")
+    out = orders.place_orders(req, carts, lines, products, addons, stock, branches, flags, dt.datetime(2024, 1, 1, 6, 0))
+    assert {r.order_id for r in out["bills"].collect()} == {1, 3}
+    assert [(r.cart_id, r.reason) for r in out["rejects"].collect()] == [(2, "branch_closed")]
+
+
 def test_allocation_of_no_orders(spark):
     out = orders.allocate_stock(spark.createDataFrame([], CANDIDATES), spark.createDataFrame([(1, 0, 5)], STOCK))
     assert out["decisions"].count() == 0
