@@ -10,37 +10,30 @@ version directory from scratch (``overwrite``), which makes the job idempotent.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from mercato.sources import files
+
 POINTER = "_CURRENT"
 
 
-def current_version(base: str) -> int | None:
-    try:
-        with open(os.path.join(base, POINTER)) as fh:
-            return int(fh.read().strip())
-    except FileNotFoundError:
-        return None
+def current_version(spark: SparkSession, base: str) -> int | None:
+    text = files.read_text(spark, f"{base}/{POINTER}")
+    return int(text) if text else None
 
 
 def write_snapshot(frames: dict[str, DataFrame], base: str, version: int | None = None) -> int:
     """Write every frame of one job as the next version, then publish it."""
-    v = (current_version(base) or 0) + 1 if version is None else version
+    spark = next(iter(frames.values())).sparkSession
+    v = (current_version(spark, base) or 0) + 1 if version is None else version
     for name, df in frames.items():
-        df.write.mode("overwrite").parquet(os.path.join(base, f"v{v}", name))
-    os.makedirs(base, exist_ok=True)
-    fd, tmp = tempfile.mkstemp(dir=base, prefix=".pointer-")
-    with os.fdopen(fd, "w") as fh:
-        fh.write(str(v))
-    os.replace(tmp, os.path.join(base, POINTER))  # atomic on one file system
+        df.write.mode("overwrite").parquet(f"{base}/v{v}/{name}")
+    files.replace_text(spark, f"{base}/{POINTER}", str(v))
     return v
 
 
 def read_snapshot(spark: SparkSession, base: str, name: str, version: int | None = None) -> DataFrame:
-    v = current_version(base) if version is None else version
+    v = current_version(spark, base) if version is None else version
     if v is None:
         raise FileNotFoundError(f"no published snapshot under {base}")
-    return spark.read.parquet(os.path.join(base, f"v{v}", name))
+    return spark.read.parquet(f"{base}/v{v}/{name}")

@@ -1,11 +1,14 @@
-"""Streaming sales per merchant and day (T2, roadmap companion of the monthly report).
-
-Orders arrive as a stream and are joined to their (static) order items; daily
-tumbling windows per merchant are aggregated with a watermark so old windows
-leave the state store.  The sink is an upsert log: each micro-batch writes the
-windows it updated (``update`` mode through ``foreachBatch``) into its own
-batch-id directory (overwritten if the batch is retried, so the log is
-idempotent), and readers take the latest row per (merchant, day).
+"""Streaming sales per merchant and day (T2, roadmap companion of the monthly report), without state.
+
+Sums can be added up, so nothing has to wait for a window to close and no row can
+come too late.  Orders arrive as a stream and are joined to their (static) items; each
+micro-batch writes its own partial sums, one row per (merchant, day) it touched, into
+a folder named by its batch id.  A batch that is retried replaces its folder.
+Readers add up the parts.
+
+``compact`` adds up all batches to a given one into one part and publishes it;
+readers then take that part and the later batches.  ``vacuum`` removes what no reader
+needs any more.
 """
 
 from __future__ import annotations
@@ -18,52 +21,84 @@ from pyspark.sql import functions as F
 from mercato.functions.money import money_out
 from mercato.operators.reports import COUNTED_STATUSES
 from mercato.session import checkpoint_dir
+from mercato.sources import files
 from mercato.sources.fixtures import VIEWS, fixtures
 from mercato.sources.tables import table_stream
 
+KEYS = ["merchant_id", "day"]
+SUMS = ["total_sales", "total_tax", "total_discount"]
+_DONE = "_SUCCESS"  # Spark's mark of a folder written to the end
 
-def daily_sales(orders: DataFrame, order_items: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """T2 transformation: counted orders' item sums per merchant and UTC day (streaming or batch)."""
+
+def daily_sales(orders: DataFrame, order_items: DataFrame) -> DataFrame:
+    """T2 transformation: counted orders' item sums per merchant and UTC day (of a batch, or of everything)."""
     counted = orders.filter(F.col("status").isin(*COUNTED_STATUSES)).select(
-        F.col("id").alias("order_id"), "merchant_id", "created_at")
+        F.col("id").alias("order_id"), "merchant_id", F.to_date("created_at").cast("string").alias("day"))
     items = order_items.select("order_id", "line_total", "tax_amount", "discount_amount")
-    j = counted.join(items, "order_id")
-    if j.isStreaming:
-        j = j.withWatermark("created_at", watermark)
-    return j.groupBy("merchant_id", F.window("created_at", "1 day").alias("w")).agg(
+    return counted.join(items, "order_id").groupBy(*KEYS).agg(
         F.sum("line_total").alias("total_sales"), F.sum("tax_amount").alias("total_tax"),
-        F.sum("discount_amount").alias("total_discount"), F.count(F.lit(1)).alias("n_items"))
+        F.sum("discount_amount").alias("total_discount"), F.count(F.lit(1)).cast("bigint").alias("n_items"))
+
+
+def add_up(parts: DataFrame) -> DataFrame:
+    """Partial sums of several parts -> one row per (merchant, day).  In any order, any grouping, the same."""
+    kinds = {f.name: f.dataType for f in parts.schema.fields}
+    return parts.groupBy(*KEYS).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in [*SUMS, "n_items"]])
+
+
+def write_batch(part: DataFrame, base: str, batch_id: int) -> None:
+    """One folder per micro-batch, replaced when the batch is retried."""
+    part.write.mode("overwrite").parquet(f"{base}/log/b={batch_id}")
+
+
+def _written(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers of the sub-folders ``prefix`` + number that were written to the end."""
+    numbers = [int(n.removeprefix(prefix)) for n in files.names(spark, folder) if n.startswith(prefix)]
+    return sorted(n for n in numbers if files.exists(spark, f"{folder}/{prefix}{n}/{_DONE}"))
+
+
+def parts(spark: SparkSession, base: str, upto: int | None = None) -> list[str]:
+    """Folders that together hold every batch (to ``upto``) once: the newest compacted part and the batches after it."""
+    whole = [n for n in _written(spark, f"{base}/compacted", "upto=") if upto is None or n <= upto]
+    after = whole[-1] if whole else -1
+    later = [n for n in _written(spark, f"{base}/log", "b=") if n > after and (upto is None or n <= upto)]
+    return [f"{base}/compacted/upto={after}"] * bool(whole) + [f"{base}/log/b={n}" for n in later]
+
+
+def read_sales(spark: SparkSession, base: str) -> DataFrame:
+    """Merchant x day totals of all batches written so far."""
+    return add_up(spark.read.parquet(*parts(spark, base)))
+
+
+def compact(spark: SparkSession, base: str, upto: int) -> None:
+    """Publish one part for all batches to ``upto``.  The last batch of a running query may still be retried: leave it out."""
+    add_up(spark.read.parquet(*parts(spark, base, upto))).write.mode("overwrite").parquet(f"{base}/compacted/upto={upto}")
 
 
-def latest_windows(log: DataFrame) -> DataFrame:
-    """Read side of the upsert log: the last emitted row per (merchant, day)."""
-    keys = ["merchant_id", "day"]
-    others = [c for c in log.columns if c not in keys + ["_batch"]]
-    agg = log.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r"))
-    return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in others])
+def vacuum(spark: SparkSession, base: str) -> None:
+    """Remove parts that the newest compacted one holds; call it when no reader that started before ``compact`` is left."""
+    whole = _written(spark, f"{base}/compacted", "upto=")
+    for n in whole[:-1]:
+        files.remove(spark, f"{base}/compacted/upto={n}")
+    for n in _written(spark, f"{base}/log", "b="):
+        if whole and n <= whole[-1]:
+            files.remove(spark, f"{base}/log/b={n}")
 
 
-def run_sales_stream(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+def run_sales_stream(spark: SparkSession, sf_dir: str, source: DataFrame | None = None, base: str | None = None) -> DataFrame:
     """Run T2 with orders as the stream source until drained; return merchant x day totals.
 
     ``source`` overrides the orders stream (raw ``orders`` schema), e.g. with a
-    ``maxFilesPerTrigger`` file source to force several micro-batches.
+    ``maxFilesPerTrigger`` file source to force several micro-batches; ``base`` names
+    the folder of parts and checkpoint, a later run with it goes on where the last ended.
     """
-    base = f"{checkpoint_dir(spark).rstrip('/')}/sales-stream-{uuid.uuid4().hex}"
-    fx = fixtures(spark, sf_dir)
+    base = base or f"{checkpoint_dir(spark).rstrip('/')}/sales-stream-{uuid.uuid4().hex}"
+    items = fixtures(spark, sf_dir).v_order_items
     raw = source if source is not None else table_stream(spark, sf_dir, "orders")
-    raw = raw.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
-    stream_orders = spark.sql(VIEWS["v_orders"], orders=raw)
-    agg = daily_sales(stream_orders, fx.v_order_items)
-    out = agg.select("merchant_id", F.to_date(F.col("w.start")).cast("string").alias("day"),
-                     *[money_out(c).alias(c) for c in ("total_sales", "total_tax", "total_discount")],
-                     F.col("n_items").cast("bigint").alias("n_items"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # one directory per micro-batch, overwritten on retry: a re-run batch cannot duplicate rows
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/log/b={batch_id}")
+        orders = batch.sparkSession.sql(VIEWS["v_orders"], orders=batch.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")))
+        write_batch(daily_sales(orders, items), base, batch_id)
 
-    q = (out.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return latest_windows(spark.read.parquet(f"{base}/log").drop("b"))
+    (raw.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/chk").trigger(availableNow=True).start().awaitTermination())
+    return read_sales(spark, base).select(*KEYS, *[money_out(c).alias(c) for c in SUMS], "n_items")

@@ -1,20 +1,26 @@
-"""Live order-status feed (T1, roadmap in the reference) on Structured Streaming.
-
-Status-change requests arrive as a stream.  Duplicates (same ``event_id``) are
-dropped within the watermark; per order the current status is kept in
-streaming state and every request is either applied (an allowed transition,
-B9) or rejected without changing the state.  The job writes one row per
-request, so the feed is consistent and free of duplicates.
-
-Ordering: inside a micro-batch an order's requests are applied in (ts,
-event_id) order; a request that arrives in a later micro-batch is applied when
-it arrives, even if its timestamp is earlier.  (Holding requests until the
-watermark passes them would give strict event-time order, but a run that ends
-- e.g. ``availableNow`` - would leave the last watermark window unapplied.)
-With one micro-batch, as below, the feed equals the batch fold ``status_fold``.
-
-``run_*`` helpers drive the query with an ``availableNow`` trigger so it ends by
-itself; sink and checkpoint live under the session's ``spark.checkpoint.dir``.
+"""Live order-status feed (T1, roadmap in the reference) on Structured Streaming, in event time.
+
+Status-change requests arrive as a stream in any order.  A request waits in its
+order's list state until the watermark has passed its time; an event-time timer
+then applies what is due in (ts, event_id) order.  So the feed does not depend on how
+the requests were split over micro-batches or files, and equals the batch fold
+(``orders.apply_status_changes``).
+
+Nothing is lost: every arriving row gives one row of the feed.  A request that comes
+when later ones of its order were already applied has the reason ``late``, a second
+delivery of an event the reason ``duplicate``; neither changes the status.  Spark
+itself drops rows behind the watermark before a stateful operator sees them, so the
+operator gets the time as a plain number and looks at the watermark itself.
+
+State per order: the open requests (list), the status with the time up to which it is
+settled (value), and the ids applied within the last watermark delay (list), which
+tell a second delivery from a late request.  With ``idle`` an order's state is
+dropped when no request came for that long (event time); a later one starts at
+``pending`` again.
+
+A run over stored files ends before the watermark passes the last requests.
+``close_feed`` writes a closing mark to a second source: the next run reads it, the
+watermark passes everything and the timers apply what waits.
 """
 
 from __future__ import annotations
@@ -23,10 +29,10 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mercato.operators.orders import ALLOWED_TRANSITIONS, INITIAL_STATUS
 from mercato.session import checkpoint_dir
@@ -40,8 +46,17 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("to_status", T.StringType()),
     T.StructField("applied", T.BooleanType()),
     T.StructField("status_after", T.StringType()),
+    T.StructField("reason", T.StringType()),
 ])
-STATE_SCHEMA = T.StructType([T.StructField("status", T.StringType())])
+_NO_VALUE = -(1 << 62)  # a missing id or time on its way through pandas
+CLOSING_KEY = ""
+CLOSING_TIME = "2200-01-01 00:00:00"
+_REQUEST = "event_id long, at long, requested_status string"
+_FEED = "order_ref string, event_id long, at long, from_status string, to_status string, applied boolean, status_after string, reason string"
+CLOSING = "order_ref string, event_id long, ts timestamp, requested_status string"
+
+#: State store that the timers and list states need.
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 # Event type -> requested status (same mapping as the fixture request view).
 EVENT_TO_STATUS = {"signup": "accepted", "view": "out_for_delivery", "purchase": "delivered",
@@ -63,39 +78,141 @@ def requests_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _fold_status(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current = state.get[0] if state.exists else INITIAL_STATUS
-    frames = list(batches)
-    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    if len(pdf) > 1:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-    events, stamps, targets = pdf["event_id"].tolist(), pdf["ts"].tolist(), pdf["requested_status"].tolist()
-    before, applied, after = [], [], []
-    for to in targets:
-        ok = to in ALLOWED_TRANSITIONS.get(current, ())
-        before.append(current)
-        if ok:
-            current = to
-        applied.append(ok)
-        after.append(current)
-    state.update((current,))
-    yield pd.DataFrame({"order_ref": [key[0]] * len(events), "event_id": events, "ts": stamps, "from_status": before,
-                        "to_status": targets, "applied": applied, "status_after": after})
-
-
-def status_feed(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """T1 transformation on a streaming DataFrame of requests."""
-    deduped = requests.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
-    return deduped.groupBy("order_ref").applyInPandasWithState(
-        _fold_status, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+class StatusProcessor(StatefulProcessor):
+    """Requests of one order -> feed rows; times are microseconds, timers milliseconds."""
+
+    def __init__(self, delay_us: int, idle_us: int | None):
+        self.delay_us, self.idle_us = delay_us, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", _REQUEST)
+        self.status = handle.getValueState("status", "status string, until long, last long")
+        self.done = handle.getListState("done", "event_id long, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = sorted((int(a), int(e), s) for pdf in rows for a, e, s in zip(pdf["at"], pdf["event_id"], pdf["requested_status"]))
+        known = self.status.get()
+        status, until, last = known or (INITIAL_STATUS, None, _NO_VALUE)
+        seen = {r[0] for r in self.open.get()} if known else set()
+        if until is not None:
+            seen |= {r[0] for r in self.done.get()}
+        refused, accepted = [], []
+        for at, event, wanted in new:
+            if key[0] is None or _NO_VALUE in (at, event):
+                refused.append((event, at, wanted, "incomplete"))
+            elif event in seen:
+                refused.append((event, at, wanted, "duplicate"))
+            elif until is not None and at <= until:
+                refused.append((event, at, wanted, "late"))
+            else:
+                seen.add(event)
+                accepted.append((event, at, wanted))
+        if accepted:
+            self.open.appendList(accepted)
+            self.handle.registerTimer(accepted[0][1] // 1000 + 1)
+            if known is None or accepted[-1][1] > last:
+                self.status.update((status, until, max(last, accepted[-1][1])))
+        if refused:
+            events, ats, targets, reasons = zip(*refused)
+            n = len(refused)
+            yield pd.DataFrame({"order_ref": [key[0]] * n, "event_id": events, "at": ats, "from_status": [status] * n, "to_status": targets,
+                                "applied": [False] * n, "status_after": [status] * n, "reason": reasons})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.status.get()
+        if known is None:
+            return
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        status, until, last = known
+        waiting = sorted((at, event, wanted) for event, at, wanted in self.open.get())
+        left = [r for r in waiting if r[0] > passed]
+        due = waiting[:len(waiting) - len(left)]
+        if due:
+            rows = []
+            for at, event, wanted in due:
+                ok = wanted in ALLOWED_TRANSITIONS.get(status, ())
+                rows.append((key[0], event, at, status, wanted, ok, wanted if ok else status, None))
+                status = rows[-1][6]
+            before = self.done.get() if until is not None else ()
+            # an event is known as long as its time is within the delay of the latest one applied
+            kept = [(e, a) for e, a in [*before, *((event, at) for at, event, _ in due)] if a > due[-1][0] - self.delay_us]
+            self.done.put(kept)
+            if left:
+                self.open.put([(event, at, wanted) for at, event, wanted in left])
+            else:
+                self.open.clear()
+            self.status.update((status, due[-1][0], last))
+            yield pd.DataFrame(rows, columns=["order_ref", "event_id", "at", "from_status", "to_status", "applied", "status_after", "reason"])
+        if left:
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        elif self.idle_us and last + self.idle_us > passed:
+            self.handle.registerTimer((last + self.idle_us) // 1000 + 1)
+        elif self.idle_us:
+            for state in (self.open, self.status, self.done):
+                state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def status_feed(requests: DataFrame, watermark: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """T1 transformation on a streaming DataFrame of requests (event_id, order_ref, ts, requested_status).
+
+    A request without order, id or time has the reason ``incomplete``.  Closing
+    marks give no row.  The session needs ``STATE_CONF``.
+    """
+    def us(text: str) -> int:
+        return int(pd.Timedelta(text).total_seconds() * 1_000_000)
+
+    def whole(c) -> Column:
+        return F.coalesce(c, F.lit(_NO_VALUE))
+
+    plain = requests.withWatermark("ts", watermark).select(
+        "order_ref", whole(F.col("event_id")).alias("event_id"), whole(F.unix_micros("ts")).alias("at"), "requested_status")
+    feed = plain.groupBy("order_ref").transformWithStateInPandas(
+        StatusProcessor(us(watermark), us(idle) if idle else None), _FEED, "append", "eventtime")
+    feed = feed.where(~F.col("order_ref").eqNullSafe(F.lit(CLOSING_KEY)))
+    return feed.select("order_ref", F.nullif("event_id", F.lit(_NO_VALUE)).alias("event_id"),
+                       F.timestamp_micros(F.nullif("at", F.lit(_NO_VALUE))).alias("ts"), *[f.name for f in OUTPUT_SCHEMA.fields[3:]])
+
+
+def close_feed(spark: SparkSession, path: str, upto) -> None:
+    """Write a closing mark to the source ``path``: once a run has read it, all requests up to ``upto`` are applied."""
+    row = spark.createDataFrame([(CLOSING_KEY, 0)], "order_ref string, event_id long")
+    row.select("order_ref", "event_id", F.lit(upto).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("requested_status")).write.mode("append").parquet(path)
+
+
+def run_feed(requests: DataFrame, base: str, watermark: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """Drain a stream of requests under the folder ``base``, close it, and return the feed table.
+
+    Runs again with the same ``base`` go on where the last one ended.
+    """
+    spark = requests.sparkSession
+    closing = f"{base}/closing"
+    spark.createDataFrame([], CLOSING).write.mode("ignore").parquet(closing)
+    marks = spark.readStream.schema(CLOSING).parquet(closing)
+    names = [f.name for f in marks.schema]
+    feed = status_feed(requests.select(*names).unionByName(marks), watermark, idle)
+
+    def drain() -> None:
+        before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
+        try:
+            (feed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/chk")
+             .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    drain()
+    close_feed(spark, closing, CLOSING_TIME)
+    drain()
+    return spark.read.schema(OUTPUT_SCHEMA).parquet(f"{base}/out")
 
 
 def run_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run T1 over the events file as a stream until it is drained; return the feed table."""
+    """Run T1 over the events file as a stream until it is drained and closed; return the feed table."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/status-stream-{uuid.uuid4().hex}"
-    src = table_stream(spark, sf_dir, "events")
-    q = (status_feed(requests_from_events(src)).writeStream.format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/chk")
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(OUTPUT_SCHEMA).parquet(f"{base}/out")
+    return run_feed(requests_from_events(table_stream(spark, sf_dir, "events")), base)
