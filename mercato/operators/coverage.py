@@ -1,19 +1,20 @@
 """Zones and delivery coverage.
 
-Coverage (G2) replaces a PostGIS GIST lookup with a grid index built by Spark:
-
-1. every zone's polygon is parsed once (WKT -> rings -> edge array, bounding
-   box); the cell size defaults to a quarter of the median polygon extent;
-2. polygons are exploded into the grid cells their bounding box touches and
-   grouped per (merchant, cell) into a candidate array - its size is the
-   number of polygons overlapping one cell, independent of the point count;
-3. points compute their cell and do one equi join on (merchant, cell_x, cell_y)
-   - high-cardinality keys, so a merchant holding most points still spreads
-   over many cells and tasks; the small cell index is broadcast by AQE when it
-   fits, otherwise it is a shuffle join that AQE splits on skew;
-4. polygons whose box spans more than ``max_cells`` cells are not exploded;
-   they go to a per-merchant array joined on merchant id (one row per
-   merchant), so the cell count per polygon is bounded without dropping any.
+Coverage (G2) replaces a PostGIS GIST lookup with a hierarchical cell index built by Spark:
+
+1. every zone's polygon is parsed once (WKT -> rings -> edge array, bounding box)
+   and covered by cells of several sizes (``covering``): the cells of the bounding
+   box are split in 4 x 4 as long as an edge runs through them, ``splits`` times.
+   A cell that no edge touches lies inside as a whole or is left out.  The work
+   and the number of cells follow the shape, not the size, of the polygon;
+2. the sizes are powers of two, so that a point's cell is exact arithmetic; a point
+   has one cell per size in use and does one equi join on (merchant, size, cell);
+3. a hit in an inside cell needs no edge.  Hits in edge cells are joined with the
+   edges of their zone and tested exactly;
+4. the winning zone per point is a minimum over its hits.
+
+The keys have a high cardinality: a merchant holding most points still spreads
+over many cells, and AQE splits a hot cell or zone.  No task holds a list of polygons.
 
 The winning zone per point is the covering assignment with the newest
 created_at, then the lowest id; a point with none is ``covered = false``.
@@ -21,28 +22,61 @@ created_at, then the lowest id; a point with none is ``covered = false``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.cols import first_reason, unmet
 from mercato.functions.geo import bbox, covers, let, parse_polygon_wkt, polygon_edges, ring_to_wkt
 from mercato.operators.hours import CITIES
+from mercato.session import materialize
+
+SPLIT_BITS = 2  # a split halves a cell's side this often
+SMALLEST = -20  # exponent of the smallest first cell, about 0.1 m in degrees
+
+
+def _floor(x, k):
+    """Number of the cell of side 2^k that holds coordinate x; division by a power of two is exact."""
+    return F.floor(x / F.pow(F.lit(2.0), k))
+
 
-DEFAULT_CELL_DEG = 1.0
-DEFAULT_MAX_CELLS = 4096
-CELLS_PER_MEDIAN_EXTENT = 4  # a median polygon spans about 4 x 4 cells
+def _meets(e, x0, y0, side):
+    """May edge ``e`` run through the closed square at (x0, y0)?  In doubt yes: such a cell is tested point by point."""
+    x1, y1 = x0 + side, y0 + side
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    near = F.lit(1e-9) * (F.abs(dx) + F.abs(dy))  # far above the rounding of degrees
+    corners = [dx * (y - e["ay"]) - dy * (x - e["ax"]) for x in (x0, x1) for y in (y0, y1)]
+    apart = (F.greatest(*corners) < -near) | (F.least(*corners) > near)
+    return ((F.least(e["ax"], e["bx"]) <= x1) & (F.greatest(e["ax"], e["bx"]) >= x0)
+            & (F.least(e["ay"], e["by"]) <= y1) & (F.greatest(e["ay"], e["by"]) >= y0) & ~apart)
 
 
-def adaptive_cell_size(polys: DataFrame, fallback: float = DEFAULT_CELL_DEG) -> float:
-    """Grid cell size from the data: the median polygon extent divided by CELLS_PER_MEDIAN_EXTENT.
+def covering(parsed: DataFrame, splits: int = 2) -> DataFrame:
+    """Cells of side 2^k that cover the valid zones of ``parsed_zones``: zone_id, k, cx, cy, inside.
 
-    One approximate-percentile aggregate over the polygon table; only a single
-    number reaches the driver.
+    No two cells of a zone overlap.  ``inside``: the zone covers the whole cell;
+    otherwise an edge may run through it.  Row by row, nothing is shuffled.
     """
     extent = F.greatest(F.col("bbox.maxx") - F.col("bbox.minx"), F.col("bbox.maxy") - F.col("bbox.miny"))
-    row = polys.filter(extent > 0).agg(F.percentile_approx(extent, 0.5).alias("m")).first()
-    median = row["m"] if row is not None else None
-    return float(median) / CELLS_PER_MEDIAN_EXTENT if median else fallback
+    first = F.ceil(F.log2(F.greatest(extent, F.lit(2.0 ** SMALLEST))) / SPLIT_BITS).cast("int") * SPLIT_BITS  # few sizes are in use
+    k, side = F.col("k"), F.pow(F.lit(2.0), F.col("k"))
+    z = parsed.filter("is_valid").select(F.col("id").alias("zone_id"), "edges", "bbox", first.alias("k"))
+    cells = z.select("zone_id", "edges", "k", "bbox", F.explode(F.sequence(_floor(F.col("bbox.minx"), k), _floor(F.col("bbox.maxx"), k))).alias("cx"))
+    cells = cells.select("zone_id", "edges", "k", "cx", F.explode(F.sequence(_floor(F.col("bbox.miny"), k), _floor(F.col("bbox.maxy"), k))).alias("cy"))
+    cells = cells.withColumn("inside", F.lit(None).cast("boolean"))
+    for step in range(splits + 1):
+        if step:
+            n = 1 << SPLIT_BITS
+            parts = F.array(*[F.struct((k - SPLIT_BITS).alias("k"), (F.col("cx") * n + i).alias("cx"), (F.col("cy") * n + j).alias("cy"),
+                                       F.lit(None).cast("boolean").alias("inside")) for i in range(n) for j in range(n)])
+            whole = F.array(F.struct("k", "cx", "cy", "inside"))
+            cells = cells.select("zone_id", "edges", F.inline(F.when(F.col("inside"), whole).otherwise(parts)))
+        x0, y0 = F.col("cx") * side, F.col("cy") * side
+        cut = F.exists("edges", lambda e: _meets(e, x0, y0, side))
+        cells = cells.withColumn("_cut", F.when(F.col("inside"), F.lit(False)).otherwise(cut))
+        cells = cells.where(F.col("_cut") | F.coalesce("inside", covers("edges", x0 + side / 2, y0 + side / 2))).withColumn("inside", ~F.col("_cut")).drop("_cut")
+    return cells.select("zone_id", "k", "cx", "cy", "inside")
 
 
 def list_service_zones(service_zones: DataFrame, zones: DataFrame, areas: DataFrame, branches: DataFrame) -> DataFrame:
@@ -75,56 +109,32 @@ def parsed_zones(zones: DataFrame) -> DataFrame:
     return zones.withColumn("_geo", geo).select(*zones.columns, "_geo.is_valid", "_geo.edges", "_geo.bbox")
 
 
-def _candidate(c) -> "F.Column":
-    return F.struct(
-        (-F.unix_micros(c["created_at"])).alias("k_age"), c["id"].alias("k_id"),
-        c["zone_id"].alias("zone_id"), c["branch_id"].alias("branch_id"), c["zone_name"].alias("zone_name"),
-        c["branch_name"].alias("branch_name"), c["area_id"].alias("area_id"), c["area_name"].alias("area_name"),
-        c["area_city"].alias("area_city"),
-    )
-
-
-def zone_coverage(points: DataFrame, service_zones: DataFrame, zones: DataFrame, areas: DataFrame, branches: DataFrame,
-                  cell_deg: float | None = None, max_cells: int = DEFAULT_MAX_CELLS) -> DataFrame:
+def zone_coverage(points: DataFrame, service_zones: DataFrame, zones: DataFrame, areas: DataFrame, branches: DataFrame, splits: int = 2) -> DataFrame:
     """For each point (id, merchant_id, lon, lat) the covering service zone, or covered = false.
 
-    ``cell_deg=None`` sizes the grid from the data (``adaptive_cell_size``); the
-    result does not depend on the cell size, only the work per point does.
+    ``splits`` says how finely edges are followed; the result does not depend on it.
+    Points that agree in all four columns have the same zone; each row comes out once.
     """
-    # parse each zone polygon once, on the (small) zones table, before any join
+    info = ["zone_id", "branch_id", "zone_name", "branch_name", "area_id", "area_name", "area_city"]
+    # parse and cover each zone once, on the (small) zones table, before any join
     parsed = parsed_zones(zones)
-    sz = list_service_zones(service_zones, parsed, areas, branches)
-    polys = sz.filter(F.col("is_valid"))
-    if cell_deg is None:
-        cell_deg = adaptive_cell_size(parsed.filter(F.col("is_valid")))
-    cs = F.lit(float(cell_deg))
-    polys = (polys.withColumn("_x0", F.floor(F.col("bbox.minx") / cs)).withColumn("_x1", F.floor(F.col("bbox.maxx") / cs))
-             .withColumn("_y0", F.floor(F.col("bbox.miny") / cs)).withColumn("_y1", F.floor(F.col("bbox.maxy") / cs))
-             .withColumn("_ncells", (F.col("_x1") - F.col("_x0") + 1) * (F.col("_y1") - F.col("_y0") + 1)))
-    entry = F.struct(_candidate(F.struct(*[F.col(c) for c in (
-        "created_at", "id", "zone_id", "branch_id", "zone_name", "branch_name", "area_id", "area_name", "area_city")])).alias("info"),
-        F.col("edges"), F.col("bbox"))
-
-    small = polys.filter(F.col("_ncells") <= max_cells)
-    cells = (small.select("merchant_id", entry.alias("cand"), F.explode(F.sequence("_x0", "_x1")).alias("cx"), "_y0", "_y1")
-             .select("merchant_id", "cand", "cx", F.explode(F.sequence("_y0", "_y1")).alias("cy"))
-             .groupBy("merchant_id", "cx", "cy").agg(F.collect_list("cand").alias("cell_cands")))
-    wide = (polys.filter(F.col("_ncells") > max_cells).groupBy("merchant_id")
-            .agg(F.collect_list(entry).alias("wide_cands")))
-
-    p = points.select("id", "merchant_id", "lon", "lat",
-                      F.floor(F.col("lon") / cs).alias("cx"), F.floor(F.col("lat") / cs).alias("cy"))
-    j = p.join(cells, ["merchant_id", "cx", "cy"], "left").join(wide, "merchant_id", "left")
-    cands = F.concat(F.coalesce("cell_cands", F.array()), F.coalesce("wide_cands", F.array()))
-    lon, lat = F.col("lon"), F.col("lat")
-    hit = F.filter(cands, lambda c: (lon >= c["bbox"]["minx"]) & (lon <= c["bbox"]["maxx"])
-                   & (lat >= c["bbox"]["miny"]) & (lat <= c["bbox"]["maxy"]) & covers(c["edges"], lon, lat))
-    best = F.array_min(F.transform(hit, lambda c: c["info"]))
-    j = j.withColumn("_best", best)
-    return j.select(
-        "id", "merchant_id", "lon", "lat", F.col("_best").isNotNull().alias("covered"),
-        *[F.col("_best")[c].alias(c) for c in ("zone_id", "branch_id", "zone_name", "branch_name", "area_id", "area_name", "area_city")],
-    )
+    cells = materialize(covering(parsed, splits))
+    assigned = list_service_zones(service_zones, zones, areas, branches).select("merchant_id", "created_at", "id", *info)
+    index = cells.join(assigned.select("merchant_id", "zone_id", "created_at", F.col("id").alias("assignment")), "zone_id")
+    sizes = sorted(r["k"] for r in cells.select("k").distinct().collect())  # some ten numbers
+    where = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col("lon") / F.lit(2.0 ** k)).alias("cx"), F.floor(F.col("lat") / F.lit(2.0 ** k)).alias("cy"))
+                                for k in sizes]) if sizes else F.expr("array_repeat(struct(0 AS k, 0L AS cx, 0L AS cy), 0)"))
+    own = ["id", "merchant_id", "lon", "lat"]
+    placed = points.select(*own).distinct().where("NOT isnan(lon) AND NOT isnan(lat)").select(*own, where.alias("c")).select(*own, "c.*")
+    near = placed.join(index, ["merchant_id", "k", "cx", "cy"]).select(*own, "zone_id", "created_at", "assignment", "inside")
+    edges = parsed.select(F.col("id").alias("zone_id"), "edges")
+    on_edge = near.where("NOT inside").join(edges, "zone_id").where(covers("edges", "lon", "lat"))
+    hits = near.where("inside").drop("inside").unionByName(on_edge.drop("inside", "edges"))
+    best = hits.groupBy(*own).agg(F.min_by("assignment", F.struct(-F.unix_micros("created_at"), "assignment")).alias("assignment"))
+    best = best.join(assigned.select(F.col("id").alias("assignment"), *info), "assignment")
+    best = best.select("assignment", *info, *[F.col(c).alias(f"_{c}") for c in own])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own])
+    return points.select(*own).join(best, same, "left").select(*own, F.col("assignment").isNotNull().alias("covered"), *info)
 
 
 def validate_zone_batch(batch: DataFrame, areas: DataFrame) -> DataFrame:

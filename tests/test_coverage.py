@@ -15,7 +15,7 @@ def _run(spark, points, sz_rows):
     branches = spark.createDataFrame([(7, 0, "b7")], "id long, merchant_id long, name string")
     sz = spark.createDataFrame(sz_rows, "id long, merchant_id long, zone_id long, branch_id long, created_at timestamp")
     pts = spark.createDataFrame(points, "id long, merchant_id long, lon double, lat double")
-    return {r.id: r for r in coverage.zone_coverage(pts, sz, zones, areas, branches, cell_deg=1.0).collect()}
+    return {r.id: r for r in coverage.zone_coverage(pts, sz, zones, areas, branches).collect()}
 
 
 def test_edges_and_holes(spark):
@@ -40,16 +40,64 @@ def test_newest_assignment_wins(spark):
     assert got[1].covered and got[1].branch_id is None     # newest, then lowest id (98)
 
 
-def test_wide_polygons_use_merchant_array(spark):
+def test_covering_is_exact_up_to_its_edge_cells(spark):
+    """Points in inside cells are covered, points in no cell are not, cells of one zone do not overlap; sizes from a metre to a continent."""
+    shapes = {1: SQUARE_WITH_HOLE, 2: TRIANGLE, 3: "POLYGON((0 0,0.00001 0,0.00001 0.00001,0 0.00001,0 0))", 4: "POLYGON((-180 -90,180 -90,180 90,-180 90,-180 -90))",
+              5: "POLYGON((-3.7 -1.2,4.1 0.3,-2.2 5.9,-3.7 -1.2))", 6: "LINESTRING(0 0,1 1)", 7: "POLYGON((1 1,1 1,1 1,1 1))"}
+    zones = spark.createDataFrame([(i, 1, "z", w) for i, w in shapes.items()], "id long, area_id long, name string, coordinates_wkt string")
+    import random
+
+    rng = random.Random(4)
+    for splits in (0, 1, 2, 3):
+        cells = {}
+        for r in coverage.covering(coverage.parsed_zones(zones), splits).collect():
+            cells.setdefault(r.zone_id, []).append((2.0 ** r.k, r.cx, r.cy, r.inside))
+        assert set(cells) == {1, 2, 3, 4, 5, 7} and all(len(c) <= 4 * 16 ** splits for c in cells.values())
+        for i in (1, 2, 3, 4, 5):
+            rings = [[tuple(map(float, p.split())) for p in ring.split(",")] for ring in shapes[i][9:-2].split("),(")]
+            xs, ys = [x for x, _ in rings[0]], [y for _, y in rings[0]]
+            for _ in range(300):
+                x, y = rng.uniform(min(xs) - 0.1, max(xs) + 0.1), rng.uniform(min(ys) - 0.1, max(ys) + 0.1)
+                at = [inside for side, cx, cy, inside in cells[i] if x // side == cx and y // side == cy]
+                assert len(at) <= 1
+                assert _brute_covers(rings, x, y) == (at[0] or _brute_covers(rings, x, y) if at else False)
+
+
+def test_wide_and_many_vertex_polygons(spark):
+    """A zone 10,000 times as wide as the others and one with 2,000 vertices take the same path."""
+    import math
+
     t = dt.datetime(2024, 1, 1)
-    pts = [(1, 0, 4.0, 4.0), (2, 0, 1.0, 1.0), (3, 0, 8.0, 8.0)]
-    zones = spark.createDataFrame([(1, 1, "square", SQUARE_WITH_HOLE)], "id long, area_id long, name string, coordinates_wkt string")
+    star = [(50 + (5 + i % 2) * math.cos(2 * math.pi * i / 2000), 50 + (5 + i % 2) * math.sin(2 * math.pi * i / 2000)) for i in range(2000)]
+    star.append(star[0])
+    wide = [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0), (0.0, 0.0)]
+    small = [(1.0, 1.0), (1.01, 1.0), (1.01, 1.01), (1.0, 1.01), (1.0, 1.0)]
+    polys = {1: wide, 2: star, 3: small}
+    zones = spark.createDataFrame([(i, 1, f"z{i}", _wkt([p])) for i, p in polys.items()], "id long, area_id long, name string, coordinates_wkt string")
     areas = spark.createDataFrame([(1, "north", "Karachi")], "id long, name string, city string")
-    branches = spark.createDataFrame([(7, 0, "b7")], "id long, merchant_id long, name string")
-    sz = spark.createDataFrame([(100, 0, 1, None, t)], "id long, merchant_id long, zone_id long, branch_id long, created_at timestamp")
-    p = spark.createDataFrame(pts, "id long, merchant_id long, lon double, lat double")
-    got = {r.id: r.covered for r in coverage.zone_coverage(p, sz, zones, areas, branches, cell_deg=0.5, max_cells=4).collect()}
-    assert got == {1: False, 2: True, 3: True}
+    branches = spark.createDataFrame([], "id long, merchant_id long, name string")
+    sz = spark.createDataFrame([(100 + i, 0, i, None, t + dt.timedelta(days=i)) for i in polys], "id long, merchant_id long, zone_id long, branch_id long, created_at timestamp")
+    import random
+
+    rng = random.Random(2)
+    pts = [(i, 0, rng.uniform(43, 57), rng.uniform(43, 57)) for i in range(300)] + [(500, 0, 1.005, 1.0), (501, 0, 99.0, 1.0), (502, 0, 101.0, 1.0)]
+    pts += [(None, 0, 1.0, 1.0), (None, 0, 2.0, 2.0), (503, None, 2.0, 2.0), (504, 0, None, 2.0), (505, 0, float("nan"), 2.0), (501, 0, 99.0, 1.0)]
+    rows = coverage.zone_coverage(spark.createDataFrame(pts, "id long, merchant_id long, lon double, lat double"), sz, zones, areas, branches).collect()
+    assert len(rows) == len(pts)
+    for r in rows:
+        ok = r.merchant_id == 0 and r.lon is not None and r.lon == r.lon
+        want = max([i for i, p in polys.items() if ok and _brute_covers([p], r.lon, r.lat)], default=None)
+        assert (r.zone_id, r.covered) == (want, want is not None)
+
+
+def test_no_zones(spark):
+    empty = "id long, merchant_id long, zone_id long, branch_id long, created_at timestamp"
+    zones = spark.createDataFrame([(1, 1, "bad", "POINT(1 1)")], "id long, area_id long, name string, coordinates_wkt string")
+    areas = spark.createDataFrame([(1, "north", "Karachi")], "id long, name string, city string")
+    branches = spark.createDataFrame([], "id long, merchant_id long, name string")
+    pts = spark.createDataFrame([(1, 0, 1.0, 1.0)], "id long, merchant_id long, lon double, lat double")
+    (row,) = coverage.zone_coverage(pts, spark.createDataFrame([], empty), zones, areas, branches).collect()
+    assert not row.covered and row.zone_id is None
 
 
 def _brute_covers(rings, x, y):
@@ -95,6 +143,6 @@ def test_random_points_match_brute_force(spark):
     branches = spark.createDataFrame([], "id long, merchant_id long, name string")
     sdf = spark.createDataFrame(sz, "id long, merchant_id long, zone_id long, branch_id long, created_at timestamp")
     pdf = spark.createDataFrame(pts, "id long, merchant_id long, lon double, lat double")
-    for cell, max_cells in ((None, 4096), (1.0, 4096), (0.5, 6)):  # adaptive grid, fixed grid, mostly wide path
-        got = {r.id: r.zone_id for r in coverage.zone_coverage(pdf, sdf, zdf, areas, branches, cell_deg=cell, max_cells=max_cells).collect()}
+    for splits in (0, 1, 2):  # first cells only, finer ones
+        got = {r.id: r.zone_id for r in coverage.zone_coverage(pdf, sdf, zdf, areas, branches, splits=splits).collect()}
         assert got == expected
