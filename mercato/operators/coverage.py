@@ -116,8 +116,8 @@ def zone_coverage(points: DataFrame, service_zones: DataFrame, zones: DataFrame,
     Points that agree in all four columns have the same zone; each row comes out once.
     """
     info = ["zone_id", "branch_id", "zone_name", "branch_name", "area_id", "area_name", "area_city"]
-    # parse and cover each zone once, on the (small) zones table, before any join
-    parsed = parsed_zones(zones)
+    # each zone is parsed and covered once; written, so that the parser's long expression is not planned into every later step
+    parsed = materialize(parsed_zones(zones).select("id", "is_valid", "edges", "bbox"))
     cells = materialize(covering(parsed, splits))
     assigned = list_service_zones(service_zones, zones, areas, branches).select("merchant_id", "created_at", "id", *info)
     index = cells.join(assigned.select("merchant_id", "zone_id", "created_at", F.col("id").alias("assignment")), "zone_id")
