@@ -9,18 +9,21 @@ snapshot (written by the caller as a new directory, then swapped in):
 * ``upsert`` keeps the last batch row per key (``max_by`` on a sequence column,
   aggregated map-side) and full-outer-joins it onto the target;
 * ``update_by_key`` / ``delete_by_key`` are a left join / anti join;
-* ``cascade_delete`` walks the foreign-key edges: CASCADE removes children,
-  SET NULL clears the reference, RESTRICT rejects the parent if any child exists.
+* ``cascade_delete`` follows the foreign-key edges from each delete request: CASCADE removes
+  children, SET NULL clears them, RESTRICT refuses the request.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.session import materialize
+
 
 def derived_id(*cols) -> "F.Column":
     """Deterministic 64-bit id from natural-key columns (stands in for gen_random_uuid)."""
@@ -138,20 +141,55 @@ def insert_then_enrich(target: DataFrame, batch: DataFrame, as_of, enrich: DataF
     return b.join(enrich, list(on))
 
 
-def cascade_delete(root_keys: DataFrame, edges: Sequence[dict]) -> dict[str, DataFrame]:
-    """Apply ON DELETE rules from a deleted root set.
+def cascade_delete(root: str, requests: DataFrame, tables: dict[str, tuple[DataFrame, Sequence[str]]], edges: Sequence[dict]) -> dict:
+    """Delete the requested rows of table ``root`` and follow the ON DELETE rules.
+
+    ``requests``: key columns of ``root``, one delete request per row.  ``tables``
+    maps a name to (rows, key columns), parents before children.  An edge is a dict
+    ``{"child", "child_cols", "parent", "parent_cols", "rule"}`` with the rule cascade,
+    set_null (``"clear"``: the columns to clear, by default ``child_cols``) or restrict.
+
+    Every row that a request reaches carries the request along, over all paths to it.
+    A restrict edge that finds a row vetoes its request, even if that row would go by
+    the same request.  Each request is judged against the tables as given; a row goes
+    if some request without a veto reaches it.
 
-    ``edges`` are dicts ``{"name", "child", "child_cols", "parent", "parent_cols", "rule"}``
-    in parent-before-child order; ``parent`` names an earlier edge (or "root"),
-    ``rule`` is cascade / set_null / restrict.  Returns, per edge name, the child
-    rows affected (deleted for cascade, cleared for set_null, blocking for restrict).
+    Returns ``rejected`` (request keys, ``blocked_by``: child table, ``n_blocking`` rows),
+    and per table ``deleted``, ``cleared`` (rows as they were) and ``remaining`` (the resulting table).
     """
-    deleted: dict[str, DataFrame] = {"root": root_keys}
-    out: dict[str, DataFrame] = {}
-    for e in edges:
-        parent = deleted[e["parent"]].select(*[F.col(p).alias(c) for c, p in zip(e["child_cols"], e["parent_cols"])])
-        hit = e["child"].join(parent, list(e["child_cols"]), "left_semi")
-        out[e["name"]] = hit
-        if e["rule"] == "cascade":
-            deleted[e["name"]] = hit
-    return out
+    key = tables[root][1]
+    ids = [f"_request_{k}" for k in key]
+    asked = requests.select(*key).distinct().select("*", *[F.col(k).alias(i) for k, i in zip(key, ids)])
+
+    def reached_by(edge: dict, reached: dict[str, DataFrame]) -> DataFrame:
+        """Rows of the child that refer to a reached row of the parent, once per request."""
+        parent = reached[edge["parent"]].select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(edge["parent_cols"])], *ids).distinct()
+        child = tables[edge["child"]][0]
+        on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(edge["child_cols"])])
+        return child.join(parent, on).select(*child.columns, *ids)
+
+    reached: dict[str, DataFrame] = {}
+    for name, (rows, cols) in tables.items():
+        parts = [reached_by(e, reached) for e in edges if e["child"] == name and e["rule"] == "cascade" and e["parent"] in reached]
+        parts += [rows.join(asked, list(key))] if name == root else []
+        if parts:  # several paths to a row are one
+            reached[name] = materialize(reduce(DataFrame.unionByName, parts).dropDuplicates([*cols, *ids]))
+    no_row = asked.select(*ids, F.lit("").alias("blocked_by"), F.lit(0).cast("long").alias("n_blocking")).limit(0)
+    blocked = [reached_by(e, reached).groupBy(*ids).agg(F.count(F.lit(1)).alias("n_blocking")).withColumn("blocked_by", F.lit(e["child"]))
+               for e in edges if e["rule"] == "restrict" and e["parent"] in reached]
+    vetoes = materialize(reduce(DataFrame.unionByName, blocked, no_row).groupBy(*ids, "blocked_by").agg(F.sum("n_blocking").alias("n_blocking")))
+    free = {name: rows.join(vetoes, ids, "left_anti") for name, rows in reached.items()}
+    gone = {name: free[name].dropDuplicates(list(tables[name][1])).drop(*ids) for name in reached}
+    out = {}
+    for name, (rows, cols) in tables.items():
+        left = rows.join(gone[name].select(*cols), list(cols), "left_anti") if name in gone else rows
+        cleared = []
+        for n, e in enumerate(e for e in edges if e["child"] == name and e["rule"] == "set_null" and e["parent"] in gone):
+            hit = gone[e["parent"]].select(*[F.col(p).alias(c) for c, p in zip(e["child_cols"], e["parent_cols"])]).distinct().withColumn(f"_hit{n}", F.lit(True))
+            left = left.join(hit, list(e["child_cols"]), "left")
+            cleared.append((f"_hit{n}", e.get("clear", e["child_cols"])))
+        wipe = {c: F.when(reduce(lambda a, b: a | b, [F.coalesce(F.col(h), F.lit(False)) for h, cs in cleared if c in cs]), None).otherwise(F.col(c))
+                for c in {c for _, cs in cleared for c in cs}}
+        was = left.where(reduce(lambda a, b: a | b, [F.col(h).isNotNull() for h, _ in cleared])) if cleared else left.limit(0)
+        out[name] = {"deleted": gone.get(name, rows.limit(0)), "cleared": was.select(*rows.columns), "remaining": left.withColumns(wipe).select(*rows.columns)}
+    return {"rejected": vetoes.select(*[F.col(i).alias(k) for i, k in zip(ids, key)], "blocked_by", "n_blocking"), "tables": out}

@@ -291,6 +291,7 @@ sql("no_discount_rows", f"""
 SELECT m.id AS merchant_id, -(m.id + 1) AS id, 'flat' AS type, CAST(0 AS DOUBLE) AS value, 'NO_DISCOUNT' AS description,
        {ts(f"{DISCOUNT_AS_OF} - INTERVAL 1 DAY")} AS valid_from, {ts(f"{DISCOUNT_AS_OF} + INTERVAL 100 YEAR")} AS valid_to
 FROM v_merchants m
+WHERE NOT EXISTS (SELECT 1 FROM v_discounts d WHERE d.merchant_id = m.id AND d.type = 'flat' AND d.product_id IS NULL AND d.category_id IS NULL)
 """)
 
 # cart lines: addon key (ids sorted as text) and addon stats per line
@@ -994,28 +995,39 @@ SELECT s.id + 1000000000 AS id, s.merchant_id, s.actor_id, concat('r', CAST(s.id
 FROM v_sessions s JOIN v_actors a ON a.merchant_id = s.merchant_id AND a.id = s.actor_id
 """)
 
-sql("cascade_delete", """
-WITH root AS (SELECT id FROM v_merchants WHERE category = 'bakery'),
-dp AS (SELECT id FROM v_products WHERE merchant_id IN (SELECT id FROM root)),
-dc AS (SELECT id FROM v_carts WHERE merchant_id IN (SELECT id FROM root)),
-dord AS (SELECT id FROM v_orders WHERE merchant_id IN (SELECT id FROM root)),
-db AS (SELECT id FROM v_branches WHERE merchant_id IN (SELECT id FROM root)),
-da AS (SELECT merchant_id, id FROM v_actors WHERE merchant_id IN (SELECT id FROM root))
-SELECT 'branches' AS edge, 'cascade' AS rule, CAST(count(*) AS BIGINT) AS n_rows FROM db
-UNION ALL SELECT 'products', 'cascade', count(*) FROM dp
-UNION ALL SELECT 'product_addons', 'cascade', count(*) FROM v_product_addons WHERE product_id IN (SELECT id FROM dp)
-UNION ALL SELECT 'product_inventory', 'cascade', count(*) FROM v_product_inventory WHERE product_id IN (SELECT id FROM dp)
-UNION ALL SELECT 'carts', 'cascade', count(*) FROM dc
-UNION ALL SELECT 'cart_items', 'cascade', count(*) FROM v_cart_items WHERE cart_id IN (SELECT id FROM dc)
-UNION ALL SELECT 'orders', 'cascade', count(*) FROM dord
-UNION ALL SELECT 'order_items', 'cascade', count(*) FROM v_order_items WHERE order_id IN (SELECT id FROM dord)
-UNION ALL SELECT 'service_zones', 'cascade', count(*) FROM v_service_zones WHERE merchant_id IN (SELECT id FROM root)
-UNION ALL SELECT 'service_zone_branch_cleared', 'set_null', count(*) FROM v_service_zones WHERE branch_id IN (SELECT id FROM db)
-UNION ALL SELECT 'discounts', 'cascade', count(*) FROM v_discounts WHERE merchant_id IN (SELECT id FROM root)
-UNION ALL SELECT 'actors', 'cascade', count(*) FROM da
-UNION ALL SELECT 'carts_actor_restrict', 'restrict', count(*) FROM v_carts c
-  WHERE EXISTS (SELECT 1 FROM da WHERE da.merchant_id = c.merchant_id AND da.id = c.actor_id)
-""")
+def _cascade_sql() -> str:
+    """One CTE of reached rows per request kind and table, then vetoes and outcomes."""
+    from mercato.plans.queries import DELETE_REQUESTS, DELETE_RULES, DELETE_TABLES
+
+    ctes, outcomes = [], []
+    for root, which in DELETE_REQUESTS.items():
+        key = {t: "concat_ws(':', " + ", ".join(f"t.{c}" for c in cols) + ")" for t, cols in DELETE_TABLES.items()}
+        on = lambda cc, pc: " AND ".join(f"t.{c} = p.{q}" for c, q in zip(cc, pc))
+        reached = set()
+        for t in DELETE_TABLES:
+            ways = [f"SELECT t.*, p.req FROM v_{t} t JOIN {root}_{par} p ON {on(cc, pc)}"
+                    for ch, cc, par, pc, rule in DELETE_RULES if ch == t and rule == "cascade" and par in reached]
+            if t == root:
+                ways.append(f"SELECT t.*, {key[t]} AS req FROM v_{t} t WHERE {which}")
+            if ways:
+                reached.add(t)
+                ctes.append(f"{root}_{t} AS (" + " UNION ".join(ways) + ")")
+        vetoes = [f"SELECT p.req, '{ch}' AS child FROM v_{ch} t JOIN {root}_{par} p ON {on(cc, pc)}"
+                  for ch, cc, par, pc, rule in DELETE_RULES if rule == "restrict" and par in reached] or ["SELECT '' AS req, '' AS child WHERE false"]
+        ctes.append(f"{root}_veto AS (" + " UNION ALL ".join(vetoes) + ")")
+        outcomes.append(f"SELECT '{root}' AS request, child AS table_name, 'rejected' AS outcome, req AS key, count(*) AS n_rows FROM {root}_veto GROUP BY ALL")
+        free = f"req NOT IN (SELECT req FROM {root}_veto)"
+        for t, cols in DELETE_TABLES.items():
+            gone = (f"EXISTS (SELECT 1 FROM {root}_{t} g WHERE " + " AND ".join(f"g.{c} = t.{c}" for c in cols) + f" AND g.{free})") if t in reached else "false"
+            hits = [f"EXISTS (SELECT 1 FROM {root}_{par} p WHERE {on(cc, pc)} AND p.{free})"
+                    for ch, cc, par, pc, rule in DELETE_RULES if ch == t and rule == "set_null" and par in reached] or ["false"]
+            outcomes.append(f"SELECT '{root}', '{t}', 'deleted', {key[t]}, 1 FROM v_{t} t WHERE {gone}")
+            outcomes.append(f"SELECT '{root}', '{t}', 'cleared', {key[t]}, 1 FROM v_{t} t WHERE NOT {gone} AND ({' OR '.join(hits)})")
+            outcomes.append(f"SELECT '{root}', '{t}', 'remaining', '', count(*) FROM v_{t} t WHERE NOT {gone}")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(outcomes)
+
+
+sql("cascade_delete", _cascade_sql())
 
 
 # --- JSON commands and streams -------------------------------------------------------

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +19,7 @@ from mercato.functions.arrays import ids_text
 from mercato.functions.cols import ts_text
 from mercato.operators import access, carts, catalog, changes, coverage, discounts, hours, orders, quality, reports
 from mercato.sources import documents
+from mercato.session import materialize
 from mercato.sources.fixtures import DISCOUNT_AS_OF, SESSION_AS_OF, fixtures
 from mercato.streaming import sales_stream, status_stream
 
@@ -231,7 +234,10 @@ def q_discount_amounts(spark, sf_dir):
 @register("no_discount_rows")
 def q_no_discount_rows(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
-    r = discounts.ensure_no_discount(fx.v_merchants, fx.v_discounts, DISCOUNT_AS_OF)
+    # merchants whose even discounts apply to no product or category have their sentinel row already
+    sentinel = (F.col("type") == "flat") & F.col("product_id").isNull() & F.col("category_id").isNull()
+    described = fx.v_discounts.withColumn("description", F.when(sentinel, F.lit(discounts.NO_DISCOUNT_DESCRIPTION)))
+    r = discounts.ensure_no_discount(fx.v_merchants, described, DISCOUNT_AS_OF)
     return r.select("merchant_id", "id", "type", F.col("value").cast("double").alias("value"), "description",
                     ts_text("valid_from").alias("valid_from"), ts_text("valid_to").alias("valid_to"))
 
@@ -698,33 +704,73 @@ def q_insert_then_enrich(spark, sf_dir):
     return out.select("id", "merchant_id", "actor_id", "refresh_token", ts_text("created_at").alias("created_at"), "actor_email")
 
 
+# ON DELETE rules of the commerce schema (child, its columns, parent, its columns, rule), parents before children.
+DELETE_RULES = [
+    ("actors", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("actor_roles", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("actor_roles", ["merchant_id", "actor_id"], "actors", ["merchant_id", "id"], "cascade"),
+    ("sessions", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("sessions", ["merchant_id", "actor_id"], "actors", ["merchant_id", "id"], "cascade"),
+    ("branches", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("product_categories", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("products", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("products", ["category_id"], "product_categories", ["id"], "set_null"),
+    ("product_addons", ["product_id"], "products", ["id"], "cascade"),
+    ("product_inventory", ["product_id"], "products", ["id"], "cascade"),
+    ("product_inventory", ["branch_id"], "branches", ["id"], "cascade"),
+    ("service_zones", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("service_zones", ["branch_id"], "branches", ["id"], "set_null"),
+    ("discounts", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("discounts", ["product_id"], "products", ["id"], "cascade"),
+    ("discounts", ["category_id"], "product_categories", ["id"], "cascade"),
+    ("carts", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("carts", ["branch_id"], "branches", ["id"], "set_null"),
+    ("carts", ["merchant_id", "actor_id"], "actors", ["merchant_id", "id"], "restrict"),
+    ("cart_items", ["cart_id"], "carts", ["id"], "cascade"),
+    ("cart_items", ["product_id"], "products", ["id"], "cascade"),
+    ("orders", ["cart_id"], "carts", ["id"], "cascade"),
+    ("orders", ["merchant_id"], "merchants", ["id"], "cascade"),
+    ("orders", ["branch_id"], "branches", ["id"], "set_null"),
+    ("orders", ["merchant_id", "actor_id"], "actors", ["merchant_id", "id"], "restrict"),
+    ("order_items", ["order_id"], "orders", ["id"], "cascade"),
+    ("order_items", ["product_id"], "products", ["id"], "cascade"),
+    ("order_item_addons", ["order_id", "product_id"], "order_items", ["order_id", "product_id"], "cascade"),
+    ("order_item_addons", ["addon_id"], "product_addons", ["id"], "restrict"),
+]
+# key columns per table, parents before children
+DELETE_TABLES = {
+    "merchants": ["id"], "actors": ["merchant_id", "id"], "actor_roles": ["merchant_id", "actor_id", "role_type"], "sessions": ["id"], "branches": ["id"],
+    "product_categories": ["id"], "products": ["id"], "product_addons": ["id"], "product_inventory": ["product_id", "branch_id"], "service_zones": ["id"],
+    "discounts": ["id"], "carts": ["id"], "cart_items": ["id"], "orders": ["id"], "order_items": ["order_id", "product_id"],
+    "order_item_addons": ["order_id", "product_id", "addon_id"],
+}
+# delete requests: the merchants of one category, the branches of one city, products no longer sold, carts of guests
+DELETE_REQUESTS = {"merchants": "category = 'bakery'", "branches": "city = 'Lahore'", "products": "NOT is_active", "carts": "actor_id IS NULL"}
+
+
 @register("cascade_delete")
 def q_cascade_delete(spark, sf_dir):
-    # delete every bakery merchant and follow the ON DELETE rules
-    fx = fixtures(spark, sf_dir)
-    root = fx.v_merchants.filter(F.col("category") == "bakery").select("id")
-    edges = [
-        {"name": "branches", "child": fx.v_branches, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "products", "child": fx.v_products, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "product_addons", "child": fx.v_product_addons, "child_cols": ["product_id"], "parent": "products", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "product_inventory", "child": fx.v_product_inventory, "child_cols": ["product_id"], "parent": "products", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "carts", "child": fx.v_carts, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "cart_items", "child": fx.v_cart_items, "child_cols": ["cart_id"], "parent": "carts", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "orders", "child": fx.v_orders, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "order_items", "child": fx.v_order_items, "child_cols": ["order_id"], "parent": "orders", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "service_zones", "child": fx.v_service_zones, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "service_zone_branch_cleared", "child": fx.v_service_zones, "child_cols": ["branch_id"], "parent": "branches", "parent_cols": ["id"], "rule": "set_null"},
-        {"name": "discounts", "child": fx.v_discounts, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "actors", "child": fx.v_actors, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "carts_actor_restrict", "child": fx.v_carts, "child_cols": ["merchant_id", "actor_id"], "parent": "actors", "parent_cols": ["merchant_id", "id"], "rule": "restrict"},
-    ]
-    affected = changes.cascade_delete(root, edges)
-    out = None
-    for e in edges:
-        part = affected[e["name"]].agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select(
-            F.lit(e["name"]).alias("edge"), F.lit(e["rule"]).alias("rule"), "n_rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    # what each kind of delete request does to every table: rejected requests, deleted and cleared rows, rows left
+    fx = fixtures(spark, sf_dir)
+    rows = {name: getattr(fx, f"v_{name}") for name in DELETE_TABLES}
+    rows = {name: df if len(DELETE_TABLES[name]) == 1 and name != "cart_items" else materialize(df) for name, df in rows.items()}
+    edges = [dict(zip(("child", "child_cols", "parent", "parent_cols", "rule"), e)) for e in DELETE_RULES]
+    out = []
+    for root, which in DELETE_REQUESTS.items():
+        got = changes.cascade_delete(root, rows[root].filter(which), {n: (rows[n], k) for n, k in DELETE_TABLES.items()}, edges)
+
+        def part(df, table, outcome, key, n, root=root):
+            return df.select(F.lit(root).alias("request"), table.alias("table_name"), F.lit(outcome).alias("outcome"), key.alias("key"), n.cast("bigint").alias("n_rows"))
+
+        def key_of(cols):
+            return F.concat_ws(":", *[F.col(c).cast("string") for c in cols])
+
+        out.append(part(got["rejected"], F.col("blocked_by"), "rejected", key_of(DELETE_TABLES[root]), F.col("n_blocking")))
+        for name, cols in DELETE_TABLES.items():
+            t = got["tables"][name]
+            out += [part(t[o], F.lit(name), o, key_of(cols), F.lit(1)) for o in ("deleted", "cleared")]
+            out.append(part(t["remaining"].agg(F.count(F.lit(1)).alias("n")), F.lit(name), "remaining", F.lit(""), F.col("n")))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @register("stock_allocation")

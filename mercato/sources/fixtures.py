@@ -25,7 +25,7 @@ VIEWS: dict[str, str] = {
     "v_merchants": """
 SELECT s_suppkey AS id, s_name AS name,
        CASE s_suppkey % 3 WHEN 0 THEN 'restaurant' WHEN 1 THEN 'pharma' ELSE 'bakery' END AS category
-FROM {supplier} WHERE s_suppkey < 10""",
+FROM {supplier}""",
     "v_branches": """
 SELECT n_nationkey AS id, n_nationkey % 10 AS merchant_id, n_name AS name,
        CASE n_nationkey % 2 WHEN 0 THEN 'Karachi' ELSE 'Lahore' END AS city,
@@ -73,7 +73,7 @@ SELECT p_partkey AS id, p_partkey % 10 AS merchant_id,
        CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN TIMESTAMP '1999-12-31 00:00:00'
             ELSE TIMESTAMP '2001-01-01 00:00:00' END AS valid_to,
        CASE WHEN p_partkey % 6 < 3 THEN TIMESTAMP '1998-01-01 00:00:00' ELSE TIMESTAMP '1998-02-01 00:00:00' END AS created_at
-FROM {part} WHERE p_partkey % 7 = 0""",
+FROM {part}""",
     "v_carts": """
 SELECT o_orderkey AS id, o_orderkey % 10 AS merchant_id, o_orderkey % 20 AS branch_id,
        CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey - o_custkey % 10 + o_orderkey % 10 END AS actor_id,
@@ -112,6 +112,9 @@ FROM (SELECT g.order_id, g.product_id, g.quantity, p.base_price AS price,
             FROM {v_cart_items} GROUP BY cart_id, product_id) g
       JOIN {v_products} p ON p.id = g.product_id
       JOIN {v_orders} o ON o.id = g.order_id) x""",
+    "v_order_item_addons": """
+SELECT DISTINCT i.cart_id AS order_id, i.product_id, a.addon_id
+FROM {v_cart_items} i JOIN {v_cart_item_addons} a ON a.cart_item_id = i.id""",
     "v_status_requests": """
 SELECT event_id, concat(CAST(user_id AS STRING), ':', CAST(CAST(ts AS DATE) AS STRING)) AS order_ref, ts,
        CASE event_type WHEN 'signup' THEN 'accepted' WHEN 'view' THEN 'out_for_delivery' WHEN 'purchase' THEN 'delivered'

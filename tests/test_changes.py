@@ -39,15 +39,40 @@ def test_update_and_delete_by_key(spark):
 
 
 def test_cascade_rules(spark):
-    root = spark.createDataFrame([(1,)], "id long")
-    branches = spark.createDataFrame([(10, 1), (11, 2)], "id long, merchant_id long")
-    zones = spark.createDataFrame([(100, 2, 10), (101, 2, 11)], "id long, merchant_id long, branch_id long")
-    out = changes.cascade_delete(root, [
-        {"name": "branches", "child": branches, "child_cols": ["merchant_id"], "parent": "root", "parent_cols": ["id"], "rule": "cascade"},
-        {"name": "zones_cleared", "child": zones, "child_cols": ["branch_id"], "parent": "branches", "parent_cols": ["id"], "rule": "set_null"},
-    ])
-    assert [r.id for r in out["branches"].collect()] == [10]
-    assert [r.id for r in out["zones_cleared"].collect()] == [100]
+    """Shops own branches and stock; stock hangs on both (a diamond); zones lose their branch; an open bill keeps a clerk's shop."""
+    shops = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
+    branches = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "id long, shop_id long")
+    stock = spark.createDataFrame([(1, 10, 5), (2, 11, 5), (3, 10, 6), (4, 12, 7)], "id long, branch_id long, n long").withColumn("shop_id", F.col("id") % 2 + 1)
+    clerks = spark.createDataFrame([(20, 1), (21, 2), (22, 4)], "id long, shop_id long")
+    zones = spark.createDataFrame([(100, 2, 10), (101, 3, 11), (102, 3, None), (103, 1, 12)], "id long, shop_id long, branch_id long")
+    bills = spark.createDataFrame([(1000, 21, 2), (1001, 21, 2), (1002, None, 1)], "id long, clerk_id long, shop_id long")
+    edges = [dict(zip(("child", "child_cols", "parent", "parent_cols", "rule"), e)) for e in [
+        ("branches", ["shop_id"], "shops", ["id"], "cascade"), ("clerks", ["shop_id"], "shops", ["id"], "cascade"),
+        ("stock", ["shop_id"], "shops", ["id"], "cascade"), ("stock", ["branch_id"], "branches", ["id"], "cascade"),
+        ("zones", ["shop_id"], "shops", ["id"], "cascade"), ("zones", ["branch_id"], "branches", ["id"], "set_null"),
+        ("bills", ["shop_id"], "shops", ["id"], "cascade"), ("bills", ["clerk_id"], "clerks", ["id"], "restrict")]]
+    tables = {"shops": shops, "branches": branches, "clerks": clerks, "stock": stock, "zones": zones, "bills": bills}
+    asked = spark.createDataFrame([(1,), (2,), (2,), (4,), (9,)], "id long")  # shop 3 stays, 9 is unknown
+    out = changes.cascade_delete("shops", asked, {n: (df, ["id"]) for n, df in tables.items()}, edges)
+    # two bills name a clerk of shop 2, so that shop 2 stays with all it has, although those bills would go with it
+    assert [tuple(r) for r in out["rejected"].collect()] == [(2, "bills", 2)]
+    ids = {n: {o: sorted(r.id for r in t[o].collect()) for o in t} for n, t in out["tables"].items()}
+    assert ids["shops"] == {"deleted": [1, 4], "cleared": [], "remaining": [2, 3]}
+    assert ids["branches"]["deleted"] == [10] and ids["clerks"]["deleted"] == [20, 22]
+    # stock 1 and 3 hang on branch 10, stock 2 and 4 on shop 1
+    assert ids["stock"] == {"deleted": [1, 2, 3, 4], "cleared": [], "remaining": []}
+    assert ids["zones"] == {"deleted": [103], "cleared": [100], "remaining": [100, 101, 102]}
+    assert {r.id: r.branch_id for r in out["tables"]["zones"]["remaining"].collect()} == {100: None, 101: 11, 102: None}
+    assert ids["bills"] == {"deleted": [1002], "cleared": [], "remaining": [1000, 1001]}
+    for n, df in tables.items():
+        assert out["tables"][n]["remaining"].columns == df.columns
+        assert len(ids[n]["deleted"]) + len(ids[n]["remaining"]) == df.count()
+
+
+def test_cascade_of_no_requests(spark):
+    t = spark.createDataFrame([(1, None)], "id long, up long")
+    out = changes.cascade_delete("a", t.limit(0), {"a": (t, ["id"]), "b": (t, ["id"])}, [{"child": "b", "child_cols": ["up"], "parent": "a", "parent_cols": ["id"], "rule": "restrict"}])
+    assert out["rejected"].count() == 0 and out["tables"]["a"]["remaining"].count() == 1 and out["tables"]["b"]["deleted"].count() == 0
 
 
 def test_quality_checks(spark):
