@@ -4,9 +4,11 @@ A sample proposes the phrases that seem frequent; its threshold is lowered so th
 misses few.  One pass over all documents then counts, exactly, every proposed phrase
 and the negative border: every other phrase whose first and last words (all but one)
 were proposed.  A border phrase that turns out to be frequent may have frequent
-extensions that nobody counted.  Then the proposals grow by all such phrases and
-another pass counts what has newly come within the border, until no border phrase is
-frequent.  Every frequent phrase is then counted: its two shorter parts are frequent.
+extensions that nobody counted.  Then the proposals grow by all such phrases, and an
+expansion pass counts what has newly come within the border.  There a phrase that
+has newly come in counts as proposed for the longer ones, so this pass closes the
+border at every length: the two shorter parts of a frequent phrase are frequent, so
+by induction they were proposed, failed the border or came in with this pass.
 
 The proposals travel as a sieve of fixed size.  A phrase that passes it by chance is
 counted too and changes nothing.
@@ -71,12 +73,12 @@ def _parts(text: str, most: int) -> Iterator[str]:
     yield text[at:]
 
 
-def phrases_of(lang: str, texts: list[str], longest: int, known: int, sieve: np.ndarray | None, before: np.ndarray | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(length, phrases, counts) of the words and of the phrases within the border of ``sieve``, by length.
+def phrases_of(lang: str, texts: list[str], longest: int, known: int, sieve: np.ndarray | None, before: np.ndarray | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, counts) of the words and of the phrases within the border of ``sieve``, by length.
 
     The sieve knows the proposals of up to ``known`` words; of longer phrases all
     within reach count as proposed.  With ``before``, an earlier sieve, only phrases
-    outside its border come out.
+    outside its border come out, and they count as proposed.
     """
     number = _Numbers({_BREAK: 0})
     words = tokens(texts)
@@ -85,7 +87,7 @@ def phrases_of(lang: str, texts: list[str], longest: int, known: int, sieve: np.
     if before is None:
         found = np.bincount(ids, minlength=len(vocabulary))[1:]
         if len(found):
-            yield 1, pa.array(vocabulary[1:], pa.binary()), found
+            yield pa.array(vocabulary[1:], pa.binary()), found
     if longest == 1 or len(ids) < 2:
         return
     names = pa.array(vocabulary, pa.binary())
@@ -93,9 +95,10 @@ def phrases_of(lang: str, texts: list[str], longest: int, known: int, sieve: np.
     key, group = of_word, ids
     reach = [ids != 0] * (1 if before is None else 2)  # phrases within the border, by start; for ``before`` too
     for n in range(2, min(longest, len(ids)) + 1):
-        for i, s in enumerate((sieve, before)[:len(reach)]):
-            proposed = reach[i] & held(s, key) if n - 1 <= known else reach[i]
-            reach[i] = proposed[:-1] & proposed[1:]
+        proposed = [r & held(s, key) if n - 1 <= known else r for r, s in zip(reach, (sieve, before))]
+        if before is not None and n > 2:
+            proposed[0] |= reach[0] & ~reach[1]
+        reach = [p[:-1] & p[1:] for p in proposed]
         at = np.flatnonzero(reach[0])
         if not len(at):
             return
@@ -108,14 +111,12 @@ def phrases_of(lang: str, texts: list[str], longest: int, known: int, sieve: np.
             new = ~reach[1][first]
             first, count = first[new], count[new]
         if len(first):
-            yield n, pc.binary_join_element_wise(*[names.take(pa.array(ids[first + j])) for j in range(n)], pa.scalar(b" ", pa.binary())), count
+            yield pc.binary_join_element_wise(*[names.take(pa.array(ids[first + j])) for j in range(n)], pa.scalar(b" ", pa.binary())), count
         key = _longer(key[:-1], of_word[n - 1:])
 
 
-def count(docs: DataFrame, longest: int, known: int = 0, sieve: np.ndarray | None = None, before: np.ndarray | None = None, part_chars: int = 4_000_000) -> DataFrame:
+def count(docs: DataFrame, longest: int, known: int = 0, sieve: np.ndarray | None = None, before: np.ndarray | None = None, part_chars: int = 2_500_000) -> DataFrame:
     """``lang, words, phrase, f``: exact counts over ``docs`` (lang, text) of what ``phrases_of`` gives."""
-    names = ["lang", "words", "phrase", "f"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", part_chars):
             texts: dict[str, list[str]] = {}
@@ -124,11 +125,16 @@ def count(docs: DataFrame, longest: int, known: int = 0, sieve: np.ndarray | Non
             for lang, held_texts in texts.items():
                 groups = [held_texts] if len(held_texts) > 1 else ([p] for p in _parts(held_texts[0], part_chars))
                 for group in groups:
-                    for n, phrase, f in phrases_of(lang, group, longest, known, sieve, before):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), n), pa.int32()), phrase.cast(pa.string()),
-                                                          pa.array(f, pa.int64())], names)
+                    end = pa.scalar(lang.encode("utf-8", "surrogatepass"), pa.binary())
+                    for phrase, f in phrases_of(lang, group, longest, known, sieve, before):
+                        key = pc.binary_join_element_wise(phrase, end, pa.scalar(b"\n", pa.binary())).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([key, pa.array(f, pa.int64())], ["key", "f"])
 
-    return docs.mapInArrow(run, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    # one string per group keeps the shuffled rows short; no phrase holds a line end
+    found = docs.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", 1)
+    return found.select(F.expr("substring(key, instr(key, '\n') + 1)").alias("lang"), (F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1).alias("words"),
+                        phrase.alias("phrase"), "f")
 
 
 def _keys(phrases: DataFrame, sieve: np.ndarray | None = None) -> DataFrame:
@@ -151,12 +157,12 @@ def _keys(phrases: DataFrame, sieve: np.ndarray | None = None) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(run, "key long")
 
 
-def frequent_phrases(docs: DataFrame, least: int, share: float = 0.25, slack: float = 4.0, sieve_bits: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int, share: float = 0.25, slack: float = 0.0, sieve_bits: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
     """(``lang, words, phrase, f`` of all phrases of up to five words found ``least`` times or more, ``lang, n`` words in all).
 
     ``share`` of the documents form the sample, told by a hash.  Its threshold is
     ``slack`` standard deviations below the expected count of a phrase that just
-    qualifies.  Neither changes the result, only the number of passes.
+    qualifies.  Neither changes the result, only what the border holds.
     """
     ready(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
@@ -172,16 +178,13 @@ def frequent_phrases(docs: DataFrame, least: int, share: float = 0.25, slack: fl
         sieve = mark(_keys(proposed), sieve_bits)
 
     counted = materialize(_with_totals(count(texts, LONGEST, LONGEST, sieve), least))
-    frequent = counted.where("phrase IS NOT NULL")
-    fresh = frequent
-    while True:
-        # frequent although not proposed: border failures, and what they may extend to must be counted
-        failed = materialize(_keys(fresh.where(F.col("words") < LONGEST), sieve))
-        if failed.isEmpty():
-            return frequent, counted.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    frequent, total = counted.where("phrase IS NOT NULL"), counted.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    # border failures: frequent although not proposed, so that what they extend to is not counted yet
+    failed = materialize(_keys(frequent.where(F.col("words") < LONGEST), sieve))
+    if not failed.isEmpty():
         wider = sieve | mark(failed, sieve_bits)
-        fresh = materialize(count(texts, LONGEST, LONGEST, wider, sieve).where(F.col("f") >= least))
-        frequent, sieve = frequent.unionByName(fresh), wider
+        frequent = frequent.unionByName(materialize(count(texts, LONGEST, LONGEST, wider, sieve).where(F.col("f") >= least)))
+    return frequent, total
 
 
 def _with_totals(counts: DataFrame, least: int) -> DataFrame:
@@ -211,7 +214,8 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 2000, **passes)
     cut = candidates.select("lang", "words", "phrase", F.col("f").alias("a"), F.inline(F.slice(F.array(*part), F.lit(1), F.col("words") - 1)))
     cut = (cut.join(frequent.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
            .join(frequent.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-           .join(total, "lang"))
+           .withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+           .join(total.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("salt")), ["lang", "salt"]))  # a language may hold most phrases
     # decimals of 38 digits hold the products exactly; the quotient is at most 10 n
     score = F.expr("(CAST(1000 * a AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(18, 0))) div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))")
     weakest = cut.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("c")).select("lang", "phrase", "c.*")
