@@ -339,8 +339,12 @@ SELECT id, cart_id, product_id, addon_key, CAST(addon_count AS BIGINT) AS addon_
 
 
 def priced_cte(as_of: str, explicit: str | None, lines: str = "lines", sfx: str = "", resolve: bool = True) -> str:
-    """Priced cart lines; ``explicit`` is an SQL expression over line columns naming the chosen discount id."""
-    targets = (f"SELECT l.id AS tid, l.product_id, c.merchant_id, p.category_id FROM {lines} l "
+    """Priced cart lines; ``explicit`` is an SQL expression over line columns naming the chosen discount id.
+
+    ``as_of`` is an instant or ``added_at``, a column of ``lines``.
+    """
+    own = "l.added_at, " if as_of == "added_at" else ""
+    targets = (f"SELECT l.id AS tid, {own}l.product_id, c.merchant_id, p.category_id FROM {lines} l "
                "JOIN v_carts c ON c.id = l.cart_id JOIN v_products p ON p.id = l.product_id")
     ex = explicit or "CAST(NULL AS BIGINT)"
     best = best_cte(as_of, targets).strip().replace("cands AS", f"cands{sfx} AS").replace("FROM cands", f"FROM cands{sfx}").replace("best AS", f"best{sfx} AS")
@@ -392,6 +396,15 @@ SELECT cart_id, id AS item_id, product_id, quantity,
 FROM pr"""
 
 sql("cart_pricing", f"WITH {_LINES.strip()},\n{priced_cte(DISCOUNT_AS_OF, None).strip()}\n{_PRICED_SELECT}")
+_ADDED = """
+added AS (
+  SELECT l.*, c.created_at + to_seconds(l.id % 600) AS added_at FROM lines l LEFT JOIN v_carts c ON c.id = l.cart_id)"""
+
+sql("cart_pricing_at_add",
+    f"WITH {_LINES.strip()},{_ADDED},\n{priced_cte('added_at', None, lines='added').strip()}\n{_PRICED_SELECT}")
+sql("explicit_discount_check_at_add",
+    f"WITH {_LINES.strip()},{_ADDED},\n"
+    f"{priced_cte('added_at', 'CASE WHEN l.id % 3 > 0 THEN l.product_id - l.product_id % 7 END', lines='added').strip()}\n{_PRICED_SELECT}")
 sql("explicit_discount_check",
     f"WITH {_LINES.strip()},\n{priced_cte(DISCOUNT_AS_OF, 'l.product_id - l.product_id % 7').strip()}\n{_PRICED_SELECT}")
 

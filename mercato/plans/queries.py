@@ -270,6 +270,30 @@ def q_cart_pricing(spark, sf_dir):
     return carts.price_cart_items(_lines(fx), fx.v_carts, fx.v_products, fx.v_product_addons, fx.v_discounts, DISCOUNT_AS_OF)
 
 
+def _added_lines(fx):
+    # a line is added up to ten minutes after its cart is made
+    c = fx.v_carts.select(F.col("id").alias("cart_id"), "created_at")
+    late = F.make_dt_interval(secs=F.col("id") % 600)
+    return _lines(fx).join(c, "cart_id", "left").withColumn("added_at", F.col("created_at") + late).drop("created_at")
+
+
+@register("cart_pricing_at_add")
+def q_cart_pricing_at_add(spark, sf_dir):
+    # each line is priced at the instant it is added
+    fx = fixtures(spark, sf_dir)
+    return carts.price_cart_items(_added_lines(fx), fx.v_carts, fx.v_products, fx.v_product_addons, fx.v_discounts,
+                                  F.col("added_at"))
+
+
+@register("explicit_discount_check_at_add")
+def q_explicit_discount_check_at_add(spark, sf_dir):
+    # two lines of three name a discount, which is judged at the instant the line is added
+    fx = fixtures(spark, sf_dir)
+    named = F.when(F.col("id") % 3 > 0, F.col("product_id") - F.col("product_id") % 7)
+    return carts.price_cart_items(_added_lines(fx).withColumn("explicit_id", named), fx.v_carts, fx.v_products,
+                                  fx.v_product_addons, fx.v_discounts, F.col("added_at"), explicit_col="explicit_id")
+
+
 @register("explicit_discount_check")
 def q_explicit_discount_check(spark, sf_dir):
     # each line names the discount whose id is its product id rounded down to a multiple of 7
