@@ -785,6 +785,30 @@ UNION ALL {dup_check('v_cart_items', ['id'], 'cart_items_pkey')}
 """)
 
 
+sql("admit_sessions", """
+WITH RECURSIVE inc AS (
+  SELECT event_id, user_id, concat(user_id, ':', CAST(floor(value) AS BIGINT)) AS id,
+         CASE WHEN event_type <> 'error' THEN concat(user_id, ':', strftime(ts, '%Y-%m-%d')) END AS refresh_token,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+fold AS (
+  SELECT u.user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS id,
+         CAST(NULL AS VARCHAR) AS refresh_token, CAST(NULL AS VARCHAR) AS reason,
+         CASE WHEN a.id IS NULL THEN CAST([] AS VARCHAR[]) ELSE [concat(a.id, ':1')] END AS ids,
+         CASE WHEN a.id IS NULL THEN CAST([] AS VARCHAR[]) ELSE [concat(a.id, ':2024-01-01')] END AS tokens
+  FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN v_actors a ON a.id = u.user_id
+  UNION ALL
+  SELECT user_id, rn, event_id, id, refresh_token, reason,
+         CASE WHEN reason IS NULL THEN list_append(ids, id) ELSE ids END,
+         CASE WHEN reason IS NULL AND refresh_token IS NOT NULL THEN list_append(tokens, refresh_token) ELSE tokens END
+  FROM (SELECT i.user_id, i.rn, i.event_id, i.id, i.refresh_token, f.ids, f.tokens,
+               CASE WHEN list_contains(f.ids, i.id) THEN 'sessions_pkey'
+                    WHEN i.refresh_token IS NOT NULL AND list_contains(f.tokens, i.refresh_token) THEN 'sessions_refresh_token_key' END AS reason
+        FROM fold f JOIN inc i ON i.user_id = f.user_id AND i.rn = f.rn + 1) x)
+SELECT event_id, id, refresh_token, reason IS NULL AS accepted, reason FROM fold WHERE rn > 0
+""")
+
+
 def fk_check(child: str, cols: list[str], parent: str, pcols: list[str], name: str) -> str:
     kt = "concat_ws('|', " + ", ".join(f"CAST(c.{k} AS VARCHAR)" for k in cols) + ")"
     nn = " AND ".join(f"c.{k} IS NOT NULL" for k in cols)

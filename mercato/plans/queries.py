@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from mercato.functions.arrays import ids_text
 from mercato.functions.cols import ts_text
-from mercato.operators import access, carts, catalog, changes, coverage, discounts, hours, orders, quality, reports
+from mercato.operators import access, admission, carts, catalog, changes, coverage, discounts, hours, orders, quality, reports
 from mercato.sources import documents
 from mercato.session import materialize
 from mercato.sources.fixtures import DISCOUNT_AS_OF, SESSION_AS_OF, fixtures
@@ -528,6 +528,21 @@ def q_unique_violations(spark, sf_dir):
     return out
 
 
+@register("admit_sessions")
+def q_admit_sessions(spark, sf_dir):
+    # every event asks for a session of its user; the whole number of its value names the session and its user's day
+    # the token (errors bring none); every actor has one session already
+    fx = fixtures(spark, sf_dir)
+    e = fx.events
+    user = F.col("user_id").cast("string")
+    batch = e.select("event_id", "user_id", "ts", F.concat_ws(":", user, F.floor("value").cast("string")).alias("id"),
+                     F.when(e.event_type != "error", F.concat_ws(":", user, F.date_format("ts", "yyyy-MM-dd"))).alias("refresh_token"))
+    actor = F.col("id").cast("string")
+    stored = fx.v_actors.select(F.concat(actor, F.lit(":1")).alias("id"), F.concat(actor, F.lit(":2024-01-01")).alias("refresh_token"))
+    keys = [("sessions_pkey", ["id"]), ("sessions_refresh_token_key", ["refresh_token"])]
+    return admission.admit(batch, keys, "ts", "event_id", stored).select("event_id", "id", "refresh_token", "accepted", "reason")
+
+
 @register("fk_orphans")
 def q_fk_orphans(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
