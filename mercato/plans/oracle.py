@@ -405,6 +405,52 @@ sql("cart_pricing_at_add",
 sql("explicit_discount_check_at_add",
     f"WITH {_LINES.strip()},{_ADDED},\n"
     f"{priced_cte('added_at', 'CASE WHEN l.id % 3 > 0 THEN l.product_id - l.product_id % 7 END', lines='added').strip()}\n{_PRICED_SELECT}")
+# adds in order of arrival, one at a time per signature
+_LIVE = f"""
+WITH RECURSIVE {_LINES.strip()},{_ADDED},
+dearer AS (SELECT * REPLACE (CAST(value * 3 AS DECIMAL(13,2)) AS value) FROM v_discounts),
+adds AS (
+  SELECT id, cart_id, product_id, quantity, addon_key, addon_unit_price, addon_reason, added_at,
+         CASE WHEN id % 3 > 0 THEN product_id - product_id % 7 END AS named FROM added
+  UNION ALL
+  SELECT -id, cart_id, product_id, 1, addon_key, addon_unit_price, addon_reason, added_at, product_id FROM added),
+{priced_cte('added_at', 'l.named', lines='adds').strip().replace('v_discounts', 'dearer')},
+st AS (SELECT l.* FROM lines l JOIN v_products p ON p.id = l.product_id WHERE p.track_inventory),
+kept AS (SELECT cart_id, product_id, addon_key, min(id) AS item_id, arg_min(quantity, id) AS stored FROM st GROUP BY 1, 2, 3),
+seqd AS (
+  SELECT pr.id, pr.cart_id, pr.product_id, pr.addon_key, pr.quantity, pr.reason AS own_reason, pr.did, pr.dtype, pr.dvalue, pr.merchant_id,
+         CAST(p.base_price AS DOUBLE) AS base, coalesce(pr.addon_unit_price, 0) AS extra, k.item_id, CAST(coalesce(k.stored, 0) AS BIGINT) AS stored,
+         row_number() OVER (PARTITION BY pr.cart_id, pr.product_id, pr.addon_key ORDER BY pr.added_at, pr.id) AS rn
+  FROM pr LEFT JOIN v_products p ON p.id = pr.product_id
+  LEFT JOIN kept k ON k.cart_id = pr.cart_id AND k.product_id = pr.product_id AND k.addon_key = pr.addon_key),
+fold AS (
+  SELECT CAST(NULL AS BIGINT) AS id, cart_id, product_id, addon_key, CAST(0 AS BIGINT) AS rn, stored AS held, CAST(NULL AS BIGINT) AS merged,
+         CAST(NULL AS DOUBLE) AS sub, CAST(NULL AS DOUBLE) AS amt, CAST(NULL AS VARCHAR) AS reason
+  FROM seqd WHERE rn = 1
+  UNION ALL
+  SELECT id, cart_id, product_id, addon_key, rn, CASE WHEN reason IS NULL THEN merged ELSE held END, merged, sub, amt, reason
+  FROM (SELECT z.*, coalesce(own_reason, CASE WHEN amt < 0 OR amt > sub THEN 'exceeds_subtotal' END) AS reason
+        FROM (SELECT y.*, CASE WHEN did IS NULL THEN 0.0 ELSE {amount('dtype', 'dvalue', 'sub')} END AS amt
+              FROM (SELECT x.*, {r2('merged * base + extra * merged')} AS sub
+                    FROM (SELECT s.*, f.held, f.held + s.quantity AS merged
+                          FROM fold f JOIN seqd s ON s.cart_id = f.cart_id AND s.product_id = f.product_id
+                            AND s.addon_key = f.addon_key AND s.rn = f.rn + 1) x) y) z) w),
+outcome AS (
+  SELECT s.id AS add_id, s.cart_id, s.product_id, s.addon_key, CASE WHEN f.reason IS NULL THEN s.item_id END AS item_id,
+         CASE WHEN f.reason IS NULL THEN f.merged END AS merged_quantity, CASE WHEN f.reason IS NULL THEN f.sub END AS subtotal,
+         CASE WHEN f.reason IS NULL THEN coalesce(s.did, -(s.merchant_id + 1)) END AS discount_id,
+         CASE WHEN f.reason IS NULL THEN f.amt END AS discount_amount, f.reason
+  FROM seqd s JOIN fold f ON f.id = s.id AND f.rn > 0)
+"""
+
+sql("cart_merge_existing", f"{_LIVE.strip()}\nSELECT * FROM outcome")
+sql("cart_items_after_adds", f"""{_LIVE.strip()}
+SELECT st.id AS item_id, st.cart_id, st.product_id, st.addon_key, CAST(coalesce(g.q, st.quantity) AS BIGINT) AS quantity
+FROM st LEFT JOIN (SELECT item_id, max(merged_quantity) AS q FROM outcome GROUP BY 1) g ON g.item_id = st.id
+UNION ALL
+SELECT NULL, cart_id, product_id, addon_key, max(merged_quantity) FROM outcome WHERE reason IS NULL AND item_id IS NULL GROUP BY 1, 2, 3, 4
+""")
+
 sql("explicit_discount_check",
     f"WITH {_LINES.strip()},\n{priced_cte(DISCOUNT_AS_OF, 'l.product_id - l.product_id % 7').strip()}\n{_PRICED_SELECT}")
 

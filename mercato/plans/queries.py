@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from mercato.functions.arrays import ids_text
 from mercato.functions.cols import ts_text
-from mercato.operators import access, admission, carts, catalog, changes, coverage, discounts, hours, orders, quality, reports
+from mercato.operators import access, admission, carts, catalog, changes, coverage, discounts, hours, live_carts, orders, quality, reports
 from mercato.sources import documents
 from mercato.session import materialize
 from mercato.sources.fixtures import DISCOUNT_AS_OF, SESSION_AS_OF, fixtures
@@ -294,6 +294,33 @@ def q_explicit_discount_check_at_add(spark, sf_dir):
                                   fx.v_product_addons, fx.v_discounts, F.col("added_at"), explicit_col="explicit_id")
 
 
+def _adds_to_stored(fx):
+    # every line is added once more to its cart, then one unit with the discount that has its product's id; discounts are tripled, so that
+    # some are above 100 %; lines of a product with tracked stock are stored already
+    lines = _added_lines(fx)
+    named = F.when(F.col("id") % 3 > 0, F.col("product_id") - F.col("product_id") % 7)
+    adds = lines.select(F.col("id").alias("add_id"), "cart_id", "product_id", "addon_ids", "quantity", named.alias("discount_id"), "added_at")
+    adds = adds.unionByName(adds.select((-F.col("add_id")).alias("add_id"), "cart_id", "product_id", "addon_ids", F.lit(1).alias("quantity"),
+                                        F.col("product_id").alias("discount_id"), "added_at"))
+    tracked = fx.v_products.where("track_inventory").select(F.col("id").alias("product_id"))
+    return adds, _lines(fx).join(tracked, "product_id", "left_semi"), fx.v_discounts.withColumn("value", F.col("value") * 3)
+
+
+@register("cart_merge_existing")
+def q_cart_merge_existing(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    adds, stored, dearer = _adds_to_stored(fx)
+    return live_carts.add_to_carts(adds, stored, fx.v_carts, fx.v_products, fx.v_product_addons, dearer)
+
+
+@register("cart_items_after_adds")
+def q_cart_items_after_adds(spark, sf_dir):
+    fx = fixtures(spark, sf_dir)
+    adds, stored, dearer = _adds_to_stored(fx)
+    outcomes = live_carts.add_to_carts(adds, stored, fx.v_carts, fx.v_products, fx.v_product_addons, dearer)
+    return live_carts.items_after(stored, outcomes)
+
+
 @register("explicit_discount_check")
 def q_explicit_discount_check(spark, sf_dir):
     # each line names the discount whose id is its product id rounded down to a multiple of 7
