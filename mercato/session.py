@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from mercato.sources import files
 
 # Settings every operator assumes.  UTC is required: month/year extraction,
 # timestamp literals and timestamp_ntz -> timestamp casts all use the session zone.
@@ -90,16 +94,49 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return prepare(spark)
 
 
-def materialize(df):
+#: Removes a query's shuffle files when the query ends; read by Spark when it plans the write.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: list[list[str]] = []  # paths per open ``settle``, innermost last
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage of an intermediate used by several outputs: write it as a parquet table, read it back.
 
     The table goes under the shared ``spark.checkpoint.dir`` (never a local
     checkpoint), so a lost executor does not force recomputing the whole DAG,
     and consumers get a columnar scan with pruning instead of a row checkpoint.
+    The shuffle files behind the table go once it is written: nothing reads them again.
     """
-    import uuid
-
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/materialized-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    if _written:
+        _written[-1].append(path)
     return spark.read.parquet(path)
+
+
+def settle(build: Callable[[], DataFrame]) -> DataFrame:
+    """``materialize(build())``, after which the tables that ``build`` materialized on its way are removed.
+
+    For a step whose intermediates nothing but its own result reads.
+    """
+    _written.append([])
+    try:
+        out = materialize(build())
+    except BaseException:
+        _written.pop()
+        raise
+    *steps, last = _written.pop()
+    for path in steps:
+        files.remove(out.sparkSession, path)
+    if _written:
+        _written[-1].append(last)
+    return out

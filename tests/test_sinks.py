@@ -191,3 +191,23 @@ def test_small_files(spark):
     assert files.read_text(spark, f"{base}/x") == "new é" and files.names(spark, base) == ["x"]
     files.remove(spark, f"{base}/x")
     assert not files.exists(spark, f"{base}/x")
+
+
+def test_settle_removes_what_was_written_on_the_way(spark):
+    from mercato.session import materialize, settle
+    from mercato.sources import files
+
+    written = []
+
+    def build():
+        a = materialize(spark.range(10).selectExpr("id % 3 AS k").groupBy("k").count())
+        written.append(a.inputFiles()[0].rsplit("/", 1)[0])
+        return a.join(materialize(spark.range(2).withColumnRenamed("id", "k")), "k")
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    inner = []
+    out = settle(lambda: inner.append(settle(build)) or inner[0].where("count > 3"))
+    assert [(r.k, r["count"]) for r in out.collect()] == [(0, 4)]
+    assert not files.exists(spark, written[0])
+    assert not files.exists(spark, inner[0].select("k")._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().head().toString())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
