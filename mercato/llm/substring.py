@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import SPACE, materialize, ready, slices
+from mercato.llm.common import SPACE, materialize, ready, settle, slices
 from mercato.llm.components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -294,11 +294,10 @@ def _windows(docs: DataFrame, anchors: DataFrame, n: int, k: int, in_row: int =
         run, f"doc_id {id_type}, doc_key long, at array<int>, key array<long>, start array<int>, end array<int>, paragraph array<int>")
 
 
-def runs(docs: DataFrame, gone: DataFrame, run_words: int = 50, anchor_words: int = 20) -> DataFrame:
-    """Every occurrence of an exact run of ``run_words`` words or more that is found twice or more.
+def _run_spans(docs: DataFrame, gone: DataFrame, run_words: int, anchor_words: int) -> DataFrame:
+    """The occurrences of ``runs``, and spans whose cluster has no other, without ``n_occurrences``.
 
-    Columns as in ``repeated_passages``, with ``doc_key``.  A window of
-    ``run_words`` words stays where it occurs first by (doc_id, doc_key, word);
+    A window of ``run_words`` words stays where it occurs first by (doc_id, doc_key, word);
     its later occurrences are removed, save those that overlap the first one.
     Firsts in a row are one cluster, and so are the windows equal to them.  Only
     windows whose anchor (least key of a shorter window) occurs twice are shuffled.
@@ -331,10 +330,18 @@ def runs(docs: DataFrame, gone: DataFrame, run_words: int = 50, anchor_words: in
     in_doc = Window.partitionBy(*doc, "cluster_id").orderBy("at")
     step = (F.col("at") - F.lag("at").over(in_doc) == 1) & (F.col("first_at") - F.lag("first_at").over(in_doc) == 1)
     hits = hits.withColumn("new", F.when(step, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_doc))
-    out = hits.groupBy(*doc, "cluster_id", "island").agg(
+    return hits.groupBy(*doc, "cluster_id", "island").agg(
         F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"),
         (F.max("at") - F.min("at") + run_words).cast("int").alias("n_words"), F.first("first_doc_id").alias("first_doc_id"), F.first("removed").alias("removed"))
-    out = materialize(out)
+
+
+def runs(docs: DataFrame, gone: DataFrame, run_words: int = 50, anchor_words: int = 20) -> DataFrame:
+    """Every occurrence of an exact run of ``run_words`` words or more that is found twice or more (see ``_run_spans``).
+
+    Columns as in ``repeated_passages``, with ``doc_key``.
+    """
+    doc = ["doc_id", "doc_key"]
+    out = settle(lambda: _run_spans(docs, gone, run_words, anchor_words))
     counts = out.groupBy("cluster_id").agg(F.count("*").alias("n_occurrences")).where("n_occurrences > 1")
     # a cluster may hold a large share of all rows: sixteen keys each
     counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("salt", F.col("salt").cast("long"))
@@ -389,7 +396,7 @@ def repeated_lines(docs: DataFrame, threshold: float, shingle_words: int, min_wo
 def passages(docs: DataFrame, threshold: float = 0.8, shingle_words: int = 5, min_words: int = 20, recall: float = 0.998, run_words: int = 50) -> DataFrame:
     """``repeated_passages`` with ``doc_key``, the hash of the text that sets apart different texts of one doc_id or without one."""
     ready(docs.sparkSession)
-    lines = materialize(repeated_lines(docs, threshold, shingle_words, min_words, recall))
+    lines = settle(lambda: repeated_lines(docs, threshold, shingle_words, min_words, recall))
     return lines.drop("word").unionByName(runs(docs, lines.where("removed"), run_words))
 
 
@@ -439,7 +446,7 @@ def cut_repeats(docs: DataFrame, **parameters) -> DataFrame:
     ``n_chars`` (if present) follows the text.  Documents of which nothing but
     white space is left go; documents that had no passage removed are untouched.
     """
-    found = materialize(passages(docs, **parameters).where("removed").select("doc_id", "doc_key", "start", "end"))
+    found = settle(lambda: passages(docs, **parameters).where("removed").select("doc_id", "doc_key", "start", "end"))
     gone = found.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "end")).alias("gone"))  # spans of one document
     gone = gone.withColumnsRenamed({"doc_id": "gone_id", "doc_key": "gone_key"})
     same = F.col("d.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("d.text") == F.col("gone_key"))
