@@ -261,37 +261,60 @@ def _repeated_anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
 
 
-def _windows(docs: DataFrame, anchors: DataFrame, n: int, k: int, in_row: int = 512) -> DataFrame:
-    """``doc_id, doc_key, at, key, start, end, paragraph`` (arrays of up to ``in_row`` windows a row) of the windows with one of ``anchors``, and now and then others."""
+def _pieces(x: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """Where intervals begin in ``at``: maximal stretches of windows in a row with one anchor ``x``, cut after ``most`` windows."""
+    new = np.concatenate([[True], (np.diff(at) != 1) | (x[at[1:]] != x[at[:-1]])])
+    first = np.flatnonzero(new)
+    inside = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return np.flatnonzero(inside % most == 0)
+
+
+def _intervals(docs: DataFrame, gone: DataFrame, anchors: DataFrame, n: int, k: int, most: int = 64) -> DataFrame:
+    """``doc_id, doc_key, at, off, key, start, end, paragraph``: windows with one of ``anchors`` (and now and then others), by intervals.
+
+    A row holds windows in a row that share their anchor, up to ``most``: ``at`` is the first
+    one's place, the arrays hold each window's distance from it, key and offsets.  Equal
+    passages fall into equal intervals but for their ends.  Windows within the word
+    ranges ``gone`` of a document are left out.
+    """
     size = anchors.count()
     sieve = _sieve(anchors, 1 << min(27, max(20, (16 * size).bit_length())))  # 16 MB at most
-    names = ["doc_id", "doc_key", "at", "key", "start", "end", "paragraph"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            rows, parts = [], []
-            for row, text in enumerate(b.column("text").to_pylist()):
+            rows, begins, sizes, parts = [], [], [], []
+            for row, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column("gone").to_pylist())):
                 h = _word_hashes(text)
                 x = _anchors(h, n, k)
-                at = np.flatnonzero(_held(sieve, x.view(np.int64))) if len(x) else x
+                keep = _held(sieve, x.view(np.int64)) if len(x) else np.zeros(0, bool)
+                for span in spans or ():
+                    keep[span["from"]:max(span["to"] - n + 1, 0)] = False
+                at = np.flatnonzero(keep)
                 if not len(at):
                     continue
                 key = window_keys(h, n).view(np.int64)
                 begin, stop, breaks = word_offsets(text)
                 start, end = begin[at], stop[at + n - 1]
-                found = (at, key[at], start, end, np.searchsorted(breaks, start))
-                for i in range(0, len(at), in_row):
-                    rows.append(row)
-                    parts.append([v[i:i + in_row] for v in found])
+                first = _pieces(x, at, most)
+                size = np.diff(np.append(first, len(at)))
+                rows += [row] * len(first)
+                begins.append(at[first])
+                sizes.append(size)
+                parts.append((at - np.repeat(at[first], size), key[at], start, end, np.searchsorted(breaks, start)))
             if not rows:
                 continue
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]), pa.int32())
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p[i] for p in parts]), pa.int64() if i == 1 else pa.int32())) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(rows)) for c in ("doc_id", "doc_key")] + lists, names)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(pa.array(rows)) for c in ("doc_id", "doc_key")), pa.array(np.concatenate(begins), pa.int32()), *lists],
+                ["doc_id", "doc_key", "at", "off", "key", "start", "end", "paragraph"])
 
+    spans = gone.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"), "gone")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
+    texts = texts.join(spans, (F.col("doc_key") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text").mapInArrow(
-        run, f"doc_id {id_type}, doc_key long, at array<int>, key array<long>, start array<int>, end array<int>, paragraph array<int>")
+    return texts.select("doc_id", "doc_key", "text", "gone").mapInArrow(
+        run, f"doc_id {id_type}, doc_key long, at int, off array<int>, key array<long>, start array<int>, end array<int>, paragraph array<int>")
 
 
 def _run_spans(docs: DataFrame, gone: DataFrame, run_words: int, anchor_words: int) -> DataFrame:
@@ -300,8 +323,11 @@ def _run_spans(docs: DataFrame, gone: DataFrame, run_words: int, anchor_words: i
     A window of ``run_words`` words stays where it occurs first by (doc_id, doc_key, word);
     its later occurrences are removed, save those that overlap the first one.
     Firsts in a row are one cluster, and so are the windows equal to them.  Only
-    windows whose anchor (least key of a shorter window) occurs twice are shuffled.
+    windows whose anchor (least key of a shorter window) occurs twice are looked at.
     Windows of nothing but words of the lines ``gone`` (removed before) do not count.
+
+    Windows travel by intervals (see ``_intervals``).  Equal intervals are looked up
+    once: their windows alone are joined by key, and every occurrence takes the result over.
     """
     doc = ["doc_id", "doc_key"]
     anchors = materialize(_repeated_anchors(docs, run_words, anchor_words))
@@ -309,30 +335,40 @@ def _run_spans(docs: DataFrame, gone: DataFrame, run_words: int, anchor_words: i
     new = F.when(F.col("word") == F.lag(F.col("word") + F.col("n_words")).over(in_row), None).otherwise(F.col("word"))
     blocks = gone.select(*doc, "word", "n_words", new.alias("new")).withColumn("from", F.last("new", True).over(in_row))
     blocks = blocks.groupBy(*doc, "from").agg(F.max(F.col("word") + F.col("n_words")).alias("to"))
-    spans = blocks.groupBy(*doc).agg(F.collect_list(F.struct("from", "to")).alias("gone"))
-    spans = spans.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"), "gone")
-    found = _windows(docs, anchors, run_words, anchor_words)
-    found = found.join(spans, (found["doc_key"] == spans["gone_key"]) & found["doc_id"].eqNullSafe(spans["gone_id"]), "left")
-    found = found.select(*doc, "gone", F.inline(F.arrays_zip("at", "key", "start", "end", "paragraph")))
-    left = F.col("gone").isNull() | ~F.exists("gone", lambda g: (g["from"] <= F.col("at")) & (g["to"] >= F.col("at") + run_words))
-    found = materialize(found.where(left).drop("gone"))
+    spans = materialize(blocks.groupBy(*doc).agg(F.collect_list(F.struct("from", "to")).alias("gone")))
+    found = _intervals(docs, spans, anchors, run_words, anchor_words)
+    same = ["content", "lead"]  # intervals of equal windows
+    found = materialize(found.withColumns({"content": F.xxhash64("key", "off"), "lead": F.get("key", F.lit(0))}))
     # a row repeated under its doc_id is one document
     place = F.struct(*doc, "at")
-    firsts = (found.groupBy("key").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("NOT f <=> l")
+    kinds = materialize(found.groupBy(*same).agg(F.min(place).alias("f"), F.max(place).alias("l"), F.first("key").alias("key"), F.first("off").alias("off")))
+    windows = kinds.select(*same, "f", "l", F.posexplode(F.arrays_zip("key", "off")).alias("i", "w"))
+    f, l = (F.struct(*[F.col(f"{p}.{c}").alias(c) for c in doc], (F.col(f"{p}.at") + F.col("w.off")).alias("at")) for p in "fl")
+    firsts = (windows.select(F.col("w.key").alias("key"), f.alias("f"), l.alias("l"))
+              .groupBy("key").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("NOT f <=> l")
               .select("key", *[F.col(f"f.{c}").alias(f"first_{c}") for c in (*doc, "at")]))
     by_first = Window.partitionBy("first_doc_id", "first_doc_key").orderBy("first_at")
     new = F.when(F.col("first_at") - F.lag("first_at").over(by_first) == 1, None).otherwise(F.col("key"))
-    firsts = firsts.withColumn("new", new).withColumn("cluster_id", F.last("new", True).over(by_first)).drop("new")
+    firsts = materialize(firsts.withColumn("new", new).withColumn("cluster_id", F.last("new", True).over(by_first)).drop("new"))
+    at_first = F.struct("i", "cluster_id", "first_doc_id", "first_doc_key", "first_at")
+    known = windows.select(*same, "i", F.col("w.key").alias("key")).join(firsts, "key").groupBy(*same).agg(F.array_sort(F.collect_list(at_first)).alias("known"))
+    hits = found.drop("key").join(materialize(known), same).select("*", F.posexplode("known").alias("j", "k"))
+    hits = hits.select(
+        *doc, F.col("at").alias("interval"), "j", "k.*", F.get("off", F.col("k.i")).alias("off"),
+        *[F.get(c, F.col("k.i")).alias(c) for c in ("start", "end", "paragraph")])
     own = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("doc_key") == F.col("first_doc_key"))
-    overlap = own & (F.col("at") > F.col("first_at")) & (F.col("at") < F.col("first_at") + run_words)
-    hits = found.join(firsts, "key").where(~overlap).withColumn("removed", ~(own & (F.col("at") == F.col("first_at"))))
-    hits = hits.select(*doc, "at", "start", "end", "paragraph", "cluster_id", "first_doc_id", "first_at", "removed").distinct()
+    hits = hits.withColumn("at", F.col("interval") + F.col("off")).withColumn("ahead", F.col("at") - F.col("first_at"))
+    hits = hits.where(~(own & (F.col("ahead") > 0) & (F.col("ahead") < run_words)))
+    # windows in a row of one interval that keep their distance from their firsts, then such stretches in a row
+    parts = hits.groupBy(*doc, "cluster_id", "interval", "ahead", (F.col("off") - F.col("j")).alias("gap")).agg(
+        F.min("at").alias("at"), F.max("at").alias("last"), F.min("paragraph").alias("paragraph"), F.min("start").alias("start"),
+        F.max("end").alias("end"), F.first("first_doc_id").alias("first_doc_id"), F.first(~(own & (F.col("ahead") == 0))).alias("removed"))
     in_doc = Window.partitionBy(*doc, "cluster_id").orderBy("at")
-    step = (F.col("at") - F.lag("at").over(in_doc) == 1) & (F.col("first_at") - F.lag("first_at").over(in_doc) == 1)
-    hits = hits.withColumn("new", F.when(step, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_doc))
-    return hits.groupBy(*doc, "cluster_id", "island").agg(
+    step = (F.col("at") - F.lag("last").over(in_doc) == 1) & (F.col("ahead") == F.lag("ahead").over(in_doc))
+    parts = parts.withColumn("new", F.when(step, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_doc))
+    return parts.groupBy(*doc, "cluster_id", "island").agg(
         F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"),
-        (F.max("at") - F.min("at") + run_words).cast("int").alias("n_words"), F.first("first_doc_id").alias("first_doc_id"), F.first("removed").alias("removed"))
+        (F.max("last") - F.min("at") + run_words).cast("int").alias("n_words"), F.first("first_doc_id").alias("first_doc_id"), F.first("removed").alias("removed"))
 
 
 def runs(docs: DataFrame, gone: DataFrame, run_words: int = 50, anchor_words: int = 20) -> DataFrame:
