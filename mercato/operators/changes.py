@@ -18,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.session import materialize
+from mercato.sources import bucketed
 
 
 def derived_id(*cols) -> "F.Column":
@@ -70,20 +71,24 @@ def latest_per_key(batch: DataFrame, keys: Sequence[str], seq_col: str) -> DataF
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], set_cols: Sequence[str], seq_col: str,
-           touch_col: str | None = None, as_of=None) -> DataFrame:
+           touch_col: str | None = None, as_of=None, created_col: str | None = None, id_col: str | None = None) -> DataFrame:
     """ON CONFLICT (keys) DO UPDATE SET set_cols; new keys are inserted.
 
     Output is the new snapshot with an ``action`` column: inserted / updated / unchanged.
-    The target keeps its other columns (id, created_at) on update.
+    The target keeps its other columns (id, created_at) on update.  An inserted row gets
+    ``as_of`` in ``created_col`` and in ``touch_col``, and an id derived from its keys in ``id_col``.
     """
     last = latest_per_key(batch, keys, seq_col).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in set_cols])
     t = target.withColumn("_in_target", F.lit(True))
     j = t.join(last.withColumn("_in_batch", F.lit(True)), list(keys), "full")
     in_t, in_b = F.coalesce("_in_target", F.lit(False)), F.coalesce("_in_batch", F.lit(False))
+    on_insert = {created_col: F.lit(as_of).cast("timestamp"), id_col: derived_id(*keys)}
     cols = []
     for c in target.columns:
         if c in keys:
             cols.append(F.col(c))
+        elif c in on_insert:
+            cols.append(F.when(in_b & ~in_t, on_insert[c]).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c))
         elif c in set_cols:
             cols.append(F.when(in_b, F.col(f"_new_{c}")).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c))
         elif touch_col and c == touch_col:
@@ -94,6 +99,31 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], set_cols: S
     return j.select(*cols, action.alias("action"))
 
 
+#: Conflict keys and updated columns of the tables that are upserted; ``touch``: set to the time of the change.
+CONFLICTS = {
+    "actor_roles": {"keys": ["merchant_id", "actor_id"], "set_cols": ["role_type"], "touch_col": "assigned_at"},
+    "product_inventory": {"keys": ["product_id", "branch_id"], "set_cols": ["quantity"], "touch_col": "updated_at"},
+    "order_items": {"keys": ["order_id", "product_id"],
+                    "set_cols": ["quantity", "price", "base_amount", "addon_amount", "discount_amount", "tax_amount", "line_total"]},
+    "order_item_addons": {"keys": ["order_id", "product_id", "addon_id"],
+                          "set_cols": ["addon_name", "addon_price", "quantity", "line_addon_total"]},
+    "vat_rules": {"keys": ["merchant_id", "payment_type"], "set_cols": ["rate"], "created_col": "created_at", "id_col": "id"},
+}
+
+
+def upsert_into(spark: SparkSession, path: str, table: str, batch: DataFrame, seq_col: str, as_of=None) -> DataFrame:
+    """S5 on a table of ``CONFLICTS`` laid out by ``bucketed.create`` over its keys: only buckets of the batch are read and rewritten.
+
+    Returns the batch's keys with their ``action`` (inserted / updated).  Applied again, the batch gives the same table.
+    """
+    rule = CONFLICTS[table]
+    last = materialize(bucketed.with_bucket(spark, path, latest_per_key(batch, rule["keys"], seq_col)))
+    target = bucketed.read(spark, path, bucketed.touched(last)).drop(bucketed.BUCKET)
+    new = materialize(upsert(target, last, seq_col=seq_col, as_of=as_of, **rule))
+    bucketed.replace(spark, path, bucketed.with_bucket(spark, path, new.drop("action")))
+    return new.where("action <> 'unchanged'").select(*rule["keys"], "action")
+
+
 def update_by_key(target: DataFrame, batch: DataFrame, keys: Sequence[str], touch_col: str | None = None,
                   as_of=None, seq_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Full-column update of rows matched by key; unmatched batch keys are returned as not found.

@@ -352,14 +352,20 @@ def apply_status_changes(requests: DataFrame, key: str = "order_ref",
     top = parts.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_b", "_fn"))).alias("_parts"), F.sum("_n").alias("n_requests"),
     ).select(key, "n_requests", F.aggregate("_parts", _identity(), lambda acc, p: _compose(acc, p["_fn"])).alias("_fn"))
+    return folded(top, key, "_fn", "n_requests")
+
+
+def folded(top: DataFrame, key: str, fn: str, n: str) -> DataFrame:
+    """Key, final status and counts from each order's composed function and number of requests."""
     names = F.array(*[F.lit(s) for s in STATUSES])
     start = _IDX[INITIAL_STATUS] + 1
+    applied = F.element_at(F.col(fn)["c"], start)
     return top.select(
         key,
-        F.element_at(names, F.element_at(F.col("_fn")["f"], start) + 1).alias("final_status"),
-        F.col("n_requests").cast("bigint").alias("n_requests"),
-        F.element_at(F.col("_fn")["c"], start).cast("bigint").alias("n_applied"),
-        (F.col("n_requests") - F.element_at(F.col("_fn")["c"], start)).cast("bigint").alias("n_rejected"),
+        F.element_at(names, F.element_at(F.col(fn)["f"], start) + 1).alias("final_status"),
+        F.col(n).cast("bigint").alias("n_requests"),
+        applied.cast("bigint").alias("n_applied"),
+        (F.col(n) - applied).cast("bigint").alias("n_rejected"),
     )
 
 

@@ -1261,6 +1261,29 @@ WHERE o.merchant_id = {m} AND o.status IN """ + COUNTED + """
 
 sql("monthly_sales_report_periods", _PERIOD.format(m=3, y=2000, mo=6) + "\nUNION ALL" + _PERIOD.format(m=3, y=2030, mo=6))
 
+sql("monthly_sales_report_by_month", "\nUNION ALL".join(_PERIOD.format(m=m, y=y, mo=mo) for m, mo, y in ((3, 6, 2000), (7, 1, 1999), (3, 6, 2030))))
+
+sql("status_fold_incremental", _RAW["status_fold"])
+
+sql("upsert_actor_roles", """
+WITH b AS (
+  SELECT (user_id + CASE event_type WHEN 'signup' THEN 1 ELSE 0 END) % 10 AS merchant_id, user_id AS actor_id,
+         arg_max(CASE event_type WHEN 'purchase' THEN 'merchant' WHEN 'signup' THEN 'employee' ELSE 'customer' END, event_id) AS role_type
+  FROM events GROUP BY 1, 2)
+SELECT coalesce(t.merchant_id, b.merchant_id) AS merchant_id, coalesce(t.actor_id, b.actor_id) AS actor_id,
+       coalesce(b.role_type, t.role_type) AS role_type, b.actor_id IS NOT NULL AS changed
+FROM v_actor_roles t FULL JOIN b ON t.merchant_id = b.merchant_id AND t.actor_id = b.actor_id
+""")
+
+sql("upsert_order_items", """
+WITH p AS (SELECT i.* FROM v_order_items i JOIN v_orders o ON o.id = i.order_id WHERE o.status = 'pending')
+SELECT i.order_id, i.product_id, CAST(i.quantity + CASE WHEN o.status = 'pending' THEN 1 ELSE 0 END AS BIGINT) AS quantity,
+       CAST(i.line_total AS DOUBLE) AS line_total
+FROM v_order_items i JOIN v_orders o ON o.id = i.order_id
+UNION ALL
+SELECT order_id, product_id + 1000000000, CAST(quantity + 1 AS BIGINT), CAST(line_total AS DOUBLE) FROM p
+""")
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: duckdb_ctes(text) for name, text in _RAW.items()}

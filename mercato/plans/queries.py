@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 
 from mercato.functions.arrays import ids_text
 from mercato.functions.cols import ts_text
-from mercato.operators import access, admission, carts, catalog, changes, coverage, discounts, hours, live_carts, orders, quality, reports
-from mercato.sources import documents
-from mercato.session import materialize
+from mercato.operators import access, admission, carts, catalog, changes, coverage, discounts, hours, live_carts, orders, quality, reports, status_state
+from mercato.sources import bucketed, documents, monthly
+from mercato.session import materialize, scratch_path
 from mercato.sources.fixtures import DISCOUNT_AS_OF, SESSION_AS_OF, fixtures
 from mercato.streaming import sales_stream, status_stream
 
@@ -64,6 +64,19 @@ def q_monthly_sales_report_periods(spark, sf_dir):
                                    *reports.REPORT_COLUMNS)
 
 
+@register("monthly_sales_report_by_month")
+def q_monthly_sales_report_by_month(spark, sf_dir):
+    # the same calls on order tables laid out by month: each reads its month's folders only
+    fx = fixtures(spark, sf_dir)
+    path = scratch_path(spark, "months")
+    monthly.write(fx.v_orders, fx.v_order_items, path)
+    calls = [reports.monthly_sales_report_for(*(monthly.read(spark, path, t, mo, y) for t in ("orders", "order_items")), m, mo, y)
+             for m, mo, y in ((3, 6, 2000), (7, 1, 1999), (3, 6, 2030))]
+    return reduce(DataFrame.unionByName, calls).select(
+        F.col("merchant_id").cast("bigint").alias("merchant_id"), F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"),
+        *reports.REPORT_COLUMNS)
+
+
 @register("inventory_by_product")
 def q_inventory_by_product(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
@@ -480,6 +493,16 @@ def q_status_fold(spark, sf_dir):
     return orders.apply_status_changes(fixtures(spark, sf_dir).v_status_requests)
 
 
+@register("status_fold_incremental")
+def q_status_fold_incremental(spark, sf_dir):
+    # every other request of the whole table arrives in a second batch, late and in between those folded before
+    requests = fixtures(spark, sf_dir).v_status_requests
+    path = scratch_path(spark, "status")
+    status_state.create(requests.where("event_id % 2 = 0"), path, n_buckets=8)
+    status_state.add(spark, path, requests.where("event_id % 2 <> 0"))
+    return status_state.states(spark, path)
+
+
 @register("status_changes_authorized")
 def q_status_changes_authorized(spark, sf_dir):
     # the requester is the event's user; the order belongs to that user's tenant; only a merchant-role holder
@@ -718,6 +741,32 @@ def q_upsert_inventory(spark, sf_dir):
     return changes.upsert(fx.v_product_inventory, batch, ["product_id", "branch_id"], ["quantity"], "seq")
 
 
+@register("upsert_actor_roles")
+def q_upsert_actor_roles(spark, sf_dir):
+    # every event gives its user a role in the user's tenant, a signup in the next one, where it is inserted; the latest event holds
+    fx = fixtures(spark, sf_dir)
+    path = scratch_path(spark, "actor_roles")
+    bucketed.create(fx.v_actor_roles.withColumn("assigned_at", F.lit("2024-01-01 00:00:00").cast("timestamp")), path, ["merchant_id", "actor_id"], 8)
+    role = F.when(F.col("event_type") == "purchase", "merchant").when(F.col("event_type") == "signup", "employee").otherwise("customer")
+    tenant = (F.col("user_id") + F.when(F.col("event_type") == "signup", 1).otherwise(0)) % 10
+    batch = fx.events.select(tenant.alias("merchant_id"), F.col("user_id").alias("actor_id"), role.alias("role_type"), F.col("event_id").alias("seq"))
+    changes.upsert_into(spark, path, "actor_roles", batch, "seq", SESSION_AS_OF)
+    return bucketed.read(spark, path).select("merchant_id", "actor_id", "role_type", (F.col("assigned_at") > F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("changed"))
+
+
+@register("upsert_order_items")
+def q_upsert_order_items(spark, sf_dir):
+    # items of pending orders are written again with one more piece, each together with a new item of another product
+    fx = fixtures(spark, sf_dir)
+    path = scratch_path(spark, "order_items")
+    bucketed.create(fx.v_order_items, path, changes.CONFLICTS["order_items"]["keys"], 8)
+    again = fx.v_order_items.join(fx.v_orders.where("status = 'pending'").select(F.col("id").alias("order_id")), "order_id")
+    again = again.withColumn("quantity", F.col("quantity") + 1)
+    batch = again.unionByName(again.withColumn("product_id", F.col("product_id") + 1_000_000_000)).withColumn("seq", F.lit(1))
+    changes.upsert_into(spark, path, "order_items", batch, "seq")
+    return bucketed.read(spark, path).select("order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity"), F.col("line_total").cast("double").alias("line_total"))
+
+
 @register("update_by_key")
 def q_update_by_key(spark, sf_dir):
     # pending orders move to cancelled and then to accepted (the later update holds); the batch also names order ids

@@ -75,6 +75,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "mercato") -> SparkSession:
     """A local session for tests and the bench (UI off, UTC, AQE on)."""
     builder = (
@@ -108,7 +113,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The shuffle files behind the table go once it is written: nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/materialized-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "materialized")
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
