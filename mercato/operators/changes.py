@@ -120,7 +120,7 @@ def upsert_into(spark: SparkSession, path: str, table: str, batch: DataFrame, se
     last = materialize(bucketed.with_bucket(spark, path, latest_per_key(batch, rule["keys"], seq_col)))
     target = bucketed.read(spark, path, bucketed.touched(last)).drop(bucketed.BUCKET)
     new = materialize(upsert(target, last, seq_col=seq_col, as_of=as_of, **rule))
-    bucketed.replace(spark, path, bucketed.with_bucket(spark, path, new.drop("action")))
+    bucketed.replace(spark, path, bucketed.with_bucket(spark, path, new.drop("action")), aside=True)
     return new.where("action <> 'unchanged'").select(*rule["keys"], "action")
 
 

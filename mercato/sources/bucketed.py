@@ -64,9 +64,12 @@ def read(spark: SparkSession, path: str, buckets: Sequence[int] | None = None) -
     return table if buckets is None else table.where(F.col(BUCKET).isin(list(buckets)))
 
 
-def replace(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Replace the buckets that ``rows`` (all rows of those buckets, with ``bucket``) fall into."""
-    _write(materialize(rows), path)  # written aside first: the buckets may be what ``rows`` reads
+def replace(spark: SparkSession, path: str, rows: DataFrame, aside: bool = False) -> None:
+    """Replace the buckets that ``rows`` (all rows of those buckets, with ``bucket``) fall into.
+
+    They are written aside first, as the buckets may be what ``rows`` reads; ``aside``: it reads written tables only.
+    """
+    _write(rows if aside else materialize(rows), path)
 
 
 def put(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]) -> None:
