@@ -52,7 +52,7 @@ def test_documents_round_trip(spark):
 T0 = "2024-01-01 10:00:00"
 
 
-def _feed_of(spark, files, watermark="1 hour", idle=None):
+def _feed_of(spark, files, watermark="1 hour", idle=None, **more):
     """Feed of a stream that reads one file of (event_id, order_ref, minutes after T0, wanted) per micro-batch."""
     import datetime as dt
 
@@ -65,7 +65,7 @@ def _feed_of(spark, files, watermark="1 hour", idle=None):
         at = [(e, o, None if m is None else start + dt.timedelta(minutes=m), s) for e, o, m, s in rows]
         spark.createDataFrame(at, schema).coalesce(1).write.parquet(f"{base}/src/f{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/src")
-    return status_stream.run_feed(stream, base, watermark, idle).collect()
+    return status_stream.run_feed(stream, base, watermark, idle, **more).collect()
 
 
 def test_status_feed_is_in_event_time(spark):
@@ -98,6 +98,18 @@ def test_status_feed_drops_idle_state(spark):
     assert {r.event_id: r.from_status for r in feed}[5] == "pending"  # the state of order a was gone
 
 
+def test_status_feed_does_not_depend_on_the_buckets(spark):
+    """One call takes many orders; they share lists and a timer, and each has its own status, late rows and idle time."""
+    files = [[(1, "a", 0, "accepted"), (11, "b", 5, "accepted"), (12, "b", 5, "accepted"), (9, None, 0, "accepted"), (11, "b", 5, "accepted")],
+             [(2, "a", 600, "out_for_delivery"), (21, "c", 590, None)],
+             [(3, "a", 660, "delivered"), (13, "b", 640, "cancelled"), (11, "a", 600, "refunded")],
+             [(4, "a", -5, "cancelled"), (5, "d", 1, "accepted"), (1, "b", 650, "accepted")],
+             [(6, "a", 2000, "refunded"), (14, "b", 1990, "accepted"), (22, "c", 1980, "accepted")]]
+    for idle in (None, "2 hours"):
+        one, many = (sorted(map(str, _feed_of(spark, files, idle=idle, buckets=n))) for n in (1, 1000))
+        assert one == many and len(one) == sum(map(len, files))
+
+
 def test_status_stream_split_by_key_equals_the_batch_fold(spark):
     """Events dealt to four files by a hash of their id, not by time; a delay that spans them gives the batch result."""
     import os
