@@ -7,7 +7,8 @@ a long chain of earlier ones.
 
 Most rows share no key and are accepted at once.  Of the others, those that come first
 under all of their keys are accepted and take their keys from everybody else; this
-settles hot keys by one minimum per key, in a partial aggregate.  What is left falls
+settles hot keys by one minimum per key, in a partial aggregate.  That is done again
+as long as it settles half of the open rows.  What is left, long chains, falls
 into connected components of rows and keys.  The earliest rows of a component depend on
 nothing later, so rounds replay the earliest ``at_once`` open rows of every component
 one by one in a task of its own (components are not looked for when no more rows than
@@ -89,12 +90,16 @@ def admit(batch: DataFrame, uniques: Uniques, arrived: str, tie: str, target: Da
         still_open = claims.join(refused, "_row", "left_anti")
 
     # first under every key it asks for; a row that shares no key is one of them
-    first = still_open.groupBy("n", "key").agg(F.min(order).alias("_first"))
-    leads = (still_open.join(first, ["n", "key"]).groupBy("_row").agg(F.min(F.col("_first") == order).alias("_all"))
-             .where("_all").select("_row"))
-    now_held, still_open = _settle(still_open, materialize(leads))
-    held = [now_held]
-    if still_open.select("_row").distinct().count() <= at_once:
+    held, before, n_open = [], None, still_open.select("_row").distinct().count()
+    while before is None or (n_open > at_once and 2 * n_open <= before):
+        first = still_open.groupBy("n", "key").agg(F.min(order).alias("_first"))
+        leads = (still_open.join(first, ["n", "key"]).groupBy("_row").agg(F.min(F.col("_first") == order).alias("_all"))
+                 .where("_all").select("_row"))
+        before = n_open
+        now_held, still_open = _settle(still_open, materialize(leads))
+        held.append(now_held)
+        n_open = still_open.select("_row").distinct().count()
+    if n_open <= at_once:
         still_open = still_open.withColumn("component", F.lit(0))  # small enough to be replayed at once
     else:
         node = F.xxhash64("n", "key")
@@ -106,7 +111,9 @@ def admit(batch: DataFrame, uniques: Uniques, arrived: str, tie: str, target: Da
     while not still_open.isEmpty():
         earliest = (still_open.select("component", *ORDER).distinct().withColumn("_n", F.row_number().over(by_time))
                     .where(F.col("_n") <= at_once).select("_row"))
-        replayed = materialize(still_open.join(earliest, "_row", "left_semi").groupBy("component")
+        # components share no key: a task replays as many as make up about ``at_once`` rows
+        together = F.pmod(F.xxhash64("component"), F.lit(n_open // at_once + 1)).alias("together")
+        replayed = materialize(still_open.join(earliest, "_row", "left_semi").select("*", together).groupBy("together")
                                .applyInPandas(_replay, "_row bigint, accepted boolean"))
         still_open = still_open.join(replayed.where("NOT accepted"), "_row", "left_anti")
         now_held, still_open = _settle(still_open, replayed.where("accepted"))

@@ -49,6 +49,13 @@ def test_a_chain_takes_length_by_at_once_rounds(spark, monkeypatch):
     assert len(rounds) <= 1 + 2
 
 
+def test_many_short_chains_need_no_components(spark, monkeypatch):
+    at = dt.datetime(2024, 1, 1)
+    rows = [r for g in range(60) for r in ((3 * g, at, f"a{g}", None, None, "x"), (3 * g + 1, at, f"a{g}", f"b{g}", 1, "x"), (3 * g + 2, at, None, f"b{g}", 1, "x"))]
+    monkeypatch.setattr(admission, "components", lambda edges: 1 / 0)
+    assert run(spark, rows, at_once=7) == replay(rows)
+
+
 def test_a_refused_row_blocks_nobody(spark):
     at = dt.datetime(2024, 1, 1)
     rows = [(1, at, "p", "q", 1, "x"), (2, at, "p", "r", 1, "x"), (3, at, "s", "r", 1, "x"), (4, at, "s", "q", 1, "x")]
