@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import materialize, ready, slices
+from mercato.llm.common import materialize, ready, released, slices
 from mercato.llm.sieve import held, mark
 
 #: Fixed value: the characters that end a piece.
@@ -166,6 +166,19 @@ def frequent_phrases(docs: DataFrame, least: int, share: float = 0.25, slack: fl
     """
     ready(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL")
+    sieve = released(lambda: _proposals(docs, least, share, slack, sieve_bits))
+    counted = materialize(_with_totals(count(texts, LONGEST, LONGEST, sieve), least))
+    frequent, total = counted.where("phrase IS NOT NULL"), counted.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    # border failures: frequent although not proposed, so that what they extend to is not counted yet
+    failed = materialize(_keys(frequent.where(F.col("words") < LONGEST), sieve))
+    if not failed.isEmpty():
+        wider = sieve | mark(failed, sieve_bits)
+        frequent = frequent.unionByName(materialize(count(texts, LONGEST, LONGEST, wider, sieve).where(F.col("f") >= least)))
+    return frequent, total
+
+
+def _proposals(docs: DataFrame, least: int, share: float, slack: float, sieve_bits: int) -> np.ndarray:
+    """The sieve of the phrases that seem frequent in the sample."""
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20))
     sample = materialize(docs.where(drawn).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL"))
     lowered = max(1, int(least * share - slack * (least * share * (1 - share)) ** 0.5))
@@ -176,15 +189,7 @@ def frequent_phrases(docs: DataFrame, least: int, share: float = 0.25, slack: fl
         found = materialize(found.select("lang", "phrase"))
         proposed = found if proposed is None else proposed.unionByName(found)
         sieve = mark(_keys(proposed), sieve_bits)
-
-    counted = materialize(_with_totals(count(texts, LONGEST, LONGEST, sieve), least))
-    frequent, total = counted.where("phrase IS NOT NULL"), counted.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
-    # border failures: frequent although not proposed, so that what they extend to is not counted yet
-    failed = materialize(_keys(frequent.where(F.col("words") < LONGEST), sieve))
-    if not failed.isEmpty():
-        wider = sieve | mark(failed, sieve_bits)
-        frequent = frequent.unionByName(materialize(count(texts, LONGEST, LONGEST, wider, sieve).where(F.col("f") >= least)))
-    return frequent, total
+    return sieve
 
 
 def _with_totals(counts: DataFrame, least: int) -> DataFrame:
