@@ -169,3 +169,26 @@ def test_status_stream_matches_batch_fold(spark):
     a = sorted((r.order_ref, r.final_status, r.n_applied) for r in last.collect())
     b = sorted((r.order_ref, r.final_status, r.n_applied) for r in fold.collect())
     assert a == b
+
+
+def test_order_documents_are_shuffled_by_order_only(spark):
+    """Items and addons are listed where their order lies; no shuffle deals them by product again."""
+    from mercato.operators import orders
+
+    bills = spark.createDataFrame([(1, 9.0), (2, 4.0), (3, 0.0)], "order_id long, total double")
+    numbers = "quantity int, price double, base_amount double, addon_amount double, discount_amount double, tax_amount double, line_total double"
+    lines = spark.createDataFrame([(o, p, f"p{p}", 1, *[1.0] * 6) for o, p in ((1, 8), (1, 7), (1, 7), (2, 7), (2, None))],
+                                  f"order_id long, product_id long, product_name string, {numbers}")
+    addons = spark.createDataFrame([(1, 7, 72, "b", 1.0, 1, 1.0), (1, 7, 71, "a", 1.0, 1, 1.0), (2, None, 5, "x", 1.0, 1, 1.0), (2, 7, 71, "a", 1.0, 2, 2.0)],
+                                   "order_id long, product_id long, addon_id long, addon_name string, addon_price double, addon_quantity int, line_addon_total double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = orders.order_detail(bills, lines, addons)
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+        got = {r.order_id: r["items"] and [(i.product_id, [a.id for a in i.addons]) for i in r["items"]] for r in docs.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {1: [(7, [71, 72]), (7, [71, 72]), (8, [])], 2: [(None, []), (7, [71])], 3: None}
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and not any("product_id" in line.split("hashpartitioning(")[1].split(")")[0] for line in dealt)
