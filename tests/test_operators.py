@@ -138,3 +138,24 @@ def test_validators_reject_nulls(spark):
     assert discounts.validate_discount_batch(d, products, categories).first().reason == "value_not_positive"
     pts = spark.createDataFrame([(None, 1.0), (1.0, None), (1.0, 1.0)], "lat double, lon double")
     assert sorted(str(r.reason) for r in coverage.validate_point_batch(pts).collect()) == ["None", "invalid_latitude", "invalid_longitude"]
+
+
+def test_cart_documents_group_lines_where_the_cart_join_put_them(spark):
+    from mercato.operators import carts
+
+    c = spark.createDataFrame([(1, 0), (2, 0)], "id long, merchant_id long")
+    lines = spark.createDataFrame([(10, 1, 5, 2, 0.0, [51])], "id long, cart_id long, product_id long, quantity int, applied_discount_amount double, addon_ids array<long>")
+    products = spark.createDataFrame([(5, 0, "p", 1.0)], "id long, merchant_id long, name string, base_price double")
+    addons = spark.createDataFrame([(51, 5, "a", 1.0)], "id long, product_id long, name string, price double")
+    applied = spark.createDataFrame([(10, 7, "flat", 1.0)], "item_id long, discount_id long, discount_type string, discount_value double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = carts.cart_detail(lines, c, products, addons, applied)
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+        got = {r.cart_id: (r.reason, [(i.item_id, i.discount.discount_id, [a.id for a in i.addons]) for i in r["items"]]) for r in docs.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {1: (None, [(10, 7, [51])]), 2: (None, [])}
+    # the lines once; the carts for the join and for the carts without lines
+    assert sum("hashpartitioning(cart_id" in line for line in plan.splitlines()) == 3
