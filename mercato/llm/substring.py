@@ -17,7 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,6 +126,11 @@ def _sieve(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _sieve_of(keys: DataFrame) -> np.ndarray:
+    """A sieve with 16 bits or more for each of ``keys``, 16 MB at most."""
+    return _sieve(keys, 1 << min(27, max(20, (16 * keys.count()).bit_length())))
+
+
 def _held(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the sieve lets each signed key pass."""
     n, u = np.uint64(len(sieve) * 8), key.view(np.uint64)
@@ -230,16 +237,80 @@ def _anchors(h: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.minimum(least[:len(least) - rest], least[rest:]) if rest and len(least) > rest else least[:max(len(least) - rest, 0)]
 
 
-def word_offsets(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words and places of the line ends, in code points."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = np.concatenate([[False], ~((c == 32) | ((c >= 9) & (c <= 13))), [False]])
-    return np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1, np.flatnonzero(c == 10)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+_BLOCK = 1 << 15
+_BASE = 0xD1342543DE82EF95
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(pow(_BASE, -1, 1 << 64), _BLOCK)
+_LOW = np.frombuffer(bytes(range(256)).translate(_LOWER), np.uint8)
+_VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)[_LOW]
+_IS_WORD = ~np.isin(np.arange(256), list(SPACE.encode()))
 
 
-def _word_hashes(text: str | None) -> np.ndarray:
-    ws = paragraph_words(text or "")
-    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+class _Words:
+    """The words of all texts of an Arrow column, from its bytes.
+
+    ``data``: the bytes of all texts one after the other, ``texts``: where each begins
+    (and where the last ends), ``starts, ends`` of the words in ``data``, ``first``:
+    the number of each text's first word (and that of all words).
+    """
+
+    def __init__(self, column: pa.Array):
+        column = pa.compute.fill_null(column, "").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+        self.data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        self.texts = offsets - offsets[0]
+        word = _IS_WORD[self.data]
+        border = np.zeros(len(word) + 1, bool)
+        border[self.texts] = True
+        apart = ~np.concatenate([[False], word, [False]])
+        self.starts = np.flatnonzero(word & (apart[:-2] | border[:-1]))
+        self.ends = np.flatnonzero(word & (apart[2:] | border[1:])) + 1
+        self.first = np.searchsorted(self.starts, self.texts)
+
+    def quick(self) -> np.ndarray:
+        """A 64-bit hash of every word, A-Z lower-cased: differences of a running sum of byte values times powers."""
+        before, after, factor = (np.empty(len(self.starts), np.uint64) for _ in range(3))
+        total, up, down = np.zeros(1, np.uint64), _UP[:1], _DOWN[:1]
+        sums = np.zeros(_BLOCK + 1, np.uint64)
+        for at in range(0, len(self.data), _BLOCK):
+            value = _VALUE[self.data[at:at + _BLOCK]]
+            n = len(value)
+            np.cumsum(value * _UP[:n], out=sums[1:n + 1])
+            a, b = np.searchsorted(self.starts, [at, at + n])
+            place = self.starts[a:b] - at
+            before[a:b], factor[a:b] = total + up * sums[place], down * _DOWN[place]
+            a, b = np.searchsorted(self.ends, [at, at + n], side="right")
+            after[a:b] = total + up * sums[self.ends[a:b] - at]
+            total, up, down = total + up * sums[n], up * _UP[-1], down * _DOWN[-1]
+        h = (after - before) * factor
+        h = (h ^ (h >> np.uint64(32))) * _MIXED
+        return h ^ (h >> np.uint64(29))
+
+    def hashes(self, wanted: np.ndarray) -> np.ndarray:
+        """XXH64 of the words ``wanted`` (a mask), A-Z lower-cased; zero for the others."""
+        at = np.flatnonzero(wanted)
+        low = self.data.tobytes().translate(_LOWER)
+        out = np.zeros(len(self.starts), np.uint64)
+        out[at] = np.fromiter((xxhash.xxh64_intdigest(low[s:e]) for s, e in zip(self.starts[at].tolist(), self.ends[at].tolist())), np.uint64, len(at))
+        return out
+
+    def windows(self, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per window of ``n`` words its anchor (see ``_anchors``), whether it lies within one text, and the number of its text."""
+        x = _anchors(self.quick(), n, k)
+        sizes = np.diff(self.first)
+        text = np.repeat(np.arange(len(sizes)), sizes)[:len(x)]
+        return x, np.arange(n, len(x) + n) <= self.first[text + 1], text
+
+    def chars(self, at: np.ndarray) -> np.ndarray:
+        """Code points before the places ``at`` of ``data``."""
+        return at - np.searchsorted(np.flatnonzero((self.data & 0xC0) == 0x80), at)
+
+    def breaks(self, at: np.ndarray) -> np.ndarray:
+        """Line ends before the places ``at`` of ``data``."""
+        return np.searchsorted(np.flatnonzero(self.data == 10), at)
 
 
 def _repeated_anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
@@ -249,22 +320,25 @@ def _repeated_anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
     mostly share their anchor, so about one row per ``(n - k) / 2`` words is counted.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            found = [np.zeros(0, np.uint64)]
-            for text in b.column("text").to_pylist():
-                x = _anchors(_word_hashes(text), n, k)
-                at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-                long = np.diff(np.append(at, len(x))) > n - k + 1  # a text that repeats itself at once
-                found += [x[at], x[at[long]]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+        for b in slices(batches, "text", 1_000_000):
+            x, inside, text = _Words(b.column("text")).windows(n, k)
+            at = np.flatnonzero(inside)
+            x = x[at]
+            first = np.flatnonzero(_stretches(x, at, text[at]))
+            long = np.diff(np.append(first, len(x))) > n - k + 1  # a text that repeats itself at once
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[first], x[first[long]]]).view(np.int64))], ["key"])
 
     return docs.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
 
 
-def _pieces(x: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
-    """Where intervals begin in ``at``: maximal stretches of windows in a row with one anchor ``x``, cut after ``most`` windows."""
-    new = np.concatenate([[True], (np.diff(at) != 1) | (x[at[1:]] != x[at[:-1]])])
-    first = np.flatnonzero(new)
+def _stretches(x: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which of the windows ``at`` begin a maximal stretch of windows in a row of one text with one anchor ``x``."""
+    return np.concatenate([np.ones(min(len(at), 1), bool), (np.diff(at) != 1) | (x[1:] != x[:-1]) | (text[1:] != text[:-1])])
+
+
+def _pieces(x: np.ndarray, at: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
+    """Where intervals begin in ``at``: stretches, cut after ``most`` windows."""
+    first = np.flatnonzero(_stretches(x, at, text))
     inside = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
     return np.flatnonzero(inside % most == 0)
 
@@ -276,45 +350,60 @@ def _intervals(docs: DataFrame, gone: DataFrame, anchors: DataFrame, n: int, k:
     one's place, the arrays hold each window's distance from it, key and offsets.  Equal
     passages fall into equal intervals but for their ends.  Windows within the word
     ranges ``gone`` of a document are left out.
+
+    Only texts of documents that may have such ranges are shuffled to meet them.
     """
-    size = anchors.count()
-    sieve = _sieve(anchors, 1 << min(27, max(20, (16 * size).bit_length())))  # 16 MB at most
+    sieve = _sieve_of(anchors)
+    in_gone = _sieve_of(gone.select(F.col("doc_key").alias("key")))
+
+    def cut(b: pa.RecordBatch, gone: list) -> Iterator[pa.RecordBatch]:
+        words = _Words(b.column("text"))
+        x, keep, text = words.windows(n, k)
+        keep &= _held(sieve, x.view(np.int64))
+        for row, spans in enumerate(gone):
+            for span in spans or ():
+                keep[words.first[row] + span["from"]:words.first[row] + max(span["to"] - n + 1, 0)] = False
+        at = np.flatnonzero(keep)
+        if not len(at):
+            return
+        text = text[at]
+        used = np.zeros(len(words.starts) + 1, np.int32)
+        used[at] += 1
+        used[at + n] -= 1
+        key = window_keys(words.hashes(np.cumsum(used[:-1]) > 0), n)[at].view(np.int64)
+        begin = words.texts[text]
+        start, end = (words.chars(p) - words.chars(begin) for p in (words.starts[at], words.ends[at + n - 1]))
+        paragraph = words.breaks(words.starts[at]) - words.breaks(begin)
+        first = _pieces(x[at], at, text, most)
+        size = np.diff(np.append(first, len(at)))
+        ends = pa.array(np.append(first, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(c, pa.int64() if c is key else pa.int32()))
+                 for c in (at - np.repeat(at[first], size), key, start, end, paragraph)]
+        row = text[first]
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(c).take(pa.array(row)) for c in ("doc_id", "doc_key")), pa.array(at[first] - words.first[row], pa.int32()), *lists],
+            ["doc_id", "doc_key", "at", "off", "key", "start", "end", "paragraph"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            without = batch.filter(pa.array(~_held(in_gone, batch.column("doc_key").to_numpy())))
+            for b in slices([without], "text", 1_000_000):
+                yield from cut(b, [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            rows, begins, sizes, parts = [], [], [], []
-            for row, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column("gone").to_pylist())):
-                h = _word_hashes(text)
-                x = _anchors(h, n, k)
-                keep = _held(sieve, x.view(np.int64)) if len(x) else np.zeros(0, bool)
-                for span in spans or ():
-                    keep[span["from"]:max(span["to"] - n + 1, 0)] = False
-                at = np.flatnonzero(keep)
-                if not len(at):
-                    continue
-                key = window_keys(h, n).view(np.int64)
-                begin, stop, breaks = word_offsets(text)
-                start, end = begin[at], stop[at + n - 1]
-                first = _pieces(x, at, most)
-                size = np.diff(np.append(first, len(at)))
-                rows += [row] * len(first)
-                begins.append(at[first])
-                sizes.append(size)
-                parts.append((at - np.repeat(at[first], size), key[at], start, end, np.searchsorted(breaks, start)))
-            if not rows:
-                continue
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p[i] for p in parts]), pa.int64() if i == 1 else pa.int32())) for i in range(5)]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(pa.array(rows)) for c in ("doc_id", "doc_key")), pa.array(np.concatenate(begins), pa.int32()), *lists],
-                ["doc_id", "doc_key", "at", "off", "key", "start", "end", "paragraph"])
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1_000_000):
+            yield from cut(b, b.column("gone").to_pylist())
+
+    @F.pandas_udf("boolean")
+    def may_have(doc_key: pd.Series) -> pd.Series:
+        return pd.Series(_held(in_gone, doc_key.to_numpy()))
 
     spans = gone.select(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key"), "gone")
     texts = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
-    texts = texts.join(spans, (F.col("doc_key") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    met = texts.where(may_have("doc_key")).join(spans, (F.col("doc_key") == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "doc_key", "text", "gone").mapInArrow(
-        run, f"doc_id {id_type}, doc_key long, at int, off array<int>, key array<long>, start array<int>, end array<int>, paragraph array<int>")
+    columns = f"doc_id {id_type}, doc_key long, at int, off array<int>, key array<long>, start array<int>, end array<int>, paragraph array<int>"
+    return texts.mapInArrow(whole, columns).unionByName(met.select("doc_id", "doc_key", "text", "gone").mapInArrow(joined, columns))
 
 
 def _run_spans(docs: DataFrame, gone: DataFrame, run_words: int, anchor_words: int) -> DataFrame:

@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mercato.llm import quality, simhash, substring
@@ -136,3 +140,39 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
     docs = table(spark, clean + toxic + [(None, prose(60, 4002))])
     kept = sorted(x.text for x in corpus_pipeline.mix_to_targets(spark, docs, str(tmp_path)).collect())
     assert kept == sorted([t for _, t in clean] + [prose(60, 4002)])
+
+
+def test_words_of_a_column_equal_those_of_each_text():
+    texts = [None, "", "one", "one Two", " é中 \U0001f600 b\n\nc\x0bD", "x" * 70_000 + " y", "ab " * 40_000, "two"]
+    w = substring._Words(pa.array(["left out", *texts]).slice(1))
+    lists = [substring.paragraph_words(t or "") for t in texts]
+    flat = [x for ws in lists for x in ws]
+    assert np.diff(w.first).tolist() == [len(ws) for ws in lists]
+    assert w.hashes(np.ones(len(flat), bool)).tolist() == [xxhash.xxh64_intdigest(x) for x in flat]
+    quick = w.quick().tolist()
+    assert len(set(quick)) == len(set(flat)) == len(set(zip(quick, flat)))
+    for i, t in enumerate(texts):
+        own = slice(w.first[i], w.first[i + 1])
+        starts, ends = (w.chars(p[own]) - w.chars(w.texts[i:i + 1]) for p in (w.starts, w.ends))
+        assert [(t or "")[a:b].lower().encode() for a, b in zip(starts, ends)] == [x.decode().lower().encode() for x in lists[i]]
+        assert (w.breaks(w.starts[own]) - w.breaks(w.texts[i:i + 1])).tolist() == [t[:a].count("\n") for a in starts]
+
+
+def test_only_texts_with_removed_lines_are_shuffled(spark):
+    ws = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join([*ws, f"own{i}", *ws[::-1]])) for i in range(30)] + [(None, " ".join(ws))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("doc_key"))
+    gone = keyed.where("doc_id = 3 OR doc_id IS NULL").withColumn("gone", F.expr("array(named_struct('from', 0, 'to', 12))"))
+    anchors = substring._repeated_anchors(docs, 6, 3)
+    found = substring._intervals(docs, gone, anchors, 6, 3).select("doc_id", F.explode(F.transform("off", lambda x: F.col("at") + x)).alias("at"))
+    got = {(r.doc_id, r.at) for r in found.collect()}
+    wanted = {(i, at) for i in range(30) for at in [*range(7), *range(13, 20)] if not (i == 3 and at < 7)}
+    assert wanted <= got and not {(3, at) for at in range(7)} & got and None not in {i for i, _ in got}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = substring._intervals(docs, gone, anchors, 6, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the texts are sifted below the exchange of the join
+    assert "Union" in plan and plan.index("Exchange") < plan.index("may_have")
