@@ -11,6 +11,7 @@ token before.  A state of the deterministic one is the set of these readings: pe
 reading the bytes read since its last token and the tokens not yet emitted.  What all
 readings agree on is emitted at once, so the lookahead is less than one token, the
 longest of the file.  States and transitions are made when they are first needed.
+What the transducer gave out for the short pieces met last is held (see ``_Known``).
 
 Decoding.  Token ids are read one by one; an incremental UTF-8 machine gives out the
 characters that are complete and keeps the bytes of one that is not.
@@ -22,6 +23,7 @@ import base64
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -125,13 +127,44 @@ class _State(dict):
         return got
 
 
+class _Known(dict):
+    """piece -> its ids as bytes, for the pieces of at most ``longest`` characters met last.
+
+    ``most`` of them at least, twice as many at most: when ``most`` are held they
+    become the older ones, which go when the next ``most`` are full unless they are
+    met again.  A piece that is not held is read by the transducer.
+    """
+
+    __slots__ = ("encoder", "longest", "most", "older")
+
+    def __init__(self, encoder: Encoder, most: int, longest: int = 48):
+        super().__init__()
+        self.encoder, self.most, self.longest = encoder, most, longest
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece)
+        if got is None:
+            got = self.encoder.read(piece)
+        if len(piece) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Encoder:
-    """``ids(text)`` encodes a text, each match of ``pattern`` separately; holds at most ``most_states`` states."""
+    """``ids(text)`` encodes a text, each match of ``pattern`` separately.
+
+    Holds at most ``most_states`` states and the ids of ``2 * most_pieces`` pieces.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 150_000, most_pieces: int = 150_000):
         self.merges = Merges(ranks)
         self.pieces = Pieces(pattern)
         self.most_states = most_states
+        self.known = _Known(self, most_pieces)
         self._restart()
 
     def _restart(self) -> None:
@@ -172,16 +205,21 @@ class Encoder:
             got = self.states[key] = _State(self, key)
         return got, emitted
 
+    def read(self, piece: str) -> bytes:
+        """The ids of one piece, as the transducer emits them."""
+        out = array("I")
+        put, state = out.extend, self.start
+        for byte in piece.encode("utf-8", "surrogatepass"):
+            state, emitted = state[byte]
+            if emitted:
+                put(emitted)
+        put(state.rest)
+        return out.tobytes()
+
     def ids(self, text: str) -> array:
         out = array("I")
-        put = out.extend
-        for piece in self.pieces(text):
-            state = self.start
-            for byte in piece.encode("utf-8", "surrogatepass"):
-                state, emitted = state[byte]
-                if emitted:
-                    put(emitted)
-            put(state.rest)
+        for some in batched(self.pieces(text), 1 << 16):
+            out.frombytes(b"".join(map(self.known.__getitem__, some)))
         return out
 
 
@@ -313,7 +351,15 @@ class Decoder:
             yield REPLACEMENT
 
     def text(self, ids: Iterable[int]) -> str:
-        return "".join(self.stream(ids))
+        """The characters of ``stream``, joined."""
+        state, out = self.start, []
+        put = out.append
+        for i in ids:
+            text, state = state[i]
+            put(text)
+        if state.open:
+            put(REPLACEMENT)
+        return "".join(out)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

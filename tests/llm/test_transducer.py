@@ -147,3 +147,13 @@ def test_query_against_the_library(spark, library, duck):
     for doc_id, text in rows:
         ids = np.array(library.encode_ordinary(text or ""), "<u4")
         assert tuple(got[doc_id]) == (doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+
+
+def test_pieces_met_lately_are_read_once(ranks, library):
+    e = transducer.Encoder(ranks, tokenizers.PATTERN, most_pieces=3)
+    read, plain = [], e.read
+    e.read = lambda piece: read.append(piece) or plain(piece)
+    for text in ("the the the", " one the the", " two three four the one", "z" * 60, "z" * 60, *list(odd_texts(ranks))[:300]):
+        assert list(e.ids(text)) == library.encode_ordinary(text)
+        assert len(e.known) <= 3 and len(e.known.older) <= 3
+    assert read[:3] == ["the", " the", " one"] and read.count(" the") < 6 and read.count("z" * 60) == 2  # long ones are not held
