@@ -20,6 +20,7 @@ characters that are complete and keeps the bytes of one that is not.
 from __future__ import annotations
 
 import base64
+import marshal
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,9 +36,15 @@ from pyspark.sql import types as T
 from mercato.llm.common import ready, slices
 
 _NEVER = float("inf")
+_unpacked = marshal.loads
 REPLACEMENT = "�"
 
 
+def _packed(readings: tuple) -> bytes:
+    """Readings as one string of bytes, the same for equal ones (format 2 knows no references)."""
+    return marshal.dumps(readings, 2)
+
+
 class Merges:
     """Ranks of a ``.tiktoken`` file, and which tokens may stand side by side."""
 
@@ -88,7 +95,7 @@ class Merges:
             return True
         got = self._fits.get(a << 32 | b)
         if got is None:
-            if len(self._fits) > 400_000:
+            if len(self._fits) >= 80_000:
                 self._fits.clear()
             got = self._fits[a << 32 | b] = self._fit(self.edges(self.bytes_of[a])[1], self.edges(self.bytes_of[b])[0])
         return got
@@ -107,24 +114,17 @@ class Merges:
             i, j = (i + 1, j) if a <= b else (i, j + 1)
 
 
-class _State(dict):
-    """byte -> (next state, tokens emitted).  ``rest`` holds the tokens left if the input ends here.
-
-    A reading is (bytes since its last token, tokens not yet emitted, tokens it may
-    still become or None for all that fit).  The first of the tokens is the last one
-    emitted, None if it makes no difference.
-    """
+class _State:
+    """A place in the transducer, to follow it byte by byte: ``state[byte]`` is (next state, tokens emitted)."""
 
-    __slots__ = ("encoder", "readings", "rest")
+    __slots__ = ("encoder", "readings")
 
-    def __init__(self, encoder: Encoder, readings: tuple):
-        super().__init__()
+    def __init__(self, encoder: Encoder, readings: bytes):
         self.encoder, self.readings = encoder, readings
-        self.rest = readings[-1][1][1:]  # the last reading has just ended a token
 
-    def __missing__(self, byte: int) -> tuple[_State, tuple[int, ...]]:
-        got = self[byte] = self.encoder.follow(self.readings, byte)
-        return got
+    def __getitem__(self, byte: int) -> tuple[_State, tuple[int, ...]]:
+        key, emitted = self.encoder.follow(self.readings, byte)
+        return _State(self.encoder, key), emitted
 
 
 class _Known(dict):
@@ -158,25 +158,61 @@ class Encoder:
     """``ids(text)`` encodes a text, each match of ``pattern`` separately.
 
     Holds at most ``most_states`` states and the ids of ``2 * most_pieces`` pieces.
+
+    A reading is (bytes since its last token, tokens not yet emitted, tokens it may
+    still become or None for all that fit).  The first of the tokens is the last one
+    emitted, None if it makes no difference.  The last reading of a state has just
+    ended a token.  States are numbers and their readings are packed, so that a state
+    costs some 0.4 KB of a worker and all of them go at once.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 150_000, most_pieces: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 150_000, most_pieces: int = 100_000):
         self.merges = Merges(ranks)
         self.pieces = Pieces(pattern)
         self.most_states = most_states
         self.known = _Known(self, most_pieces)
+        self.states: dict[bytes, int] = {}  # packed readings -> number of the state
+        self.readings: list[bytes] = []  # the way back
+        self.moves: dict[int, int] = {}  # state << 8 | byte -> place in ``emissions`` << 32 | next state
+        self.emissions: list[tuple[int, ...]] = []
+        self._emission: dict[tuple[int, ...], int] = {}
         self._restart()
+        self.start = _State(self, self.readings[0])
 
     def _restart(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.start = _State(self, ((b"", (None,), None),))
+        for held in (self.states, self.readings, self.moves, self.emissions, self._emission):
+            held.clear()
+        self._emission[()] = self._number(_packed(((b"", (None,), None),)))
+        self.emissions.append(())
+
+    def _number(self, key: bytes) -> int:
+        got = self.states.get(key)
+        if got is None:
+            got = self.states[key] = len(self.readings)
+            self.readings.append(key)
+        return got
 
-    def follow(self, readings: tuple, byte: int) -> tuple[_State, tuple[int, ...]]:
-        """The state after one more byte and the tokens that all its readings agree on."""
+    def _move(self, state: int, byte: int) -> int:
+        """The entry of ``moves`` for a byte not yet read in this state."""
+        key, emitted = self.follow(self.readings[state], byte)
+        kept = key in self.states or len(self.states) < self.most_states
+        if not kept:
+            self._restart()  # the state left has no number any more
+        place = self._emission.get(emitted)
+        if place is None:
+            place = self._emission[emitted] = len(self.emissions)
+            self.emissions.append(emitted)
+        got = place << 32 | self._number(key)
+        if kept:
+            self.moves[state << 8 | byte] = got
+        return got
+
+    def follow(self, key: bytes, byte: int) -> tuple[bytes, tuple[int, ...]]:
+        """The packed readings after one more byte and the tokens that all of them agree on."""
         m, last = self.merges, bytes([byte])
         fit, ranks, longer = m.fit, m.ranks, m.longer
         grown, ended = [], None
-        for w, out, may in readings:
+        for w, out, may in _unpacked(key):
             w += last
             token = ranks.get(w)
             if token is not None and ended is None and (fit(out[-1], token) if may is None else token in may):
@@ -197,23 +233,20 @@ class Encoder:
         front = ended[1][agreed - 1]
         if all([len(out) > agreed or may is not None for _, out, may in grown]):
             front = None
-        key = tuple([(w, (front, *out[agreed:]), may) for w, out, may in grown])
-        got = self.states.get(key)
-        if got is None:
-            if len(self.states) >= self.most_states:
-                self._restart()  # the states in use live on until they are left
-            got = self.states[key] = _State(self, key)
-        return got, emitted
+        return _packed(tuple([(w, (front, *out[agreed:]), may) for w, out, may in grown])), emitted
 
     def read(self, piece: str) -> bytes:
         """The ids of one piece, as the transducer emits them."""
-        out = array("I")
-        put, state = out.extend, self.start
+        out, state = array("I"), 0
+        put, moves, emissions = out.extend, self.moves.get, self.emissions
         for byte in piece.encode("utf-8", "surrogatepass"):
-            state, emitted = state[byte]
-            if emitted:
-                put(emitted)
-        put(state.rest)
+            move = moves(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+            state = move & 0xFFFFFFFF
+            if move != state:
+                put(emissions[move >> 32])
+        put(_unpacked(self.readings[state])[-1][1][1:])
         return out.tobytes()
 
     def ids(self, text: str) -> array:
@@ -247,9 +280,7 @@ class Pieces:
         if self._exact is None:
             text = self._spaces(self.given)
             for name in (r"\p{L}", r"\p{N}"):
-                ours = {c for c in map(chr, _code_points()) if regex.match(name, c)}
-                theirs = library_class(name)
-                less, more = _as_set(ours - theirs), _as_set(theirs - ours)
+                less, more = map(_as_set, class_differences(name))
                 wanted = f"[{name}--{less}]" if less else name
                 text = text.replace(name, f"[{wanted}||{more}]" if more else wanted)
             self._exact = regex.compile(text, regex.V1)
@@ -260,8 +291,10 @@ class Pieces:
         return found.findall(text) if len(text) < 1_000_000 else (x[0] for x in found.finditer(text))
 
 
-def _code_points() -> Iterable[int]:
-    return (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+def _blocks() -> Iterator[str]:
+    """Every character but the surrogates, in order, some thousands at a time."""
+    for i in range(0, 0x110000, 4096):
+        yield "".join([chr(c) for c in range(i, i + 4096) if not 0xD800 <= c < 0xE000])
 
 
 def _as_set(chars: set[str]) -> str:
@@ -274,14 +307,17 @@ def _as_set(chars: set[str]) -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends) + "]"
 
 
-def library_class(name: str) -> set[str]:
-    """The characters that the tokenizer library's own patterns find for a class such as ``\\p{L}``."""
+def class_differences(name: str) -> tuple[set[str], set[str]]:
+    """The characters of a class such as ``\\p{L}`` that only ``regex`` finds, and those that only the tokenizer library finds."""
     import tiktoken
 
     probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    points = list(_code_points())
-    found = (bytes(probe.encode_ordinary("".join(map(chr, points[i:i + 4096])))) for i in range(0, len(points), 4096))
-    return set(b"".join(found).decode())
+    pattern, less, more = regex.compile(name), set(), set()
+    for block in _blocks():
+        ours, theirs = set(pattern.findall(block)), set(bytes(probe.encode_ordinary(block)).decode())
+        less |= ours - theirs
+        more |= theirs - ours
+    return less, more
 
 
 def _utf8_step(state: bytes, byte: int) -> tuple[str, bytes]:

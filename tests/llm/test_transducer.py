@@ -1,7 +1,9 @@
 """Byte-level BPE by the lazily determinised transducer against the library, and the streaming decoder against the codec."""
 
+import gc
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as tokenizers
@@ -157,3 +159,34 @@ def test_pieces_met_lately_are_read_once(ranks, library):
         assert list(e.ids(text)) == library.encode_ordinary(text)
         assert len(e.known) <= 3 and len(e.known.older) <= 3
     assert read[:3] == ["the", " the", " one"] and read.count(" the") < 6 and read.count("z" * 60) == 2  # long ones are not held
+
+
+def test_a_state_takes_little_memory(ranks):
+    e = transducer.Encoder(ranks, tokenizers.PATTERN, most_pieces=1)
+    texts = list(odd_texts(ranks))[:2500]
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for text in texts:
+            e.ids(text)
+        assert len(e.merges._fits) <= 80_000
+        e.merges._fits.clear()
+        e.merges._edges.clear()
+        held, states = tracemalloc.get_traced_memory()[0], len(e.states)
+        assert states > 10_000 and held < 600 * states
+        e._restart()  # all of them go at once, without a run of the garbage collector
+        assert tracemalloc.get_traced_memory()[0] < 0.1 * held
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+
+
+def test_classes_are_compared_in_little_memory():
+    assert transducer.Pieces(tokenizers.PATTERN).exact  # what is loaded once is loaded
+    tracemalloc.start()
+    try:
+        assert transducer.Pieces(tokenizers.PATTERN).exact
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
