@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from mercato.llm.common import ready, slices
 
-_NEVER = float("inf")
+_NEVER = 1 << 62
 _unpacked = marshal.loads
 REPLACEMENT = "�"
 
@@ -63,7 +63,7 @@ class Merges:
                     if len(held) > most_listed:
                         self.longer[t[:n]] = None
         self._edges: dict[bytes, tuple] = {}
-        self._fits: dict[int, bool] = {}
+        self._risings: tuple[dict[int, tuple], dict[int, tuple]] = ({}, {})
 
     def merged(self, data: bytes) -> tuple[bytes, bytes] | None:
         """The last two parts whose merge makes ``data`` a token; None for a single byte."""
@@ -89,29 +89,31 @@ class Merges:
             self._edges[token] = got
         return got
 
+    def _rising(self, token: int, side: int) -> tuple[list[bytes], list[int]]:
+        """The tokens at one edge of a token, and the rank at which each goes into the next larger one."""
+        edge = self.edges(self.bytes_of[token])[side]
+        got = self._risings[side][token] = edge, [*map(self.ranks.__getitem__, edge[1:]), _NEVER]
+        return got
+
     def fit(self, a: int | None, b: int) -> bool:
         """Whether token ``b`` may follow token ``a``: no merge across the border comes first.  Any may come first of all."""
         if a is None:
             return True
-        got = self._fits.get(a << 32 | b)
-        if got is None:
-            if len(self._fits) >= 80_000:
-                self._fits.clear()
-            got = self._fits[a << 32 | b] = self._fit(self.edges(self.bytes_of[a])[1], self.edges(self.bytes_of[b])[0])
-        return got
-
-    def _fit(self, left: list[bytes], right: list[bytes]) -> bool:
-        i = j = 0
+        firsts, lasts = self._risings
+        left, ups = lasts.get(a) or self._rising(a, 1)
+        right, downs = firsts.get(b) or self._rising(b, 0)
+        rank, i, j = self.ranks.get, 0, 0
         while True:
-            # the rank at which the token at either edge goes into the next larger one
-            a = self.ranks[left[i + 1]] if i + 1 < len(left) else _NEVER
-            b = self.ranks[right[j + 1]] if j + 1 < len(right) else _NEVER
-            across = self.ranks.get(left[i] + right[j])
-            if across is not None and across < a and across <= b:  # of equal ranks the leftmost merges first
+            x, y = ups[i], downs[j]
+            across = rank(left[i] + right[j])
+            if across is not None and across < x and across <= y:  # of equal ranks the leftmost merges first
                 return False
-            if a == b == _NEVER:
+            if x > y:
+                j += 1
+            elif x == _NEVER:  # and so is y
                 return True
-            i, j = (i + 1, j) if a <= b else (i, j + 1)
+            else:
+                i += 1
 
 
 class _State:
@@ -166,7 +168,7 @@ class Encoder:
     costs some 0.4 KB of a worker and all of them go at once.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 150_000, most_pieces: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 150_000, most_pieces: int = 150_000):
         self.merges = Merges(ranks)
         self.pieces = Pieces(pattern)
         self.most_states = most_states
@@ -226,8 +228,11 @@ class Encoder:
         if ended is None:
             raise ValueError("no encoding: the merges of the file are not in rank order")
         grown.append(ended)
-        shortest = min([out for _, out, _ in grown], key=len)
-        agreed = next((i for i, t in enumerate(shortest) if any([out[i] != t for _, out, _ in grown])), len(shortest))
+        agreed = 0
+        for tokens in zip(*[out for _, out, _ in grown]):
+            if tokens.count(tokens[0]) < len(tokens):
+                break
+            agreed += 1
         emitted = ended[1][1:agreed]
         # the last agreed token stays in front if what may follow depends on it
         front = ended[1][agreed - 1]

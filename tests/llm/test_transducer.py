@@ -170,9 +170,7 @@ def test_a_state_takes_little_memory(ranks):
     try:
         for text in texts:
             e.ids(text)
-        assert len(e.merges._fits) <= 80_000
-        e.merges._fits.clear()
-        e.merges._edges.clear()
+        e.merges = None  # its edges are no part of the states
         held, states = tracemalloc.get_traced_memory()[0], len(e.states)
         assert states > 10_000 and held < 600 * states
         e._restart()  # all of them go at once, without a run of the garbage collector
