@@ -165,7 +165,7 @@ class Encoder:
     still become or None for all that fit).  The first of the tokens is the last one
     emitted, None if it makes no difference.  The last reading of a state has just
     ended a token.  States are numbers and their readings are packed, so that a state
-    costs some 0.4 KB of a worker and all of them go at once.
+    costs about half a KB of a worker and all of them go at once.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 150_000, most_pieces: int = 150_000):
