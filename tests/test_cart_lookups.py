@@ -90,3 +90,29 @@ def test_strange_addons_and_repeated_lines_equal_the_lookup_one_by_one(spark):
         want = stats.get(r.id)
         assert (r.addon_unit_price, r.addon_reason) == ((want.addon_unit_price, want.addon_reason) if want else (None, None)), r
     assert {stats[i].addon_reason for i in (1, 2, 3)} == {"addon_wrong_product", "addon_not_found"}
+
+
+def _documents(spark, rows):
+    c, p, a = _tables(spark)
+    lines = spark.createDataFrame([(*r, 1.5) for r in rows], LINE + ", applied_discount_amount double")
+    applied = spark.createDataFrame([(1, 7, "flat", 1.0)], "item_id bigint, discount_id bigint, discount_type string, discount_value double")
+    docs = carts.cart_detail(lines, c, p, a, applied).collect()
+    return {d.cart_id: (d.reason, [(i.product_id, i.item_id, i.quantity, i.price, [tuple(x) for x in i.addons], i.discount and tuple(i.discount)) for i in d["items"]])
+            for d in docs}
+
+
+def test_documents_take_addons_from_their_product(spark, monkeypatch):
+    # every line was taken apart by its addons and put together again before
+    monkeypatch.setattr(carts.F, "posexplode_outer", None)
+    monkeypatch.setattr(carts, "_listed_one_by_one", None, raising=False)
+    got = _documents(spark, [(1, 1, 10, 2, [100, 101]), (2, 1, 11, 1, [110]), (3, 2, 12, 1, [])])
+    assert got == {1: (None, [(10, 1, 2, 2.0, [(100, "x", 0.5), (101, "y", 0.25), (101, "y2", 0.25)], (7, "flat", 1.0)), (11, 2, 1, 3.0, [(110, "z", 1.0)], None)]),
+                   2: (None, [(12, 3, 1, 5.0, [], None)])}
+
+
+def test_documents_with_strange_addons_and_repeated_lines(spark):
+    got = _documents(spark, [(1, 1, 10, 1, [100, 110]), (2, 1, 10, 1, [111]), (7, 1, 11, 1, [110]), (7, 1, 11, 1, [110]), (None, 1, 11, 1, [110]),
+                             (3, 2, 12, 1, [999, 100])])
+    assert got[1] == (None, [(10, 1, 1, 2.0, [(100, "x", 0.5), (110, "z", 1.0)], (7, "flat", 1.0)), (10, 2, 1, 2.0, [(111, "both", 2.0), (111, "both", 4.0)], None),
+                             (11, None, 1, 3.0, [], None), *[(11, 7, 1, 3.0, [(110, "z", 1.0)] * 2, None)] * 2])
+    assert got[2] == ("addon_not_found", [(12, 3, 1, 5.0, [(999, None, None), (100, "x", 0.5)], None)])
