@@ -84,7 +84,7 @@ def test_strange_addons_and_repeated_lines_equal_the_lookup_one_by_one(spark):
             (6, 1, 10, 1, [101]), (7, 1, 10, 1, [100]), (7, 1, 10, 1, [100]), (8, 1, 99, 1, [100]), (9, 1, 10, 1, None)]
     lines = spark.createDataFrame(rows, LINE)
     stats = {r.id: r for r in carts.addon_stats(lines, a).collect()}
-    j = carts._priced(lines, c, p, a).collect()
+    j = carts._priced(lines, c, p, a)[0].collect()
     assert len(j) == len(rows)
     for r in j:
         want = stats.get(r.id)
@@ -116,3 +116,13 @@ def test_documents_with_strange_addons_and_repeated_lines(spark):
     assert got[1] == (None, [(10, 1, 1, 2.0, [(100, "x", 0.5), (110, "z", 1.0)], (7, "flat", 1.0)), (10, 2, 1, 2.0, [(111, "both", 2.0), (111, "both", 4.0)], None),
                              (11, None, 1, 3.0, [], None), *[(11, 7, 1, 3.0, [(110, "z", 1.0)] * 2, None)] * 2])
     assert got[2] == ("addon_not_found", [(12, 3, 1, 5.0, [(999, None, None), (100, "x", 0.5)], None)])
+
+
+def test_tables_of_the_catalogues_size_are_not_sent_out_by_the_driver(spark):
+    c, p, a = _tables(spark)
+    lines = spark.createDataFrame([(1, 1, 10, 2, [100], 5)], LINE + ", named bigint")
+    ds = spark.createDataFrame([(5, 1, 10, None, "flat", 1, None, None, T0)], DISCOUNT)
+    got = carts.price_cart_items(lines, c, p, a, ds, "2000-01-01 00:00:00", explicit_col="named")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "_did" in x] and "_did" in plan
+    assert got.first().discount_amount == 1.0
