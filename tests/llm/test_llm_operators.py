@@ -403,6 +403,22 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_articles_are_in_the_suffix_array_of_their_host(spark):
+    # they were left out before: a copy that stands outside an article element was cut from every page that has it
+    story, teaser = "a long story of which the host has one original and two copies", "the very same notice stands on all of these pages here"
+    rows = [(1, "http://a.x/1", f"<article><h1>Story</h1><p>{story}</p></article><div>{teaser}</div>"),
+            (2, "http://a.x/2", f"<div>{teaser}</div><p>{story}</p>"), (3, "http://a.x/3", f"<div>{teaser}</div><p>{story}</p><p>end</p>"),
+            (4, "http://b.x/1", f"<p>{story}</p><p>one</p>"), (5, "http://b.x/2", f"<p>{story}</p><p>two</p>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"Story {story}", 2: story, 3: f"{story} end", 4: "one", 5: "two"}
+
+
+def test_all_blocks_of_all_pages_are_parsed_for_the_array(spark):
+    rows = [(1, "http://a.x/1", "<nav>menu</nav><article><p>decided by its place</p></article>")]
+    got = html.parse(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert [tuple(b) for b in got.blocks] == [("menu", html.BOILERPLATE), ("decided by its place", html.CONTENT)]
+
+
 @pytest.mark.parametrize("depth", [1, 2, 3, 5, 8])
 def test_suffix_classes(depth):
     s = np.random.default_rng(depth).integers(0, 3, 200)
